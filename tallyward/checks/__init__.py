@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("source_checks", "relational_checks", "login_checks", "report_checks", "amount_checks")
+MODULES = ("source_checks", "relational_checks", "login_checks", "report_checks", "amount_checks", "scan_checks", "export_checks")
 
 
 def _merged(attribute: str) -> dict:
