@@ -10,9 +10,10 @@ from tallyward.checks.registry import registry
 from tallyward.functions import logins as fl
 from tallyward.functions.geo import with_distance
 from tallyward.functions.times import days_between, hours_between, minutes_between
+from tallyward.operators.detectors import trailing_steps
 from tallyward.operators.hunts import with_users
 from tallyward.operators.ordered import (
-    MINUTE, NO_TIME, micros, micros_or_last, numbered_within, running_totals, with_previous,
+    MINUTE, micros, micros_or_last, numbered_within, running_totals, with_previous,
 )
 from tallyward.operators.frames import repeat_rows
 
@@ -66,15 +67,8 @@ def trailing_counts(l):
     window = 360 * MINUTE
     rows = l.filter(fl.is_failure() & F.col("sourceIp").isNotNull()).select(
         "event_id", "sourceIp", micros_or_last(F.col("loginTime")).alias("at"))
-    one = F.lit(1).cast("long")
-    steps = rows.select("sourceIp", F.explode(F.when(
-        F.col("at") == NO_TIME, F.array(F.struct("at", one.alias("n")))).otherwise(F.array(
-            F.struct("at", one.alias("n")),
-            F.struct((F.col("at") + window + 1).alias("at"), (-one).alias("n"))))).alias("s")
-    ).select("sourceIp", "s.at", "s.n").groupBy("sourceIp", "at").agg(F.sum("n").alias("n"))
-    both = rows.withColumn("n", F.lit(0).cast("long")).unionByName(steps, allowMissingColumns=True)
-    return running_totals(both, ["sourceIp"], ["n"]).filter(F.col("event_id").isNotNull()).select(
-        "event_id", F.col("running_n").alias("failures"))
+    steps = trailing_steps(rows.withColumn("n", F.lit(1).cast("long")), ["sourceIp"], window, ["n"])
+    return running_totals(rows, steps, ["sourceIp"], ["n"]).select("event_id", F.col("running_n").alias("failures"))
 
 
 over_logins(

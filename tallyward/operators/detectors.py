@@ -22,8 +22,7 @@ from tallyward.functions.times import (
 )
 from tallyward.operators.frames import check_number, empty_frame, repeat_rows
 from tallyward.operators.ordered import (
-    DAY, HOUR, MINUTE, NO_TIME, SECOND, micros, micros_or_last, running_peak, running_totals,
-    time_bucket, with_previous,
+    NO_TIME, SECOND, micros, micros_or_last, running_peak, running_totals, time_bucket, with_previous,
 )
 
 YEAR_MINUTES = 60 * 24 * 365
@@ -33,32 +32,26 @@ MAX_DAYS = 365 * 50
 def country_switches(logins: DataFrame, keep_unknown: bool) -> DataFrame:
     """Successful logins whose country differs from that of the user's login before.
 
-    Logins at one instant are ordered by country, then address, so a run of equal
-    countries at one instant can only switch at its first row: runs are collapsed
-    before the shuffle.
+    Logins at one instant are ordered by country, then address. Equal logins cannot
+    switch, so copies are dropped before the shuffle.
     """
     rows = logins.filter(is_success() & F.col("loginTime").isNotNull())
     if not keep_unknown:
         rows = rows.filter(F.col("countryIso").isNotNull())
-    has_ip = "sourceIp" in logins.columns
-    ip = F.col("sourceIp") if has_ip else F.lit(None).cast("string")
-    runs = (
-        rows.select("userId", micros(F.col("loginTime")).alias("at"), "countryIso", ip.alias("ip"))
-        .groupBy("userId", "at", "countryIso")
-        .agg(F.min(F.struct("ip")).alias("first"), F.max(F.struct("ip")).alias("last"))
-    )
-    switched = with_previous(runs, ["userId"], ["at", "countryIso"], ["at", "countryIso", "last"])
+    ip = F.col("sourceIp") if "sourceIp" in logins.columns else F.lit(None).cast("string")
+    distinct = rows.select(
+        "userId", micros(F.col("loginTime")).alias("at"), "countryIso", ip.alias("sourceIp")).distinct()
+    order = ["at", "countryIso", "sourceIp"]
     previous = F.col("previous")
     return (
-        switched
+        with_previous(distinct, ["userId"], order, order)
         .filter(previous.countryIso.isNotNull() & (previous.countryIso != F.col("countryIso")))
         .select(
             "userId",
             previous.countryIso.alias("prevCountry"), "countryIso",
             F.timestamp_micros(previous.at).alias("prevTime"),
             F.timestamp_micros("at").alias("loginTime"),
-            previous.last.ip.alias("prevIp"),
-            F.col("first.ip").alias("sourceIp"),
+            previous.sourceIp.alias("prevIp"), "sourceIp",
             (F.col("at") - previous.at).alias("gap"),
         )
     )
@@ -99,12 +92,17 @@ def concurrent_countries(logins: DataFrame, max_minutes: float = 5) -> DataFrame
     )
 
 
-def _trailing_steps(rows: DataFrame, keys: Sequence[str], window: int) -> DataFrame:
-    """Row counts as +n when a row enters the trailing window and -n when it leaves."""
-    enter = F.struct(F.col("at"), F.col("n"))
-    leave = F.struct((F.col("at") + window + 1).alias("at"), (-F.col("n")).alias("n"))
-    steps = F.when(F.col("at") == NO_TIME, F.array(enter)).otherwise(F.array(enter, leave))
-    return rows.select(*keys, F.explode(steps).alias("step")).select(*keys, "step.at", "step.n")
+def trailing_steps(rows: DataFrame, keys: Sequence[str], window: int, values: Sequence[str],
+                   delay: int = 0) -> DataFrame:
+    """Each row's values as an entry ``delay`` after it and an exit when it leaves the window.
+
+    A row without a time enters the last instant and never leaves it.
+    """
+    no_time = F.col("at") == NO_TIME
+    enter = F.struct(F.when(no_time, F.col("at")).otherwise(F.col("at") + delay).alias("at"), *values)
+    leave = F.struct((F.col("at") + window + 1).alias("at"), *[(-F.col(v)).alias(v) for v in values])
+    both = F.when(no_time, F.array(enter)).otherwise(F.array(enter, leave))
+    return rows.select(*keys, F.explode(both).alias("step")).select(*keys, "step.*")
 
 
 def _member_steps(rows: DataFrame, key: str, member: str, window: int) -> DataFrame:
@@ -155,12 +153,12 @@ def brute_force(logins: DataFrame, min_failures: int = 10, window_minutes: float
     window = int(window_minutes * MICROS_PER_MINUTE)
     failed = logins.filter(is_failure() & F.col(group_by).isNotNull()).select(
         group_by, F.col(member).alias("member"), micros_or_last(F.col("loginTime")).alias("at"))
-    counts = failed.groupBy(group_by, "at").agg(F.count(F.lit(1)).alias("n"))
-    failures = running_peak(_trailing_steps(counts, [group_by], window), [group_by], "n", "peakFailuresInWindow")
+    ones = failed.withColumn("n", F.lit(1).cast("long"))
+    failures = running_peak(trailing_steps(ones, [group_by], window, ["n"]), [group_by], "n", "peakFailuresInWindow")
     members = running_peak(_member_steps(failed, group_by, "member", window), [group_by], "n", "uniqueUsersTargeted")
     real = F.when(F.col("at") != NO_TIME, F.col("at"))
-    totals = counts.groupBy(group_by).agg(
-        F.sum("n").alias("totalFailures"),
+    totals = failed.groupBy(group_by).agg(
+        F.count(F.lit(1)).alias("totalFailures"),
         F.timestamp_micros(F.min(real)).alias("firstSeen"),
         F.timestamp_micros(F.max(real)).alias("lastSeen"))
     reached = failures.filter(F.col("peakFailuresInWindow") >= min_failures)
@@ -178,34 +176,17 @@ def prior_failures(logins: DataFrame, key: Sequence[str], failed: Column, window
 
     Equal successes are counted in ``copies``. A missing time is one extra last instant.
     """
-    keep_all = least <= 0
     rows = logins.withColumn("at", micros_or_last(F.col("loginTime")))
-    weight = F.when(failed, 1).otherwise(0)
-    counted = (
-        (rows if keep_all else rows.filter(failed))
-        .groupBy(*key, "at")
-        .agg(F.sum(weight).cast("long").alias("fails"), F.count(F.lit(1)).alias("seen"))
-    )
-    enter = F.struct(
-        F.when(F.col("at") == NO_TIME, F.col("at")).otherwise(F.col("at") + SECOND).alias("at"), "fails", "seen")
-    leave = F.struct(
-        (F.col("at") + window + 1).alias("at"), (-F.col("fails")).alias("fails"), (-F.col("seen")).alias("seen"))
-    steps = (
-        counted
-        .select(*key, F.explode(F.when(F.col("at") == NO_TIME, F.array(enter))
-                                .otherwise(F.array(enter, leave))).alias("step"))
-        .select(*key, "step.*")
-        .groupBy(*key, "at").agg(F.sum("fails").alias("fails"), F.sum("seen").alias("seen"))
-    )
+    counted = (rows if least <= 0 else rows.filter(failed)).select(
+        *key, "at", F.when(failed, 1).otherwise(0).cast("long").alias("fails"), F.lit(1).cast("long").alias("seen"))
+    steps = trailing_steps(counted, key, window, ["fails", "seen"], delay=SECOND)
     probes = (
         rows.filter(is_success()).groupBy(*key, "at", *payload)
         .agg(F.count(F.lit(1)).alias("copies"))
     )
-    both = probes.withColumns({"fails": F.lit(0).cast("long"), "seen": F.lit(0).cast("long")}).unionByName(
-        steps, allowMissingColumns=True)
     return (
-        running_totals(both, key, ["fails", "seen"])
-        .filter(F.col("copies").isNotNull() & (F.col("running_seen") > 0) & (F.col("running_fails") >= least))
+        running_totals(probes, steps, key, ["fails", "seen"])
+        .filter((F.col("running_seen") > 0) & (F.col("running_fails") >= least))
         .select(*key, "at", *payload, "copies", F.col("running_fails").alias("failures"))
     )
 

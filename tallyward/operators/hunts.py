@@ -201,12 +201,7 @@ def session_overlap(logins: DataFrame) -> DataFrame:
     ).select("userId", "sourceIp", "step.at", "step.open")
 
     def counted(rows: DataFrame, keys: list[str], alias: str) -> DataFrame:
-        both = rows.withColumn("open", F.lit(0).cast("long")).unionByName(
-            steps.groupBy(*keys, "at").agg(F.sum("open").alias("open")), allowMissingColumns=True)
-        return (
-            running_totals(both, keys, ["open"]).filter(F.col("sessionKey").isNotNull())
-            .withColumnRenamed("running_open", alias).drop("open")
-        )
+        return running_totals(rows, steps, keys, ["open"]).withColumnRenamed("running_open", alias)
 
     opened = counted(counted(spans, ["userId"], "ofUser"), ["userId", "sourceIp"], "ofAddress")
     return opened.filter(F.col("ofUser") > F.col("ofAddress")).select(

@@ -34,8 +34,12 @@ def micros_or_last(time: Column) -> Column:
 
 
 def time_bucket(at: Column, width: int) -> Column:
-    """Start of the bucket that holds ``at``."""
-    return at - F.pmod(at, F.lit(width))
+    """Start of the bucket that holds ``at``.
+
+    Declared non-null, so that a join on it adds no filter to one side only and both
+    sides read the same shuffle.
+    """
+    return F.coalesce(at - F.pmod(at, F.lit(width)), F.lit(0).cast("long"))
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
@@ -53,49 +57,57 @@ def with_previous(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
                   carry: Sequence[str], at: str = "at", width: int = MINUTE) -> DataFrame:
     """Add ``previous``, the ``carry`` columns of the row before in (key, order).
 
-    ``order`` starts with ``at``; NULLs sort first.
+    ``order`` starts with ``at``; NULLs sort first. The last row of each bucket is handed
+    to the key's next bucket. Keys travel as one struct, which is never NULL, so the join
+    on (key, bucket) keeps the partitioning of the window.
     """
-    cut = rows.withColumn("bucket", time_bucket(F.col(at), width))
-    in_bucket = W.partitionBy(*keys, "bucket").orderBy(*order)
-    by_bucket = W.partitionBy(*keys).orderBy("bucket")
+    cut = rows.withColumns({"key": F.struct(*keys), "bucket": time_bucket(F.col(at), width)})
+    in_bucket = W.partitionBy("key", "bucket").orderBy(*order)
+    marked = cut.withColumns({
+        "local": F.lag(F.struct(*carry)).over(in_bucket), "next_at": F.lead(at).over(in_bucket)})
     tails = (
-        cut.groupBy(*keys, "bucket")
-        .agg(F.max_by(F.struct(*carry), F.struct(*order)).alias("tail"))
-        .select(*keys, "bucket", F.lag("tail").over(by_bucket).alias("carried"))
+        marked.filter(F.col("next_at").isNull())
+        .select("key", "bucket", F.lag(F.struct(*carry)).over(W.partitionBy("key").orderBy("bucket")).alias("carried"))
     )
-    local = cut.withColumn("local", F.lag(F.struct(*carry)).over(in_bucket))
     return (
-        join_null_safe(local, tails, [*keys, "bucket"])
+        marked.join(tails, ["key", "bucket"])
         .withColumn("previous", F.coalesce("local", "carried"))
-        .drop("local", "carried", "bucket")
+        .drop("local", "carried", "next_at", "bucket", "key")
     )
 
 
-def running_totals(steps: DataFrame, keys: Sequence[str], values: Sequence[str],
+def running_totals(probes: DataFrame, steps: DataFrame, keys: Sequence[str], values: Sequence[str],
                    at: str = "at", width: int = MINUTE) -> DataFrame:
-    """Add ``running_<value>``: the sum of ``value`` up to and including the row's instant."""
-    cut = steps.withColumn("bucket", time_bucket(F.col(at), width))
-    in_bucket = (
-        W.partitionBy(*keys, "bucket").orderBy(at)
-        .rangeBetween(W.unboundedPreceding, W.currentRow)
-    )
-    before = (
-        W.partitionBy(*keys).orderBy("bucket")
-        .rowsBetween(W.unboundedPreceding, -1)
-    )
+    """Add ``running_<value>`` to each probe: the key's steps up to and including its instant.
+
+    ``steps`` hold (keys, at, values). Inside a bucket, steps and probes are summed in time
+    order; what earlier buckets leave over is one row per key and occupied bucket.
+    """
+    def cut(df: DataFrame) -> DataFrame:
+        return df.withColumns({"key": F.struct(*keys), "bucket": time_bucket(F.col(at), width)})
+
+    zeros = {v: F.lit(0).cast("long") for v in values}
+    summed = cut(steps).groupBy("key", "bucket", at).agg(*[F.sum(v).cast("long").alias(v) for v in values])
+    asked = cut(probes)
+    in_bucket = W.partitionBy("key", "bucket").orderBy(at).rangeBetween(W.unboundedPreceding, W.currentRow)
+    before = W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        cut.groupBy(*keys, "bucket")
-        .agg(*[F.sum(v).alias(f"total_{v}") for v in values])
-        .select(*keys, "bucket",
-                *[F.coalesce(F.sum(f"total_{v}").over(before), F.lit(0)).alias(f"offset_{v}")
-                  for v in values])
+        summed.select("key", "bucket", *values)
+        .unionByName(asked.select("key", "bucket").distinct().withColumns(zeros))
+        .groupBy("key", "bucket").agg(*[F.sum(v).alias(v) for v in values])
+        .select("key", "bucket",
+                *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"offset_{v}") for v in values])
+    )
+    local = (
+        asked.withColumns({**zeros, "is_probe": F.lit(True)})
+        .unionByName(summed, allowMissingColumns=True)
+        .withColumns({f"local_{v}": F.sum(v).over(in_bucket) for v in values})
+        .filter("is_probe")
     )
-    local = cut.withColumns({f"local_{v}": F.sum(v).over(in_bucket) for v in values})
-    joined = join_null_safe(local, offsets, [*keys, "bucket"])
     return (
-        joined
+        local.join(offsets, ["key", "bucket"])
         .withColumns({f"running_{v}": F.col(f"local_{v}") + F.col(f"offset_{v}") for v in values})
-        .drop("bucket", *[f"local_{v}" for v in values], *[f"offset_{v}" for v in values])
+        .drop("key", "bucket", "is_probe", *values, *[f"local_{v}" for v in values], *[f"offset_{v}" for v in values])
     )
 
 
