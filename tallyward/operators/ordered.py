@@ -61,17 +61,18 @@ def with_previous(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
     to the key's next bucket. Keys travel as one struct, which is never NULL, so the join
     on (key, bucket) keeps the partitioning of the window.
     """
-    cut = rows.withColumns({"key": F.struct(*keys), "bucket": time_bucket(F.col(at), width)})
+    cut = rows.withColumns({"key": F.struct(*keys), "bucket": time_bucket(F.col(at), width)}).drop(*keys)
     in_bucket = W.partitionBy("key", "bucket").orderBy(*order)
+    before = F.struct(*[F.lag(c).over(in_bucket).alias(c) for c in carry])
     marked = cut.withColumns({
-        "local": F.lag(F.struct(*carry)).over(in_bucket), "next_at": F.lead(at).over(in_bucket)})
+        "local": F.when(F.lag(at).over(in_bucket).isNotNull(), before), "next_at": F.lead(at).over(in_bucket)})
     tails = (
         marked.filter(F.col("next_at").isNull())
         .select("key", "bucket", F.lag(F.struct(*carry)).over(W.partitionBy("key").orderBy("bucket")).alias("carried"))
     )
     return (
         marked.join(tails, ["key", "bucket"])
-        .withColumn("previous", F.coalesce("local", "carried"))
+        .withColumns({**{k: F.col(f"key.{k}") for k in keys}, "previous": F.coalesce("local", "carried")})
         .drop("local", "carried", "next_at", "bucket", "key")
     )
 
