@@ -7,13 +7,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyward.fixed import INVALID_NAME_CHARS, MISSING_ID, NAME_LIMIT
 
 WHITE = r"[\s\x1C-\x1F\u1680\u2000-\u2006\u2008-\u200A\u2028\u2029\u205F\u3000]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _composed(names: pd.Series) -> pd.Series:
     return names.map(lambda n: unicodedata.normalize("NFC", n) if n else None)
 
