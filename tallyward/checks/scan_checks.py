@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyward import fixed
 from tallyward.checks.tables import derived, plain_times, table
-from tallyward.functions.text import newlines, shannon_entropy
+from tallyward.functions.text import newlines, shannon_entropy_sql
 from tallyward.operators import scanning as sc
 from tallyward.operators.ordered import numbered_within
 from tallyward.session import new_path
@@ -81,7 +81,7 @@ def sql_matches(rules, group="0", keep="true"):
                 - length(replace(list_aggregate(s[1:p], 'string_agg', '') || coalesce(list_aggregate(m[1:p - 1], 'string_agg', ''), ''), chr(10), '')) AS line
             FROM (SELECT grp, path, m, s, unnest(generate_series(1, len(m))) AS p FROM (
               SELECT grp, path, regexp_extract_all(text, {quoted(r.regex)}) AS m, string_split_regex(text, {quoted(r.regex)}) AS s
-              FROM files WHERE {WHERE[r.applies]}) WHERE len(m) > 0)"""
+              FROM files WHERE {WHERE[r.scope]}) WHERE len(m) > 0)"""
         for r in rules]
     return "hits AS (" + " UNION ALL ".join(parts) + ")"
 
@@ -309,7 +309,10 @@ register("n16_verdicts",
               CASE WHEN count(k.grp) > 0 THEN 'FAIL' ELSE 'PASS' END AS security_verdict, count(k.grp) AS findings
             FROM (SELECT DISTINCT grp FROM files) g LEFT JOIN kept k ON g.grp = k.grp GROUP BY g.grp""")
 register("n16_n18_aggregate_report",
-         lambda s, d: summed_up(all_groups(s, d), all_findings(s, d)))
+         lambda s, d: summed_up(files(s, d).select("grp").distinct(), secret_findings(s, d)),
+         PREFIXED + """ SELECT (SELECT count(DISTINCT grp) FROM files) AS groups, CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict,
+              CAST(0 AS BIGINT) AS safety_findings, count(*) AS security_findings FROM found WHERE severity IN ('CRITICAL', 'HIGH')""")
+register("n16_n18_report_of_all_rules", lambda s, d: summed_up(all_groups(s, d), all_findings(s, d)))
 register("n17_d13_severity_table", lambda s, d: sc.severity_table(secret_findings(s, d)),
          PREFIXED + """ SELECT grp, 'Security' AS dimension, count(*) FILTER (severity = 'CRITICAL') AS "CRITICAL",
               count(*) FILTER (severity = 'HIGH') AS "HIGH", count(*) FILTER (severity = 'MEDIUM') AS "MEDIUM",
@@ -352,7 +355,7 @@ register(
         SELECT DISTINCT grp FROM (SELECT path, arg_max(folder, length(folder)) AS grp FROM changed, marks
           WHERE starts_with(path, folder || '/') GROUP BY path)""")
 register("h12_entropy",
-         lambda s, d: table(s, d, "documents").select("doc_id", F.round(shannon_entropy(F.col("text")), 9).alias("entropy")),
+         lambda s, d: table(s, d, "documents").select("doc_id", F.round(F.expr(shannon_entropy_sql("text")), 9).alias("entropy")),
          "SELECT doc_id, round({}, 9) AS entropy FROM documents".format(ENTROPY_SQL.format("text")))
 register("h14_line_counts",
          lambda s, d: table(s, d, "pages").select("page_id", newlines(F.col("html")).alias("n")),

@@ -16,36 +16,60 @@ def searched(pattern: str) -> str:
     return f"(?dU){pattern}"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """All whole matches, left to right."""
-    return F.regexp_extract_all(text, F.lit(searched(pattern)), F.lit(0))
-
-
 def newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def match_lines(text: Column, pattern: str, found: Column) -> Column:
-    """Line number of each element of ``found = matches(text, pattern)``.
+def literal(value: str | None) -> str:
+    """A Spark SQL string literal."""
+    if value is None:
+        return "NULL"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def matches_sql(text: str, pattern: str) -> str:
+    """All whole matches, left to right."""
+    return f"regexp_extract_all({text}, {literal(searched(pattern))}, 0)"
+
+
+def match_lines_sql(text: str, pattern: str, found: str) -> str:
+    """Line number of each element of ``found``, the matches of ``pattern`` in ``text``.
 
     A match starts after all pieces and matches before it, so the line number is one
     plus the line feeds in those. Works for matches that span lines.
     """
-    pieces = F.split(text, searched(pattern), -1)
-    earlier = F.concat(F.array(F.lit("")), F.slice(found, 1, F.size(found) - 1))
-    steps = F.zip_with(F.slice(pieces, 1, F.size(found)), earlier, lambda s, m: newlines(s) + newlines(m))
-    return F.aggregate(
-        steps, F.array().cast("array<int>"),
-        lambda lines, step: F.array_append(lines, F.coalesce(F.try_element_at(lines, F.lit(-1)), F.lit(1)) + step))
+    feed = literal("\n")
+
+    def feeds(part: str) -> str:
+        return f"length({part}) - length(replace({part}, {feed}, ''))"
+
+    pieces = f"slice(split({text}, {literal(searched(pattern))}, -1), 1, size({found}))"
+    earlier = f"concat(array(''), slice({found}, 1, size({found}) - 1))"
+    return (f"aggregate(zip_with({pieces}, {earlier}, (s, e) -> {feeds('s')} + {feeds('e')}), CAST(array() AS array<int>), "
+            "(lines, n) -> array_append(lines, coalesce(try_element_at(lines, -1), 1) + n))")
+
+
+def mentions(text: Column, lowered: Column, words: Sequence[str], any_case: bool) -> Column:
+    """The text holds one of the words: a cheap test ahead of a pattern that needs one.
+
+    For patterns that ignore case, the two letters that only Unicode case folding maps
+    to ASCII let a text pass.
+    """
+    parts = [(lowered if any_case else text).contains(w.lower() if any_case else w) for w in words]
+    if any_case:
+        parts += [text.contains("\u017F"), text.contains("\u212A")]
+    condition = parts[0]
+    for part in parts[1:]:
+        condition = condition | part
+    return condition
 
 
-def lines_of(text: Column) -> Column:
-    return F.split(text, LINE_BREAK, -1)
+EDGE_SPACE = r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z"
 
 
 def strip(text: Column) -> Column:
     """Trim Unicode white space on both sides."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z", "")
+    return F.regexp_replace(text, EDGE_SPACE, "")
 
 
 def strip_quotes(text: Column) -> Column:
@@ -57,33 +81,21 @@ def cut(text: Column, limit: int) -> Column:
     return F.substring(text, 1, limit)
 
 
-def cut_marked(text: Column, limit: int) -> Column:
-    """At most ``limit`` characters, followed by ``...`` where something is cut off."""
-    return F.when(F.length(text) > limit, F.concat(cut(text, limit), F.lit("..."))).otherwise(text)
-
-
-def shannon_entropy(text: Column) -> Column:
+def shannon_entropy_sql(text: str) -> str:
     """Bits per character."""
-    size = F.length(text)
-    characters = F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
-
-    def term(c: Column) -> Column:
-        share = (size - F.length(F.replace(text, c, F.lit("")))) / size
-        return share * F.log2(share)
-
-    return -F.aggregate(F.transform(characters, term), F.lit(0.0), lambda total, t: total + t)
+    share = f"((length({text}) - length(replace({text}, c, ''))) / length({text}))"
+    characters = f"array_distinct(filter(split({text}, ''), c -> c != ''))"
+    return f"-aggregate(transform({characters}, c -> {share} * log2({share})), 0.0D, (total, t) -> total + t)"
 
 
-def nearest_name(word: Column, names: Sequence[str], limit: int = 2) -> Column:
-    """(distance, name) of the closest other name within ``limit`` edits, else NULL.
+def nearest_name_sql(word: str, names: Sequence[str], limit: int = 2) -> str:
+    """The closest other name within ``limit`` edits, else NULL.
 
-    Ties go to the smaller name. NULL as well when the word is one of the names.
+    Ties go to the smaller name. NULL as well when the word is far from all names.
     """
-    distances = F.array(*[
-        F.struct(F.levenshtein(word, F.lit(n), limit).alias("distance"), F.lit(n).alias("name"))
-        for n in sorted(names)])
-    near = F.filter(distances, lambda d: d["distance"].between(1, limit))
-    return F.array_min(near)
+    distances = ", ".join(
+        f"named_struct('d', levenshtein({word}, {literal(n)}, {limit}), 'n', {literal(n)})" for n in sorted(names))
+    return f"array_min(filter(array({distances}), x -> x.d BETWEEN 1 AND {limit})).n"
 
 
 def path_parts(path: Column) -> Column:

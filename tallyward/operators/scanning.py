@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from tallyward import fixed
 from tallyward.functions.pycode import outbound_hosts, unsafe_calls
 from tallyward.functions.text import (
-    cut, cut_marked, file_name, has_suffix, lines_of, match_lines, matches, nearest_name, path_parts,
-    searched, shannon_entropy, strip, strip_quotes,
+    EDGE_SPACE, LINE_BREAK, cut, file_name, has_suffix, literal, match_lines_sql, matches_sql, mentions, nearest_name_sql,
+    path_parts, searched, shannon_entropy_sql, strip, strip_quotes,
 )
 from tallyward.operators.ordered import numbered_within
 from tallyward.session import written
@@ -60,7 +60,10 @@ DEFAULT_ADVICE = ("Needs a review.", "Change or remove it.")
 
 @dataclass(frozen=True)
 class TextRule:
-    """A pattern searched in every file for which ``applies`` holds."""
+    """A pattern searched in every file of a scope.
+
+    ``words``: the pattern cannot match a text without one of them.
+    """
 
     rank: int
     prefix: str
@@ -68,173 +71,163 @@ class TextRule:
     pattern: str
     regex: str
     title: str
-    applies: str = "any"
+    scope: str = "any"
     evidence: str = "whole"
+    words: tuple[str, ...] = ()
 
 
-def _name_is(*names: str) -> Column:
-    return file_name(F.col("path")).isin(list(names))
-
-
-def _applies(kind: str) -> Column:
-    path, text = F.col("path"), F.col("text")
-    if kind == "markdown":
+def _in_scope(scope: str) -> Column:
+    path = F.col("path")
+    if scope == "markdown":
         return has_suffix(path, ".md")
-    if kind == "python":
+    if scope == "python":
         return has_suffix(path, ".py")
-    if kind == "shell":
-        return has_suffix(path, ".sh") | text.startswith("#!/bin/")
-    if kind == "code":
+    if scope == "shell":
+        return has_suffix(path, ".sh") | F.col("text").startswith("#!/bin/")
+    if scope == "code":
         return has_suffix(path, ".py") | has_suffix(path, ".sh")
-    if kind == "commands":
+    if scope == "commands":
         return has_suffix(path, ".md") | has_suffix(path, ".sh")
-    if kind == "setup":
-        return _name_is("setup.py")
-    if kind == "own text":
+    if scope == "setup":
+        return file_name(path) == "setup.py"
+    if scope == "manifest":
+        return file_name(path).isin(list(MANIFESTS))
+    if scope == "requirements":
+        return F.lower(file_name(path)) == "requirements.txt"
+    if scope == "package":
+        return file_name(path) == "package.json"
+    if scope == "own text":
         return ~F.arrays_overlap(path_parts(path), F.array(F.lit("references"), F.lit("docs")))
     return F.lit(True)
 
 
+SECRET_WORDS = (("sk-",), ("sk-ant-",), ("AKIA",), ("ghp_", "gho_", "ghs_"), ("AIza",), ("xox",), ("-----BEGIN ",),
+                ("postgres://", "mysql://", "mongodb://", "redis://"))
 SECRET_RULES = tuple(
-    TextRule(10 + i, "CS", severity, label, regex, label, evidence="marked")
+    TextRule(10 + i, "CS", severity, label, regex, label, evidence="marked", words=SECRET_WORDS[i])
     for i, (label, regex, severity) in enumerate(fixed.SECRET_PATTERNS))
 ENTROPY_RULE = TextRule(20, "CS", "HIGH", "Generic high-entropy secret", fixed.QUOTED_LITERAL,
                         "High-entropy literal (likely secret)", "own text", "quoted")
 PASSWORD_RULE = TextRule(30, "CS", "HIGH", "Hardcoded password literal", fixed.PASSWORD_LITERAL,
-                         "Hardcoded {} literal", evidence="cut")
+                         "Hardcoded {} literal", evidence="cut", words=("passw", "pwd", "secret", "token"))
+ENDPOINT_WORDS = ("discord.com/api/webhooks", "hooks.slack.com", "webhook.site", "requestbin.", "pipedream.com",
+                  ".ngrok.io", ".serveo.net")
 ENDPOINT_RULES = tuple(
-    TextRule(40 + i, "DE", "HIGH", "Webhook or telemetry endpoint", regex, f"{label} reference")
+    TextRule(40 + i, "DE", "HIGH", "Webhook or telemetry endpoint", regex, f"{label} reference",
+             words=(ENDPOINT_WORDS[i],))
     for i, (regex, label) in enumerate(fixed.ENDPOINT_PATTERNS))
+PHRASE_WORDS = ("send th", "://", "email th")
 PHRASE_RULES = tuple(
     TextRule(50 + i, "DE", "HIGH", "Instructions to send data externally", regex,
-             "Instruction to transmit data externally", "markdown")
+             "Instruction to transmit data externally", "markdown", words=(PHRASE_WORDS[i],))
     for i, regex in enumerate(fixed.SEND_PHRASES))
 PYTHON_RANK = 60
 TLS_RULE = TextRule(70, "UC", "MEDIUM", "Disabled TLS verification", fixed.TLS_VERIFY_OFF,
-                    "TLS verification disabled", "python")
+                    "TLS verification disabled", "python", words=("verify", "_create_unverified_context"))
 SHELL_RANKS = (80, 81)
 REQUIREMENT_RANK = 90
 HOOK_RANKS = (95, 96)
-_CATALOG_SCOPE = {"PI": "markdown", "EP": "commands", "UC": "code"}
+CATALOG_SCOPES = {"PI": "markdown", "EP": "commands", "UC": "code"}
+CATALOG_WORDS = (("you are no longer", "ignore ", "disregard ", "forget "), ("bypass ", "regardless of ", "even if "),
+                 ("you are ", "pretend ", "act as "), tuple("\u200b\u200c\u200d\u2060\ufeff"),
+                 ("rm -rf", "chmod 777"), ("../",), ("/tmp/",))
 CATALOG_RULES = tuple(
-    TextRule(100 + i, prefix, severity, label, regex, label, _CATALOG_SCOPE[prefix], "marked")
+    TextRule(100 + i, prefix, severity, label, regex, label, CATALOG_SCOPES[prefix], "marked", CATALOG_WORDS[i])
     for i, (prefix, label, regex, severity) in enumerate(fixed.CATALOG_PATTERNS)
-) + (TextRule(120, "SC", "HIGH", "Setup command override", r"cmdclass\s*=", "Setup command override", "setup"),)
-REGISTRY_RANK = 121
+) + (TextRule(120, "SC", "HIGH", "Setup command override", r"cmdclass\s*=", "Setup command override", "setup",
+              words=("cmdclass",)),)
+REGISTRY_RULE = TextRule(
+    121, "SC", "MEDIUM", "Unknown registry",
+    r"(?:--(?:extra-)?index-url[ =]+|registry\s*=\s*|git\+)https?://(?:[^@/\s]+@)?[^/\s:]+", "Unknown registry",
+    "manifest", "host", ("://",))
+REGISTRY_HOST = r"https?://(?:[^@/\s]+@)?([^/\s:]+)"
+REGISTRY_RANK = REGISTRY_RULE.rank
 OUTBOUND_RANK = 130
-REGISTRY_URL = r"(?:--(?:extra-)?index-url[ =]+|registry\s*=\s*|git\+)https?://(?:[^@/\s]+@)?[^/\s:]+"
 
 TEXT_RULES = (*SECRET_RULES, ENTROPY_RULE, PASSWORD_RULE, *ENDPOINT_RULES, *PHRASE_RULES, TLS_RULE)
 CORE_RANKS = frozenset(range(10, 97))
 CATALOG_RANKS = frozenset(range(100, 131))
 
 
-def _hit(rank: int, pos: Column, prefix: str, severity: str, title: Column, line: Column,
-         pattern: str, evidence: Column) -> Column:
-    return F.struct(
-        F.lit(rank).alias("rank"), pos.cast("int").alias("pos"), F.lit(prefix).alias("prefix"),
-        F.lit(severity).alias("severity"), title.alias("title"), line.cast("int").alias("line"),
-        F.lit(pattern).alias("pattern"), evidence.alias("evidence"))
+def _hit(rank: int, pos: str, prefix: str, severity: str, title: str, line: str, pattern: str, evidence: str) -> str:
+    return (f"named_struct('rank', {rank}, 'pos', CAST({pos} AS INT), 'prefix', {literal(prefix)}, "
+            f"'severity', {literal(severity)}, 'title', {title}, 'line', CAST({line} AS INT), "
+            f"'pattern', {literal(pattern)}, 'evidence', {evidence})")
 
 
-def _in_file(title: str | Column) -> Column:
-    start = F.lit(title) if isinstance(title, str) else title
-    return F.concat(start, F.lit(" in "), F.col("path"))
+def _in_file(title: str) -> str:
+    return f"concat({title}, ' in ', path)"
 
 
-def _quoted(match: Column) -> Column:
-    return F.substring(match, F.lit(2), F.length(match) - 2)
-
-
-def _rule_hits(rule: TextRule, found: Column) -> Column:
-    """Hits of one text rule out of its matches."""
-    lines = match_lines(F.col("text"), rule.regex, found)
-    placed = F.transform(
-        F.arrays_zip(found.alias("match"), lines.alias("line")),
-        lambda m, i: F.struct(i.alias("pos"), m["match"].alias("match"), m["line"].alias("line")))
+def _rule_hits(rule: TextRule, known_registries: Sequence[str]) -> str:
+    """Hits of one text rule out of its matches, the column ``m<rank>``."""
+    found = f"m{rule.rank}"
+    placed = (f"transform(arrays_zip({found}, {match_lines_sql('text', rule.regex, found)}), "
+              "(z, i) -> named_struct('pos', i, 'match', z.`0`, 'line', z.`1`))").replace("z.`0`", f"z.{found}")
+    quoted = "substring(m.match, 2, length(m.match) - 2)"
+    title, evidence = _in_file(literal(rule.title)), "m.match"
     if rule is ENTROPY_RULE:
-        secret = F.filter(placed, lambda m: (shannon_entropy(_quoted(m["match"])) >= fixed.MIN_SECRET_ENTROPY)
-                          & ~_quoted(m["match"]).rlike(fixed.HEX_DIGEST))
-        placed = F.slice(secret, 1, 1)
-    if rule is PASSWORD_RULE:
-        pattern = searched(rule.regex)
-        placed = F.filter(placed, lambda m: ~F.lower(F.regexp_extract(m["match"], pattern, 2)).isin(
-            list(fixed.PASSWORD_PLACEHOLDERS)))
-
-    def title(match: Column) -> Column:
-        if rule is PASSWORD_RULE:
-            word = F.lower(F.regexp_extract(match, searched(rule.regex), 1))
-            return _in_file(F.concat(F.lit("Hardcoded "), word, F.lit(" literal")))
-        return _in_file(rule.title)
-
-    def evidence(match: Column) -> Column:
-        return {
-            "marked": lambda: cut_marked(match, 80), "cut": lambda: cut(match, 80),
-            "quoted": lambda: F.concat(cut(_quoted(match), 40), F.lit("...")), "whole": lambda: match,
-        }[rule.evidence]()
-
-    return F.transform(placed, lambda m: _hit(
-        rule.rank, m["pos"], rule.prefix, rule.severity, title(m["match"]), m["line"], rule.pattern,
-        evidence(m["match"])))
-
-
-def _shell_hits() -> Column:
-    text = F.col("text")
-    lines = F.transform(lines_of(text), lambda line: line.rlike(searched(fixed.SHELL_EVAL)))
-    first = F.array_position(lines, F.lit(True))
-    eval_hit = F.when(text.rlike(searched(fixed.SHELL_EVAL)), _hit(
-        SHELL_RANKS[0], F.lit(0), "UC", "CRITICAL", _in_file("shell eval on variable"),
-        F.greatest(first, F.lit(1).cast("long")), "Shell eval injection", F.lit("eval $...")))
-    tls_hit = F.when(text.rlike(searched(fixed.SHELL_TLS_OFF)), _hit(
-        SHELL_RANKS[1], F.lit(0), "UC", "MEDIUM", _in_file("TLS verification disabled"), F.lit(1),
-        "Disabled TLS verification", F.lit("curl -k / wget --no-check-certificate")))
-    return F.when(_applies("shell"), F.array_compact(F.array(eval_hit, tls_hit)))
-
-
-def _requirement_hits() -> Column:
+        is_secret = (f"{shannon_entropy_sql(quoted)} >= {fixed.MIN_SECRET_ENTROPY}D "
+                     f"AND NOT rlike({quoted}, {literal(fixed.HEX_DIGEST)})")
+        placed = f"slice(filter({placed}, m -> {is_secret}), 1, 1)"
+        evidence = f"concat(substring({quoted}, 1, 40), '...')"
+    elif rule is PASSWORD_RULE:
+        pattern = literal(searched(rule.regex))
+        placeholders = ", ".join(literal(p) for p in fixed.PASSWORD_PLACEHOLDERS)
+        placed = f"filter({placed}, m -> lower(regexp_extract(m.match, {pattern}, 2)) NOT IN ({placeholders}))"
+        title = _in_file(f"concat('Hardcoded ', lower(regexp_extract(m.match, {pattern}, 1)), ' literal')")
+        evidence = "substring(m.match, 1, 80)"
+    elif rule is REGISTRY_RULE:
+        evidence = f"lower(regexp_extract(m.match, {literal(REGISTRY_HOST)}, 1))"
+        known = ", ".join(literal(r) for r in known_registries)
+        placed = f"filter({placed}, m -> {evidence} NOT IN ({known}))" if known else placed
+    elif rule.evidence == "marked":
+        evidence = "if(length(m.match) > 80, concat(substring(m.match, 1, 80), '...'), m.match)"
+    hit = _hit(rule.rank, "m.pos", rule.prefix, rule.severity, title, "m.line", rule.pattern, evidence)
+    return f"CASE WHEN size({found}) > 0 THEN transform({placed}, m -> {hit}) END"
+
+
+def _shell_hits() -> str:
+    pattern = literal(searched(fixed.SHELL_EVAL))
+    lines = f"transform(split(text, {literal(LINE_BREAK)}, -1), l -> rlike(l, {pattern}))"
+    eval_hit = _hit(SHELL_RANKS[0], "0", "UC", "CRITICAL", _in_file("'shell eval on variable'"),
+                    f"greatest(array_position({lines}, true), 1)", "Shell eval injection", "'eval $...'")
+    tls_hit = _hit(SHELL_RANKS[1], "0", "UC", "MEDIUM", _in_file("'TLS verification disabled'"), "1",
+                   "Disabled TLS verification", "'curl -k / wget --no-check-certificate'")
+    return (f"CASE WHEN in_shell THEN array_compact(array(CASE WHEN rlike(text, {pattern}) THEN {eval_hit} END, "
+            f"CASE WHEN rlike(text, {literal(searched(fixed.SHELL_TLS_OFF))}) THEN {tls_hit} END)) END")
+
+
+def _requirement_hits() -> str:
     """Unpinned lines and near-miss package names, in line order."""
-    numbered = F.transform(lines_of(F.col("text")), lambda line, i: F.struct(
-        (i + 1).alias("line"), strip(line).alias("text")))
-    used = F.filter(numbered, lambda n: (n["text"] != "") & ~n["text"].startswith("#"))
-
-    def of_line(n: Column) -> Column:
-        text, line = n["text"], n["line"]
-        unpinned = ~text.contains("==") & ~text.rlike(searched(r"@\s*git\+"))
-        name = F.lower(F.element_at(F.split(text, r"(?U)[<>=!~\s]", 2), 1))
-        near = nearest_name(name, fixed.POPULAR_PACKAGES)["name"]
-        return F.array(
-            F.when(unpinned, _hit(REQUIREMENT_RANK, line * 2, "SC", "MEDIUM", _in_file("Unpinned dependency"),
-                                  line, "Unpinned dependency", cut(text, 80))),
-            F.when(near.isNotNull(), _hit(
-                REQUIREMENT_RANK, line * 2 + 1, "SC", "HIGH",
-                F.concat(F.lit("Possible typosquat: "), name, F.lit(" (close to "), near, F.lit(")")),
-                line, "Typosquat candidate", cut(text, 80))))
-
-    return F.when(F.lower(file_name(F.col("path"))) == "requirements.txt",
-                  F.array_compact(F.flatten(F.transform(used, of_line))))
-
-
-def _hook_hits() -> Column:
-    def hook(rank: int, name: str) -> Column:
-        value = F.get_json_object(F.col("text"), f"$.scripts.{name}")
-        evidence = F.concat(F.lit(f'"{name}": "'), cut(value, 60), F.lit('"'))
-        return F.when(value.isNotNull(), _hit(
-            rank, F.lit(0), "SC", "HIGH", _in_file(f"npm {name} hook"), F.lit(1), "Post-install hook", evidence))
-
-    hooks = F.array(hook(HOOK_RANKS[0], "preinstall"), hook(HOOK_RANKS[1], "postinstall"))
-    return F.when(_name_is("package.json"), F.array_compact(hooks))
-
-
-def _registry_hits(known: Sequence[str]) -> Column:
-    found = F.col("m121")
-    lines = match_lines(F.col("text"), REGISTRY_URL, found)
-    placed = F.transform(F.arrays_zip(found.alias("match"), lines.alias("line")), lambda m, i: F.struct(
-        i.alias("pos"), F.lower(F.regexp_extract(m["match"], r"https?://(?:[^@/\s]+@)?([^/\s:]+)", 1)).alias("host"),
-        m["line"].alias("line")))
-    unknown = F.filter(placed, lambda m: ~m["host"].isin(list(known)))
-    hits = F.transform(unknown, lambda m: _hit(
-        REGISTRY_RANK, m["pos"], "SC", "MEDIUM", _in_file("Unknown registry"), m["line"], "Unknown registry", m["host"]))
-    return F.when(F.size(found) > 0, hits)
+    numbered = (f"transform(split(text, {literal(LINE_BREAK)}, -1), (l, i) -> named_struct('line', i + 1, "
+                f"'text', regexp_replace(l, {literal(EDGE_SPACE)}, '')))")
+    used = f"filter({numbered}, u -> u.text != '' AND NOT startswith(u.text, '#'))"
+    start = literal(r"(?U)^[^<>=!~\s]*")
+    named = (f"transform({used}, u -> named_struct('line', u.line, 'text', u.text, "
+             f"'name', lower(regexp_extract(u.text, {start}, 0))))")
+    near = (f"transform({named}, u -> named_struct('line', u.line, 'text', u.text, 'name', u.name, "
+            f"'near', {nearest_name_sql('u.name', fixed.POPULAR_PACKAGES)}))")
+    git_url = literal(searched(r"@\s*git\+"))
+    unpinned = _hit(REQUIREMENT_RANK, "u.line * 2", "SC", "MEDIUM", _in_file("'Unpinned dependency'"), "u.line",
+                    "Unpinned dependency", "substring(u.text, 1, 80)")
+    squat = _hit(REQUIREMENT_RANK, "u.line * 2 + 1", "SC", "HIGH",
+                 "concat('Possible typosquat: ', u.name, ' (close to ', u.near, ')')", "u.line", "Typosquat candidate",
+                 "substring(u.text, 1, 80)")
+    return (f"CASE WHEN in_requirements THEN array_compact(flatten(transform({near}, u -> array("
+            f"CASE WHEN NOT contains(u.text, '==') AND NOT rlike(u.text, {git_url}) THEN {unpinned} END, "
+            f"CASE WHEN u.near IS NOT NULL THEN {squat} END)))) END")
+
+
+def _hook_hits() -> str:
+    def hook(rank: int, name: str) -> str:
+        value = f"get_json_object(text, '$.scripts.{name}')"
+        hit = _hit(rank, "0", "SC", "HIGH", _in_file(f"'npm {name} hook'"), "1", "Post-install hook",
+                   f"""concat('"{name}": "', substring({value}, 1, 60), '"')""")
+        return f"CASE WHEN {value} IS NOT NULL THEN {hit} END"
+
+    hooks = ", ".join(hook(rank, name) for rank, name in zip(HOOK_RANKS, ("preinstall", "postinstall")))
+    return f"CASE WHEN in_package THEN array_compact(array({hooks})) END"
 
 
 def _python_hits(files: DataFrame, ranks: Collection[int], allowed_hosts: Sequence[str]) -> DataFrame:
@@ -255,7 +248,7 @@ def _python_hits(files: DataFrame, ranks: Collection[int], allowed_hosts: Sequen
                              for pos, (host, line) in enumerate(outbound_hosts(text)) if host not in allowed]
             yield pd.DataFrame(rows, columns=HIT_COLUMNS)
 
-    python = files.filter(_applies("python") & F.col("text").isNotNull()).select("grp", "path", "text")
+    python = files.filter(_in_scope("python") & F.col("text").isNotNull()).select("grp", "path", "text")
     return python.mapInPandas(scan, HIT_SCHEMA)
 
 
@@ -269,25 +262,29 @@ def scan_files(files: DataFrame, ranks: Collection[int] = CORE_RANKS, extra_rule
                allowed_hosts: Sequence[str] = ()) -> DataFrame:
     """Hits of the chosen rules (by rank), unnumbered; ``CATALOG_RANKS`` adds the catalog rules."""
     rows = within_size(visible(files))
-    rules = [r for r in (*TEXT_RULES, *CATALOG_RULES) if r.rank in ranks] + list(extra_rules)
-    with_matches = {f"m{r.rank}": F.when(_applies(r.applies), matches(F.col("text"), r.regex)) for r in rules}
-    if REGISTRY_RANK in ranks:
-        with_matches["m121"] = F.when(_name_is(*MANIFESTS), matches(F.col("text"), REGISTRY_URL))
-    parts = [F.when(F.size(f"m{r.rank}") > 0, _rule_hits(r, F.col(f"m{r.rank}"))) for r in rules]
-    if REGISTRY_RANK in ranks:
-        parts.append(_registry_hits(known_registries))
-    if set(SHELL_RANKS) & set(ranks):
-        parts.append(_shell_hits())
-    if REQUIREMENT_RANK in ranks:
-        parts.append(_requirement_hits())
-    if set(HOOK_RANKS) & set(ranks):
-        parts.append(_hook_hits())
+    rules = [r for r in (*TEXT_RULES, *CATALOG_RULES, REGISTRY_RULE) if r.rank in ranks] + list(extra_rules)
+    parts = [_rule_hits(r, known_registries) for r in rules]
+    scopes = {}
+    for scope, scope_ranks, hits in (("shell", SHELL_RANKS, _shell_hits), ("package", HOOK_RANKS, _hook_hits),
+                                     ("requirements", (REQUIREMENT_RANK,), _requirement_hits)):
+        if set(scope_ranks) & set(ranks):
+            scopes[f"in_{scope}"] = _in_scope(scope)
+            parts.append(hits())
     branches = []
     if parts:
-        hits = F.flatten(F.array(*[F.coalesce(p.cast(HIT_ARRAY), F.array().cast(HIT_ARRAY)) for p in parts]))
+        text, lowered = F.col("text"), F.col("lowered")
+        found = {}
+        for rule in rules:
+            test = _in_scope(rule.scope)
+            if rule.words:
+                test = test & mentions(text, lowered, rule.words, rule.regex.startswith("(?i)"))
+            found[f"m{rule.rank}"] = F.when(test, F.expr(matches_sql("text", rule.regex)))
+        arrays = ", ".join(f"coalesce(CAST({p} AS {HIT_ARRAY}), CAST(array() AS {HIT_ARRAY}))" for p in parts)
         branches.append(
-            rows.select("grp", "path", "text", *[c.alias(n) for n, c in with_matches.items()])
-            .select("grp", "path", F.explode(hits).alias("hit")).select("grp", "path", "hit.*"))
+            rows.select("grp", "path", "text", F.lower("text").alias("lowered"))
+            .select("grp", "path", "text", *[c.alias(n) for n, c in {**found, **scopes}.items()])
+            .select("grp", "path", F.explode(F.expr(f"flatten(array({arrays}))")).alias("hit"))
+            .select("grp", "path", "hit.*"))
     if {PYTHON_RANK, OUTBOUND_RANK} & set(ranks):
         branches.append(_python_hits(rows, ranks, allowed_hosts))
     table = branches[0]
@@ -299,9 +296,10 @@ def scan_files(files: DataFrame, ranks: Collection[int] = CORE_RANKS, extra_rule
 def precheck_groups(groups: DataFrame, files: DataFrame, marker: str = fixed.MARKER_FILE) -> DataFrame:
     """Hits of groups whose marker file is missing, nearly empty or has a bad front matter."""
     marked = files.filter(F.col("path") == marker).select("grp", "text")
-    missing = groups.select("grp").join(marked, "grp", "left_anti").select("grp", F.array(_hit(
-        0, F.lit(0), "IQ", "CRITICAL", F.lit(f"Missing {marker}"), F.lit(None), f"Missing or empty {marker}",
-        F.lit("(file not found)"))).cast(HIT_ARRAY).alias("hits"))
+    gone = _hit(0, "0", "IQ", "CRITICAL", literal(f"Missing {marker}"), "NULL", f"Missing or empty {marker}",
+                "'(file not found)'")
+    missing = groups.select("grp").join(marked, "grp", "left_anti").select(
+        "grp", F.expr(f"CAST(array({gone}) AS {HIT_ARRAY})").alias("hits"))
     text = F.col("text")
     front_pattern = r"(?s)\A---\n(.*?)\n---\n"
     front = F.when(text.rlike(front_pattern), F.regexp_extract(text, front_pattern, 1))
@@ -316,7 +314,10 @@ def precheck_groups(groups: DataFrame, files: DataFrame, marker: str = fixed.MAR
 
     def check(pos: int, condition: Column, prefix: str, severity: str, title: str, line: int | None,
               pattern: str, evidence: Column) -> Column:
-        return F.when(condition, _hit(0, F.lit(pos), prefix, severity, F.lit(title), F.lit(line), pattern, evidence))
+        return F.when(condition, F.struct(
+            F.lit(0).alias("rank"), F.lit(pos).alias("pos"), F.lit(prefix).alias("prefix"),
+            F.lit(severity).alias("severity"), F.lit(title).alias("title"), F.lit(line).cast("int").alias("line"),
+            F.lit(pattern).alias("pattern"), evidence.alias("evidence")))
 
     malformed = "Missing or malformed frontmatter"
     checks = F.array(
