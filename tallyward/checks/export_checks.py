@@ -199,10 +199,10 @@ def with_existing(operator):
 
 
 register("o01_attachment_inventory",
-         lambda s, d: inv.attachment_inventory(attachments(s, d).drop("kind"), "OPPORTUNITY", parents(s, d)["OPPORTUNITY"]),
+         lambda s, d: inv.attachment_inventory(attachments(s, d).drop("kind"), {"OPPORTUNITY": parents(s, d)["OPPORTUNITY"]}),
          "SELECT * FROM a_inv WHERE parentType = 'OPPORTUNITY'", INVENTORY_CTES)
 register("o02_document_inventory",
-         lambda s, d: inv.document_inventory(links(s, d).drop("kind"), "CONTRACT", parents(s, d)["CONTRACT"]),
+         lambda s, d: inv.document_inventory(links(s, d).drop("kind"), {"CONTRACT": parents(s, d)["CONTRACT"]}),
          "SELECT * FROM d_inv WHERE parentType = 'CONTRACT'", INVENTORY_CTES)
 register("o03_g01_c09_full_inventory", full_inventory, "SELECT * FROM inv", INVENTORY_CTES)
 OPTIONS = x.ExportOptions(

@@ -187,10 +187,11 @@ def session_overlap(logins: DataFrame) -> DataFrame:
     A session spans its first to last row and has the address of its first row. Open
     sessions are counted by +1/-1 steps, of the user and of the user's same address.
     """
+    rows = logins.filter(
+        F.col("sessionKey").isNotNull() & F.col("loginTime").isNotNull() & F.col("sourceIp").isNotNull()
+    ).withColumn("at", micros(F.col("loginTime")))
     spans = (
-        logins.filter(F.col("sessionKey").isNotNull() & F.col("loginTime").isNotNull() & F.col("sourceIp").isNotNull())
-        .withColumn("at", micros(F.col("loginTime")))
-        .groupBy("userId", "sessionKey")
+        rows.groupBy("userId", "sessionKey")
         .agg(F.min(F.struct("at", "sourceIp")).alias("first"), F.max("at").alias("end"))
         .select("userId", "sessionKey", F.col("first.at").alias("at"), F.col("first.sourceIp").alias("sourceIp"), "end")
     )
@@ -200,8 +201,8 @@ def session_overlap(logins: DataFrame) -> DataFrame:
         F.struct((F.col("end") + 1).alias("at"), (-one).alias("open")))).alias("step")
     ).select("userId", "sourceIp", "step.at", "step.open")
 
-    def counted(rows: DataFrame, keys: list[str], alias: str) -> DataFrame:
-        return running_totals(rows, steps, keys, ["open"]).withColumnRenamed("running_open", alias)
+    def counted(probes: DataFrame, keys: list[str], alias: str) -> DataFrame:
+        return running_totals(probes, steps, keys, ["open"], occupied=rows).withColumnRenamed("running_open", alias)
 
     opened = counted(counted(spans, ["userId"], "ofUser"), ["userId", "sourceIp"], "ofAddress")
     return opened.filter(F.col("ofUser") > F.col("ofAddress")).select(

@@ -78,11 +78,12 @@ def with_previous(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def running_totals(probes: DataFrame, steps: DataFrame, keys: Sequence[str], values: Sequence[str],
-                   at: str = "at", width: int = MINUTE) -> DataFrame:
+                   at: str = "at", width: int = MINUTE, occupied: DataFrame | None = None) -> DataFrame:
     """Add ``running_<value>`` to each probe: the key's steps up to and including its instant.
 
     ``steps`` hold (keys, at, values). Inside a bucket, steps and probes are summed in time
     order; what earlier buckets leave over is one row per key and occupied bucket.
+    ``occupied`` may name a cheaper table with at least the (keys, at) of the probes.
     """
     def cut(df: DataFrame) -> DataFrame:
         return df.withColumns({"key": F.struct(*keys), "bucket": time_bucket(F.col(at), width)})
@@ -94,7 +95,7 @@ def running_totals(probes: DataFrame, steps: DataFrame, keys: Sequence[str], val
     before = W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         summed.select("key", "bucket", *values)
-        .unionByName(asked.select("key", "bucket").distinct().withColumns(zeros))
+        .unionByName(cut(probes if occupied is None else occupied).select("key", "bucket").distinct().withColumns(zeros))
         .groupBy("key", "bucket").agg(*[F.sum(v).alias(v) for v in values])
         .select("key", "bucket",
                 *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"offset_{v}") for v in values])

@@ -35,62 +35,57 @@ def read_error_report(spark: SparkSession, path: str, one_array: bool = False) -
     return spark.read.option("multiLine", one_array).schema(REPORT_SCHEMA).json(path)
 
 
-def _parent_columns(parent_type: str, parent_id: Column, parent: Column) -> list[Column]:
-    number = filled(parent.ContractNumber) if parent_type == "CONTRACT" else F.lit(None)
+def _parent_columns(parent_id: Column, parent: Column) -> list[Column]:
+    kind = F.col("parentType")
+    number = F.when(kind == "CONTRACT", filled(parent.ContractNumber))
     name = F.coalesce(filled(parent.Name), number, parent.Id, F.lit("UNKNOWN"))
-    if parent_type == "ACCOUNT":
-        account_id, account_name = parent_id, name
-    else:
-        account_id = F.coalesce(filled(parent.AccountId), parent.Account.Id)
-        account_name = parent.Account.Name
-    return [F.lit(parent_type).alias("parentType"), parent_id.alias("parentId"), name.alias("parentName"),
-            account_id.alias("accountId"), account_name.alias("accountName")]
+    own = kind == "ACCOUNT"
+    account_id = F.when(own, parent_id).otherwise(F.coalesce(filled(parent.AccountId), parent.Account.Id))
+    account_name = F.when(own, name).otherwise(parent.Account.Name)
+    return [kind, parent_id.alias("parentId"), name.alias("parentName"), account_id.alias("accountId"),
+            account_name.alias("accountName")]
 
 
-def _of_parents(rows: DataFrame, column: str, parents: DataFrame | None) -> DataFrame:
-    if parents is None:
-        return rows
-    ids = parents.select(F.col("Id").alias("knownId"))
-    return rows.join(ids, F.col(column) == F.col("knownId"), "left_semi")
+def _of_parents(rows: DataFrame, column: str, parents: dict[str, DataFrame]) -> DataFrame:
+    """Rows whose parent is in one of the tables, with its type; all types in one join."""
+    ids = reduce(DataFrame.unionByName, [
+        table.select(F.col("Id").alias("knownId"), F.lit(kind).alias("parentType")) for kind, table in parents.items()])
+    known = ids.repartition("knownId").distinct()
+    return rows.join(known, F.col(column) == F.col("knownId")).drop("knownId")
 
 
-def attachment_inventory(attachments: DataFrame, parent_type: str, parents: DataFrame | None = None) -> DataFrame:
-    """Attachments of one parent type; rows without id or parent are dropped."""
+def attachment_inventory(attachments: DataFrame, parents: dict[str, DataFrame]) -> DataFrame:
+    """Attachments of the given parent types; rows without id or parent are dropped."""
     rows = attachments.filter(
         ~is_blank(F.col("Id")) & ~is_blank(F.col("ParentId")) & F.col("Parent").isNotNull())
     base, extension = base_and_extension(F.coalesce("Name", F.lit("file")))
     return _of_parents(rows, "ParentId", parents).select(
-        *_parent_columns(parent_type, F.col("ParentId"), F.col("Parent")),
+        *_parent_columns(F.col("ParentId"), F.col("Parent")),
         F.col("Id").alias("downloadId"), F.col("Id").alias("namingId"),
         base.alias("baseName"), extension.alias("extension"),
         parse_offset_time(F.col("LastModifiedDate")).alias("lastModified"),
         parse_offset_time(F.col("CreatedDate")).alias("created"))
 
 
-def document_inventory(links: DataFrame, parent_type: str, parents: DataFrame | None = None) -> DataFrame:
+def document_inventory(links: DataFrame, parents: dict[str, DataFrame]) -> DataFrame:
     """Latest published versions of linked documents; version dates come before document dates."""
     document, version = F.col("ContentDocument"), F.col("ContentDocument.LatestPublishedVersion")
     rows = links.filter(
         document.isNotNull() & ~is_blank(F.col("ContentDocumentId"))
         & ~is_blank(document.LatestPublishedVersionId) & version.isNotNull()
         & ~is_blank(F.col("LinkedEntityId")) & F.col("LinkedEntity").isNotNull())
-    extension = filled(version.FileExtension)
 
     def date(name: str) -> Column:
         return F.coalesce(parse_offset_time(version[name]), parse_offset_time(document[name]))
 
     return _of_parents(rows, "LinkedEntityId", parents).select(
-        *_parent_columns(parent_type, F.col("LinkedEntityId"), F.col("LinkedEntity")),
+        *_parent_columns(F.col("LinkedEntityId"), F.col("LinkedEntity")),
         document.LatestPublishedVersionId.alias("downloadId"), F.col("ContentDocumentId").alias("namingId"),
         F.coalesce(version.Title, F.lit("file")).alias("baseName"),
-        F.when(extension.isNull(), "").otherwise(F.concat(F.lit("."), extension)).alias("extension"),
+        F.coalesce(F.concat(F.lit("."), filled(version.FileExtension)), F.lit("")).alias("extension"),
         date("LastModifiedDate").alias("lastModified"), date("CreatedDate").alias("created"))
 
 
 def file_inventory(attachments: DataFrame, links: DataFrame, parents: dict[str, DataFrame]) -> DataFrame:
     """All attachments and documents of the given parent types (type to its table of ids)."""
-    parts = []
-    for parent_type, table in parents.items():
-        parts.append(attachment_inventory(attachments, parent_type, table))
-        parts.append(document_inventory(links, parent_type, table))
-    return reduce(DataFrame.unionByName, parts)
+    return attachment_inventory(attachments, parents).unionByName(document_inventory(links, parents))
