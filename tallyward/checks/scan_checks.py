@@ -10,7 +10,7 @@ from tallyward.functions.text import newlines, shannon_entropy_sql
 from tallyward.operators import scanning as sc
 from tallyward.operators.ordered import numbered_within
 from tallyward.session import new_path
-from tallyward.sources.files import changed_groups
+from tallyward.sources.files import changed_groups, read_files
 from tallyward.sources.sinks import write_json_lines
 
 CALLS: dict = {}
@@ -366,3 +366,18 @@ register("e08_numbering_of_hot_groups",
          .select("l_returnflag", "l_orderkey", "l_linenumber", F.col("seq").cast("long").alias("seq")),
          """SELECT l_returnflag, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag
               ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq FROM lineitem""")
+
+
+def files_on_disk(spark, sf_dir):
+    """Texts written as one line each below a folder per source, read back as whole files."""
+    root = new_path(spark, "tree")
+    lines = table(spark, sf_dir, "documents").select("source", F.regexp_replace("text", r"[\n\r]", " ").alias("value"))
+    lines.write.partitionBy("source").text(root)
+    found = read_files(spark, root, max_bytes=(1 << 31) - 1)
+    return found.groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("folder")).agg(
+        F.sum(newlines(F.col("text"))).alias("lines"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+register("n01_read_files", files_on_disk,
+         """SELECT 'source=' || source AS folder, CAST(count(*) AS BIGINT) AS lines,
+              CAST(sum(length(text)) + count(*) AS BIGINT) AS chars FROM documents GROUP BY source""")
