@@ -62,7 +62,7 @@ def with_previous(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
     on (key, bucket) keeps the partitioning of the window.
     """
     cut = rows.withColumns({"key": F.struct(*keys), "bucket": time_bucket(F.col(at), width)}).drop(*keys)
-    in_bucket = W.partitionBy("key", "bucket").orderBy(*order)
+    in_bucket = W.partitionBy("bucket", "key").orderBy(*order)
     before = F.struct(*[F.lag(c).over(in_bucket).alias(c) for c in carry])
     marked = cut.withColumns({
         "local": F.when(F.lag(at).over(in_bucket).isNotNull(), before), "next_at": F.lead(at).over(in_bucket)})
@@ -71,7 +71,7 @@ def with_previous(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
         .select("key", "bucket", F.lag(F.struct(*carry)).over(W.partitionBy("key").orderBy("bucket")).alias("carried"))
     )
     return (
-        marked.join(tails, ["key", "bucket"])
+        marked.join(tails, ["bucket", "key"])
         .withColumns({**{k: F.col(f"key.{k}") for k in keys}, "previous": F.coalesce("local", "carried")})
         .drop("local", "carried", "next_at", "bucket", "key")
     )
@@ -89,9 +89,9 @@ def running_totals(probes: DataFrame, steps: DataFrame, keys: Sequence[str], val
         return df.withColumns({"key": F.struct(*keys), "bucket": time_bucket(F.col(at), width)})
 
     zeros = {v: F.lit(0).cast("long") for v in values}
-    summed = cut(steps).groupBy("key", "bucket", at).agg(*[F.sum(v).cast("long").alias(v) for v in values])
+    summed = cut(steps).groupBy("bucket", "key", at).agg(*[F.sum(v).cast("long").alias(v) for v in values])
     asked = cut(probes)
-    in_bucket = W.partitionBy("key", "bucket").orderBy(at).rangeBetween(W.unboundedPreceding, W.currentRow)
+    in_bucket = W.partitionBy("bucket", "key").orderBy(at).rangeBetween(W.unboundedPreceding, W.currentRow)
     before = W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         summed.select("key", "bucket", *values)
@@ -107,7 +107,7 @@ def running_totals(probes: DataFrame, steps: DataFrame, keys: Sequence[str], val
         .filter("is_probe")
     )
     return (
-        local.join(offsets, ["key", "bucket"])
+        local.join(offsets, ["bucket", "key"])
         .withColumns({f"running_{v}": F.col(f"local_{v}") + F.col(f"offset_{v}") for v in values})
         .drop("key", "bucket", "is_probe", *values, *[f"local_{v}" for v in values], *[f"offset_{v}" for v in values])
     )
@@ -118,10 +118,10 @@ def running_peak(steps: DataFrame, keys: Sequence[str], value: str, alias: str,
     """Highest running sum of ``value`` per key."""
     summed = (
         steps.withColumn("bucket", time_bucket(F.col(at), width))
-        .groupBy(*keys, "bucket", at).agg(F.sum(value).alias("step"))
+        .groupBy("bucket", *keys, at).agg(F.sum(value).alias("step"))
     )
     in_bucket = (
-        W.partitionBy(*keys, "bucket").orderBy(at)
+        W.partitionBy("bucket", *keys).orderBy(at)
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     before = (
