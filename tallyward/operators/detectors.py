@@ -32,19 +32,18 @@ MAX_DAYS = 365 * 50
 def country_switches(logins: DataFrame, keep_unknown: bool) -> DataFrame:
     """Successful logins whose country differs from that of the user's login before.
 
-    Logins at one instant are ordered by country, then address. Equal logins cannot
-    switch, so copies are dropped before the shuffle.
+    Logins at one instant are ordered by country, then address.
     """
     rows = logins.filter(is_success() & F.col("loginTime").isNotNull())
     if not keep_unknown:
         rows = rows.filter(F.col("countryIso").isNotNull())
     ip = F.col("sourceIp") if "sourceIp" in logins.columns else F.lit(None).cast("string")
-    distinct = rows.select(
-        "userId", micros(F.col("loginTime")).alias("at"), "countryIso", ip.alias("sourceIp")).distinct()
+    shown = rows.select(
+        "userId", micros(F.col("loginTime")).alias("at"), "countryIso", ip.alias("sourceIp"))
     order = ["at", "countryIso", "sourceIp"]
     previous = F.col("previous")
     return (
-        with_previous(distinct, ["userId"], order, order)
+        with_previous(shown, ["userId"], order, order)
         .filter(previous.countryIso.isNotNull() & (previous.countryIso != F.col("countryIso")))
         .select(
             "userId",
@@ -154,8 +153,10 @@ def brute_force(logins: DataFrame, min_failures: int = 10, window_minutes: float
     failed = logins.filter(is_failure() & F.col(group_by).isNotNull()).select(
         group_by, F.col(member).alias("member"), micros_or_last(F.col("loginTime")).alias("at"))
     ones = failed.withColumn("n", F.lit(1).cast("long"))
-    failures = running_peak(trailing_steps(ones, [group_by], window, ["n"]), [group_by], "n", "peakFailuresInWindow")
-    members = running_peak(_member_steps(failed, group_by, "member", window), [group_by], "n", "uniqueUsersTargeted")
+    failures = running_peak(trailing_steps(ones, [group_by], window, ["n"]), [group_by], "n", "peakFailuresInWindow",
+                            activity=failed)
+    members = running_peak(_member_steps(failed, group_by, "member", window), [group_by], "n", "uniqueUsersTargeted",
+                           activity=failed)
     real = F.when(F.col("at") != NO_TIME, F.col("at"))
     totals = failed.groupBy(group_by).agg(
         F.count(F.lit(1)).alias("totalFailures"),
@@ -185,7 +186,7 @@ def prior_failures(logins: DataFrame, key: Sequence[str], failed: Column, window
         .agg(F.count(F.lit(1)).alias("copies"))
     )
     return (
-        running_totals(probes, steps, key, ["fails", "seen"])
+        running_totals(probes, steps, key, ["fails", "seen"], activity=rows)
         .filter((F.col("running_seen") > 0) & (F.col("running_fails") >= least))
         .select(*key, "at", *payload, "copies", F.col("running_fails").alias("failures"))
     )

@@ -202,7 +202,7 @@ def session_overlap(logins: DataFrame) -> DataFrame:
     ).select("userId", "sourceIp", "step.at", "step.open")
 
     def counted(probes: DataFrame, keys: list[str], alias: str) -> DataFrame:
-        return running_totals(probes, steps, keys, ["open"], occupied=rows).withColumnRenamed("running_open", alias)
+        return running_totals(probes, steps, keys, ["open"], activity=rows).withColumnRenamed("running_open", alias)
 
     opened = counted(counted(spans, ["userId"], "ofUser"), ["userId", "sourceIp"], "ofAddress")
     return opened.filter(F.col("ofUser") > F.col("ofAddress")).select(

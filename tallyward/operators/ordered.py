@@ -1,10 +1,11 @@
 """Time-ordered work per key that stays even when one key holds most of the rows.
 
-A window over a whole key would put a busy user or address into one task. Here
-every key is cut into time buckets: the window runs per (key, bucket), and only
-one small row per bucket travels on to the per-key step. Callers group their rows
-to distinct instants first, so copies collapse before the shuffle and a bucket of
-one minute cannot hold more than its distinct instants.
+A window over a whole key is right for a key of moderate size. A busy user or address
+with more than ``HOT_ROWS`` rows would be one huge task, so its rows are cut into time
+buckets: the window runs per (bucket, key), and one small row per bucket carries on to
+the next. Which keys are busy is counted first (with map-side sums) and broadcast: they
+are at most all rows divided by ``HOT_ROWS``. Rows of busy keys are grouped to distinct
+instants before the shuffle, so copies collapse.
 
 Instants are microseconds (``long``). ``NO_TIME`` stands for a missing time; it
 sorts after every real instant.
@@ -23,6 +24,8 @@ MINUTE = 60 * SECOND
 HOUR = 60 * MINUTE
 DAY = 24 * HOUR
 NO_TIME = 1 << 61
+WHOLE_KEY = -(1 << 62)
+HOT_ROWS = 1_000_000
 
 
 def micros(time: Column) -> Column:
@@ -53,52 +56,86 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
     return joined.drop(*[f"{key}__right" for key in keys])
 
 
+def busy_keys(rows: DataFrame) -> DataFrame:
+    """Keys with more than ``HOT_ROWS`` rows; few enough to broadcast."""
+    return (
+        rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_ROWS)
+        .select("key", F.lit(True).alias("busy"))
+    )
+
+
+def keyed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys as one struct ``key``, which is never NULL even where a key is."""
+    return rows.withColumn("key", F.struct(*keys)).drop(*keys)
+
+
+def with_buckets(rows: DataFrame, busy: DataFrame, at: str, width: int) -> DataFrame:
+    """Add ``bucket``: a time bucket for busy keys, one bucket for a key otherwise."""
+    bucket = F.when(F.col("busy"), time_bucket(F.col(at), width)).otherwise(WHOLE_KEY)
+    return (
+        rows.join(F.broadcast(busy), "key", "left")
+        .withColumn("bucket", F.coalesce(bucket, F.lit(WHOLE_KEY))).drop("busy")
+    )
+
+
 def with_previous(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
                   carry: Sequence[str], at: str = "at", width: int = MINUTE) -> DataFrame:
     """Add ``previous``, the ``carry`` columns of the row before in (key, order).
 
-    ``order`` starts with ``at``; NULLs sort first. The last row of each bucket is handed
-    to the key's next bucket. Keys travel as one struct, which is never NULL, so the join
-    on (key, bucket) keeps the partitioning of the window.
+    ``order`` starts with ``at``; NULLs sort first. Equal rows of a busy key become one.
     """
-    cut = rows.withColumns({"key": F.struct(*keys), "bucket": time_bucket(F.col(at), width)}).drop(*keys)
+    all_rows = keyed(rows, keys)
+    busy = busy_keys(all_rows)
+    plain = all_rows.join(F.broadcast(busy), "key", "left_anti").withColumn("bucket", F.lit(WHOLE_KEY))
+    cut = (
+        all_rows.join(F.broadcast(busy), "key", "left_semi").distinct()
+        .withColumn("bucket", time_bucket(F.col(at), width))
+    )
     in_bucket = W.partitionBy("bucket", "key").orderBy(*order)
     before = F.struct(*[F.lag(c).over(in_bucket).alias(c) for c in carry])
-    marked = cut.withColumns({
-        "local": F.when(F.lag(at).over(in_bucket).isNotNull(), before), "next_at": F.lead(at).over(in_bucket)})
     tails = (
-        marked.filter(F.col("next_at").isNull())
-        .select("key", "bucket", F.lag(F.struct(*carry)).over(W.partitionBy("key").orderBy("bucket")).alias("carried"))
+        cut.groupBy("key", "bucket").agg(F.max_by(F.struct(*carry), F.struct(*order)).alias("tail"))
+        .select("key", "bucket", F.lag("tail").over(W.partitionBy("key").orderBy("bucket")).alias("carried"))
     )
+    local = F.when(F.lag(at).over(in_bucket).isNotNull(), before)
     return (
-        marked.join(tails, ["bucket", "key"])
+        plain.unionByName(cut).withColumn("local", local)
+        .join(tails, ["bucket", "key"], "left")
         .withColumns({**{k: F.col(f"key.{k}") for k in keys}, "previous": F.coalesce("local", "carried")})
-        .drop("local", "carried", "next_at", "bucket", "key")
+        .drop("local", "carried", "bucket", "key")
     )
 
 
 def running_totals(probes: DataFrame, steps: DataFrame, keys: Sequence[str], values: Sequence[str],
-                   at: str = "at", width: int = MINUTE, occupied: DataFrame | None = None) -> DataFrame:
+                   at: str = "at", width: int = MINUTE, activity: DataFrame | None = None) -> DataFrame:
     """Add ``running_<value>`` to each probe: the key's steps up to and including its instant.
 
     ``steps`` hold (keys, at, values). Inside a bucket, steps and probes are summed in time
-    order; what earlier buckets leave over is one row per key and occupied bucket.
-    ``occupied`` may name a cheaper table with at least the (keys, at) of the probes.
+    order; what earlier buckets of a busy key leave over is one row per occupied bucket.
+    ``activity`` may name a cheaper table with at least the (keys, at) of the probes; busy
+    keys are counted there.
     """
-    def cut(df: DataFrame) -> DataFrame:
-        return df.withColumns({"key": F.struct(*keys), "bucket": time_bucket(F.col(at), width)})
-
+    if activity is None:
+        activity = probes.select(*keys, at).unionByName(steps.select(*keys, at))
+    active = keyed(activity.select(*keys, at), keys)
+    busy = busy_keys(active)
     zeros = {v: F.lit(0).cast("long") for v in values}
-    summed = cut(steps).groupBy("bucket", "key", at).agg(*[F.sum(v).cast("long").alias(v) for v in values])
-    asked = cut(probes)
+    summed = (
+        with_buckets(keyed(steps, keys), busy, at, width)
+        .groupBy("bucket", "key", at).agg(*[F.sum(v).cast("long").alias(v) for v in values])
+    )
+    asked = with_buckets(keyed(probes, keys), busy, at, width)
     in_bucket = W.partitionBy("bucket", "key").orderBy(at).rangeBetween(W.unboundedPreceding, W.currentRow)
     before = W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    occupied = (
+        active.join(F.broadcast(busy), "key", "left_semi")
+        .select("key", time_bucket(F.col(at), width).alias("bucket")).distinct()
+    )
     offsets = (
-        summed.select("key", "bucket", *values)
-        .unionByName(cut(probes if occupied is None else occupied).select("key", "bucket").distinct().withColumns(zeros))
+        summed.filter(F.col("bucket") != WHOLE_KEY).select("key", "bucket", *values)
+        .unionByName(occupied.withColumns(zeros))
         .groupBy("key", "bucket").agg(*[F.sum(v).alias(v) for v in values])
-        .select("key", "bucket",
-                *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"offset_{v}") for v in values])
+        .select("key", "bucket", *[F.sum(v).over(before).alias(f"offset_{v}") for v in values])
     )
     local = (
         asked.withColumns({**zeros, "is_probe": F.lit(True)})
@@ -107,34 +144,36 @@ def running_totals(probes: DataFrame, steps: DataFrame, keys: Sequence[str], val
         .filter("is_probe")
     )
     return (
-        local.join(offsets, ["bucket", "key"])
-        .withColumns({f"running_{v}": F.col(f"local_{v}") + F.col(f"offset_{v}") for v in values})
+        local.join(offsets, ["bucket", "key"], "left")
+        .withColumns({**{k: F.col(f"key.{k}") for k in keys},
+                      **{f"running_{v}": F.col(f"local_{v}") + F.coalesce(f"offset_{v}", F.lit(0)) for v in values}})
         .drop("key", "bucket", "is_probe", *values, *[f"local_{v}" for v in values], *[f"offset_{v}" for v in values])
     )
 
 
 def running_peak(steps: DataFrame, keys: Sequence[str], value: str, alias: str,
-                 at: str = "at", width: int = MINUTE) -> DataFrame:
-    """Highest running sum of ``value`` per key."""
+                 at: str = "at", width: int = MINUTE, activity: DataFrame | None = None) -> DataFrame:
+    """Highest running sum of ``value`` per key. Busy keys are counted in ``activity`` if given."""
+    busy = busy_keys(keyed((steps if activity is None else activity).select(*keys), keys))
     summed = (
-        steps.withColumn("bucket", time_bucket(F.col(at), width))
-        .groupBy("bucket", *keys, at).agg(F.sum(value).alias("step"))
+        with_buckets(keyed(steps, keys), busy, at, width)
+        .groupBy("bucket", "key", at).agg(F.sum(value).alias("step"))
     )
     in_bucket = (
-        W.partitionBy("bucket", *keys).orderBy(at)
+        W.partitionBy("bucket", "key").orderBy(at)
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    before = (
-        W.partitionBy(*keys).orderBy("bucket")
-        .rowsBetween(W.unboundedPreceding, -1)
-    )
+    before = W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     per_bucket = (
         summed.withColumn("local", F.sum("step").over(in_bucket))
-        .groupBy(*keys, "bucket")
+        .groupBy("bucket", "key")
         .agg(F.max("local").alias("high"), F.sum("step").alias("total"))
         .withColumn("offset", F.coalesce(F.sum("total").over(before), F.lit(0)))
     )
-    return per_bucket.groupBy(*keys).agg(F.max(F.col("high") + F.col("offset")).alias(alias))
+    return (
+        per_bucket.groupBy("key").agg(F.max(F.col("high") + F.col("offset")).alias(alias))
+        .select(*[F.col(f"key.{k}") for k in keys], alias)
+    )
 
 
 def numbered_within(rows: DataFrame, keys: Sequence[str], order: Sequence[str],

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyward.operators import detectors as d
+from tallyward.operators import detectors as d, ordered
 from tallyward.operators import hunts as h
 from tallyward.operators.ordered import numbered_within, running_peak, running_totals, with_previous
 from tallyward.plans.detect import run_detectors, write_all
@@ -162,6 +162,12 @@ def test_runner(table, tmp_path):
         run_detectors(table([row()]), ["nothing"])
 
 
+@pytest.fixture(autouse=True, params=[1_000_000, 2], ids=["whole keys", "busy keys"])
+def hot_limit(request, monkeypatch):
+    """Every test runs with all keys whole and with nearly all keys cut into buckets."""
+    monkeypatch.setattr(ordered, "HOT_ROWS", request.param)
+
+
 def lopsided(n=3000, seed=5):
     """Half the rows belong to one user and address, many at one instant, some without a time."""
     rng = random.Random(seed)
