@@ -88,7 +88,7 @@ over_logins(
         F.countDistinct("sourceIp").alias("ips"), F.min("loginTime").alias("first"), F.max("loginTime").alias("last"),
         F.count_if(F.col("networkId").isNotNull()).alias("community"),
         F.round(F.avg(F.when(F.col("countryIso") == "US", 1.0).otherwise(0.0)) * 100, 6).alias("usPct"),
-        F.array_join(F.array_sort(F.collect_set("countryIso")), ",").alias("countries"),
+        fl.distinct_list("countryIso", ",").alias("countries"),
         F.min("username").alias("anyName")),
     """SELECT status, loginSubType, count(*) AS n, count(DISTINCT userId) AS users, count(DISTINCT sourceIp) AS ips,
          min(loginTime) AS first, max(loginTime) AS last, count(networkId) AS community,

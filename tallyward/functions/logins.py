@@ -61,6 +61,12 @@ def mask_ip(ip: Column) -> Column:
     return F.regexp_replace(ip, r"\.\d+$", ".xxx")
 
 
+def distinct_list(column: str, separator: str) -> Column:
+    """Sorted distinct values joined by a separator; NULL where there are none."""
+    values = F.collect_set(column)
+    return F.when(F.size(values) > 0, F.array_join(F.array_sort(values), separator))
+
+
 def has_columns(df: DataFrame, *names: str) -> bool:
     return set(names) <= set(df.columns)
 

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from tallyward.fixed import API_SUBTYPES, INTEGRATION_WORDS
 from tallyward.functions.geo import with_distance
 from tallyward.functions.logins import (
-    has_columns, is_api_subtype, is_failure, is_integration, is_success, user_column, weak_tls,
+    distinct_list, has_columns, is_api_subtype, is_failure, is_integration, is_success, user_column, weak_tls,
 )
 from tallyward.functions.times import (
     MICROS_PER_DAY, MICROS_PER_HOUR, MICROS_PER_MINUTE, days_between, hours_between, minutes_between,
@@ -181,10 +181,7 @@ def prior_failures(logins: DataFrame, key: Sequence[str], failed: Column, window
     counted = (rows if least <= 0 else rows.filter(failed)).select(
         *key, "at", F.when(failed, 1).otherwise(0).cast("long").alias("fails"), F.lit(1).cast("long").alias("seen"))
     steps = trailing_steps(counted, key, window, ["fails", "seen"], delay=SECOND)
-    probes = (
-        rows.filter(is_success()).groupBy(*key, "at", *payload)
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
+    probes = rows.filter(is_success()).select(*key, "at", *[c for c in payload if c not in key])
     return (
         running_totals(probes, steps, key, ["fails", "seen"], activity=rows)
         .filter((F.col("running_seen") > 0) & (F.col("running_fails") >= least))
@@ -240,7 +237,7 @@ def new_country(logins: DataFrame, lookback_days: float = 90) -> DataFrame:
             "userId string, loginTime timestamp, newCountry string, knownCountries string, sourceIp string"))
     history, _ = country_history(logins, lookback_days)
     known = history.filter(F.col("known") & F.col("userId").isNotNull()).groupBy("userId").agg(
-        F.array_join(F.array_sort(F.collect_set("countryIso")), ",").alias("knownCountries"))
+        distinct_list("countryIso", ",").alias("knownCountries"))
     return (
         history.filter(~F.col("known") & F.col("loginTime").isNotNull())
         .join(known, "userId")

@@ -97,7 +97,7 @@ def failed_then_success_new_ip(logins: DataFrame, min_prior_failures: int = 3,
     hits = prior_failures(logins, [user], is_failure(), window, min_prior_failures, ["sourceIp"])
     same_ip = (
         prior_failures(logins, [user, "sourceIp"], is_failure(), window, 1, [])
-        .select(user, "sourceIp", "at", F.lit(True).alias("seenIp"))
+        .select(user, "sourceIp", "at", F.lit(True).alias("seenIp")).distinct()
     )
     marked = join_null_safe(hits, same_ip, [user, "sourceIp", "at"], "left")
     return repeat_rows(
@@ -202,7 +202,8 @@ def session_overlap(logins: DataFrame) -> DataFrame:
     ).select("userId", "sourceIp", "step.at", "step.open")
 
     def counted(probes: DataFrame, keys: list[str], alias: str) -> DataFrame:
-        return running_totals(probes, steps, keys, ["open"], activity=rows).withColumnRenamed("running_open", alias)
+        return running_totals(probes, steps, keys, ["open"], activity=rows).withColumnRenamed(
+            "running_open", alias).drop("copies")
 
     opened = counted(counted(spans, ["userId"], "ofUser"), ["userId", "sourceIp"], "ofAddress")
     return opened.filter(F.col("ofUser") > F.col("ofAddress")).select(

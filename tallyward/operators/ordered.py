@@ -69,13 +69,11 @@ def keyed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.withColumn("key", F.struct(*keys)).drop(*keys)
 
 
-def with_buckets(rows: DataFrame, busy: DataFrame, at: str, width: int) -> DataFrame:
-    """Add ``bucket``: a time bucket for busy keys, one bucket for a key otherwise."""
-    bucket = F.when(F.col("busy"), time_bucket(F.col(at), width)).otherwise(WHOLE_KEY)
-    return (
-        rows.join(F.broadcast(busy), "key", "left")
-        .withColumn("bucket", F.coalesce(bucket, F.lit(WHOLE_KEY))).drop("busy")
-    )
+def split_busy(rows: DataFrame, busy: DataFrame, at: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary keys in one bucket per key, and rows of busy keys in time buckets."""
+    plain = rows.join(F.broadcast(busy), "key", "left_anti").withColumn("bucket", F.lit(WHOLE_KEY))
+    cut = rows.join(F.broadcast(busy), "key", "left_semi").withColumn("bucket", time_bucket(F.col(at), width))
+    return plain, cut
 
 
 def with_previous(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -86,11 +84,8 @@ def with_previous(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
     """
     all_rows = keyed(rows, keys)
     busy = busy_keys(all_rows)
-    plain = all_rows.join(F.broadcast(busy), "key", "left_anti").withColumn("bucket", F.lit(WHOLE_KEY))
-    cut = (
-        all_rows.join(F.broadcast(busy), "key", "left_semi").distinct()
-        .withColumn("bucket", time_bucket(F.col(at), width))
-    )
+    plain, cut = split_busy(all_rows, busy, at, width)
+    cut = cut.distinct()
     in_bucket = W.partitionBy("bucket", "key").orderBy(*order)
     before = F.struct(*[F.lag(c).over(in_bucket).alias(c) for c in carry])
     tails = (
@@ -110,6 +105,8 @@ def running_totals(probes: DataFrame, steps: DataFrame, keys: Sequence[str], val
                    at: str = "at", width: int = MINUTE, activity: DataFrame | None = None) -> DataFrame:
     """Add ``running_<value>`` to each probe: the key's steps up to and including its instant.
 
+    Equal probes of a busy key become one row; ``copies`` counts them.
+
     ``steps`` hold (keys, at, values). Inside a bucket, steps and probes are summed in time
     order; what earlier buckets of a busy key leave over is one row per occupied bucket.
     ``activity`` may name a cheaper table with at least the (keys, at) of the probes; busy
@@ -120,11 +117,13 @@ def running_totals(probes: DataFrame, steps: DataFrame, keys: Sequence[str], val
     active = keyed(activity.select(*keys, at), keys)
     busy = busy_keys(active)
     zeros = {v: F.lit(0).cast("long") for v in values}
-    summed = (
-        with_buckets(keyed(steps, keys), busy, at, width)
-        .groupBy("bucket", "key", at).agg(*[F.sum(v).cast("long").alias(v) for v in values])
-    )
-    asked = with_buckets(keyed(probes, keys), busy, at, width)
+    one = F.lit(1).cast("long")
+    plain_steps, cut_steps = split_busy(keyed(steps, keys), busy, at, width)
+    cut_steps = cut_steps.groupBy("bucket", "key", at).agg(*[F.sum(v).cast("long").alias(v) for v in values])
+    plain_probes, cut_probes = split_busy(keyed(probes, keys), busy, at, width)
+    cut_probes = cut_probes.groupBy(*cut_probes.columns).agg(F.count(F.lit(1)).alias("copies"))
+    asked = plain_probes.withColumn("copies", one).unionByName(cut_probes)
+    all_steps = plain_steps.select("bucket", "key", at, *values).unionByName(cut_steps)
     in_bucket = W.partitionBy("bucket", "key").orderBy(at).rangeBetween(W.unboundedPreceding, W.currentRow)
     before = W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     occupied = (
@@ -132,14 +131,14 @@ def running_totals(probes: DataFrame, steps: DataFrame, keys: Sequence[str], val
         .select("key", time_bucket(F.col(at), width).alias("bucket")).distinct()
     )
     offsets = (
-        summed.filter(F.col("bucket") != WHOLE_KEY).select("key", "bucket", *values)
+        cut_steps.select("key", "bucket", *values)
         .unionByName(occupied.withColumns(zeros))
         .groupBy("key", "bucket").agg(*[F.sum(v).alias(v) for v in values])
         .select("key", "bucket", *[F.sum(v).over(before).alias(f"offset_{v}") for v in values])
     )
     local = (
         asked.withColumns({**zeros, "is_probe": F.lit(True)})
-        .unionByName(summed, allowMissingColumns=True)
+        .unionByName(all_steps, allowMissingColumns=True)
         .withColumns({f"local_{v}": F.sum(v).over(in_bucket) for v in values})
         .filter("is_probe")
     )
@@ -155,13 +154,12 @@ def running_peak(steps: DataFrame, keys: Sequence[str], value: str, alias: str,
                  at: str = "at", width: int = MINUTE, activity: DataFrame | None = None) -> DataFrame:
     """Highest running sum of ``value`` per key. Busy keys are counted in ``activity`` if given."""
     busy = busy_keys(keyed((steps if activity is None else activity).select(*keys), keys))
-    summed = (
-        with_buckets(keyed(steps, keys), busy, at, width)
-        .groupBy("bucket", "key", at).agg(F.sum(value).alias("step"))
-    )
+    plain, cut = split_busy(keyed(steps, keys), busy, at, width)
+    cut = cut.groupBy("bucket", "key", at).agg(F.sum(value).alias("step"))
+    summed = plain.select("bucket", "key", at, F.col(value).alias("step")).unionByName(cut)
     in_bucket = (
         W.partitionBy("bucket", "key").orderBy(at)
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
+        .rangeBetween(W.unboundedPreceding, W.currentRow)
     )
     before = W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     per_bucket = (

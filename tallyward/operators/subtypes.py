@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.fixed import INTEGRATION_WORDS
-from tallyward.functions.logins import is_success, likely_human
+from tallyward.functions.logins import distinct_list, is_success, likely_human
 
 
 def matching(logins: DataFrame, subtypes: Sequence[str]) -> DataFrame:
@@ -35,7 +35,7 @@ def user_summary(logins: DataFrame, subtypes: Sequence[str],
         parts.append(F.countDistinct("sourceIp").alias("uniqueIps"))
     if "countryIso" in present:
         parts.append(F.countDistinct("countryIso").alias("uniqueCountries"))
-    parts.append(F.array_join(F.array_sort(F.collect_set("loginSubType")), ", ").alias("subtypesUsed"))
+    parts.append(distinct_list("loginSubType", ", ").alias("subtypesUsed"))
     summary = rows.groupBy(key).agg(*parts).withColumn(
         "successRatePct", F.bround(F.col("successLogins") / F.col("logins") * 100, 2))
     if "username" not in present:

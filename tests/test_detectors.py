@@ -85,6 +85,7 @@ def test_failed_then_success_edges(table):
     found = sorted((r.userId, r.successTime, r.priorFailures) for r in d.failed_then_success(table(rows)).collect())
     assert found == [("u1", at(3), 3), ("u1", at(3), 3), ("u1", at(30), 3)]
     assert d.failed_then_success(table(rows), 2).filter("userId = 'u2'").count() == 1
+    assert h.failed_then_success_new_ip(table(rows)).count() == 3
     new_ip = h.failed_then_success_new_ip(table(rows)).filter(F.col("successTime") == F.lit(at(30))).collect()
     assert [r.newIp for r in new_ip] == [True]
 
