@@ -54,6 +54,7 @@ USERS_CTE = "users AS (SELECT {} FROM customer)".format(
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
