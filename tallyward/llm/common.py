@@ -92,7 +92,7 @@ def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    return to_arrow_schema(StructType.fromDDL(schema), timezone="UTC")
+    return to_arrow_schema(StructType.fromDDL(schema))
 
 
 def ascii_lower(text: Column) -> Column:
