@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyward.llm.bpe import token_digests
 from tallyward.llm.common import table
+from tallyward.llm.hostgraph import judge_pages
+from tallyward.llm.maxscore import top_embeddings
+from tallyward.llm.toxicity import score_documents
 
 
 def vocabulary_path() -> str:
@@ -16,9 +19,38 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
-CALLS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_bpe": op3_bpe}
-SQL: dict[str, str] = {}
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_pages(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+CALLS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_topk": op2_topk,
+    "op3_bpe": op3_bpe,
+    "op6_url_filter": op6_url_filter,
+}
+
+SQL: dict[str, str] = {
+    "op2_topk": """
+WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(CAST(v AS DOUBLE) * 256) AS DOUBLE)) AS vec
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.vec, c.vec) AS BIGINT) AS score
+           FROM x q JOIN x c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE place <= 5
+""",
+}
