@@ -62,18 +62,18 @@ def spread(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping: fl
     """Rows (kind, host, score) of personalised PageRank.
 
     ``seeds`` has (kind, host, seed), ``links`` has (kind, src, dst); the kinds are graphs beside each other. Score is
-    not normalised: it is what reaches a host per unit of seed, so that the kinds can be compared.
+    the host's seed and the damped share of the scores that link to it; it is not normalised, so the kinds can be compared.
     """
     out = links.groupBy("kind", "src").agg(F.count("*").alias("degree"))
     links = saved(links.join(out, ["kind", "src"]), "links")
     if links.isEmpty():
         return seeds.select("kind", "host", F.col("seed").alias("score"))
-    start = seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("base"))
-    score = start.select("kind", "host", F.col("base").alias("score"))
+    start = seeds.select("kind", "host", F.col("seed").alias("score"))
+    score = start
     for _ in range(rounds):
         moved = (links.join(score.withColumnRenamed("host", "src"), ["kind", "src"])
                  .select("kind", F.col("dst").alias("host"), (damping * F.col("score") / F.col("degree")).alias("score")))
-        score = saved(moved.unionByName(start.withColumnRenamed("base", "score")).groupBy("kind", "host").agg(F.sum("score").alias("score")), "scores")
+        score = saved(moved.unionByName(start).groupBy("kind", "host").agg(F.sum("score").alias("score")), "scores")
     return score
 
 

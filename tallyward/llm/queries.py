@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyward.llm.bpe import token_digests
 from tallyward.llm.common import table
 from tallyward.llm.hostgraph import judge_pages
+from tallyward.llm.maincontent import extract_pages
 from tallyward.llm.maxscore import top_embeddings
 from tallyward.llm.toxicity import score_documents
 
@@ -31,6 +32,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_pages(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -39,6 +44,7 @@ CALLS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_topk": op2_topk,
     "op3_bpe": op3_bpe,
+    "op4_html_text": op4_html_text,
     "op6_url_filter": op6_url_filter,
 }
 
