@@ -11,6 +11,7 @@ from tallyward.llm.common import table
 from tallyward.llm.hostgraph import judge_pages
 from tallyward.llm.maincontent import extract_pages
 from tallyward.llm.maxscore import top_embeddings
+from tallyward.llm.privacy import find_personal_data
 from tallyward.llm.toxicity import score_documents
 
 
@@ -40,12 +41,17 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_pages(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 CALLS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_topk": op2_topk,
     "op3_bpe": op3_bpe,
     "op4_html_text": op4_html_text,
     "op6_url_filter": op6_url_filter,
+    "op7_pii": op7_pii,
 }
 
 SQL: dict[str, str] = {
