@@ -186,8 +186,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 def _without(df: DataFrame, kind: str, pattern: str, valid: str) -> DataFrame:
     """``whole`` with the valid matches of a pattern replaced by the name of the kind in brackets."""
     df = _matched(df, "whole", pattern, kind, NEEDED.get(kind))
-    pieces = F.expr(f"transform(g_{kind}, (g, i) -> CASE WHEN i >= size(m_{kind}) THEN g WHEN {valid.format(m=f'm_{kind}[i]')} "
-                    f"THEN concat(g, '[{kind.upper()}]') ELSE concat(g, m_{kind}[i]) END)")
+    pieces = F.expr(f"transform(g_{kind}, (g, nth) -> CASE WHEN nth >= size(m_{kind}) THEN g WHEN {valid.format(m=f'get(m_{kind}, nth)')} "
+                    f"THEN concat(g, '[{kind.upper()}]') ELSE concat(g, get(m_{kind}, nth)) END)")
     return df.withColumn("whole", F.when(F.size(f"m_{kind}") > 0, F.array_join(pieces, "")).otherwise(F.col("whole"))).drop(f"m_{kind}", f"g_{kind}")
 
 

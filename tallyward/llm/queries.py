@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyward.llm.bpe import token_digests
 from tallyward.llm.common import table
 from tallyward.llm.hostgraph import judge_pages
+from tallyward.llm.licenses import scan_licenses
 from tallyward.llm.maincontent import extract_pages
 from tallyward.llm.maxscore import top_embeddings
 from tallyward.llm.privacy import find_personal_data
@@ -45,6 +46,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 CALLS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_topk": op2_topk,
@@ -52,6 +57,7 @@ CALLS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_text": op4_html_text,
     "op6_url_filter": op6_url_filter,
     "op7_pii": op7_pii,
+    "op9_licenses": op9_licenses,
 }
 
 SQL: dict[str, str] = {
