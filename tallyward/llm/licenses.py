@@ -70,7 +70,9 @@ def telling_words(templates: Sequence[tuple[str, str]], k: int, cover: float) ->
     texts = [grams_of(words_of(t), k) for _, t in templates]
     chosen: list[str] = []
     while True:
-        free = [[g for g in grams if not set(g.split(" ")) & set(chosen)] for grams in texts]
+        # k-grams that hold a whole phrase only stand in texts with that phrase, which are scanned anyway
+        free = [[g for g in grams if not set(g.split(" ")) & set(chosen) and not any(f" {p} " in f" {g} " for p, _ in PHRASES)]
+                for grams in texts]
         open_grams = [g for own, grams in zip(free, texts, strict=True) if len(set(own)) >= cover * len(set(grams)) for g in own]
         if not open_grams:
             return chosen
