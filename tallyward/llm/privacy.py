@@ -149,20 +149,26 @@ def disclosing_spans(docs: DataFrame, base: DataFrame, min_contexts: int = MIN_C
     terms = saved(terms, "pii-terms")
     together = (terms.groupBy("kind", "entity", "term", "context").agg(F.first("h1").alias("h1"))
                 .groupBy("kind", "entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_contexts))
-    together = saved(together, "pii-together")
-    empty = terms.select("doc_id", "h1", "h2", "s", "e", "term")
-    if together.isEmpty():
-        return empty.limit(0)
+    entities = each.select("kind", "entity", "context").distinct().groupBy("kind", "entity").agg(F.count("*").alias("n_entity"))
+    # the texts around entities alone bound from below how many texts have a term; common words are out with that
+    near = terms.select("term", "h1").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
     texts = docs.count()
-    entities = (each.select("kind", "entity", "context").distinct().groupBy("kind", "entity").agg(F.count("*").alias("n_entity")))
+    possible = saved(together.join(entities, ["kind", "entity"]).join(near, "term")
+                     .where((F.col("n_entity") < texts) & (_share(F.col("n_near"), texts) > disclosure)), "pii-possible")
+    if possible.isEmpty():
+        return terms.select("doc_id", "h1", "h2", "s", "e", "term").limit(0)
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    known = words.join(together.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("n_term"))
-    told = (F.ln(F.least(F.lit(1.0), F.col("n_both") / F.greatest("n_term", "n_both"))) / F.ln((F.col("n_entity") / F.lit(float(texts)))))
-    found = (together.join(known, "term").join(entities, ["kind", "entity"])
-             .where((F.col("n_entity") < texts) & (1 - told > disclosure)).select("kind", "entity", "term"))
+    known = words.join(possible.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    found = possible.join(known, "term").where(_share(F.col("n_term"), texts) > disclosure).select("kind", "entity", "term")
     return terms.join(found, ["kind", "entity", "term"]).select("doc_id", "h1", "h2", "s", "e", "term").distinct()
 
 
+def _share(n_term: Column, texts: int) -> Column:
+    """Mutual information of term and entity as a part of the entity's information content."""
+    given = F.least(F.lit(1.0), F.col("n_both") / F.greatest(n_term, F.col("n_both")))
+    return 1 - F.ln(given) / F.ln(F.col("n_entity") / F.lit(float(texts)))
+
+
 def _joined(spans: Column) -> Column:
     names = F.array(*[F.lit(k) for k in (*KINDS, "term")])
     return F.array_join(F.transform(spans, lambda o: F.concat_ws(":", F.get(names, o["kind"]), o["s"].cast("string"), o["e"].cast("string"))), ",")
