@@ -12,6 +12,7 @@ from tallyward.llm.hostgraph import judge_pages
 from tallyward.llm.licenses import scan_licenses
 from tallyward.llm.maincontent import extract_pages
 from tallyward.llm.maxscore import top_embeddings
+from tallyward.llm.oddsketch import near_duplicates
 from tallyward.llm.privacy import find_personal_data
 from tallyward.llm.toxicity import score_documents
 
@@ -50,6 +51,10 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 CALLS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_topk": op2_topk,
@@ -58,6 +63,7 @@ CALLS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filter": op6_url_filter,
     "op7_pii": op7_pii,
     "op9_licenses": op9_licenses,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 SQL: dict[str, str] = {
