@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyward.llm.bpe import token_digests
 from tallyward.llm.common import table
+from tallyward.llm.decontaminate import find_leaks
 from tallyward.llm.hostgraph import judge_pages
 from tallyward.llm.licenses import scan_licenses
 from tallyward.llm.maincontent import extract_pages
@@ -39,6 +40,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_pages(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -60,6 +65,7 @@ CALLS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk": op2_topk,
     "op3_bpe": op3_bpe,
     "op4_html_text": op4_html_text,
+    "op5_decontamination": op5_decontamination,
     "op6_url_filter": op6_url_filter,
     "op7_pii": op7_pii,
     "op9_licenses": op9_licenses,

@@ -40,7 +40,12 @@ def word_hashes(text: bytes, separators: np.ndarray) -> np.ndarray:
 
     A polynomial hash by prefix sums: equal words give equal hashes wherever they stand.
     """
-    out, at = [], 0
+    return words_at(text, separators)[0]
+
+
+def words_at(text: bytes, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words, and the bytes where they begin."""
+    hashes, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
     while at < len(text):
         end = min(len(text), at + PART)
         part = np.frombuffer(text, np.uint8, end - at, at)
@@ -52,25 +57,29 @@ def word_hashes(text: bytes, separators: np.ndarray) -> np.ndarray:
                 rest = np.frombuffer(text, np.uint8, len(text) - at, at)
                 found = np.flatnonzero(separators[rest])
                 part = rest[:found[0] + 1] if len(found) else rest
+        own, first = _part_hashes(part, separators)
+        hashes.append(own)
+        starts.append(first + at)
         at += len(part)
-        out.append(_part_hashes(part, separators))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return np.concatenate(hashes), np.concatenate(starts)
 
 
-def _part_hashes(part: np.ndarray, separators: np.ndarray) -> np.ndarray:
+def _part_hashes(part: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = np.zeros(len(part) + 2, np.int8)
     inside[1:-1] = ~separators[part]
     edges = np.diff(inside)
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), starts
     sums = np.zeros(len(part) + 1, np.uint64)
     np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _UP.upto(len(part)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _DOWN.upto(len(part))[starts] + (ends - starts).astype(np.uint64))
+    return mix((sums[ends] - sums[starts]) * _DOWN.upto(len(part))[starts] + (ends - starts).astype(np.uint64)), starts
 
 
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
+#: Everything in ASCII but letters and digits, for texts whose A-Z are lowered.
+MARKS = np.array([b < 128 and not (48 <= b <= 57 or 97 <= b <= 122) for b in range(256)])
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
