@@ -15,6 +15,7 @@ from tallyward.llm.maincontent import extract_pages
 from tallyward.llm.maxscore import top_embeddings
 from tallyward.llm.oddsketch import near_duplicates
 from tallyward.llm.privacy import find_personal_data
+from tallyward.llm.suffixes import repeated_passages
 from tallyward.llm.toxicity import score_documents
 
 
@@ -52,6 +53,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ CALLS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_url_filter": op6_url_filter,
     "op7_pii": op7_pii,
+    "op8_repeated_passages": op8_repeated_passages,
     "op9_licenses": op9_licenses,
     "op10_near_duplicates": op10_near_duplicates,
 }
