@@ -20,7 +20,7 @@ from tallyward.functions.logins import (
 from tallyward.functions.times import (
     MICROS_PER_DAY, MICROS_PER_HOUR, MICROS_PER_MINUTE, days_between, hours_between, minutes_between,
 )
-from tallyward.operators.frames import check_number, empty_frame, repeat_rows
+from tallyward.operators.frames import check_number, empty_frame
 from tallyward.operators.ordered import (
     NO_TIME, SECOND, micros, micros_or_last, running_peak, running_totals, time_bucket, with_previous,
 )
@@ -153,10 +153,8 @@ def brute_force(logins: DataFrame, min_failures: int = 10, window_minutes: float
     failed = logins.filter(is_failure() & F.col(group_by).isNotNull()).select(
         group_by, F.col(member).alias("member"), micros_or_last(F.col("loginTime")).alias("at"))
     ones = failed.withColumn("n", F.lit(1).cast("long"))
-    failures = running_peak(trailing_steps(ones, [group_by], window, ["n"]), [group_by], "n", "peakFailuresInWindow",
-                            activity=failed)
-    members = running_peak(_member_steps(failed, group_by, "member", window), [group_by], "n", "uniqueUsersTargeted",
-                           activity=failed)
+    failures = running_peak(trailing_steps(ones, [group_by], window, ["n"]), [group_by], "n", "peakFailuresInWindow")
+    members = running_peak(_member_steps(failed, group_by, "member", window), [group_by], "n", "uniqueUsersTargeted")
     real = F.when(F.col("at") != NO_TIME, F.col("at"))
     totals = failed.groupBy(group_by).agg(
         F.count(F.lit(1)).alias("totalFailures"),
@@ -175,7 +173,7 @@ def prior_failures(logins: DataFrame, key: Sequence[str], failed: Column, window
                    least: int, payload: Sequence[str]) -> DataFrame:
     """Successes with ``failures`` >= ``least`` of the same key in [t - window, t - 1 s].
 
-    Equal successes are counted in ``copies``. A missing time is one extra last instant.
+    A missing time is one extra last instant.
     """
     rows = logins.withColumn("at", micros_or_last(F.col("loginTime")))
     counted = (rows if least <= 0 else rows.filter(failed)).select(
@@ -183,9 +181,9 @@ def prior_failures(logins: DataFrame, key: Sequence[str], failed: Column, window
     steps = trailing_steps(counted, key, window, ["fails", "seen"], delay=SECOND)
     probes = rows.filter(is_success()).select(*key, "at", *[c for c in payload if c not in key])
     return (
-        running_totals(probes, steps, key, ["fails", "seen"], activity=rows)
+        running_totals(probes, steps, key, ["fails", "seen"])
         .filter((F.col("running_seen") > 0) & (F.col("running_fails") >= least))
-        .select(*key, "at", *payload, "copies", F.col("running_fails").alias("failures"))
+        .select(*key, "at", *payload, F.col("running_fails").alias("failures"))
     )
 
 
@@ -205,10 +203,8 @@ def failed_then_success(logins: DataFrame, min_prior_failures: int = 3,
             f"{user or 'userId'} string, successTime timestamp, successIp string, priorFailures int"))
     rows = logins if "sourceIp" in logins.columns else logins.withColumn("sourceIp", F.lit(None).cast("string"))
     hits = prior_failures(rows, [user], is_failure(), window, min_prior_failures, ["sourceIp"])
-    return repeat_rows(
-        hits.select(user, success_time(F.col("at")).alias("successTime"), F.col("sourceIp").alias("successIp"),
-                    F.col("failures").cast("int").alias("priorFailures"), "copies"),
-        "copies")
+    return hits.select(user, success_time(F.col("at")).alias("successTime"), F.col("sourceIp").alias("successIp"),
+                       F.col("failures").cast("int").alias("priorFailures"))
 
 
 def country_history(logins: DataFrame, lookback_days: float) -> tuple[DataFrame, Column]:
@@ -277,7 +273,12 @@ def stale_reactivation(logins: DataFrame, min_dormant_days: float = 90) -> DataF
     shown = ["at", "sourceIp", "countryIso", *extra]
     limit = int(min_dormant_days * MICROS_PER_DAY)
     rows = logins.filter(is_success() & F.col("loginTime").isNotNull()).withColumn("at", micros(F.col("loginTime")))
-    if limit > 0:
+    if limit == 0:  # every login but the user's first follows a pause
+        gaps = (
+            with_previous(rows.select(user, *shown), [user], shown, ["at"])
+            .select(user, F.struct(*shown).alias("wake"), F.col("previous.at").alias("before"))
+        )
+    else:
         by_time = W.partitionBy(user).orderBy("bucket")
         gaps = (
             rows.withColumn("bucket", time_bucket(F.col("at"), limit))
@@ -285,11 +286,6 @@ def stale_reactivation(logins: DataFrame, min_dormant_days: float = 90) -> DataF
             .agg(F.min(F.struct(*shown)).alias("wake"), F.max("at").alias("end"))
             .withColumn("before", F.lag("end").over(by_time))
         )
-    else:
-        gaps = (
-            with_previous(rows.select(user, *shown), [user], shown, ["at"])
-            .select(user, F.struct(*shown).alias("wake"), F.col("previous.at").alias("before"))
-        )
     return (
         gaps.filter(F.col("wake.at") - F.col("before") >= limit)
         .select(user, *[f"wake.{c}" for c in extra],

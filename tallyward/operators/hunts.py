@@ -15,9 +15,9 @@ from tallyward.functions.logins import (
 from tallyward.functions.times import MICROS_PER_MINUTE
 from tallyward.operators.detectors import (
     brute_force, country_history, human_api_logins, new_country, prior_failures, status_spikes, success_time,
+    trailing_steps,
 )
-from tallyward.operators.frames import repeat_rows
-from tallyward.operators.ordered import join_null_safe, micros, micros_or_last, running_totals
+from tallyward.operators.ordered import SECOND, join_null_safe, micros, micros_or_last, running_totals
 
 
 def with_users(rows: DataFrame, users: DataFrame, user: str = "userId") -> DataFrame:
@@ -94,18 +94,16 @@ def failed_then_success_new_ip(logins: DataFrame, min_prior_failures: int = 3,
     """``failed_then_success`` with ``newIp``: no failure of the window came from the success address."""
     user = user_column(logins)
     window = int(window_minutes * MICROS_PER_MINUTE)
+    rows = logins.withColumn("at", micros_or_last(F.col("loginTime")))
     hits = prior_failures(logins, [user], is_failure(), window, min_prior_failures, ["sourceIp"])
-    same_ip = (
-        prior_failures(logins, [user, "sourceIp"], is_failure(), window, 1, [])
-        .select(user, "sourceIp", "at", F.lit(True).alias("seenIp")).distinct()
-    )
-    marked = join_null_safe(hits, same_ip, [user, "sourceIp", "at"], "left")
-    return repeat_rows(
-        marked.select(
-            user, success_time(F.col("at")).alias("successTime"), F.col("sourceIp").alias("successIp"),
-            F.col("failures").cast("int").alias("priorFailures"),
-            (F.col("seenIp").isNull() & F.col("sourceIp").isNotNull()).alias("newIp"), "copies"),
-        "copies")
+    own = rows.filter(is_failure() & F.col("sourceIp").isNotNull()).select(
+        user, "sourceIp", "at", F.lit(1).cast("long").alias("fails"))
+    counted = running_totals(hits, trailing_steps(own, [user, "sourceIp"], window, ["fails"], delay=SECOND),
+                             [user, "sourceIp"], ["fails"])
+    return counted.select(
+        user, success_time(F.col("at")).alias("successTime"), F.col("sourceIp").alias("successIp"),
+        F.col("failures").cast("int").alias("priorFailures"),
+        ((F.col("running_fails") == 0) & F.col("sourceIp").isNotNull()).alias("newIp"))
 
 
 def login_after_failed_mfa(logins: DataFrame, window_minutes: float = 30,
@@ -114,10 +112,8 @@ def login_after_failed_mfa(logins: DataFrame, window_minutes: float = 30,
     user = user_column(logins)
     hits = prior_failures(logins, [user], F.col("status") == status,
                           int(window_minutes * MICROS_PER_MINUTE), 1, ["sourceIp"])
-    return repeat_rows(
-        hits.select(user, success_time(F.col("at")).alias("successTime"), F.col("sourceIp").alias("successIp"),
-                    F.col("failures").cast("int").alias("failedChallenges"), "copies"),
-        "copies")
+    return hits.select(user, success_time(F.col("at")).alias("successTime"), F.col("sourceIp").alias("successIp"),
+                       F.col("failures").cast("int").alias("failedChallenges"))
 
 
 def deactivated_user_logins(logins: DataFrame, users: DataFrame) -> DataFrame:
@@ -202,8 +198,7 @@ def session_overlap(logins: DataFrame) -> DataFrame:
     ).select("userId", "sourceIp", "step.at", "step.open")
 
     def counted(probes: DataFrame, keys: list[str], alias: str) -> DataFrame:
-        return running_totals(probes, steps, keys, ["open"], activity=rows).withColumnRenamed(
-            "running_open", alias).drop("copies")
+        return running_totals(probes, steps, keys, ["open"]).withColumnRenamed("running_open", alias)
 
     opened = counted(counted(spans, ["userId"], "ofUser"), ["userId", "sourceIp"], "ofAddress")
     return opened.filter(F.col("ofUser") > F.col("ofAddress")).select(

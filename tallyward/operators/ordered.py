@@ -1,11 +1,9 @@
 """Time-ordered work per key that stays even when one key holds most of the rows.
 
-A window over a whole key is right for a key of moderate size. A busy user or address
-with more than ``HOT_ROWS`` rows would be one huge task, so its rows are cut into time
-buckets: the window runs per (bucket, key), and one small row per bucket carries on to
-the next. Which keys are busy is counted first (with map-side sums) and broadcast: they
-are at most all rows divided by ``HOT_ROWS``. Rows of busy keys are grouped to distinct
-instants before the shuffle, so copies collapse.
+A window over a whole key would be one huge task for a busy user or address, so all rows are cut
+into time buckets: the window runs per (bucket, key), and only what stands at the edges of a bucket,
+or one row per bucket, goes to a window per key. Every key is treated alike, and copies of a row
+stay rows.
 
 Instants are microseconds (``long``). ``NO_TIME`` stands for a missing time; it
 sorts after every real instant.
@@ -24,8 +22,6 @@ MINUTE = 60 * SECOND
 HOUR = 60 * MINUTE
 DAY = 24 * HOUR
 NO_TIME = 1 << 61
-WHOLE_KEY = -(1 << 62)
-HOT_ROWS = 1_000_000
 
 
 def micros(time: Column) -> Column:
@@ -56,92 +52,56 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
     return joined.drop(*[f"{key}__right" for key in keys])
 
 
-def busy_keys(rows: DataFrame) -> DataFrame:
-    """Keys with more than ``HOT_ROWS`` rows; few enough to broadcast."""
-    return (
-        rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_ROWS)
-        .select("key", F.lit(True).alias("busy"))
-    )
-
-
 def keyed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys as one struct ``key``, which is never NULL even where a key is."""
     return rows.withColumn("key", F.struct(*keys)).drop(*keys)
 
 
-def split_busy(rows: DataFrame, busy: DataFrame, at: str, width: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of ordinary keys in one bucket per key, and rows of busy keys in time buckets."""
-    plain = rows.join(F.broadcast(busy), "key", "left_anti").withColumn("bucket", F.lit(WHOLE_KEY))
-    cut = rows.join(F.broadcast(busy), "key", "left_semi").withColumn("bucket", time_bucket(F.col(at), width))
-    return plain, cut
+def in_buckets(rows: DataFrame, keys: Sequence[str], at: str, width: int) -> DataFrame:
+    """Rows with ``key`` and the start of their time bucket."""
+    return keyed(rows, keys).withColumn("bucket", time_bucket(F.col(at), width))
 
 
 def with_previous(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
                   carry: Sequence[str], at: str = "at", width: int = MINUTE) -> DataFrame:
     """Add ``previous``, the ``carry`` columns of the row before in (key, order).
 
-    ``order`` starts with ``at``; NULLs sort first. Equal rows of a busy key become one.
+    ``order`` starts with ``at``; NULLs sort first. Only the first and the last row of a bucket
+    meet those of the key's other buckets.
     """
-    all_rows = keyed(rows, keys)
-    busy = busy_keys(all_rows)
-    plain, cut = split_busy(all_rows, busy, at, width)
-    cut = cut.distinct()
     in_bucket = W.partitionBy("bucket", "key").orderBy(*order)
-    before = F.struct(*[F.lag(c).over(in_bucket).alias(c) for c in carry])
-    tails = (
-        cut.groupBy("key", "bucket").agg(F.max_by(F.struct(*carry), F.struct(*order)).alias("tail"))
-        .select("key", "bucket", F.lag("tail").over(W.partitionBy("key").orderBy("bucket")).alias("carried"))
-    )
-    local = F.when(F.lag(at).over(in_bucket).isNotNull(), before)
-    return (
-        plain.unionByName(cut).withColumn("local", local)
-        .join(tails, ["bucket", "key"], "left")
-        .withColumns({**{k: F.col(f"key.{k}") for k in keys}, "previous": F.coalesce("local", "carried")})
-        .drop("local", "carried", "bucket", "key")
-    )
+    of_key = W.partitionBy("key").orderBy("bucket", "place")
+    carried = F.struct(*carry)
+    placed = in_buckets(rows, keys, at, width).withColumns({
+        "place": F.row_number().over(in_bucket), "previous": F.lag(carried).over(in_bucket),
+        "ends": F.lead(F.lit(True)).over(in_bucket).isNull()})
+    inner = placed.filter((F.col("place") > 1) & ~F.col("ends"))
+    edges = placed.filter((F.col("place") == 1) | F.col("ends")).withColumn(
+        "previous", F.when(F.col("place") == 1, F.lag(carried).over(of_key)).otherwise(F.col("previous")))
+    return inner.unionByName(edges).withColumns({k: F.col(f"key.{k}") for k in keys}).drop("place", "ends", "bucket", "key")
 
 
 def running_totals(probes: DataFrame, steps: DataFrame, keys: Sequence[str], values: Sequence[str],
-                   at: str = "at", width: int = MINUTE, activity: DataFrame | None = None) -> DataFrame:
+                   at: str = "at", width: int = MINUTE) -> DataFrame:
     """Add ``running_<value>`` to each probe: the key's steps up to and including its instant.
 
-    Equal probes of a busy key become one row; ``copies`` counts them.
-
     ``steps`` hold (keys, at, values). Inside a bucket, steps and probes are summed in time
-    order; what earlier buckets of a busy key leave over is one row per occupied bucket.
-    ``activity`` may name a cheaper table with at least the (keys, at) of the probes; busy
-    keys are counted there.
+    order; what earlier buckets leave over is one row per bucket.
     """
-    if activity is None:
-        activity = probes.select(*keys, at).unionByName(steps.select(*keys, at))
-    active = keyed(activity.select(*keys, at), keys)
-    busy = busy_keys(active)
     zeros = {v: F.lit(0).cast("long") for v in values}
-    one = F.lit(1).cast("long")
-    plain_steps, cut_steps = split_busy(keyed(steps, keys), busy, at, width)
-    cut_steps = cut_steps.groupBy("bucket", "key", at).agg(*[F.sum(v).cast("long").alias(v) for v in values])
-    plain_probes, cut_probes = split_busy(keyed(probes, keys), busy, at, width)
-    cut_probes = cut_probes.groupBy(*cut_probes.columns).agg(F.count(F.lit(1)).alias("copies"))
-    asked = plain_probes.withColumn("copies", one).unionByName(cut_probes)
-    all_steps = plain_steps.select("bucket", "key", at, *values).unionByName(cut_steps)
+    asked = in_buckets(probes, keys, at, width).withColumns({**zeros, "is_probe": F.lit(True)})
+    added = in_buckets(steps, keys, at, width).select("bucket", "key", at, *values)
     in_bucket = W.partitionBy("bucket", "key").orderBy(at).rangeBetween(W.unboundedPreceding, W.currentRow)
     before = W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    occupied = (
-        active.join(F.broadcast(busy), "key", "left_semi")
-        .select("key", time_bucket(F.col(at), width).alias("bucket")).distinct()
+    local = (
+        asked.unionByName(added, allowMissingColumns=True)
+        .withColumns({f"local_{v}": F.sum(v).over(in_bucket) for v in values}).filter("is_probe")
     )
     offsets = (
-        cut_steps.select("key", "bucket", *values)
-        .unionByName(occupied.withColumns(zeros))
+        added.select("key", "bucket", *values).unionByName(asked.select("key", "bucket", *values))
         .groupBy("key", "bucket").agg(*[F.sum(v).alias(v) for v in values])
         .select("key", "bucket", *[F.sum(v).over(before).alias(f"offset_{v}") for v in values])
     )
-    local = (
-        asked.withColumns({**zeros, "is_probe": F.lit(True)})
-        .unionByName(all_steps, allowMissingColumns=True)
-        .withColumns({f"local_{v}": F.sum(v).over(in_bucket) for v in values})
-        .filter("is_probe")
-    )
     return (
         local.join(offsets, ["bucket", "key"], "left")
         .withColumns({**{k: F.col(f"key.{k}") for k in keys},
@@ -151,21 +111,17 @@ def running_totals(probes: DataFrame, steps: DataFrame, keys: Sequence[str], val
 
 
 def running_peak(steps: DataFrame, keys: Sequence[str], value: str, alias: str,
-                 at: str = "at", width: int = MINUTE, activity: DataFrame | None = None) -> DataFrame:
-    """Highest running sum of ``value`` per key. Busy keys are counted in ``activity`` if given."""
-    busy = busy_keys(keyed((steps if activity is None else activity).select(*keys), keys))
-    plain, cut = split_busy(keyed(steps, keys), busy, at, width)
-    cut = cut.groupBy("bucket", "key", at).agg(F.sum(value).alias("step"))
-    summed = plain.select("bucket", "key", at, F.col(value).alias("step")).unionByName(cut)
+                 at: str = "at", width: int = MINUTE) -> DataFrame:
+    """Highest running sum of ``value`` per key; one scan of the steps."""
     in_bucket = (
         W.partitionBy("bucket", "key").orderBy(at)
         .rangeBetween(W.unboundedPreceding, W.currentRow)
     )
     before = W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     per_bucket = (
-        summed.withColumn("local", F.sum("step").over(in_bucket))
+        in_buckets(steps, keys, at, width).withColumn("local", F.sum(value).over(in_bucket))
         .groupBy("bucket", "key")
-        .agg(F.max("local").alias("high"), F.sum("step").alias("total"))
+        .agg(F.max("local").alias("high"), F.sum(value).alias("total"))
         .withColumn("offset", F.coalesce(F.sum("total").over(before), F.lit(0)))
     )
     return (

@@ -163,12 +163,6 @@ def test_runner(table, tmp_path):
         run_detectors(table([row()]), ["nothing"])
 
 
-@pytest.fixture(autouse=True, params=[1_000_000, 2], ids=["whole keys", "busy keys"])
-def hot_limit(request, monkeypatch):
-    """Every test runs with all keys whole and with nearly all keys cut into buckets."""
-    monkeypatch.setattr(ordered, "HOT_ROWS", request.param)
-
-
 def lopsided(n=3000, seed=5):
     """Half the rows belong to one user and address, many at one instant, some without a time."""
     rng = random.Random(seed)
@@ -249,3 +243,17 @@ def test_partition_count_does_not_change_results(spark, table):
     one = sorted(map(key, d.failed_then_success(df.coalesce(1), 2).collect()))
     many = sorted(map(key, d.failed_then_success(df.repartition(13), 2).collect()))
     assert one == many and one
+
+
+def test_every_copy_of_a_login_counts_at_no_pause(table):
+    rows = [row("u", at(seconds=s)) for s in (0, 0, 0, 5, 5, 90)] + [row("v", at(seconds=1))]
+    assert d.stale_reactivation(table(rows), 0).count() == 5
+
+
+@pytest.mark.parametrize("name, most", [
+    ("i01_impossible_travel", 2), ("i02_brute_force", 3), ("i03_failed_then_success", 4), ("i15_failed_then_success_new_ip", 10)])
+def test_scans_of_the_logins(spark, sf_dir, name, most):
+    import __spark_entry__ as entry_point
+
+    plan = entry_point.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= most
