@@ -2,12 +2,14 @@
 
 An odd sketch folds the MinHash sample of a set into a bitmap in which each bit is the parity of the samples that fall on
 it. Equal samples cancel in the XOR of two bitmaps, so its population count tells how many differ, most precisely for
-similar sets. It is computed for every distinct set, and every pair of a bucket can be judged by a few machine words.
+similar sets. A second bitmap folds the whole set in the same way: its XOR has at most as many bits as elements differ,
+which is a bound that never rejects a similar pair. Every pair of a bucket can be judged by a few machine words.
 
-Documents with equal sets are one node. In each bucket the members are first compared with the smallest one, and links
-are confirmed on the full sets, one per member. Where a bucket still has members of several groups, all its pairs across
-groups are judged in blocks of bounded size, and those that the sketch admits are confirmed too. So no pair that shares
-a bucket is lost, and a bucket of many similar texts costs one comparison per member.
+Documents with equal sets are one node. Each node is first compared with the node that is smallest in most of its buckets,
+and the link is confirmed on the full sets. Where a bucket still has members of several groups, its pairs across groups
+are judged in blocks of bounded size: first the best partner in each other group, then, where groups still differ, all
+that are left. Whatever the bitmaps admit is confirmed. So no pair that shares a bucket is lost, and a bucket of many
+similar texts costs one comparison per member.
 
 Results for odd rows: a null or empty text has an empty set and is linked with nothing; rows with the same doc_id are one
 node; a row without doc_id is linked with nothing and has no component; repeated rows give a row each.
@@ -59,27 +61,41 @@ def odd_sketch(least: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
+def set_parity(hashes: np.ndarray) -> np.ndarray:
+    at = (hashes >> np.uint64(64 - int(math.log2(BITS)))).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """Rows (doc_id, n, h1, h2, bands, sketch) of every text; h1 and h2 tell sets apart and are null for an empty set."""
+    """Rows (doc_id, n, h1, h2, bands, sketch, parity) of every text; h1 and h2 tell sets apart and are null for an empty set."""
 
     def make() -> Callable[..., tuple]:
         def row(doc_id: int | None, text: str | None) -> tuple:
             found = shingle_set(text, size)
             if not len(found) or doc_id is None:
-                return doc_id, len(found), None, None, None, None
+                return doc_id, len(found), None, None, None, None, None
             least = min_hashes(found)
             second = np.add.reduce(mix(found + np.uint64(7)))
             return (doc_id, len(found), int(np.add.reduce(mix(found)).view(np.int64)), int(second.view(np.int64)),
-                    band_keys(least).tolist(), odd_sketch(least).tolist())
+                    band_keys(least).tolist(), odd_sketch(least).tolist(), set_parity(found).tolist())
         return row
 
     return map_rows(docs.select("doc_id", "text"), make,
-                    "doc_id long, n long, h1 long, h2 long, bands array<long>, sketch array<long>")
+                    "doc_id long, n long, h1 long, h2 long, bands array<long>, sketch array<long>, parity array<long>")
+
+
+def _different(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, n: total + n)
 
 
-def _alike(n: Column, m: Column) -> Column:
-    """Sizes that leave the similarity possible."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * SIMILAR
+def _admitted(pairs: DataFrame, traits: DataFrame) -> DataFrame:
+    """Pairs (a, b) that sizes and bitmaps leave possible: at most (n + m) (100 - SIMILAR) / (100 + SIMILAR) elements differ."""
+    for side in "ab":
+        pairs = pairs.join(traits.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "sketch", "parity")]), side)
+    sizes = F.col("n_a") + F.col("n_b")
+    return (pairs.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * SIMILAR)
+            .where(_different(F.col("parity_a"), F.col("parity_b")) * (100 + SIMILAR) <= sizes * (100 - SIMILAR))
+            .where(_different(F.col("sketch_a"), F.col("sketch_b")) <= MOST_BITS).select("a", "b"))
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -130,29 +146,38 @@ def components(links: DataFrame) -> DataFrame:
                       .where("u <> v").distinct(), "links")
 
 
-def _block_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different groups in the same bucket that size and sketch admit.
+def _block_pairs(members: DataFrame, best: bool) -> DataFrame:
+    """Pairs (a, b) of different groups in the same bucket that sizes and bitmaps admit; all of them, or for each member
+    the best in each other group.
 
-    ``members`` has (bucket, id, n, sketch, component). A bucket is cut into blocks, and each task gets two of them.
+    ``members`` has (bucket, id, n, sketch, parity, component). A bucket is cut into blocks, and each task gets two of them.
     """
     sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")
     dealt = (members.join(sizes, "bucket").withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "n", "sketch", "component"))
+             .select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "n", "sketch", "parity", "component"))
 
     def pairs(key: tuple, table: pa.Table) -> pa.Table:
         ids, n, group = (table.column(c).to_numpy() for c in ("id", "n", "component"))
-        bits = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(ids), BITS // 64).view(np.uint64)
+        sketch, parity = (table.column(c).combine_chunks().flatten().to_numpy().reshape(len(ids), BITS // 64).view(np.uint64) for c in ("sketch", "parity"))
         left, right = [], []
         for i in range(len(ids)):
             rest = slice(i + 1, len(ids))
             fits = (group[rest] != group[i]) & (np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * SIMILAR)
             at = np.flatnonzero(fits) + i + 1
-            if len(at):
-                at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1) <= MOST_BITS]
-                left.append(np.full(len(at), ids[i]))
-                right.append(ids[at])
+            if not len(at):
+                continue
+            differ = np.bitwise_count(parity[at] ^ parity[i]).sum(axis=1, dtype=np.int64)
+            fits = differ * (100 + SIMILAR) <= (n[at] + n[i]) * (100 - SIMILAR)
+            at, differ = at[fits], differ[fits]
+            at_too = np.bitwise_count(sketch[at] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= MOST_BITS
+            at, differ = at[at_too], differ[at_too]
+            if best and len(at):
+                at = at[np.argsort(differ, kind="stable")]
+                at = at[np.unique(group[at], return_index=True)[1]]
+            left.append(np.full(len(at), ids[i]))
+            right.append(ids[at])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
         return pa.table({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
 
@@ -164,32 +189,32 @@ def near_duplicates(docs: DataFrame, size: int = 2) -> DataFrame:
     100 * intersection at least 80 * union."""
     rows = saved(sketches(docs, size), "sketches")
     nodes = saved(rows.where("h1 IS NOT NULL").groupBy("h1", "h2")
-                  .agg(F.min(F.struct("doc_id", "n", "sketch", "bands")).alias("x"))
-                  .select("h1", "h2", F.col("x.doc_id").alias("id"), "x.n", "x.sketch", "x.bands"), "nodes")
+                  .agg(F.min(F.struct("doc_id", "n", "sketch", "parity", "bands")).alias("x"))
+                  .select("h1", "h2", F.col("x.doc_id").alias("id"), "x.n", "x.sketch", "x.parity", "x.bands"), "nodes")
     buckets = nodes.select("id", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last").select("bucket", "a")
     members = saved(buckets.join(shared, "bucket"), "members")
-    traits = nodes.select("id", "n", "sketch")
-    star = members.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    judged = (star.join(traits.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a")), "a")
-              .join(traits.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b")), "b")
-              .where(_alike(F.col("n_a"), F.col("n_b")))
-              .where(F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x) <= MOST_BITS))
-    first = saved(judged.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")
-    ids = saved(first.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    traits = nodes.select("id", "n", "sketch", "parity")
+    star = (members.where("id <> a").groupBy(F.col("id").alias("b"), "a").agg(F.count("*").alias("n"))
+            .groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b"))
+    tested = saved(_admitted(star, traits), "pairs")
+    ids = saved(tested.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     sets = saved(shingle_sets(docs, ids, size), "sets")
-    links = saved(confirmed(first, sets), "first-links")
-    groups = saved(components(links), "groups")
-    labelled = saved(members.select("bucket", "id").join(groups, "id", "left")
-                     .select("bucket", "id", F.coalesce("component", "id").alias("component")), "labelled")
-    mixed = (labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-             .where("low < high").select("bucket"))
-    open_pairs = saved(_block_pairs(labelled.join(mixed, "bucket").join(traits, "id")).join(first, ["a", "b"], "left_anti"), "open-pairs")
-    if not open_pairs.isEmpty():
-        more = saved(open_pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(ids, "id", "left_anti"), "more-ids")
-        every = sets.unionByName(shingle_sets(docs, more, size)) if not more.isEmpty() else sets
-        found = saved(confirmed(open_pairs, every), "second-links")
-        groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found))
+    groups = saved(components(confirmed(tested, sets)), "groups")
+    for best in (True, False):
+        labelled = saved(members.select("bucket", "id").join(groups, "id", "left")
+                         .select("bucket", "id", F.coalesce("component", "id").alias("component")), "labelled")
+        mixed = (labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+                 .where("low < high").select("bucket"))
+        pairs = saved(_block_pairs(labelled.join(mixed, "bucket").join(traits, "id"), best).join(tested, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
+        more = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(ids, "id", "left_anti"), "ids")
+        if not more.isEmpty():
+            sets, ids = sets.unionByName(saved(shingle_sets(docs, more, size), "sets")), ids.unionByName(more)
+        known = groups.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        groups = saved(components(known.unionByName(confirmed(pairs, sets))), "groups")
+        tested = tested.unionByName(pairs)
     labels = (nodes.select("h1", "h2", "id").join(groups, "id", "left")
               .select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.coalesce("component", "id").alias("component")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
