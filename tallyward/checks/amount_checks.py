@@ -17,8 +17,9 @@ OPP_COLUMNS = {
     "stage": "CASE o_orderstatus WHEN 'F' THEN 'closed won' WHEN 'P' THEN 'open' "
              "ELSE CASE WHEN o_orderkey % 4 = 0 THEN 'closed lost' ELSE 'open' END END",
     "forecast_stage": "CASE o_orderpriority WHEN '1-URGENT' THEN 'Commit' WHEN '2-HIGH' THEN 'Most Likely' "
-                      "WHEN '3-MEDIUM' THEN 'Stretch' ELSE 'Pipeline' END",
-    "mgr_forecast": "o_orderkey % 7 = 0",
+                      "WHEN '3-MEDIUM' THEN 'Stretch' WHEN '5-LOW' THEN 'Pipeline' "
+                      "ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'Omitted' END END",
+    "mgr_forecast": "CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey % 7 = 0 END",
     "mgr_bridge": "o_orderkey % 7 = 1 OR o_orderkey % 210 = 0",
     "is_debooking": "o_orderkey % 31 = 0",
     "probability": "CAST(CAST(o_orderkey % 11 AS DOUBLE) / 10 AS DECIMAL(4,2))",
@@ -127,7 +128,7 @@ register("m11_related_renewals",
          """SELECT o.opp_id, o.related_opportunity_id, CAST(p.acv_subs AS DOUBLE) AS related_renewal_amount,
               CAST(p.list_price_subs AS DOUBLE) AS renewal_baseline
             FROM opps o JOIN amounts p ON p.opp_id = o.related_opportunity_id""")
-CALL = "(mgr_forecast OR mgr_bridge OR is_debooking)"
+CALL = "coalesce(mgr_forecast OR mgr_bridge OR is_debooking, FALSE)"
 FORECAST = {
     "closed": "stage = 'closed won'",
     "rep_commit_closed": "stage = 'closed won' OR (stage = 'open' AND forecast_stage = 'Commit')",
@@ -145,11 +146,11 @@ register(
     "m12_m19_forecast",
     lambda s, d: a.forecast(opportunities(s, d), a.opportunity_amounts(products(s, d)), targets(s, d))
     .withColumn("total_to_target", F.round("total_to_target", 6)),
-    f"""SELECT g.*, CAST(t.target AS DOUBLE) AS target, CAST(t.target AS DOUBLE) - g.closed AS target_to_go,
-          round(g.total_call / CAST(t.target AS DOUBLE), 6) AS total_to_target FROM (
+    f"""SELECT segment, period, {", ".join(f"coalesce({n}, 0) AS {n}" for n in FORECAST)}, target,
+          target - coalesce(closed, 0) AS target_to_go, round(coalesce(total_call, 0) / target, 6) AS total_to_target FROM (
           SELECT segment, period, {", ".join(
               f"CAST(coalesce(sum(acv) FILTER ({c}), 0) AS DOUBLE) AS {n}" for n, c in FORECAST.items())}
-          FROM opps o JOIN amounts x ON o.opp_id = x.opp_id GROUP BY segment, period) g
-        LEFT JOIN targets t ON t.segment = g.segment AND t.period = g.period""")
+          FROM opps o LEFT JOIN amounts x ON o.opp_id = x.opp_id GROUP BY segment, period) g
+        FULL JOIN (SELECT segment, period, CAST(target AS DOUBLE) AS target FROM targets) t USING (segment, period)""")
 register("m14_manager_flag_conflicts", lambda s, d: a.manager_flag_conflicts(opportunities(s, d)),
          "SELECT opp_id, stage, forecast_stage FROM opps WHERE mgr_forecast AND mgr_bridge")

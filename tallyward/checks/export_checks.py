@@ -214,7 +214,7 @@ register("o04_filter_dates_and_types", lambda s, d: x.filter_dates_and_types(ful
 
 
 def by_ids(spark, sf_dir):
-    wanted = x.id_filters(spark, accounts=[f" 001{i}" for i in range(0, 60)], contracts=[f"800{i}" for i in range(5, 40)])
+    wanted = x.id_filters(spark, accounts=[*[f" 001{i}" for i in range(0, 60)], "0015", "0015 ", "00119"], contracts=[f"800{i}" for i in range(5, 40)])
     return x.filter_ids(full_inventory(spark, sf_dir), wanted)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tallyward.checks.login_checks import CENTROIDS_CTE, WORDS
+from tallyward.checks.login_checks import CENTROIDS_CTE, NO_WORD
 from tallyward.checks.registry import registry
 from tallyward.functions import logins as fl
 from tallyward.functions.geo import with_distance
@@ -31,7 +31,7 @@ over_logins(
         F.col("networkId").isNotNull().alias("b10"), fl.human_address(F.col("username")).alias("b12")),
     f"""SELECT event_id, status = 'Success' AS b01, status <> 'Success' AS b02,
           loginSubType IN ('SOAP API', 'REST API') AS b03,
-          NOT regexp_matches(lower(username), '({WORDS})') AS b04,
+          CASE WHEN username IS NOT NULL THEN {NO_WORD.format("username")} END AS b04,
           regexp_matches(loginSubType, '(API|Metadata|Bulk)', 'i') AS b05,
           tlsProtocol IN ('TLSv1','TLSv1.1','TLS 1.0','TLS 1.1') OR cipherSuite LIKE '%RC4%' OR cipherSuite LIKE '%DES%'
             OR cipherSuite LIKE '%MD5%' OR cipherSuite LIKE '%NULL%' AS b06,

@@ -91,28 +91,35 @@ def revenue_classes(opportunities: DataFrame, amounts: DataFrame) -> DataFrame:
 
 def forecast(opportunities: DataFrame, amounts: DataFrame, targets: DataFrame,
              by: Sequence[str] = ("segment", "period")) -> DataFrame:
-    """Actuals, calls and pipeline in ACV per group, next to the group's target."""
-    rows = opportunities.join(amounts.select("opp_id", "acv"), "opp_id")
+    """Actuals, calls and pipeline in ACV per group, next to the group's target.
+
+    Groups with a target alone and with opportunities alone both stay. An opportunity without products counts as 0, a
+    missing flag as not set. Not forecasted is all that is open outside the total call, whatever its forecast stage.
+    """
+    rows = opportunities.join(amounts.select("opp_id", "acv"), "opp_id", "left")
     stage, call = F.col("stage"), F.col("forecast_stage")
     is_open, is_won = stage == OPEN, stage == WON
-    in_call = F.col("mgr_forecast") | F.col("mgr_bridge") | F.col("is_debooking")
+    forecasted, bridged, debooked = (F.coalesce(F.col(c), F.lit(False)) for c in ("mgr_forecast", "mgr_bridge", "is_debooking"))
+    in_call = forecasted | bridged | debooked
     live = is_open | is_won
     grouped = rows.groupBy(*by).agg(
         total_where("acv", is_won).alias("closed"),
         total_where("acv", is_won | (is_open & (call == "Commit"))).alias("rep_commit_closed"),
-        total_where("acv", F.col("mgr_forecast") & live).alias("mgr_forecast"),
-        total_where("acv", F.col("mgr_bridge") & live).alias("mgr_bridge"),
+        total_where("acv", forecasted & live).alias("mgr_forecast"),
+        total_where("acv", bridged & live).alias("mgr_bridge"),
         total_where("acv", in_call & live).alias("total_call"),
         total_where("acv", in_call & is_open).alias("total_call_open"),
         total_where("acv", is_open & ~in_call & call.isin("Commit", "Most Likely")).alias("most_likely"),
         total_where("acv", is_open & ~in_call & (call == "Stretch")).alias("stretch"),
         total_where("acv", is_open & ~in_call & (call == "Pipeline")).alias("pipeline"),
+        total_where("acv", is_open & ~in_call).alias("pipeline_not_forecasted"),
         total_where("acv", is_open).alias("pipeline_coverage"))
+    sums = [c for c in grouped.columns if c not in by]
     total = F.col("total_call").cast("double")
     return (
-        grouped.join(targets, list(by), "left")
+        grouped.join(targets, list(by), "full")
+        .withColumns({c: F.coalesce(c, F.lit(0).cast("decimal(18,2)")) for c in sums})
         .withColumns({
-            "pipeline_not_forecasted": F.col("most_likely") + F.col("stretch") + F.col("pipeline"),
             "target_to_go": F.col("target") - F.col("closed"),
             "total_to_target": F.try_divide(total, F.col("target").cast("double"))})
     )

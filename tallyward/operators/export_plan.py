@@ -108,32 +108,32 @@ def union_filters(*filters: DataFrame) -> DataFrame:
 
 
 def filter_ids(inventory: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose ids are wanted. A kind without ids does not filter.
+    """Rows whose ids are wanted. A kind without ids does not filter; ids may repeat.
 
     A file matches by download or naming id. An account's files match by parent id,
-    others by parent id and by account id. All lookups are equi-joins.
+    others by parent id and by account id. All lookups are equi-joins with distinct ids; which
+    kinds filter is a scalar subquery, and kinds that no file has play no part.
     """
-    kinds = [r["kind"] for r in ids.select("kind").distinct().limit(len(PARENT_TYPES) + 1).collect()]
+    wanted = ids.select("kind", "id").distinct()
+    named = ids.agg(F.coalesce(F.collect_set(F.when(F.col("kind").isin(FILE, *PARENT_TYPES), F.col("kind"))), F.array()).alias("kinds")).scalar()
+
+    def asked(kind: Column) -> Column:
+        return F.coalesce(F.array_contains(named, kind), F.lit(False))
 
     def flagged(rows: DataFrame, flag: str, kind: Column, id_: Column) -> DataFrame:
-        wanted = ids.select(F.col("kind").alias(f"{flag}_kind"), F.col("id").alias(f"{flag}_id"),
-                            F.lit(True).alias(flag))
+        own = wanted.select(F.col("kind").alias(f"{flag}_kind"), F.col("id").alias(f"{flag}_id"), F.lit(True).alias(flag))
         match = (F.col(f"{flag}_kind") == kind) & (F.col(f"{flag}_id") == id_)
-        return rows.join(wanted, match, "left").drop(f"{flag}_kind", f"{flag}_id")
-
-    rows = inventory
-    if FILE in kinds:
-        rows = flagged(rows, "by_download", F.lit(FILE), normalized_id(F.col("downloadId")))
-        rows = flagged(rows, "by_naming", F.lit(FILE), normalized_id(F.col("namingId")))
-        rows = rows.filter(F.col("by_download") | F.col("by_naming")).drop("by_download", "by_naming")
-    parent_kinds = [k for k in kinds if k != FILE]
-    if parent_kinds:
-        rows = flagged(rows, "by_parent", F.col("parentType"), normalized_id(F.col("parentId")))
-        rows = rows.filter(F.col("by_parent") | ~F.col("parentType").isin(parent_kinds)).drop("by_parent")
-    if "ACCOUNT" in kinds:
-        rows = flagged(rows, "by_account", F.lit("ACCOUNT"), normalized_id(F.col("accountId")))
-        rows = rows.filter(F.col("by_account") | (F.col("parentType") == "ACCOUNT")).drop("by_account")
-    return rows
+        return rows.join(own, match, "left").drop(f"{flag}_kind", f"{flag}_id")
+
+    rows = flagged(inventory, "by_download", F.lit(FILE), normalized_id(F.col("downloadId")))
+    rows = flagged(rows, "by_naming", F.lit(FILE), normalized_id(F.col("namingId")))
+    rows = flagged(rows, "by_parent", F.col("parentType"), normalized_id(F.col("parentId")))
+    rows = flagged(rows, "by_account", F.lit("ACCOUNT"), normalized_id(F.col("accountId")))
+    return rows.filter(
+        (~asked(F.lit(FILE)) | F.col("by_download") | F.col("by_naming"))
+        & (F.col("by_parent") | ~asked(F.col("parentType")))
+        & (F.col("by_account") | (F.col("parentType") == "ACCOUNT") | ~asked(F.lit("ACCOUNT")))
+    ).drop("by_download", "by_naming", "by_parent", "by_account")
 
 
 def filter_types(inventory: DataFrame, types: DataFrame) -> DataFrame:

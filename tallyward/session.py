@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,22 +24,37 @@ def build_session(app_name: str = "tallyward", master: str | None = None,
     return builder.getOrCreate()
 
 
-_fallback_folder: str | None = None
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    global _fallback_folder
+    """Folder named by ``spark.checkpoint.dir``, which all executors must share.
+
+    Only a session in one process (``local[...]``) may go without: it gets a folder below its warehouse.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if _fallback_folder is None:
-        _fallback_folder = tempfile.mkdtemp(prefix="tallyward-")
-    return _fallback_folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tallyward-{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_drop, spark)
+    _written.append(path)
+    return path
+
+
+_written: list[str] = []
+
+
+def _drop(spark: SparkSession) -> None:
+    """Intermediate tables go when the driver ends."""
+    if spark.sparkContext._jsc is None:
+        return
+    for name in _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -21,16 +22,16 @@ def sniff_columns(spark: SparkSession, path: str | list[str]) -> list[str]:
     return spark.read.options(header=True, quote='"', escape='"').csv(path).columns
 
 
+#: Headers that tell an export, in the order of the tests.
+TELLING_HEADERS = (
+    (SOURCE_EVENT_LOG, ("EVENT_TYPE", "TIMESTAMP")), (SOURCE_QUERY, ("UserId", "LoginTime")), (SOURCE_UI, ("Login Time",)))
+
+
 def detect_source(columns: Sequence[str]) -> str:
-    """Which of the known exports the headers come from."""
-    names = set(columns)
-    if {"EVENT_TYPE", "TIMESTAMP"} <= names or any(c.isupper() and "_" in c for c in names):
-        return SOURCE_EVENT_LOG
-    if {"UserId", "LoginTime"} <= names:
-        return SOURCE_QUERY
-    if "Login Time" in names:
-        return SOURCE_UI
-    return SOURCE_UNKNOWN
+    """Which of the known exports the headers come from. A header like ``SOME_NAME`` alone tells an event log."""
+    complete = [label for label, headers in TELLING_HEADERS if all(h in columns for h in headers)]
+    shouted = [c for c in columns if re.fullmatch(r"[^a-z]*[A-Z][^a-z]*", c) and "_" in c]
+    return SOURCE_EVENT_LOG if shouted else complete[0] if complete else SOURCE_UNKNOWN
 
 
 def read_login_csv(spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None) -> DataFrame:
