@@ -79,7 +79,10 @@ def outbound_hosts(text: str) -> list[tuple[str, int]]:
                 is_address = False
             if not (isinstance(argument, ast.Constant) and isinstance(argument.value, str)):
                 continue
-            host = argument.value if is_address else urlsplit(argument.value).hostname
+            try:
+                host = argument.value if is_address else urlsplit(argument.value).hostname
+            except ValueError:  # not a URL
+                continue
             if host:
                 found.append((host.lower(), call.lineno))
                 break

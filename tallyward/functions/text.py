@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Matches whose line feeds are summed together.
+BLOCK = 512
 # Line breaks as Python's str.splitlines sees them.
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 
@@ -39,14 +41,24 @@ def match_lines_sql(text: str, pattern: str, found: str) -> str:
     plus the line feeds in those. Works for matches that span lines.
     """
     feed = literal("\n")
+    empty = "CAST(array() AS array<int>)"
 
     def feeds(part: str) -> str:
         return f"length({part}) - length(replace({part}, {feed}, ''))"
 
+    def once(name: str, value: str, body: str) -> str:
+        return f"flatten(transform(array({value}), {name} -> {body}))"
+
+    # feeds before each match, summed up in blocks and then over the blocks: no array is copied per match
     pieces = f"slice(split({text}, {literal(searched(pattern))}, -1), 1, size({found}))"
     earlier = f"concat(array(''), slice({found}, 1, size({found}) - 1))"
-    return (f"aggregate(zip_with({pieces}, {earlier}, (s, e) -> {feeds('s')} + {feeds('e')}), CAST(array() AS array<int>), "
-            "(lines, n) -> array_append(lines, coalesce(try_element_at(lines, -1), 1) + n))")
+    steps = f"zip_with({pieces}, {earlier}, (s, e) -> {feeds('s')} + {feeds('e')})"
+    blocks = (f"transform(sequence(0, CAST((size(steps) - 1) / {BLOCK} AS INT)), b -> aggregate(slice(steps, b * {BLOCK} + 1, {BLOCK}), "
+              f"{empty}, (lines, n) -> array_append(lines, coalesce(try_element_at(lines, -1), 0) + n)))")
+    offsets = ("aggregate(blocks, array(1), (sums, own) -> array_append(sums, try_element_at(sums, -1) + element_at(own, -1)))")
+    lines = "flatten(transform(blocks, (own, b) -> transform(own, n -> n + offsets[b])))"
+    return (f"CASE WHEN size({found}) = 0 THEN {empty} ELSE "
+            + once("steps", steps, once("blocks", blocks, once("offsets", offsets, lines))) + " END")
 
 
 def mentions(text: Column, lowered: Column, words: Sequence[str], any_case: bool) -> Column:

@@ -159,7 +159,7 @@ def _in_file(title: str) -> str:
     return f"concat({title}, ' in ', path)"
 
 
-def _rule_hits(rule: TextRule, known_registries: Sequence[str]) -> str:
+def _rule_hits(rule: TextRule, known_registries: Sequence[str], first_per_file: bool = True) -> str:
     """Hits of one text rule out of its matches, the column ``m<rank>``."""
     found = f"m{rule.rank}"
     placed = (f"transform(arrays_zip({found}, {match_lines_sql('text', rule.regex, found)}), "
@@ -169,7 +169,8 @@ def _rule_hits(rule: TextRule, known_registries: Sequence[str]) -> str:
     if rule is ENTROPY_RULE:
         is_secret = (f"{shannon_entropy_sql(quoted)} >= {fixed.MIN_SECRET_ENTROPY}D "
                      f"AND NOT rlike({quoted}, {literal(fixed.HEX_DIGEST)})")
-        placed = f"slice(filter({placed}, m -> {is_secret}), 1, 1)"
+        placed = f"filter({placed}, m -> {is_secret})"
+        placed = f"slice({placed}, 1, 1)" if first_per_file else placed
         evidence = f"concat(substring({quoted}, 1, 40), '...')"
     elif rule is PASSWORD_RULE:
         pattern = literal(searched(rule.regex))
@@ -231,12 +232,7 @@ def _hook_hits() -> str:
 
 
 def _python_hits(files: DataFrame, ranks: Collection[int], allowed_hosts: Sequence[str]) -> DataFrame:
-    """Findings of Python syntax trees.
-
-    Parsing costs far more than moving the text, so the Python files alone are spread
-    evenly over a fixed number of tasks first.
-    """
-    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Findings of Python syntax trees, made where the files are read (smaller scan splits spread the parsing)."""
     allowed = frozenset(allowed_hosts)
     calls, hosts = PYTHON_RANK in ranks, OUTBOUND_RANK in ranks
 
@@ -254,7 +250,6 @@ def _python_hits(files: DataFrame, ranks: Collection[int], allowed_hosts: Sequen
             yield pd.DataFrame(rows, columns=HIT_COLUMNS)
 
     python = files.filter(_in_scope("python") & F.col("text").isNotNull()).select("grp", "path", "text")
-    python = python.repartition(tasks, "grp", "path")
     return python.mapInPandas(scan, HIT_SCHEMA)
 
 
@@ -265,11 +260,16 @@ HIT_SCHEMA = ("grp string, path string, rank int, pos int, prefix string, severi
 
 def scan_files(files: DataFrame, ranks: Collection[int] = CORE_RANKS, extra_rules: Sequence[TextRule] = (),
                known_registries: Sequence[str] = fixed.KNOWN_REGISTRIES,
-               allowed_hosts: Sequence[str] = ()) -> DataFrame:
-    """Hits of the chosen rules (by rank), unnumbered; ``CATALOG_RANKS`` adds the catalog rules."""
-    rows = within_size(visible(files))
+               allowed_hosts: Sequence[str] = (), max_bytes: int | None = None,
+               first_per_file: bool = True) -> DataFrame:
+    """Hits of the chosen rules (by rank), unnumbered; ``CATALOG_RANKS`` adds the catalog rules.
+
+    Every text is scanned whole unless ``max_bytes`` is given (``oversized`` lists what that skips).
+    ``first_per_file`` reports only the first high-entropy literal of a file.
+    """
+    rows = visible(files) if max_bytes is None else within_size(visible(files), max_bytes)
     rules = [r for r in (*TEXT_RULES, *CATALOG_RULES, REGISTRY_RULE) if r.rank in ranks] + list(extra_rules)
-    parts = [_rule_hits(r, known_registries) for r in rules]
+    parts = [_rule_hits(r, known_registries, first_per_file) for r in rules]
     scopes = {}
     for scope, scope_ranks, hits in (("shell", SHELL_RANKS, _shell_hits), ("package", HOOK_RANKS, _hook_hits),
                                      ("requirements", (REQUIREMENT_RANK,), _requirement_hits)):

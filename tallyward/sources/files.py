@@ -9,12 +9,11 @@ from tallyward.fixed import MARKER_FILE, MAX_TEXT_BYTES
 from tallyward.functions.text import file_name, path_parts
 
 
-def read_files(spark: SparkSession, root: str, max_bytes: int = MAX_TEXT_BYTES) -> DataFrame:
-    """Files below ``root`` by path relative to it; bad UTF-8 is replaced, larger files are left out."""
-    binary = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        .filter(F.col("length") <= max_bytes)
-    )
+def read_files(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
+    """Files below ``root`` by path relative to it; bad UTF-8 is replaced; files above ``max_bytes``, if given, are left out."""
+    binary = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    if max_bytes is not None:
+        binary = binary.filter(F.col("length") <= max_bytes)
     prefix = root.rstrip("/") + "/"
     relative = F.substring_index(F.col("path"), prefix, -1)
     return visible(binary.select(
@@ -27,9 +26,17 @@ def visible(files: DataFrame) -> DataFrame:
     return files.filter(~F.array_contains(path_parts(F.col("path")), ".git"))
 
 
+def _size(files: DataFrame) -> Column:
+    return F.col("size_bytes") if "size_bytes" in files.columns else F.octet_length("text")
+
+
 def within_size(files: DataFrame, max_bytes: int = MAX_TEXT_BYTES) -> DataFrame:
-    size = F.col("size_bytes") if "size_bytes" in files.columns else F.octet_length("text")
-    return files.filter(size <= max_bytes)
+    return files.filter(_size(files) <= max_bytes)
+
+
+def oversized(files: DataFrame, max_bytes: int = MAX_TEXT_BYTES) -> DataFrame:
+    """What a scan with this limit skips: path and size in bytes."""
+    return files.filter(_size(files) > max_bytes).select("path", _size(files).cast("long").alias("size_bytes"))
 
 
 def folders_above(path: Column) -> Column:

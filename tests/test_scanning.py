@@ -3,6 +3,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from tallyward.operators import scanning as sc
+from tallyward.sources.files import oversized
 
 HEX40 = hashlib.sha1(b"x").hexdigest()
 MIXED = "aB3dE5fG7hJ9kL1mN2pQ4rS6tU8vW0xYzZ"
@@ -110,7 +111,7 @@ def test_catalog(spark):
 def test_size_and_git_folders(spark):
     key = "AKIA" + "C" * 16
     big = key + "x" * 1_000_000
-    assert found(spark, {"a.txt": big, "x/.git/a": key, "b.txt": key}) == [("b.txt", 1, "AWS access key")]
+    assert found(spark, {"a.txt": big, "x/.git/a": key, "b.txt": key}, max_bytes=1_000_000) == [("b.txt", 1, "AWS access key")]
 
 
 def test_custom_rule(spark):
@@ -152,3 +153,23 @@ def test_prechecks(spark):
         ("nodesc", "SM", "MEDIUM", "Frontmatter missing 'description'"),
         ("desc", "SM", "HIGH", "Frontmatter 'description' exceeds 1024-character API limit"),
         ("noname", "SM", "MEDIUM", "Frontmatter missing 'name'")])
+
+
+def test_many_matches_in_one_text_are_placed_in_linear_time(spark):
+    import time
+
+    text = "../\n" * 100_000
+    files = spark.createDataFrame([("g", "a.py", text)], "grp string, path string, text string")
+    ranks = {r.rank for r in sc.CATALOG_RULES if "../" in r.words}
+    started = time.time()
+    hits = sc.scan_files(files, ranks).agg({"line": "max", "pos": "count"}).first()
+    assert tuple(hits) == (100_000, 100_000) and time.time() - started < 60
+
+
+def test_long_texts_are_scanned_whole_and_bad_urls_do_no_harm(spark):
+    rows = [("g", "long.txt", "x" * 1_200_000 + " AKIA" + "ABCDEFGHIJKLMNOP"), ("g", "a.py", "import requests\nrequests.get('http://[x')\n")]
+    files = spark.createDataFrame(rows, "grp string, path string, text string")
+    titles = [r.title for r in sc.scan_files(files, sc.CORE_RANKS | sc.CATALOG_RANKS).collect()]
+    assert any("long.txt" in t for t in titles)
+    assert not any("long.txt" in r.title for r in sc.scan_files(files, max_bytes=1_000_000).collect())
+    assert [r.path for r in oversized(files).collect()] == ["long.txt"]

@@ -83,7 +83,7 @@ def test_read_files(spark, tmp_path):
     (tmp_path / "a" / "SKILL.md").write_bytes(b"ok \xff end")
     (tmp_path / "big.txt").write_text("y" * 1_000_001)
     (tmp_path / "fits.txt").write_text("y" * 1_000_000)
-    rows = {r.path: r.text for r in read_files(spark, str(tmp_path)).collect()}
+    rows = {r.path: r.text for r in read_files(spark, str(tmp_path), 1_000_000).collect()}
     assert set(rows) == {"a/SKILL.md", "fits.txt"} and rows["a/SKILL.md"] == "ok � end"
 
 
