@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyward.checks import login_checks
 from tallyward.checks.login_checks import NO_WORD, sql_brute
 from tallyward.checks.registry import registry
 from tallyward.operators import detectors as d
 from tallyward.operators import profile as p
 from tallyward.operators import severity as v
 from tallyward.operators import subtypes as s
-from tallyward.plans.detect import run_detectors
+from tallyward.plans.detect import preview, run_detectors, run_with_flags
 
 CALLS, SQL, over_logins, over_users = registry()
 TWO = ["SOAP API", "Bulk API"]
@@ -96,3 +97,46 @@ over_logins("f07_priority_findings",
             lambda l: v.priority_findings(some_findings(l), 5).select("detector", "severity", "logins"),
             """SELECT detector, severity, logins FROM findings ORDER BY list_position(['Critical','High','Medium','Info'], severity),
                  logins DESC, detector, subject, time LIMIT 5""", [BRUTE_CTE, FINDINGS_CTE])
+
+
+ALL_PARAMETERS = {
+    "impossible-travel": {"min_km": 1000, "max_hours": 6.0}, "concurrent-countries": {"max_minutes": 240},
+    "brute-force": {"min_failures": 5, "window_minutes": 720}, "failed-then-success": {"min_prior_failures": 2, "window_minutes": 1440},
+    "new-country": {"lookback_days": 14}, "stale-reactivation": {"min_dormant_days": 2}, "status-spikes": {"zscore_threshold": 2.0},
+    "off-hours": {"z": 1.5, "min_logins": 20},
+}
+
+
+def every_finding(logins, users):
+    return v.findings_table(run_with_flags(logins, users, ["System Administrator"], ALL_PARAMETERS))
+
+
+def _part(detector, query, severity, subject, time, logins="1"):
+    return (f"SELECT '{detector}' AS detector, {severity} AS severity, {subject} AS subject, CAST({time} AS TIMESTAMP) AS time, "
+            f"CAST({logins} AS BIGINT) AS logins FROM ({login_checks.SQL[query]})")
+
+
+EVERY_CTE = "every AS ({})".format(" UNION ALL ".join([
+    _part("impossible-travel", "i01_impossible_travel", "'Critical'", "userId", "loginTime"),
+    _part("concurrent-countries", "i06_concurrent_countries", "'Info'", "userId", "loginTime"),
+    _part("brute-force", "i02_brute_force", "CASE WHEN sourceIp IN (SELECT sourceIp FROM logins WHERE status = 'Success') "
+          "THEN 'Critical' ELSE 'High' END", "sourceIp", "lastSeen", "totalFailures"),
+    _part("failed-then-success", "i15_failed_then_success_new_ip", "CASE WHEN newIp THEN 'Critical' ELSE 'High' END", "userId", "successTime"),
+    _part("new-country", "i04_new_country", "CASE WHEN userId IN (SELECT Id FROM users WHERE profile_name = 'System Administrator') "
+          "THEN 'High' ELSE 'Medium' END", "userId", "loginTime"),
+    _part("human-api-logins", "i05_human_api_logins", "CASE WHEN logins >= 100 AND loginSubType IN ('Bulk API', 'Bulk API 2.0', "
+          "'Metadata API') THEN 'High' ELSE 'Info' END", "username", "lastSeen", "logins"),
+    _part("stale-reactivation", "i07_stale_reactivation", "'Medium'", "userId", "wakeUpTime"),
+    _part("weak-tls", "i08_weak_tls", "'Medium'", "userId", "NULL", "logins"),
+    _part("status-spikes", "i09_status_spikes", "'Info'", "status", "hourBucket", "cnt"),
+    _part("off-hours", "i12_off_hours", "'Medium'", "userId", "loginTime"),
+    _part("deactivated-user", "i17_deactivated_user_logins", "'Critical'", "userId", "loginTime"),
+]))
+over_users("l01_findings_of_all_detectors", lambda l, u: every_finding(l, u).drop("evidence"), "SELECT * FROM every", [EVERY_CTE])
+over_users("l03_severity_summary_of_all_detectors", lambda l, u: v.severity_summary(every_finding(l, u)),
+           """SELECT severity, count(*) AS findings, count(DISTINCT subject) AS subjects,
+                CAST(sum(logins) AS BIGINT) AS logins FROM every GROUP BY severity""", [EVERY_CTE])
+over_logins("f02_f03_f05_preview_of_dormant_users",
+            lambda l: preview("stale-reactivation", d.stale_reactivation(l, 2)).select("userId", "wakeUpTime", F.round("gapDays", 6).alias("gapDays")),
+            f"""SELECT userId, wakeUpTime, round(gapDays, 6) AS gapDays FROM ({login_checks.SQL["i07_stale_reactivation"]}) AS t
+                ORDER BY t.gapDays DESC, userId, username, prevLogin, wakeUpTime, sourceIp NULLS FIRST, countryIso NULLS FIRST LIMIT 20""")

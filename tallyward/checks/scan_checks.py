@@ -303,11 +303,10 @@ register("n15_numbered_findings",
               CASE prefix WHEN 'CS' THEN 'Credential & Secret Exposure' ELSE 'Data Exfiltration' END AS category,
               severity, title, path AS file, CAST(line AS INTEGER) AS line, pattern FROM found""")
 register("n16_verdicts",
-         lambda s, d: sc.verdicts(files(s, d).select("grp").distinct(), secret_findings(s, d).filter("severity = 'HIGH' OR grp > 'src15'")),
-         PREFIXED + """, kept AS (SELECT * FROM found WHERE severity = 'HIGH' OR grp > 'src15')
-            SELECT g.grp, CASE WHEN count(k.grp) > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict, 'PASS' AS safety_verdict,
+         lambda s, d: sc.verdicts(files(s, d).select("grp").distinct(), secret_findings(s, d)),
+         PREFIXED + """ SELECT g.grp, CASE WHEN count(k.grp) > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict, 'PASS' AS safety_verdict,
               CASE WHEN count(k.grp) > 0 THEN 'FAIL' ELSE 'PASS' END AS security_verdict, count(k.grp) AS findings
-            FROM (SELECT DISTINCT grp FROM files) g LEFT JOIN kept k ON g.grp = k.grp GROUP BY g.grp""")
+            FROM (SELECT DISTINCT grp FROM files) g LEFT JOIN found k ON g.grp = k.grp GROUP BY g.grp""")
 register("n16_n18_aggregate_report",
          lambda s, d: summed_up(files(s, d).select("grp").distinct(), secret_findings(s, d)),
          PREFIXED + """ SELECT (SELECT count(DISTINCT grp) FROM files) AS groups, CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict,

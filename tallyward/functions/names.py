@@ -25,7 +25,7 @@ def first_match(value: Column, pattern: str, group: int = 0) -> Column:
 
 
 def composed(name: Column) -> Column:
-    """Unicode NFC form. Only names with non-ASCII characters are sent to Python."""
+    """Unicode NFC form. Names in ASCII need none and go to Python as NULLs."""
     return F.coalesce(_composed(first_match(name, r"(?s)^.*[^\x00-\x7F].*\z")), name)
 
 

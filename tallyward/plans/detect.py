@@ -6,8 +6,11 @@ import logging
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tallyward.functions.logins import is_success
 from tallyward.operators import detectors as d
+from tallyward.operators import hunts as h
 from tallyward.sources.sinks import write_findings
 
 log = logging.getLogger(__name__)
@@ -25,6 +28,28 @@ DETECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+#: Columns that a detector's result is sorted by at a sink; a minus sign stands for falling order.
+RESULT_ORDER = {
+    "impossible-travel": ("userId", "loginTime"), "concurrent-countries": ("userId", "loginTime"),
+    "new-country": ("userId", "loginTime"), "brute-force": ("-peakFailuresInWindow",),
+    "failed-then-success": ("-priorFailures", "successTime"), "human-api-logins": ("-logins",), "weak-tls": ("-logins",),
+    "stale-reactivation": ("-gapDays",), "status-spikes": ("-zscore",), "off-hours": ("userId", "loginTime"),
+    "deactivated-user": ("userId", "loginTime"),
+}
+
+
+def result_order(name: str, result: DataFrame) -> list:
+    """Sort columns of a result; the columns that are left break ties."""
+    wanted = [c for c in RESULT_ORDER.get(name, ()) if c.lstrip("-") in result.columns]
+    rest = [c for c in result.columns if c not in {w.lstrip("-") for w in wanted}]
+    return [F.desc(c[1:]) if c[0] == "-" else F.asc(c) for c in (*wanted, *rest)]
+
+
+def preview(name: str, result: DataFrame, rows: int = 20) -> DataFrame:
+    """The first rows of a result in its order."""
+    return result.orderBy(*result_order(name, result)).limit(rows)
+
+
 def register_detector(name: str, detector: Callable[[DataFrame], DataFrame]) -> None:
     DETECTORS[name] = detector
 
@@ -50,7 +75,32 @@ def write_all(results: dict[str, DataFrame], folder: str) -> dict[str, int]:
     counts = {}
     for name, result in results.items():
         try:
-            counts[name] = write_findings(name, result, folder)
+            counts[name] = write_findings(name, result, folder, result_order(name, result))
         except Exception:
             log.exception("writing %s failed", name)
     return counts
+
+
+def run_with_flags(logins: DataFrame, users: DataFrame | None = None, profiles: Iterable[str] = (),
+                   parameters: dict[str, dict] | None = None) -> dict[str, DataFrame]:
+    """All detectors with the flags that raise a severity, and the hunts that have one.
+
+    ``newIp``: no failure came from the address of the success. ``endedInSuccess``: the address of a brute force also
+    logged in. ``privileged``: the user has one of ``profiles``. The last and the logins of deactivated users need ``users``.
+    """
+    given = parameters or {}
+    results = run_detectors(logins, [n for n in DETECTORS if n != "failed-then-success"], given)
+    results["failed-then-success"] = h.failed_then_success_new_ip(logins, **given.get("failed-then-success", {}))
+    results["off-hours"] = h.off_hours(logins, **given.get("off-hours", {}))
+    brute = results.get("brute-force")
+    if brute is not None and "sourceIp" in brute.columns:
+        entered = logins.filter(is_success()).select("sourceIp", F.lit(True).alias("endedInSuccess")).distinct()
+        results["brute-force"] = brute.join(entered, "sourceIp", "left").withColumn(
+            "endedInSuccess", F.coalesce("endedInSuccess", F.lit(False)))
+    if users is not None:
+        results["deactivated-user"] = h.deactivated_user_logins(logins, users)
+        if "new-country" in results:
+            privileged = F.coalesce(F.col("profileName").isin(list(profiles)), F.lit(False))
+            new = results["new-country"]
+            results["new-country"] = h.with_users(new, users).withColumn("privileged", privileged).select(*new.columns, "privileged")
+    return results

@@ -48,6 +48,19 @@ def read_login_csv(spark: SparkSession, path: str | list[str], columns: Sequence
     )
 
 
+def rejected_login_rows(spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """The rows that ``read_login_csv`` skips, as they stand in the file (``raw``)."""
+    names = list(columns) if columns is not None else sniff_columns(spark, path)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, "raw")])
+    rows = (
+        spark.read.options(header=True, quote='"', escape='"', mode="PERMISSIVE", multiLine=True, columnNameOfCorruptRecord="raw")
+        .schema(schema).csv(path)
+    )
+    # the reader refuses a query of the raw rows alone, so the filter names the other columns too
+    read = F.length(F.concat_ws(",", *[F.col(f"`{n}`") for n in names])) >= 0
+    return rows.filter(F.col("raw").isNotNull() & read).select("raw", *[F.col(f"`{n}`") for n in names])
+
+
 def read_login_json(spark: SparkSession, path: str | list[str], columns: Sequence[str],
                     multi_line: bool = False) -> DataFrame:
     """Query results as JSON; the named fields as strings."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallyward.functions.logins import is_api_subtype
@@ -24,19 +24,32 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def write_parquet_cache(df: DataFrame, path: str, partition_by_date: bool = False) -> None:
-    """Snappy Parquet, written once: an existing cache is left as it is.
+def changed_at(spark: SparkSession, path: str) -> int:
+    """Latest change of a file, or of the files directly in a folder, in milliseconds."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return max([fs.getFileStatus(hadoop_path).getModificationTime()]
+               + [f.getModificationTime() for f in fs.listStatus(hadoop_path)])
+
+
+def is_complete(spark: SparkSession, path: str, source: str | None = None) -> bool:
+    """A finished table (its writer left ``_SUCCESS``) that is not older than ``source``."""
+    mark = f"{path.rstrip('/')}/_SUCCESS"
+    return path_exists(spark, mark) and (source is None or changed_at(spark, mark) >= changed_at(spark, source))
 
-    By date, files are pruned by ``loginDate``; rows are spread by date and a hash of
-    themselves, so a busy day is not one task.
+
+def write_parquet_cache(df: DataFrame, path: str, partition_by_date: bool = False, source: str | None = None) -> None:
+    """Snappy Parquet, written once: a finished cache that is not older than ``source`` stays as it is.
+
+    By date, files are pruned by ``loginDate``; rows are spread over ranges of date and time that are
+    as even as the sort can make them, so a busy day is not one task.
     """
-    if path_exists(df.sparkSession, path):
+    if is_complete(df.sparkSession, path, source):
         return
     writer_rows = df
     if partition_by_date:
-        spread = F.pmod(F.xxhash64(*df.columns), F.lit(32))
-        writer_rows = df.withColumn("loginDate", F.to_date("loginTime")).repartition(F.col("loginDate"), spread)
-    writer = writer_rows.write.mode("ignore").option("compression", "snappy")
+        writer_rows = df.withColumn("loginDate", F.to_date("loginTime")).repartitionByRange("loginDate", "loginTime")
+    writer = writer_rows.write.mode("overwrite").option("compression", "snappy")
     if partition_by_date:
         writer = writer.partitionBy("loginDate")
     writer.parquet(path)
@@ -48,13 +61,16 @@ def read_parquet_cache(spark: SparkSession, path: str) -> DataFrame:
 
 def cached_logins(spark: SparkSession, csv_path: str, threshold_mb: float = CACHE_THRESHOLD_MB,
                   cache_path: str | None = None) -> DataFrame:
-    """Raw known columns of a CSV, through the Parquet cache when the file is large."""
+    """Raw known columns of a CSV, through the Parquet cache when the file is large.
+
+    The rows are those of the CSV as it is now either way: a cache that is older or unfinished is written anew.
+    """
     from tallyward.sources.logins import read_login_csv, rename_known
 
     if file_size(spark, csv_path) <= threshold_mb * 1024 * 1024:
         return rename_known(read_login_csv(spark, csv_path))
     cache_path = cache_path or f"{csv_path}.parquet"
-    write_parquet_cache(rename_known(read_login_csv(spark, csv_path)), cache_path)
+    write_parquet_cache(rename_known(read_login_csv(spark, csv_path)), cache_path, source=csv_path)
     return read_parquet_cache(spark, cache_path)
 
 
@@ -66,11 +82,12 @@ def write_filtered_csv(df: DataFrame, subtypes: Sequence[str], path: str) -> int
     return seen.get["rows"]
 
 
-def write_findings(name: str, df: DataFrame, folder: str) -> int:
-    """One CSV folder per detector; nothing is kept for an empty result."""
+def write_findings(name: str, df: DataFrame, folder: str, order: Sequence[str | Column] = ()) -> int:
+    """One CSV folder per detector, its part files in ``order``; nothing is kept for an empty result."""
     seen = Observation(f"findings-{name}")
     target = f"{folder.rstrip('/')}/{name}"
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("header", True).csv(target)
+    rows = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    (rows.orderBy(*order) if order else rows).write.option("header", True).csv(target)
     count = seen.get["rows"]
     if count == 0:
         spark = df.sparkSession

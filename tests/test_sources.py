@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tallyward.functions.times import parse_login_time, parse_offset_time
 from tallyward.sources import logins as src
 from tallyward.sources import sinks
+from tallyward.plans.detect import result_order
 from tallyward.sources.files import changed_groups, nearest_marked_folder, marked_folders, read_files
 
 
@@ -67,8 +68,9 @@ def test_cache_is_written_once(spark, tmp_path):
     assert sinks.cached_logins(spark, str(path)).count() == 1
     assert not (tmp_path / "x.csv.parquet").exists()
     assert sinks.cached_logins(spark, str(path), threshold_mb=0).count() == 1
-    path.write_text("UserId,LoginTime\na,b\nc,d\n")
+    written = (tmp_path / "x.csv.parquet" / "_SUCCESS").stat().st_mtime_ns
     assert sinks.cached_logins(spark, str(path), threshold_mb=0).count() == 1
+    assert (tmp_path / "x.csv.parquet" / "_SUCCESS").stat().st_mtime_ns == written
 
 
 def test_truncation(spark):
@@ -93,3 +95,32 @@ def test_nearest_marked_folder(spark):
     got = {r.path: r.grp for r in nearest_marked_folder(changed.distinct(), marked_folders(files)).collect()}
     assert got == {"a/b/c/d.py": "a/b", "a/x.py": "a", "z.py": ""}
     assert {r.grp for r in changed_groups(changed, files).collect()} == {"a/b", "a", ""}
+
+
+def test_an_unfinished_or_older_cache_is_written_anew(spark, tmp_path):
+    import os
+
+    path = tmp_path / "logins.csv"
+    path.write_text("UserId,LoginTime\n1,2024-01-01T00:00:00Z\n")
+    cache = f"{path}.parquet"
+    os.makedirs(cache)  # what a crashed write leaves
+    assert sinks.cached_logins(spark, str(path), threshold_mb=0).count() == 1
+    path.write_text("UserId,LoginTime\n1,2024-01-01T00:00:00Z\n2,2024-01-01T00:00:00Z\n")
+    later = os.stat(f"{cache}/_SUCCESS").st_mtime + 60
+    os.utime(path, (later, later))
+    assert sinks.cached_logins(spark, str(path), threshold_mb=0).count() == 2
+
+
+def test_rejected_rows_are_listed(spark, tmp_path):
+    path = tmp_path / "broken.csv"
+    path.write_text("UserId,LoginTime\n1,2024-01-01T00:00:00Z\n2,x,y,z\n")
+    assert src.read_login_csv(spark, str(path)).count() + src.rejected_login_rows(spark, str(path)).count() == 2
+    assert [r.raw for r in src.rejected_login_rows(spark, str(path)).collect()] == ["2,x,y,z"]
+
+
+def test_findings_are_written_in_order(spark, tmp_path):
+    rows = spark.createDataFrame([(f"u{i}", float(i % 37)) for i in range(500)], "userId string, gapDays double").repartition(5)
+    sinks.write_findings("stale", rows, str(tmp_path), result_order("stale-reactivation", rows))
+    parts = sorted((tmp_path / "stale").glob("part-*.csv"))
+    days = [float(line.split(",")[1]) for p in parts for line in p.read_text().splitlines()[1:]]
+    assert days == sorted(days, reverse=True) and len(days) == 500
