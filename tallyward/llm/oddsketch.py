@@ -33,7 +33,7 @@ BITS = 1024
 SIMILAR = 80
 #: The sketch admits pairs whose estimate is at least this (six standard deviations below the limit).
 ADMITTED = 0.6
-BLOCK = 256
+BLOCK = 512
 
 _SEEDS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS = (_SEEDS | np.uint64(1))[:, None]
@@ -150,22 +150,40 @@ def _block_pairs(members: DataFrame, best: bool) -> DataFrame:
     """Pairs (a, b) of different groups in the same bucket that sizes and bitmaps admit; all of them, or for each member
     the best in each other group.
 
-    ``members`` has (bucket, id, n, sketch, parity, component). A bucket is cut into blocks, and each task gets two of them.
+    ``members`` has (bucket, id, n, sketch, parity, component). The largest group of a bucket needs no comparison within
+    itself: its blocks meet the blocks of the other members, and these meet each other. A task gets two blocks.
     """
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")
-    dealt = (members.join(sizes, "bucket").withColumn("own", own)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "n", "sketch", "parity", "component"))
+    counts = members.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    sizes = (counts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("most"), F.sum("size").alias("all"))
+             .select("bucket", F.col("most.component").alias("most"),
+                     F.ceil(F.col("most.size") / BLOCK).cast("int").alias("main_blocks"),
+                     F.ceil((F.col("all") - F.col("most.size")) / BLOCK).cast("int").alias("rest_blocks")))
+    main = F.col("component") == F.col("most")
+    own = F.pmod(F.xxhash64("id"), F.when(main, F.col("main_blocks")).otherwise(F.col("rest_blocks")).cast("long")).cast("int")
+
+    def blocks(count: str, place: Callable[[Column], tuple[bool, Column, Column]]) -> Column:
+        names = ("inner", "low", "high")
+        return F.transform(F.sequence(F.lit(0), F.col(count) - 1),
+                           lambda k: F.struct(*[(F.lit(x) if isinstance(x, bool) else x).alias(n) for n, x in zip(names, place(k), strict=True)]))
+
+    mine = F.col("own")
+    meets = F.when(main, blocks("rest_blocks", lambda k: (False, mine, k))).otherwise(F.concat(
+        blocks("main_blocks", lambda k: (False, k, mine)), blocks("rest_blocks", lambda k: (True, F.least(mine, k), F.greatest(mine, k)))))
+    dealt = (members.join(sizes, "bucket").withColumn("own", own).withColumn("main", main)
+             .select("bucket", "id", "n", "sketch", "parity", "component", "main", F.explode(meets).alias("at"))
+             .select("bucket", "at.inner", "at.low", "at.high", "id", "n", "sketch", "parity", "component", "main"))
 
     def pairs(key: tuple, table: pa.Table) -> pa.Table:
-        ids, n, group = (table.column(c).to_numpy() for c in ("id", "n", "component"))
+        ids, n, group, of_main = (table.column(c).to_numpy() for c in ("id", "n", "component", "main"))
+        inner = bool(table.column("inner")[0].as_py())
         sketch, parity = (table.column(c).combine_chunks().flatten().to_numpy().reshape(len(ids), BITS // 64).view(np.uint64) for c in ("sketch", "parity"))
         left, right = [], []
         for i in range(len(ids)):
             rest = slice(i + 1, len(ids))
             fits = (group[rest] != group[i]) & (np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * SIMILAR)
             at = np.flatnonzero(fits) + i + 1
+            if not inner:
+                at = at[of_main[at] != of_main[i]]
             if not len(at):
                 continue
             differ = np.bitwise_count(parity[at] ^ parity[i]).sum(axis=1, dtype=np.int64)
@@ -181,7 +199,7 @@ def _block_pairs(members: DataFrame, best: bool) -> DataFrame:
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
         return pa.table({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
 
-    return dealt.groupBy("bucket", "low", "high").applyInArrow(pairs, "a long, b long").distinct()
+    return dealt.groupBy("bucket", "inner", "low", "high").applyInArrow(pairs, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 2) -> DataFrame:
