@@ -206,8 +206,8 @@ def sanitised(docs: DataFrame) -> DataFrame:
     terms = (disclosing_spans(docs, base).groupBy("doc_id", "h1", "h2")
              .agg(F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.sort_array(F.collect_set("term")), "|"), F.lit(r")(?![\p{L}\p{N}])")).alias("terms"))
              .select(F.col("doc_id").alias("same_id"), F.col("h1").alias("same1"), F.col("h2").alias("same2"), "terms"))
-    columns = docs.columns
-    df = docs.withColumn("whole", F.coalesce("text", F.lit("")))
+    # the row travels as one column, so that no name of it can clash with those of the patterns
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), F.coalesce("text", F.lit("")).alias("whole"))
     h1, h2 = _key()
     df = df.join(terms, F.col("same_id").eqNullSafe(F.col("doc_id")) & (F.col("same1") == h1) & (F.col("same2") == h2), "left")
     df = df.withColumn("whole", F.when(F.col("terms").isNotNull(), F.regexp_replace("whole", F.col("terms"), F.lit("[TERM]"))).otherwise(F.col("whole")))
@@ -217,7 +217,6 @@ def sanitised(docs: DataFrame) -> DataFrame:
         df = _without(df, kind, pattern, VALID[kind])
     for kind in ("card", "phone"):
         df = _without(df, kind, PATTERNS[kind], VALID[kind])
-    df = df.withColumn("text", F.when(F.col("text").isNotNull(), F.col("whole")))
-    if "n_chars" in columns:
-        df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return df.select(*columns)
+    text = F.when(F.col("row.text").isNotNull(), F.col("whole"))
+    own = {"text": text, "n_chars": F.length(text)}
+    return df.select(*[own[f.name].cast(f.dataType).alias(f.name) if f.name in own else F.col("row")[f.name].alias(f.name) for f in docs.schema])

@@ -95,10 +95,11 @@ def test_personal_data_matches_plain_python(spark):
 def test_terms_that_disclose_an_entity_are_spans_and_are_generalised(spark):
     rows = [(i, f"nothing special here line {i} quite ordinary words", "x") for i in range(200)]
     rows += [(1000 + i, f"context{i} Blackwood and nothing special at secret@corp.example now{i}", "x") for i in range(5)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, h1 string").drop("h1")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, whole string")
     found = {r.doc_id: r for r in privacy.find_personal_data(docs).collect()}
     assert found[1000].spans.startswith("term:9:18,") and "nothing" not in rows[200][1][9:18]
     assert found[3].spans == "" and found[1000].spans.count("term") == 1
+    assert {r.whole for r in privacy.sanitised(docs).collect()} == {"x"}
     clean = {r.doc_id: r.text for r in privacy.sanitised(docs).collect()}
     assert clean[1001] == "context1 [TERM] and nothing special at [EMAIL] now1" and clean[3] == rows[3][1]
 
