@@ -27,7 +27,7 @@ from tallyward.llm.common import map_rows
 #: Upper bound of a vocabulary file that is broadcast to the executors, in bytes.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Remembered chunks between white space, and words, of each of two generations.
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 100_000
 MEMO_CHARS = 48
 #: Unicode white space, as the vocabulary's own ``\s`` has it; str.split() also takes U+001C to U+001F.
 WHITE = regex.compile(r"\p{White_Space}+")

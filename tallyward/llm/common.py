@@ -57,6 +57,19 @@ def _drop(spark: SparkSession, root: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of an Arrow batch between Spark and Python. Texts and shingle sets run from a few bytes to megabytes, and a
+#: task holds a batch on both sides.
+BATCH_ROWS = 512
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session's Arrow batches are limited to ``BATCH_ROWS`` rows (a smaller setting stays)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, BATCH_ROWS)
+    return df
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
     """One output row for each row of ``df``: ``make()`` runs once per task and returns a function of the row's values."""
     return flat_map_rows(df, lambda: _single(make()), schema)
@@ -80,7 +93,7 @@ def flat_map_rows(df: DataFrame, make: Callable[[], Callable[..., list[tuple]]],
                     rows = []
         yield _batch(rows, fields)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def _batch(rows: list[tuple], fields: pa.Schema) -> pa.RecordBatch:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyward.llm.common import small_batches
 from tallyward.llm.shingles import MARKS, mix, words_at
 
 STRIDE = 4
@@ -233,7 +234,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(6)],
                                                  ["doc_id", "item_id", "distance", "n_words", "first_word", "last_word"])
 
-        return docs.select("doc_id", "text").mapInArrow(
+        return small_batches(docs.select("doc_id", "text")).mapInArrow(
             run, "doc_id long, item_id long, distance long, n_words long, first_word long, last_word long")
 
     return reduce(DataFrame.unionByName, [searched(items) for items in item_blocks(benchmark)])
@@ -258,4 +259,4 @@ def _filtered(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
                 keep[[first + row[0] for row in matcher.search(texts)]] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyward.llm.common import small_batches
+
 SHARD_ROWS = 8_192
 QUERY_ROWS = 256
 
@@ -70,7 +72,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
                         column.extend(values)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["query_id", "q", "vec_id", "score"])
 
-    found = pairs.mapInArrow(run, "query_id long, q long, vec_id long, score long").drop("q")
+    found = small_batches(pairs).mapInArrow(run, "query_id long, q long, vec_id long, score long").drop("q")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import map_rows, saved
+from tallyward.llm.common import map_rows, saved, small_batches
 from tallyward.llm.shingles import mix, shingle_set
 
 ROWS, BANDS = 5, 30
@@ -113,7 +113,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):  # one pair at a time in numpy
                 left, right = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 place = np.searchsorted(left, right)
                 place[place == len(left)] = 0
@@ -121,7 +121,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * both >= SIMILAR * (len(left) + len(right) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, "a long, b long").distinct()
+    return small_batches(joined).mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import map_rows, saved
+from tallyward.llm.common import map_rows, saved, small_batches
 from tallyward.llm.decontaminate import _groups
 from tallyward.llm.shingles import MARKS, mix, words_at
 
@@ -90,7 +90,7 @@ def sparse_suffixes(docs: DataFrame) -> DataFrame:
                                                  ["doc_id", "d1", "d2", "at", "hash"])
 
     usable = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return usable.mapInArrow(run, "doc_id long, d1 long, d2 long, at int, hash long")
+    return small_batches(usable).mapInArrow(run, "doc_id long, d1 long, d2 long, at int, hash long")
 
 
 def passages_around(docs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def passages_around(docs: DataFrame, kept: DataFrame) -> DataFrame:
         return run
 
     joined = docs.select("doc_id", "text").where("text IS NOT NULL").join(kept, F.col("doc_id") == F.col("id")).select("doc_id", "text", "places")
-    return joined.mapInArrow(make(), "doc_id long, at int, hash long")
+    return small_batches(joined).mapInArrow(make(), "doc_id long, at int, hash long")
 
 
 def _merged(doc_id: int, starts: list[int]) -> tuple[int, int, str]:

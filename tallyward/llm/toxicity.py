@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import flat_map_rows, map_rows, saved
+from tallyward.llm.common import flat_map_rows, map_rows, saved, small_batches
 
 #: Labelled rows that the classifier is fitted on, at most (those with the smallest hash of doc_id).
 SAMPLE_ROWS = 20_000
@@ -87,7 +87,7 @@ def counts_of(chunks: list[str], memo: dict[str, tuple]) -> dict:
 class FeatureMemo(dict):
     """Features of a stretch that the classifier knows, as their numbers (all, as text, without numbers); bounded."""
 
-    def __init__(self, numbers: dict[str, int] | None = None, entries: int = 200_000) -> None:
+    def __init__(self, numbers: dict[str, int] | None = None, entries: int = 100_000) -> None:
         super().__init__()
         self.numbers, self.entries = numbers, entries
 
@@ -149,12 +149,12 @@ def _feature_counts(sample: DataFrame) -> DataFrame:
             for i in range(rows.num_rows):
                 toxic = int(rows.column(1)[i].as_py())
                 sums.update((f, toxic) for f in counts_of(words_of(rows.column(0)[i].as_py()), memo))
-                if len(sums) > 300_000:
+                if len(sums) > 150_000:
                     yield batch()
                     sums.clear()
         yield batch()
 
-    return sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "feature string, toxic int, n long")
+    return small_batches(sample.select("text", F.col("toxic").cast("int").alias("toxic"))).mapInArrow(run, "feature string, toxic int, n long")
 
 
 def choose_features(sample: DataFrame, features: int = FEATURES) -> list[str]:
@@ -300,4 +300,4 @@ def keep_rows(docs: DataFrame, make: Callable[[], Callable[[str | None], bool]])
             texts = batch.column(batch.schema.get_field_index("text"))
             yield batch.filter(pa.array([keep(x.as_py()) for x in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
