@@ -7,8 +7,12 @@ several keys.
 
 The windows of an item are as long as its size class, at every offset at which they fit; those of a document begin at
 every fourth word, so that a copy is met at the same offset wherever it stands. All sampled steps but one come early in
-the walk and are looked up first: only windows with a partner there are walked to the end. What agrees in a whole key is
-verified by the exact edit distance between item and text, in words: at most a fifth of the item's words may differ.
+the walk and are looked up first: only windows with a partner there are walked to the end.
+
+The walks miss copies whose edits stand at the front of a window. So each item is also cut into one stretch more than it
+may have edits: a copy within the accepted distance has one of them unchanged, and its words are looked up at every word
+of a document. What agrees in a whole key or stretch is verified by the exact edit distance between item and text, in
+words: at most a fifth of the item's words may differ, and every such copy is found.
 
 Results for odd rows: null, empty and short texts match nothing; an item of fewer than ``MIN_ITEM_WORDS`` words is too
 short to tell a copy and matches nothing, as is one without id; equal items match alike; a row of documents gives rows of
@@ -17,7 +21,7 @@ its own; of several copies of an item in a text the best and then first one is t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from functools import reduce
 
 import numpy as np
@@ -82,12 +86,36 @@ def _late_words(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, walk
     return out
 
 
+def _runs(words: np.ndarray, lengths: Collection[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """The hashes of as many words in a row as each length says, at every place where they fit."""
+    total = np.zeros(len(words), np.uint64)
+    for i in range(min(max(lengths, default=0), len(words))):
+        total = mix(total[:len(words) - i] * np.uint64(0x9E3779B97F4A7C15) + words[i:])
+        if i + 1 in lengths:
+            yield i + 1, total
+
+
+def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places (in the sorted ``keys``, in ``wanted``) with the same key."""
+    low, high = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
+    number = high - low
+    return np.repeat(low - np.cumsum(number) + number, number) + np.arange(number.sum()), np.repeat(np.arange(len(wanted)), number)
+
+
+def _table(keys: np.ndarray) -> np.ndarray:
+    """Which beginnings of a key occur."""
+    table = np.zeros(1 << TABLE_BITS, bool)
+    table[(keys >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
+    return table
+
+
 class Matcher:
-    """Searches texts for the items: an index of LSH keys by walk."""
+    """Searches texts for the items: an index of LSH keys by walk, and one of unchanged stretches by length."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.items: list[tuple[int, np.ndarray]] = []
         pieces, starts, lengths, owners, offsets, at = [], [], [], [], [], 0
+        cuts: list[tuple[int, int, int, int]] = []
         for item_id, text in items:
             words = words_at(lowered(text), MARKS)[0]
             if len(words) < MIN_ITEM_WORDS:
@@ -98,6 +126,9 @@ class Matcher:
                 lengths.append(length)
                 owners.append(len(self.items))
                 offsets.append(offset)
+            parts = int(DIFFERENT * len(words)) + 1
+            edges = [i * len(words) // parts for i in range(parts + 1)]
+            cuts += [(b - a, at + a, len(self.items), a) for a, b in zip(edges, edges[1:], strict=False)]
             self.items.append((item_id, words))
             pieces += [words, np.zeros(1, np.uint64)]
             at += len(words) + 1
@@ -108,14 +139,18 @@ class Matcher:
         for walk in range(WALKS if pieces else 0):
             early, late = _early_keys(flat, begin, walk), _late_words(flat, begin, size, walk)
             order = np.argsort(early, kind="stable")
-            table = np.zeros(1 << TABLE_BITS, bool)
-            table[(early >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
-            self.index.append((table, early[order], late[order], size[order],
+            self.index.append((_table(early), early[order], late[order], size[order],
                                np.array(owners, np.int64)[order], np.array(offsets, np.int64)[order]))
+        self.stretches: dict[int, tuple[np.ndarray, ...]] = {}
+        for length, hashes in _runs(flat, {c[0] for c in cuts}):
+            place, owner, offset = np.array([c[1:] for c in cuts if c[0] == length], np.int64).T
+            keys = hashes[place]
+            order = np.argsort(keys, kind="stable")
+            self.stretches[length] = _table(keys), keys[order], owner[order], offset[order]
 
     def search(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int, int]]:
         """Rows (text, item id, edit distance, item words, first word, last word), best copy of each item in each text."""
-        if not self.index:
+        if not self.items:
             return []
         sizes = np.array([len(t) + 1 for t in texts], np.int64)
         hashes, starts = words_at(b" ".join(texts), MARKS)
@@ -128,35 +163,55 @@ class Matcher:
         inside = place - first_of[text_of]
         windows = place[inside % STRIDE == 0]
         found: set[tuple[int, int, int]] = set()
+
+        def note(at: np.ndarray, owner: np.ndarray, offset: np.ndarray) -> None:
+            text = np.searchsorted(first_of, at, side="right") - 1
+            found.update(zip(text.tolist(), owner.tolist(), (at - first_of[text] - offset).tolist(), strict=True))
+
         for walk, (table, keys, late, lengths, owners, offsets) in enumerate(self.index):
             early = _early_keys(words, windows, walk)
             hit = table[(early >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
             early, at = early[hit], windows[hit]
-            low, high = np.searchsorted(keys, early, "left"), np.searchsorted(keys, early, "right")
-            number = high - low
-            entry = np.repeat(low - np.cumsum(number) + number, number) + np.arange(number.sum())
-            at = np.repeat(at, number)
+            entry, window = _places(keys, early)
+            at = at[window]
             same = _late_words(words, at, lengths[entry], walk) == late[entry]
             entry, at = entry[same], at[same]
-            text = np.searchsorted(first_of, at, side="right") - 1
-            found.update(zip(text.tolist(), owners[entry].tolist(), (at - first_of[text] - offsets[entry]).tolist(), strict=True))
+            note(at, owners[entry], offsets[entry])
+        for length, hashes in _runs(words, self.stretches.keys()):
+            table, keys, owners, offsets = self.stretches[length]
+            at = np.flatnonzero(table[(hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
+            entry, window = _places(keys, hashes[at])
+            note(at[window], owners[entry], offsets[entry])
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for text, item, start in sorted(found):
+        for text, item, low, high in self._searched(found, counts):
             wanted = self.items[item][1]
-            if best.get((text, item), (1,))[0] == 0:
-                continue
             most = int(DIFFERENT * len(wanted))
-            low, high = max(0, start - most), min(int(counts[text]), start + len(wanted) + most)
             own = words[first_of[text] + low:first_of[text] + high]
             masks, listed = self._masks(item), own.tolist()
             if sum(map(masks.__contains__, listed)) < len(wanted) - most:  # too few words of the item for the distance
                 continue
             distance, end = _edit_distance(masks, len(wanted), listed)
-            if distance <= most and (distance, low + end) < (best.get((text, item), (len(wanted),))[0], 1 << 60):
+            if distance <= most and distance < best.get((text, item), (len(wanted),))[0]:
                 back = _first(wanted, own[:end + 1], distance)
                 best[text, item] = (distance, low + back, low + end)
         return [(text, self.items[item][0], d, len(self.items[item][1]), a, b) for (text, item), (d, a, b) in best.items()]
 
+    def _searched(self, found: set[tuple[int, int, int]], counts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Stretches (text, item, first word, end) around the places found; those that overlap are searched as one."""
+        last: tuple[int, int, int, int] | None = None
+        for text, item, start in sorted(found):
+            n = len(self.items[item][1])
+            most = int(DIFFERENT * n)
+            low, high = max(0, start - most), min(int(counts[text]), start + n + most)
+            if last and last[:2] == (text, item) and low < last[3]:
+                last = (text, item, last[2], max(high, last[3]))
+                continue
+            if last:
+                yield last
+            last = (text, item, low, high)
+        if last:
+            yield last
+
     def _masks(self, item: int) -> dict[int, int]:
         """The places of each word of the item, as bits."""
         if item not in self.masks:

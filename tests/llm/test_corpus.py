@@ -124,6 +124,24 @@ def test_leaks_are_found_up_to_a_fifth_of_edits(spark, sf_dir):
     assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, bench).where("doc_id < 0").collect()) == [-2, -1]
 
 
+@pytest.mark.parametrize("place", ["front", "middle", "end", "spread", "lost"])
+def test_every_copy_within_a_fifth_is_found_wherever_its_edits_stand(place):
+    random.seed(15)
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(11, 101)]
+    matcher = decontaminate.Matcher(items)
+    for n, text in items:
+        words, k = text.split(), n // 5
+        if place == "lost":
+            words = words[k:]
+        else:
+            first = {"front": 0, "middle": (n - k) // 2, "end": n - k}.get(place)
+            for at in random.sample(range(n), k) if first is None else range(first, first + k):
+                words[at] = "edit"
+        before = ["before"] * random.randrange(9)
+        found = matcher.search([" ".join([*before, *words, *["after"] * 9]).encode()])
+        assert [row[1:4] for row in found] == [(n, k, n)]
+
+
 def test_edit_distance_is_exact():
     random.seed(6)
     for _ in range(200):
