@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyward.functions.text import literal
 from tallyward.llm.common import saved
 
 #: Fixed values of the contract, in its order of kinds; written so that long runs are read once.
@@ -29,8 +30,8 @@ PATTERNS = {
 }
 KINDS = tuple(PATTERNS)
 NEEDED = {"email": "@", "ip": ".", "phone": "+"}
-#: Telephone and card numbers in their usual grouping, which the sanitiser takes out first: a neighbouring number
-#: would otherwise join them to one match that no kind accepts.
+#: Telephone and card numbers in their usual grouping, which the sanitiser takes out first outside the base spans: a neighbouring
+#: number would otherwise join them to one match that no kind accepts.
 GROUPED = {"phone": r"\+[0-9]{1,3}\x20?\([0-9]{1,4}\)\x20?[0-9]{2,4}[\x20.-]?[0-9]{3,4}(?![0-9])",
            "card": r"(?<![0-9])[0-9]{4}(?:[\x20-]?[0-9]{4}){3}(?![0-9])"}
 #: Characters on either side of an entity whose words count as near it.
@@ -189,34 +190,59 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     return both.select("doc_id", *counts, F.sha2(_joined(F.col("spans")).cast("binary"), 256).alias("base_sha256"), _joined(every).alias("spans"))
 
 
-def _without(df: DataFrame, kind: str, pattern: str, valid: str) -> DataFrame:
-    """``whole`` with the valid matches of a pattern replaced by the name of the kind in brackets."""
-    df = _matched(df, "whole", pattern, kind, NEEDED.get(kind))
-    pieces = F.expr(f"transform(g_{kind}, (g, nth) -> CASE WHEN nth >= size(m_{kind}) THEN g WHEN {valid.format(m=f'get(m_{kind}, nth)')} "
-                    f"THEN concat(g, '[{kind.upper()}]') ELSE concat(g, get(m_{kind}, nth)) END)")
-    return df.withColumn("whole", F.when(F.size(f"m_{kind}") > 0, F.array_join(pieces, "")).otherwise(F.col("whole"))).drop(f"m_{kind}", f"g_{kind}")
+def _stretches(df: DataFrame) -> DataFrame:
+    """Adds ``labels``, the kinds of the spans in brackets, overlapping ones as the first, and ``outside``, the text around them.
+
+    ``reach`` is the furthest end of the spans before; as in ``positions`` it runs in two levels, and a stretch is cut from
+    the pieces that it touches.
+    """
+    none = "CAST(array() AS ARRAY<STRUCT<r:INT,s:INT,kind:INT>>)"
+    chunks = f"transform(sequence(0, CAST((size(spans) - 1) / {CHUNK} AS INT)), c -> slice(spans, c * {CHUNK} + 1, {CHUNK}))"
+    before = ("aggregate(chunks, struct(0 AS at, CAST(array() AS ARRAY<INT>) AS out), (a, k) -> struct("
+              "greatest(a.at, array_max(transform(k, o -> o.e))) AS at, array_append(a.out, a.at) AS out), a -> a.out)")
+    reached = (f"flatten(transform(chunks, (k, c) -> aggregate(k, struct(before[c] AS at, {none} AS out), (a, o) -> struct("
+               "greatest(a.at, o.e) AS at, array_append(a.out, struct(a.at AS r, o.s AS s, o.kind AS kind)) AS out), a -> a.out)))")
+    first = f"filter({_bound('chunks', chunks, _bound('before', before, reached))}, o -> o.s >= o.r)"
+    labels = ", ".join(f"'[{kind.upper()}]'" for kind in KINDS)
+    part = (f"substring(array_join(slice(pieces, CAST(o.r / {PIECE} AS INT) + 1, CAST(o.s / {PIECE} AS INT) - CAST(o.r / {PIECE} AS INT) + 1), ''), "
+            f"o.r % {PIECE} + 1, o.s - o.r)")
+    df = df.withColumn("first", F.when(F.size("spans") > 0, F.expr(first)))
+    df = df.withColumn("pieces", F.when(F.size("spans") > 0, F.regexp_extract_all("whole", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))
+    cuts = "concat(first, array(struct(array_max(transform(spans, o -> o.e)) AS r, length(whole) AS s, 0 AS kind)))"
+    return (df.withColumn("labels", F.expr(f"coalesce(transform(first, o -> array({labels})[o.kind]), CAST(array() AS ARRAY<STRING>))"))
+            .withColumn("outside", F.expr(f"CASE WHEN size(spans) > 0 THEN transform({cuts}, o -> {part}) ELSE array(whole) END"))
+            .drop("first", "pieces"))
+
+
+def _without(kind: str, pattern: str) -> Column:
+    """``outside`` with the valid matches of a pattern replaced by the name of the kind in brackets."""
+    needed = f"contains(x, '{NEEDED.get(kind, '')}') AND rlike(x, '[0-9]')"
+    found = f"struct(regexp_extract_all(x, {literal(pattern)}, 0) AS m, split(x, {literal(pattern)}, -1) AS g)"
+    pieces = _bound("z", found, f"transform(z.g, (g, nth) -> CASE WHEN nth >= size(z.m) THEN g WHEN {VALID[kind].format(m='get(z.m, nth)')} "
+                                f"THEN concat(g, '[{kind.upper()}]') ELSE concat(g, get(z.m, nth)) END)")
+    return F.expr(f"transform(outside, x -> CASE WHEN {needed} THEN array_join({pieces}, '') ELSE x END)")
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with personal data and disclosing terms generalised to their kind; ``n_chars`` counts anew.
 
-    A text without such data stays as it is, null included.
+    The base spans go by their places in the original text, overlapping ones as one; terms, and numbers that a neighbour
+    hid, are looked for only in the stretches outside them. A text without such data stays as it is, null included.
     """
     base = saved(base_table(docs), "pii-base")
     terms = (disclosing_spans(docs, base).groupBy("doc_id", "h1", "h2")
              .agg(F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.sort_array(F.collect_set("term")), "|"), F.lit(r")(?![\p{L}\p{N}])")).alias("terms"))
              .select(F.col("doc_id").alias("same_id"), F.col("h1").alias("same1"), F.col("h2").alias("same2"), "terms"))
     # the row travels as one column, so that no name of it can clash with those of the patterns
-    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), F.coalesce("text", F.lit("")).alias("whole"))
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), F.col("text"))
+    df = _stretches(find_base(df))
     h1, h2 = _key()
     df = df.join(terms, F.col("same_id").eqNullSafe(F.col("doc_id")) & (F.col("same1") == h1) & (F.col("same2") == h2), "left")
-    df = df.withColumn("whole", F.when(F.col("terms").isNotNull(), F.regexp_replace("whole", F.col("terms"), F.lit("[TERM]"))).otherwise(F.col("whole")))
-    for kind, pattern in (("email", PATTERNS["email"]), ("ip", PATTERNS["ip"])):
-        df = _without(df, kind, pattern, VALID[kind])
-    for kind, pattern in GROUPED.items():
-        df = _without(df, kind, pattern, VALID[kind])
-    for kind in ("card", "phone"):
-        df = _without(df, kind, PATTERNS[kind], VALID[kind])
+    df = df.withColumn("outside", F.when(F.col("terms").isNull(), F.col("outside"))
+                       .otherwise(F.transform("outside", lambda x: F.regexp_replace(x, F.col("terms"), F.lit("[TERM]")))))
+    for kind, pattern in (("ip", PATTERNS["ip"]), *GROUPED.items(), *[(kind, PATTERNS[kind]) for kind in ("card", "phone")]):
+        df = df.withColumn("outside", _without(kind, pattern))
+    df = df.withColumn("whole", F.expr("array_join(transform(outside, (x, nth) -> concat(x, coalesce(get(labels, nth), ''))), '')"))
     text = F.when(F.col("row.text").isNotNull(), F.col("whole"))
     own = {"text": text, "n_chars": F.length(text)}
     return df.select(*[own[f.name].cast(f.dataType).alias(f.name) if f.name in own else F.col("row")[f.name].alias(f.name) for f in docs.schema])

@@ -111,6 +111,18 @@ def test_neighbouring_numbers_are_taken_out(spark):
     assert rows[0].text is None and rows[1].text == "call [PHONE] [IP] or [CARD] [PHONE] [CARD] x" and rows[1].n_chars == len(rows[1].text)
 
 
+def test_terms_and_earlier_kinds_leave_no_part_of_a_base_span(spark):
+    rows = [(i, f"nothing special here line {i} quite ordinary words") for i in range(200)]
+    rows += [(1000 + i, f"context{i} Acme and nothing special at info@acme.com now{i}") for i in range(5)]
+    rows += [(2000 + i, f"topic{i} Johnny and nothing special at j.doe@corp.com johnny@corp.com here{i}") for i in range(5)]
+    rows += [(3000, "x +1 10.0.0.1 5550 y"), (3001, "a@b.co " * 700 + "é😀 4111111111111111 " * 300 + "end"), (3002, "1.2.3.4"), (3003, "a1.2.3.4@b.c +1 (826) 555-4081 10.0.0.1")]
+    clean = {r.doc_id: r.text for r in privacy.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean[1001] == "context1 [TERM] and nothing special at [EMAIL] now1"
+    assert clean[2001] == "topic1 [TERM] and nothing special at [EMAIL] [EMAIL] here1"
+    assert clean[3000] == "x [PHONE] y" and clean[3001] == "[EMAIL] " * 700 + "é😀 [CARD] " * 300 + "end"
+    assert clean[3002] == "[IP]" and clean[3003] == "[EMAIL] [PHONE] [IP]" and clean[3] == rows[3][1]
+
+
 def plain_licenses(text):
     words = licenses.words_of(text or "")
     hits = [(i, label) for phrase, label in licenses.PHRASES for i in range(len(words)) if words[i:i + phrase.count(" ") + 1] == phrase.split()]
