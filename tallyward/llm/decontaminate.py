@@ -14,13 +14,17 @@ may have edits: a copy within the accepted distance has one of them unchanged, a
 of a document. What agrees in a whole key or stretch is verified by the exact edit distance between item and text, in
 words: at most a fifth of the item's words may differ, and every such copy is found.
 
-Results for odd rows: null, empty and short texts match nothing; an item of fewer than ``MIN_ITEM_WORDS`` words is too
-short to tell a copy and matches nothing, as is one without id; equal items match alike; a row of documents gives rows of
+An item of fewer than ``MIN_EDITED_WORDS`` words is found where all its words stand unchanged in a row. Scripts that put no
+blanks between words (Chinese, Japanese, Thai and others) are cut into characters, each of which counts as a word.
+
+Results for odd rows: null and empty texts match nothing; an item of fewer than ``MIN_ITEM_WORDS`` words is no more than
+a common phrase and matches nothing, as does one without id; equal items match alike; a row of documents gives rows of
 its own; of several copies of an item in a text the best and then first one is told.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Collection, Iterator
 from functools import reduce
 
@@ -34,7 +38,8 @@ from tallyward.llm.shingles import MARKS, mix, words_at
 
 STRIDE = 4
 WALKS = 8
-MIN_ITEM_WORDS = 11
+MIN_ITEM_WORDS = 5
+MIN_EDITED_WORDS = 11
 DIFFERENT = 0.2
 #: Window lengths; an item takes the largest that leaves STRIDE offsets.
 CLASSES = (8, 12, 18, 27, 40, 60, 90, 135, 200, 300, 450, 700, 1000)
@@ -44,6 +49,10 @@ BLOCK_WORDS = 400_000
 TOGETHER = 1 << 20
 TABLE_BITS = 20
 END = np.uint64(0)
+#: Characters of scripts without blanks, and their punctuation.
+UNSPACED = re.compile("([\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u2e80-\u2fdf\u3005-\u3007\u3021-\u312f"
+                      "\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua9e0-\ua9fe\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff])")
+UNSPACED_MARKS = re.compile("[\u3000-\u3004\u3008-\u3020\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 
 
 def _early(walk: int) -> tuple[int, int, int]:
@@ -86,6 +95,11 @@ def _late_words(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, walk
     return out
 
 
+def _allowed(n: int) -> int:
+    """How many edits a copy of an item of ``n`` words may have."""
+    return int(DIFFERENT * n) if n >= MIN_EDITED_WORDS else 0
+
+
 def _runs(words: np.ndarray, lengths: Collection[int]) -> Iterator[tuple[int, np.ndarray]]:
     """The hashes of as many words in a row as each length says, at every place where they fit."""
     total = np.zeros(len(words), np.uint64)
@@ -120,13 +134,14 @@ class Matcher:
             words = words_at(lowered(text), MARKS)[0]
             if len(words) < MIN_ITEM_WORDS:
                 continue
-            length = max(c for c in CLASSES if c <= len(words) - STRIDE + 1)
-            for offset in range(len(words) - length + 1):
+            edited = len(words) >= MIN_EDITED_WORDS
+            length = max(c for c in CLASSES if c <= len(words) - STRIDE + 1) if edited else 0
+            for offset in range(len(words) - length + 1 if edited else 0):
                 starts.append(at + offset)
                 lengths.append(length)
                 owners.append(len(self.items))
                 offsets.append(offset)
-            parts = int(DIFFERENT * len(words)) + 1
+            parts = _allowed(len(words)) + 1
             edges = [i * len(words) // parts for i in range(parts + 1)]
             cuts += [(b - a, at + a, len(self.items), a) for a, b in zip(edges, edges[1:], strict=False)]
             self.items.append((item_id, words))
@@ -185,7 +200,7 @@ class Matcher:
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for text, item, low, high in self._searched(found, counts):
             wanted = self.items[item][1]
-            most = int(DIFFERENT * len(wanted))
+            most = _allowed(len(wanted))
             own = words[first_of[text] + low:first_of[text] + high]
             masks, listed = self._masks(item), own.tolist()
             if sum(map(masks.__contains__, listed)) < len(wanted) - most:  # too few words of the item for the distance
@@ -201,7 +216,7 @@ class Matcher:
         last: tuple[int, int, int, int] | None = None
         for text, item, start in sorted(found):
             n = len(self.items[item][1])
-            most = int(DIFFERENT * n)
+            most = _allowed(n)
             low, high = max(0, start - most), min(int(counts[text]), start + n + most)
             if last and last[:2] == (text, item) and low < last[3]:
                 last = (text, item, last[2], max(high, last[3]))
@@ -249,13 +264,19 @@ def _first(wanted: np.ndarray, own: np.ndarray, distance: int) -> int:
 
 
 def lowered(text: str | None) -> bytes:
-    return (text or "").lower().encode("utf-8", "surrogatepass")
+    """The text in lower case, with blanks around each character of a script without blanks."""
+    low = (text or "").lower()
+    out = low.encode("utf-8", "surrogatepass")
+    if np.frombuffer(out, np.uint8).max(initial=0) < 0xE0:  # below all these scripts
+        return out
+    return UNSPACED_MARKS.sub(" ", UNSPACED.sub(r" \1 ", low)).encode("utf-8", "surrogatepass")
 
 
 def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of about ``block_words`` words; the number of blocks grows with the benchmark."""
     items = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    words = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    unspaced = F.length(F.regexp_replace("text", r"[\x{0}-\x{e00}]", ""))
+    words = items.agg(F.sum(F.size(F.split("text", r"\s+")) + unspaced)).first()[0] or 0
     blocks = int(words // block_words) + 1
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()

@@ -142,6 +142,18 @@ def test_every_copy_within_a_fifth_is_found_wherever_its_edits_stand(place):
         assert [row[1:4] for row in found] == [(n, k, n)]
 
 
+def test_short_items_and_scripts_without_blanks_are_found():
+    items = [(n, " ".join(f"s{n}x{k}" for k in range(n))) for n in range(5, 11)]
+    items += [(50, "中国的首都是哪一座城市？请回答"), (51, "日本の首都"), (52, "เมืองหลวงของไทยคืออะไร"), (53, "one two three")]
+    matcher = decontaminate.Matcher(items)
+    for item, text in items[:-1]:
+        found = matcher.search([f"before: {text}, after".encode(), decontaminate.lowered(f"前{text}。后"), b"one two three"])
+        assert [row[:3] for row in found if row[0] == 1 or item < 50] == ([(0, item, 0), (1, item, 0)] if item < 50 else [(1, item, 0)])
+    assert decontaminate.Matcher([(1, items[0][1])]).search([items[0][1].encode()]) == [(0, 1, 0, 5, 0, 4)]
+    assert matcher.search([b"s6x0 s6x1 s6x2 s6x3 s6x4 edit", b"s6x0"]) == []
+    assert [row[1:4] for row in matcher.search([decontaminate.lowered("问：中国的首都是那一座城市，请回答")])] == [(50, 1, 14)]
+
+
 def test_edit_distance_is_exact():
     random.seed(6)
     for _ in range(200):
