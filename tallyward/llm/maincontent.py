@@ -10,7 +10,8 @@ own markup labels part of their blocks: what stands inside article or main is co
 aside, form and the like is boilerplate. Such markup, where a page has it, also counts as evidence with a fixed weight.
 
 Results for odd rows: null or empty html, and html without content, give an empty text; unclosed and stray tags are
-closed as a browser would; repeated rows are treated alike; no text is dropped for its length.
+closed as a browser would, and an element whose text is not shown (an unclosed button, select, object) ends at the latest
+with the block around it; repeated rows are treated alike; no text is dropped for its length.
 """
 
 from __future__ import annotations
@@ -39,9 +40,14 @@ MAX_FEATURE_LOG_ODDS = 2.0
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure
 footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary
 table tbody td tfoot th thead tr ul""".split())
-UNSEEN = frozenset("script style noscript template head title svg math iframe object canvas audio video textarea button select".split())
+UNSEEN = frozenset("script style noscript template title svg math iframe object canvas audio video textarea button select".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Markup inside svg and math that a browser takes for the page again, unless it stands in one of the inner elements.
+BREAKOUT = BLOCKS - set("article aside details dialog dir fieldset figcaption figure footer form header hgroup legend main option search section select "
+                        "summary tfoot".split()) | set("b big br code em embed font i img s small span strike strong sub sup tt u var".split())
+FOREIGN = frozenset("svg math".split())
+FOREIGN_INNER = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 CONTENT_TAGS = frozenset("article main".split())
 PLAIN_TAGS = frozenset("nav footer aside form menu dialog search".split())
 CONTENT_NAMES = frozenset("article content post entry story main body text".split())
@@ -85,7 +91,9 @@ def blocks_of(page: str | None) -> list[Block]:
         return []
     stack, blocks, pieces, opened = [_Open("", 0, 0, 0)], [], [], Counter()
     links = linked = number = at = 0
+    end = len(page)
     hidden: str | None = None  # an element whose text is not shown
+    inner: list[str] = []  # what is open in it
 
     def flush() -> None:
         nonlocal linked
@@ -103,6 +111,39 @@ def blocks_of(page: str | None) -> list[Block]:
             if gone == tag:
                 break
 
+    def skip(tag: str, start: int) -> int:
+        """Where an element without markup inside ends."""
+        over = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, start)
+        return over.end() if over else end
+
+    def still_hidden(tag: str, closing: bool, attributes: str) -> bool:
+        """Whether a tag inside the hidden element belongs to it; False for one of the page around it."""
+        nonlocal hidden, at
+        foreign = hidden in FOREIGN
+        if closing:
+            if tag in inner:
+                while inner.pop() != tag:
+                    pass
+            elif tag == hidden:
+                hidden = None
+            elif hidden != "template" and tag in BLOCKS and opened[tag]:
+                hidden = None
+                return False
+            return True
+        if foreign and tag in BREAKOUT and not FOREIGN_INNER.intersection(inner):
+            hidden = None
+            return False
+        if hidden == "select" and tag in ("input", "textarea"):
+            hidden = None
+            return False
+        if tag == hidden and tag in ("button", "select"):  # the one before ends
+            inner.clear()
+        elif tag in RAW and not foreign:
+            at = skip(tag, at)
+        elif tag not in VOID and not attributes.endswith("/") and (tag in BLOCKS or tag == hidden or foreign and tag in FOREIGN_INNER):
+            inner.append(tag)
+        return True
+
     def words(text: str) -> None:
         nonlocal linked
         if text and hidden is None:
@@ -110,7 +151,6 @@ def blocks_of(page: str | None) -> list[Block]:
             if links:
                 linked += len(text.strip())
 
-    end = len(page)
     for found in TOKEN.finditer(page):
         if found.start() < at:
             continue
@@ -119,9 +159,7 @@ def blocks_of(page: str | None) -> list[Block]:
         tag = (found[2] or "").lower()
         if not tag:
             continue
-        if hidden is not None:
-            if found[1] and tag == hidden:
-                hidden = None
+        if hidden is not None and still_hidden(tag, bool(found[1]), found[3]):
             continue
         if found[1]:
             if tag == "a":
@@ -134,10 +172,10 @@ def blocks_of(page: str | None) -> list[Block]:
             flush() if tag in BLOCKS else None
             if not found[3].endswith("/"):
                 if tag in RAW:  # no markup inside
-                    over = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                    at = over.end() if over else end
+                    at = skip(tag, at)
                 else:
                     hidden = tag
+                    inner.clear()
             pieces.append(" ")
             continue
         if tag == "br":

@@ -177,6 +177,24 @@ def test_main_text_of_a_page(spark):
     assert maincontent.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(("page", "wanted"), [
+    ("<html><head><title>t<b></title><meta x><script>'<body>'</script><body><p>Article.", ["Article."]),
+    ("<head><link rel=x><style>p{}</style><p>Article.<p>More.", ["Article.", "More."]),
+    ("<div><button>Send</div><p>Article.", ["Article."]),
+    ("<div><p>Before. <button><svg><path d=x></svg>Send</p><p>After.</div>", ["Before.", "After."]),
+    ("<div><select><option>a<option>b</div><p>Article.", ["Article."]),
+    ("<ul><li>One <object data=x><p>old</li><li>Two</ul>", ["One", "Two"]),
+    ("<div><video><source src=x><p>old</div>Article.", ["Article."]),
+    ("<svg><path d=x><g><p>Article.", ["Article."]),
+    ("<div>a <svg><foreignObject><div>x</div><p>y</foreignObject><title>t</title></svg> b</div>", ["a b"]),
+    ("<div>a <object><div>x<object>y</object></div>z</object> b</div>", ["a b"]),
+    ("<div>a <button><script>'</div>'</script>x</button> b <template></div>x</template> c</div>", ["a b c"]),
+    ("<div>a <select><option>x</select> b <select><option>y <input> c</div>", ["a", "b", "c"]),
+])
+def test_unclosed_elements_do_not_hide_the_rest(page, wanted):
+    assert [b.text for b in maincontent.blocks_of(page)] == wanted
+
+
 def test_article_of_every_given_page(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     wrong = (maincontent.extract_pages(pages).join(pages.select("page_id", "html"), "page_id")
