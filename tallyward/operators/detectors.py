@@ -22,29 +22,34 @@ from tallyward.functions.times import (
 )
 from tallyward.operators.frames import check_number, empty_frame
 from tallyward.operators.ordered import (
-    NO_TIME, SECOND, micros, micros_or_last, running_peak, running_totals, time_bucket, with_previous,
+    NO_TIME, SECOND, micros, micros_or_last, running_peaks, time_bucket, totals_of_events, with_previous,
 )
+from tallyward.operators.timeline import scan, timeline
+from tallyward.session import written
 
 YEAR_MINUTES = 60 * 24 * 365
 MAX_DAYS = 365 * 50
 
 
-def country_switches(logins: DataFrame, keep_unknown: bool) -> DataFrame:
-    """Successful logins whose country differs from that of the user's login before.
+def successes_in_order(logins: DataFrame) -> DataFrame:
+    """Different successes of each user with the success before (``previous``), and the one with a country (``known``).
 
-    Logins at one instant are ordered by country, then address.
+    Logins at one instant are ordered by country, then address. Of equal logins only the first can differ from the one before.
     """
-    rows = logins.filter(is_success() & F.col("loginTime").isNotNull())
-    if not keep_unknown:
-        rows = rows.filter(F.col("countryIso").isNotNull())
     ip = F.col("sourceIp") if "sourceIp" in logins.columns else F.lit(None).cast("string")
-    shown = rows.select(
-        "userId", micros(F.col("loginTime")).alias("at"), "countryIso", ip.alias("sourceIp"))
+    shown = logins.filter(is_success() & F.col("loginTime").isNotNull()).select(
+        "userId", micros(F.col("loginTime")).alias("at"), "countryIso", ip.alias("sourceIp")).distinct()
     order = ["at", "countryIso", "sourceIp"]
-    previous = F.col("previous")
+    place = F.struct(*order)
+    return scan(timeline(shown, ["userId"], order),
+                lasts={"previous": place, "known": F.when(F.col("countryIso").isNotNull(), place)})
+
+
+def country_switches(successes: DataFrame, before: str) -> DataFrame:
+    """Successes whose country differs from that of the login in the column ``before``."""
+    previous = F.col(before)
     return (
-        with_previous(shown, ["userId"], order, order)
-        .filter(previous.countryIso.isNotNull() & (previous.countryIso != F.col("countryIso")))
+        successes.filter(previous.countryIso.isNotNull() & (previous.countryIso != F.col("countryIso")))
         .select(
             "userId",
             previous.countryIso.alias("prevCountry"), "countryIso",
@@ -56,15 +61,19 @@ def country_switches(logins: DataFrame, keep_unknown: bool) -> DataFrame:
     )
 
 
-def impossible_travel(logins: DataFrame, min_km: float = 1000, max_hours: float = 2.0) -> DataFrame:
-    """Two successful logins of a user in far countries within ``max_hours``."""
+def impossible_travel(logins: DataFrame, min_km: float = 1000, max_hours: float = 2.0,
+                      successes: DataFrame | None = None) -> DataFrame:
+    """Two successful logins of a user in far countries within ``max_hours``.
+
+    ``successes`` are those of ``successes_in_order`` where they are there already.
+    """
     check_number("max_hours", max_hours, 0, 24 * 365)
     if not has_columns(logins, "userId", "loginTime", "countryIso", "status"):
         return empty_frame(logins.sparkSession, (
             "userId string, prevCountry string, countryIso string, prevTime timestamp, "
             "loginTime timestamp, prevIp string, sourceIp string, hoursDelta double, distanceKm double"))
-    close = country_switches(logins, keep_unknown=False).filter(
-        F.col("gap") <= int(max_hours * MICROS_PER_HOUR))
+    ordered = successes_in_order(logins) if successes is None else successes
+    close = country_switches(ordered, "known").filter(F.col("gap") <= int(max_hours * MICROS_PER_HOUR))
     return (
         with_distance(close, "prevCountry", "countryIso")
         .filter(F.coalesce(F.col("distanceKm"), F.lit(0.0)) >= min_km)
@@ -73,7 +82,7 @@ def impossible_travel(logins: DataFrame, min_km: float = 1000, max_hours: float
     )
 
 
-def concurrent_countries(logins: DataFrame, max_minutes: float = 5) -> DataFrame:
+def concurrent_countries(logins: DataFrame, max_minutes: float = 5, successes: DataFrame | None = None) -> DataFrame:
     """Two successful logins of a user from different countries within ``max_minutes``.
 
     A login without a country stays in the sequence and separates its neighbours.
@@ -84,7 +93,7 @@ def concurrent_countries(logins: DataFrame, max_minutes: float = 5) -> DataFrame
             "userId string, prevCountry string, countryIso string, prevTime timestamp, "
             "loginTime timestamp, prevIp string, sourceIp string, minutesDelta double"))
     return (
-        country_switches(logins, keep_unknown=True)
+        country_switches(successes_in_order(logins) if successes is None else successes, "previous")
         .filter(F.col("gap") <= int(max_minutes * MICROS_PER_MINUTE))
         .withColumn("minutesDelta", minutes_between(F.col("prevTime"), F.col("loginTime")))
         .drop("gap")
@@ -152,19 +161,19 @@ def brute_force(logins: DataFrame, min_failures: int = 10, window_minutes: float
     window = int(window_minutes * MICROS_PER_MINUTE)
     failed = logins.filter(is_failure() & F.col(group_by).isNotNull()).select(
         group_by, F.col(member).alias("member"), micros_or_last(F.col("loginTime")).alias("at"))
-    ones = failed.withColumn("n", F.lit(1).cast("long"))
-    failures = running_peak(trailing_steps(ones, [group_by], window, ["n"]), [group_by], "n", "peakFailuresInWindow")
-    members = running_peak(_member_steps(failed, group_by, "member", window), [group_by], "n", "uniqueUsersTargeted")
+    failed = written(failed.groupBy(group_by, "member", "at").agg(F.count(F.lit(1)).alias("n")), "failures")
+    failures = trailing_steps(failed, [group_by], window, ["n"]).withColumnRenamed("n", "failures")
+    members = _member_steps(failed, group_by, "member", window).withColumnRenamed("n", "members")
+    peaks = running_peaks(failures.unionByName(members, allowMissingColumns=True), [group_by],
+                          {"failures": "peakFailuresInWindow", "members": "uniqueUsersTargeted"})
     real = F.when(F.col("at") != NO_TIME, F.col("at"))
     totals = failed.groupBy(group_by).agg(
-        F.count(F.lit(1)).alias("totalFailures"),
+        F.sum("n").alias("totalFailures"),
         F.timestamp_micros(F.min(real)).alias("firstSeen"),
         F.timestamp_micros(F.max(real)).alias("lastSeen"))
-    reached = failures.filter(F.col("peakFailuresInWindow") >= min_failures)
-    joined = reached.join(members, group_by, "left").join(totals, group_by)
     return (
-        joined.withColumn("uniqueUsersTargeted", F.coalesce("uniqueUsersTargeted", F.lit(0).cast("long")))
-        .filter(F.col("uniqueUsersTargeted") >= min_unique_users)
+        peaks.filter((F.col("peakFailuresInWindow") >= min_failures) & (F.col("uniqueUsersTargeted") >= min_unique_users))
+        .join(totals, group_by)
         .select(group_by, "peakFailuresInWindow", "uniqueUsersTargeted", "totalFailures", "firstSeen", "lastSeen")
     )
 
@@ -175,18 +184,35 @@ def prior_failures(logins: DataFrame, key: Sequence[str], failed: Column, window
 
     A missing time is one extra last instant.
     """
-    rows = logins.withColumn("at", micros_or_last(F.col("loginTime")))
-    counted = (rows if least <= 0 else rows.filter(failed)).select(
-        *key, "at", F.when(failed, 1).otherwise(0).cast("long").alias("fails"), F.lit(1).cast("long").alias("seen"))
-    steps = trailing_steps(counted, key, window, ["fails", "seen"], delay=SECOND)
-    probes = rows.filter(is_success()).select(*key, "at", *[c for c in payload if c not in key])
+    found = totals_of_events(_failure_events(logins, key, failed, window, least, payload), key, ["fails", "seen"])
     return (
-        running_totals(probes, steps, key, ["fails", "seen"])
-        .filter((F.col("running_seen") > 0) & (F.col("running_fails") >= least))
+        found.filter((F.col("running_seen") > 0) & (F.col("running_fails") >= least))
         .select(*key, "at", *payload, F.col("running_fails").alias("failures"))
     )
 
 
+def _failure_events(logins: DataFrame, key: Sequence[str], failed: Column, window: int, least: int,
+                    payload: Sequence[str]) -> DataFrame:
+    """Successes as probes, and what counts as entry a second later and exit after the window, in one pass over the logins."""
+    at, zero, one = F.col("at"), F.lit(0).cast("long"), F.lit(1).cast("long")
+    no_time, counts = at == NO_TIME, F.lit(True) if least <= 0 else failed
+    fails = F.when(failed, one).otherwise(zero)
+    own = [c for c in payload if c not in key]
+    kinds = dict(logins.dtypes)
+
+    def event(time: Column, sign: int) -> Column:
+        shown = [(F.col(c) if sign == 0 else F.lit(None).cast(kinds[c])).alias(c) for c in own]
+        return F.struct(time.alias("at"), F.lit(sign == 0).alias("is_probe"), *shown,
+                        (fails * sign).alias("fails"), (one * sign).alias("seen"))
+
+    events = F.array_compact(F.array(
+        F.when(is_success(), event(at, 0)),
+        F.when(counts, event(F.when(no_time, at).otherwise(at + SECOND), 1)),
+        F.when(counts & ~no_time, event(at + window + 1, -1))))
+    rows = logins.withColumn("at", micros_or_last(F.col("loginTime")))
+    return rows.select(*key, F.explode(events).alias("event")).select(*key, "event.*")
+
+
 def success_time(at: Column) -> Column:
     return F.when(at != NO_TIME, F.timestamp_micros(at))
 
@@ -207,31 +233,35 @@ def failed_then_success(logins: DataFrame, min_prior_failures: int = 3,
                        F.col("failures").cast("int").alias("priorFailures"))
 
 
-def country_history(logins: DataFrame, lookback_days: float) -> tuple[DataFrame, Column]:
-    """Successes with a country, one row per (user, country), and the start of the recent part.
-
-    The start is the latest such login minus ``lookback_days``, as a scalar subquery.
-    """
+def recent_start(logins: DataFrame, lookback_days: float) -> Column:
+    """Latest success with a country minus ``lookback_days``, as a scalar subquery."""
     success = logins.filter(is_success() & F.col("countryIso").isNotNull())
-    start = success.select((F.max(micros(F.col("loginTime"))) - int(lookback_days * MICROS_PER_DAY))).scalar()
+    return success.select((F.max(micros(F.col("loginTime"))) - int(lookback_days * MICROS_PER_DAY))).scalar()
+
+
+def country_history(logins: DataFrame, start: Column) -> DataFrame:
+    """Successes with a country, one row per (user, country); ``start`` begins the recent part."""
     at = micros(F.col("loginTime"))
-    history = success.groupBy("userId", "countryIso").agg(
-        F.coalesce(F.bool_or(at < start), F.lit(False)).alias("known"),
-        F.min(F.when(at >= start, F.col("loginTime"))).alias("loginTime"),
-        F.min(F.when(at >= start, F.col("sourceIp"))).alias("sourceIp"))
-    return history, start
+    return (
+        logins.filter(is_success() & F.col("countryIso").isNotNull()).groupBy("userId", "countryIso").agg(
+            F.coalesce(F.bool_or(at < start), F.lit(False)).alias("known"),
+            F.min(F.when(at >= start, F.col("loginTime"))).alias("loginTime"),
+            F.min(F.when(at >= start, F.col("sourceIp"))).alias("sourceIp"))
+    )
 
 
-def new_country(logins: DataFrame, lookback_days: float = 90) -> DataFrame:
+def new_country(logins: DataFrame, lookback_days: float = 90, history: DataFrame | None = None) -> DataFrame:
     """First recent login per (user, country) not in the user's earlier countries.
 
-    Users without earlier logins are left out. ``sourceIp`` is the smallest address.
+    Users without earlier logins are left out. ``sourceIp`` is the smallest address. ``history`` is that of
+    ``country_history`` where it is there already.
     """
     check_number("lookback_days", lookback_days, 0, MAX_DAYS)
     if not has_columns(logins, "userId", "countryIso", "loginTime", "status", "sourceIp"):
         return empty_frame(logins.sparkSession, (
             "userId string, loginTime timestamp, newCountry string, knownCountries string, sourceIp string"))
-    history, _ = country_history(logins, lookback_days)
+    if history is None:
+        history = country_history(logins, recent_start(logins, lookback_days))
     known = history.filter(F.col("known") & F.col("userId").isNotNull()).groupBy("userId").agg(
         distinct_list("countryIso", ",").alias("knownCountries"))
     return (
@@ -242,18 +272,23 @@ def new_country(logins: DataFrame, lookback_days: float = 90) -> DataFrame:
 
 
 def human_api_logins(logins: DataFrame, patterns: Sequence[str] = INTEGRATION_WORDS,
-                     subtypes: Sequence[str] = API_SUBTYPES) -> DataFrame:
-    """API logins of users whose name does not look like an integration."""
+                     subtypes: Sequence[str] = API_SUBTYPES, counts: DataFrame | None = None) -> DataFrame:
+    """API logins of users whose name does not look like an integration.
+
+    ``counts`` are rows (username, loginSubType, sourceIp, logins, firstSeen, lastSeen) where they are there already.
+    """
     if not has_columns(logins, "loginSubType", "username", "loginTime", "sourceIp"):
         return empty_frame(logins.sparkSession, (
             "username string, loginSubType string, logins long, firstSeen timestamp, "
             "lastSeen timestamp, uniqueIps long"))
+    if counts is None:
+        counts = logins.withColumns({"logins": F.lit(1).cast("long"), "firstSeen": F.col("loginTime"), "lastSeen": F.col("loginTime")})
     return (
-        logins.filter(is_api_subtype(F.col("loginSubType"), subtypes)
+        counts.filter(is_api_subtype(F.col("loginSubType"), subtypes)
                       & F.col("username").isNotNull() & ~is_integration(F.col("username"), patterns))
         .groupBy("username", "loginSubType")
-        .agg(F.count(F.lit(1)).alias("logins"), F.min("loginTime").alias("firstSeen"),
-             F.max("loginTime").alias("lastSeen"), F.countDistinct("sourceIp").alias("uniqueIps"))
+        .agg(F.sum("logins").alias("logins"), F.min("firstSeen").alias("firstSeen"),
+             F.max("lastSeen").alias("lastSeen"), F.countDistinct("sourceIp").alias("uniqueIps"))
     )
 
 
@@ -296,8 +331,10 @@ def stale_reactivation(logins: DataFrame, min_dormant_days: float = 90) -> DataF
     )
 
 
-def weak_tls_logins(logins: DataFrame) -> DataFrame:
-    """Logins with outdated TLS or a weak cipher, counted per user, protocol and cipher."""
+def weak_tls_logins(logins: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Logins with outdated TLS or a weak cipher, counted per user, protocol and cipher; ``counts`` where they are there already."""
+    if counts is not None:
+        return counts
     condition = weak_tls(logins.columns)
     if condition is None:
         return empty_frame(logins.sparkSession, "userId string, logins long")
@@ -305,16 +342,21 @@ def weak_tls_logins(logins: DataFrame) -> DataFrame:
     return logins.filter(condition).groupBy(*shown).agg(F.count(F.lit(1)).alias("logins"))
 
 
-def status_spikes(logins: DataFrame, zscore_threshold: float = 3.0, by: str = "status") -> DataFrame:
-    """Hours in which a status (or another column) is far above its own hourly mean."""
+def status_spikes(logins: DataFrame, zscore_threshold: float = 3.0, by: str = "status",
+                  hourly: DataFrame | None = None) -> DataFrame:
+    """Hours in which a status (or another column) is far above its own hourly mean.
+
+    ``hourly`` are rows (hourBucket, by, cnt) where they are there already.
+    """
     check_number("zscore_threshold", zscore_threshold, 0, 100)
     if not has_columns(logins, by, "loginTime"):
         return empty_frame(logins.sparkSession, f"hourBucket timestamp, {by} string, cnt long, zscore double")
-    hourly = (
-        logins.filter(F.col("loginTime").isNotNull() & F.col(by).isNotNull())
-        .groupBy(F.date_trunc("hour", "loginTime").alias("hourBucket"), by)
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
+    if hourly is None:
+        hourly = (
+            logins.filter(F.col("loginTime").isNotNull() & F.col(by).isNotNull())
+            .groupBy(F.date_trunc("hour", "loginTime").alias("hourBucket"), by)
+            .agg(F.count(F.lit(1)).alias("cnt"))
+        )
     of_value = W.partitionBy(by)
     scored = hourly.withColumns({
         "mean": F.avg("cnt").over(of_value), "std": F.stddev_pop("cnt").over(of_value)})

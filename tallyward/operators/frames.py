@@ -21,13 +21,18 @@ def check_number(name: str, value: float, low: float = 0, high: float | None = N
         raise ValueError(f"{name}={value} is outside [{low}, {high}]")
 
 
-def repeat_rows(df: DataFrame, copies: str) -> DataFrame:
-    """Emit each row ``copies`` times; done in blocks, so no large array is built."""
+def repeat_rows(df: DataFrame, copies: str, number: str | None = None) -> DataFrame:
+    """Emit each row ``copies`` times, numbered from 1 in the column ``number`` if there is one to be.
+
+    Done in blocks, so no large array is built.
+    """
     blocks = F.ceil(F.col(copies) / F.lit(COPIES_PER_BLOCK)).cast("long")
-    left = F.col(copies) - (F.col("block") - 1) * COPIES_PER_BLOCK
-    return (
-        df.withColumn("block", F.explode(F.sequence(F.lit(1).cast("long"), blocks)))
-        .withColumn("copy", F.explode(F.sequence(
+    left = F.col(copies) - (F.col("block_") - 1) * COPIES_PER_BLOCK
+    repeated = (
+        df.withColumn("block_", F.explode(F.sequence(F.lit(1).cast("long"), blocks)))
+        .withColumn("copy_", F.explode(F.sequence(
             F.lit(1).cast("long"), F.least(left, F.lit(COPIES_PER_BLOCK).cast("long")))))
-        .drop("block", "copy", copies)
     )
+    if number is not None:
+        repeated = repeated.withColumn(number, (F.col("block_") - 1) * COPIES_PER_BLOCK + F.col("copy_"))
+    return repeated.drop("block_", "copy_", copies)

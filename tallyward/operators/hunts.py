@@ -14,10 +14,11 @@ from tallyward.functions.logins import (
 )
 from tallyward.functions.times import MICROS_PER_MINUTE
 from tallyward.operators.detectors import (
-    brute_force, country_history, human_api_logins, new_country, prior_failures, status_spikes, success_time,
-    trailing_steps,
+    brute_force, country_history, human_api_logins, new_country, prior_failures, recent_start, status_spikes,
+    success_time, trailing_steps,
 )
-from tallyward.operators.ordered import SECOND, join_null_safe, micros, micros_or_last, running_totals
+from tallyward.operators.ordered import MINUTE, SECOND, join_null_safe, micros, micros_or_last, running_totals
+from tallyward.session import written
 
 
 def with_users(rows: DataFrame, users: DataFrame, user: str = "userId") -> DataFrame:
@@ -65,7 +66,8 @@ def off_hours(logins: DataFrame, z: float = 3.0, min_logins: int = 20) -> DataFr
 
 def new_country_rows(logins: DataFrame, lookback_days: float = 90) -> DataFrame:
     """Every recent login from a country new to the user."""
-    history, start = country_history(logins, lookback_days)
+    start = recent_start(logins, lookback_days)
+    history = country_history(logins, start)
     with_past = history.filter("known").select("userId").distinct()
     fresh = (
         history.filter(~F.col("known") & F.col("loginTime").isNotNull())
@@ -94,10 +96,9 @@ def failed_then_success_new_ip(logins: DataFrame, min_prior_failures: int = 3,
     """``failed_then_success`` with ``newIp``: no failure of the window came from the success address."""
     user = user_column(logins)
     window = int(window_minutes * MICROS_PER_MINUTE)
-    rows = logins.withColumn("at", micros_or_last(F.col("loginTime")))
     hits = prior_failures(logins, [user], is_failure(), window, min_prior_failures, ["sourceIp"])
-    own = rows.filter(is_failure() & F.col("sourceIp").isNotNull()).select(
-        user, "sourceIp", "at", F.lit(1).cast("long").alias("fails"))
+    own = logins.filter(is_failure() & F.col("sourceIp").isNotNull()).select(
+        user, "sourceIp", micros_or_last(F.col("loginTime")).alias("at"), F.lit(1).cast("long").alias("fails"))
     counted = running_totals(hits, trailing_steps(own, [user, "sourceIp"], window, ["fails"], delay=SECOND),
                              [user, "sourceIp"], ["fails"])
     return counted.select(
@@ -177,20 +178,25 @@ def sso_bypass(logins: DataFrame, min_saml_share: float = 0.5) -> DataFrame:
     )
 
 
-def session_overlap(logins: DataFrame) -> DataFrame:
-    """Sessions that start while sessions of the same user from other addresses are open.
-
-    A session spans its first to last row and has the address of its first row. Open
-    sessions are counted by +1/-1 steps, of the user and of the user's same address.
-    """
+def session_spans(logins: DataFrame) -> DataFrame:
+    """Rows (userId, sessionKey, at, sourceIp, end): a session spans its first to last row and has the address of its first."""
     rows = logins.filter(
         F.col("sessionKey").isNotNull() & F.col("loginTime").isNotNull() & F.col("sourceIp").isNotNull()
     ).withColumn("at", micros(F.col("loginTime")))
-    spans = (
+    return (
         rows.groupBy("userId", "sessionKey")
         .agg(F.min(F.struct("at", "sourceIp")).alias("first"), F.max("at").alias("end"))
         .select("userId", "sessionKey", F.col("first.at").alias("at"), F.col("first.sourceIp").alias("sourceIp"), "end")
     )
+
+
+def session_overlap(logins: DataFrame) -> DataFrame:
+    """Sessions that start while sessions of the same user from other addresses are open, with their number.
+
+    Open sessions are counted by +1/-1 steps, of the user and of the user's same address; ``overlapping_sessions``
+    names them.
+    """
+    spans = written(session_spans(logins), "sessions")
     one = F.lit(1).cast("long")
     steps = spans.select("userId", "sourceIp", F.explode(F.array(
         F.struct(F.col("at"), one.alias("open")),
@@ -207,6 +213,41 @@ def session_overlap(logins: DataFrame) -> DataFrame:
         (F.col("ofUser") - F.col("ofAddress")).alias("otherSessions"))
 
 
+#: Cells of the coarser grid per cell of the finer one, and grids from cells of a minute up to more than a thousand years.
+GRID_STEP = 4
+GRIDS = 15
+
+
+def overlapping_sessions(logins: DataFrame) -> DataFrame:
+    """Each session that starts while a session of the same user from another address is open, with that session: one row a pair.
+
+    An open session goes to the one or two cells that it meets on the finest grid whose cells are as long as itself; a
+    start looks into its own cell of each grid. A cell is at most ``GRID_STEP`` times as long as the sessions in it, so
+    sessions are compared with starts near them, however long they are, and no pair meets twice. Pairs are joined by
+    (user, grid, cell), which a busy user shares among many keys.
+    """
+    spans = written(session_spans(logins), "sessions")
+    widths = [MINUTE * GRID_STEP ** g for g in range(GRIDS)]
+    length = F.col("end") - F.col("at") + 1
+    grid = F.lit(GRIDS - 1)
+    for g in reversed(range(GRIDS - 1)):
+        grid = F.when(length <= widths[g], g).otherwise(grid)
+    width = F.element_at(F.array(*[F.lit(w) for w in widths]), F.col("grid") + 1)
+    cells = F.sequence(F.expr("at div width"), F.expr("end div width"))
+    opened = (spans.withColumn("grid", grid).withColumn("width", width)
+              .select("userId", "grid", F.explode(cells).alias("cell"), F.col("sessionKey").alias("otherSession"),
+                      F.col("sourceIp").alias("otherIp"), F.col("at").alias("otherAt"), F.col("end").alias("otherEnd")))
+    places = F.array(*[F.struct(F.lit(g).alias("grid"), F.expr(f"at div {w}").alias("cell")) for g, w in enumerate(widths)])
+    starts = (spans.select("*", F.explode(places).alias("place"))
+              .select("userId", "place.grid", "place.cell", "sessionKey", "sourceIp", "at", "end"))
+    met = starts.join(opened, ["userId", "grid", "cell"]).filter(
+        (F.col("otherAt") <= F.col("at")) & (F.col("otherEnd") >= F.col("at")) & (F.col("otherIp") != F.col("sourceIp")))
+    return met.select(
+        "userId", "sessionKey", "sourceIp", F.timestamp_micros("at").alias("sessionStart"),
+        F.timestamp_micros("end").alias("sessionEnd"), "otherSession", "otherIp",
+        F.timestamp_micros("otherAt").alias("otherStart"), F.timestamp_micros("otherEnd").alias("otherEnd"))
+
+
 def community_activity_spike(logins: DataFrame, zscore_threshold: float = 3.0) -> DataFrame:
     """Hourly spikes per community."""
     return status_spikes(logins, zscore_threshold, by="networkId")

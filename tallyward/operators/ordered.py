@@ -1,9 +1,7 @@
-"""Time-ordered work per key that stays even when one key holds most of the rows.
+"""Time-ordered work per key that stays even when one key or one instant holds most of the rows.
 
-A window over a whole key would be one huge task for a busy user or address, so all rows are cut
-into time buckets: the window runs per (bucket, key), and only what stands at the edges of a bucket,
-or one row per bucket, goes to a window per key. Every key is treated alike, and copies of a row
-stay rows.
+Everything runs over range-sorted parts (``timeline``), never over a whole key in one task, whether a key is busy or not.
+Copies of a row stay rows.
 
 Instants are microseconds (``long``). ``NO_TIME`` stands for a missing time; it
 sorts after every real instant.
@@ -11,11 +9,13 @@ sorts after every real instant.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from tallyward.operators.frames import repeat_rows
+from tallyward.operators.timeline import collapsed, scan, timeline
 
 SECOND = 1_000_000
 MINUTE = 60 * SECOND
@@ -52,106 +52,49 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
     return joined.drop(*[f"{key}__right" for key in keys])
 
 
-def keyed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys as one struct ``key``, which is never NULL even where a key is."""
-    return rows.withColumn("key", F.struct(*keys)).drop(*keys)
-
-
-def in_buckets(rows: DataFrame, keys: Sequence[str], at: str, width: int) -> DataFrame:
-    """Rows with ``key`` and the start of their time bucket."""
-    return keyed(rows, keys).withColumn("bucket", time_bucket(F.col(at), width))
-
-
-def with_previous(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
-                  carry: Sequence[str], at: str = "at", width: int = MINUTE) -> DataFrame:
+def with_previous(rows: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str]) -> DataFrame:
     """Add ``previous``, the ``carry`` columns of the row before in (key, order).
 
-    ``order`` starts with ``at``; NULLs sort first. Only the first and the last row of a bucket
-    meet those of the key's other buckets.
+    ``order`` starts with ``at``; NULLs sort first. Of equal rows each but the first follows its own copy.
     """
-    in_bucket = W.partitionBy("bucket", "key").orderBy(*order)
-    of_key = W.partitionBy("key").orderBy("bucket", "place")
-    carried = F.struct(*carry)
-    placed = in_buckets(rows, keys, at, width).withColumns({
-        "place": F.row_number().over(in_bucket), "previous": F.lag(carried).over(in_bucket),
-        "ends": F.lead(F.lit(True)).over(in_bucket).isNull()})
-    inner = placed.filter((F.col("place") > 1) & ~F.col("ends"))
-    edges = placed.filter((F.col("place") == 1) | F.col("ends")).withColumn(
-        "previous", F.when(F.col("place") == 1, F.lag(carried).over(of_key)).otherwise(F.col("previous")))
-    return inner.unionByName(edges).withColumns({k: F.col(f"key.{k}") for k in keys}).drop("place", "ends", "bucket", "key")
-
-
-def running_totals(probes: DataFrame, steps: DataFrame, keys: Sequence[str], values: Sequence[str],
-                   at: str = "at", width: int = MINUTE) -> DataFrame:
+    line = timeline(collapsed(rows), keys, order)
+    found = repeat_rows(scan(line, lasts={"previous": F.struct(*carry)}), "copies", number="copy")
+    return found.withColumn("previous", F.when(F.col("copy") == 1, F.col("previous")).otherwise(F.struct(*carry))).drop("copy")
+
+
+def running_totals(probes: DataFrame, steps: DataFrame, keys: Sequence[str], values: Sequence[str], at: str = "at") -> DataFrame:
     """Add ``running_<value>`` to each probe: the key's steps up to and including its instant.
 
-    ``steps`` hold (keys, at, values). Inside a bucket, steps and probes are summed in time
-    order; what earlier buckets leave over is one row per bucket.
+    ``steps`` hold (keys, at, values).
     """
-    zeros = {v: F.lit(0).cast("long") for v in values}
-    asked = in_buckets(probes, keys, at, width).withColumns({**zeros, "is_probe": F.lit(True)})
-    added = in_buckets(steps, keys, at, width).select("bucket", "key", at, *values)
-    in_bucket = W.partitionBy("bucket", "key").orderBy(at).rangeBetween(W.unboundedPreceding, W.currentRow)
-    before = W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    local = (
-        asked.unionByName(added, allowMissingColumns=True)
-        .withColumns({f"local_{v}": F.sum(v).over(in_bucket) for v in values}).filter("is_probe")
-    )
-    offsets = (
-        added.select("key", "bucket", *values).unionByName(asked.select("key", "bucket", *values))
-        .groupBy("key", "bucket").agg(*[F.sum(v).alias(v) for v in values])
-        .select("key", "bucket", *[F.sum(v).over(before).alias(f"offset_{v}") for v in values])
-    )
-    return (
-        local.join(offsets, ["bucket", "key"], "left")
-        .withColumns({**{k: F.col(f"key.{k}") for k in keys},
-                      **{f"running_{v}": F.col(f"local_{v}") + F.coalesce(f"offset_{v}", F.lit(0)) for v in values}})
-        .drop("key", "bucket", "is_probe", *values, *[f"local_{v}" for v in values], *[f"offset_{v}" for v in values])
-    )
-
-
-def running_peak(steps: DataFrame, keys: Sequence[str], value: str, alias: str,
-                 at: str = "at", width: int = MINUTE) -> DataFrame:
-    """Highest running sum of ``value`` per key; one scan of the steps."""
-    in_bucket = (
-        W.partitionBy("bucket", "key").orderBy(at)
-        .rangeBetween(W.unboundedPreceding, W.currentRow)
-    )
-    before = W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    per_bucket = (
-        in_buckets(steps, keys, at, width).withColumn("local", F.sum(value).over(in_bucket))
-        .groupBy("bucket", "key")
-        .agg(F.max("local").alias("high"), F.sum(value).alias("total"))
-        .withColumn("offset", F.coalesce(F.sum("total").over(before), F.lit(0)))
-    )
-    return (
-        per_bucket.groupBy("key").agg(F.max(F.col("high") + F.col("offset")).alias(alias))
-        .select(*[F.col(f"key.{k}") for k in keys], alias)
-    )
+    asked = probes.drop(*values).withColumn("is_probe", F.lit(True))
+    added = steps.select(*keys, at, *values).withColumn("is_probe", F.lit(False))
+    return totals_of_events(asked.unionByName(added, allowMissingColumns=True), keys, values, at)
+
+
+def totals_of_events(events: DataFrame, keys: Sequence[str], values: Sequence[str], at: str = "at") -> DataFrame:
+    """``running_totals`` of probes and steps in one table, told apart by ``is_probe``; other columns are the probes' own."""
+    rest = [c for c in events.columns if c not in values]
+    once = events.groupBy(*rest).agg(F.count(F.lit(1)).alias("copies"), *[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in values])
+    line = timeline(once, keys, [at, "is_probe"])  # steps of an instant stand before its probes
+    found = scan(line, sums={f"running_{v}": F.col(v) for v in values}).filter("is_probe")
+    return repeat_rows(found.drop("is_probe", *values), "copies")
+
+
+def running_peaks(steps: DataFrame, keys: Sequence[str], peaks: Mapping[str, str], at: str = "at") -> DataFrame:
+    """Highest running sum per key of each value; ``peaks`` names the result of a value."""
+    once = steps.groupBy(*keys, at).agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in peaks])
+    line = timeline(once, keys, [at])
+    found = scan(line, sums={alias: F.col(v) for v, alias in peaks.items()})
+    return found.groupBy(*keys).agg(*[F.max(alias).alias(alias) for alias in peaks.values()])
+
+
+def running_peak(steps: DataFrame, keys: Sequence[str], value: str, alias: str, at: str = "at") -> DataFrame:
+    """``running_peaks`` of one value."""
+    return running_peaks(steps, keys, {value: alias}, at)
 
 
 def numbered_within(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
                     alias: str = "seq") -> DataFrame:
-    """Number rows 1, 2, … per key in ``order`` without gathering a key in one task.
-
-    The rows are range-sorted into even parts and written once; each part counts its
-    own rows, and the counts of the earlier parts are added.
-    """
-    from tallyward.session import written
-
-    parts = written(
-        rows.repartitionByRange(*[F.col(c) for c in (*keys, *order)])
-        .withColumn("part", F.spark_partition_id()),
-        "numbered",
-    )
-    local = F.row_number().over(W.partitionBy(*keys, "part").orderBy(*order))
-    before = W.partitionBy(*keys).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        parts.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"))
-        .select(*keys, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    )
-    return (
-        join_null_safe(parts.withColumn("local", local), offsets, [*keys, "part"])
-        .withColumn(alias, F.col("local") + F.col("offset"))
-        .drop("local", "offset", "part")
-    )
+    """Number rows 1, 2, … per key in ``order`` without gathering a key in one task."""
+    return scan(timeline(rows, keys, order), sums={alias: F.lit(1).cast("long")})

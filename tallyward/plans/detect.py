@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyward.functions.logins import is_success
 from tallyward.operators import detectors as d
 from tallyward.operators import hunts as h
+from tallyward.plans.shared import shared_tables
 from tallyward.sources.sinks import write_findings
 
 log = logging.getLogger(__name__)
@@ -27,6 +28,7 @@ DETECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "status-spikes": d.status_spikes,
 }
 
+BUILT_IN = dict(DETECTORS)
 
 #: Columns that a detector's result is sorted by at a sink; a minus sign stands for falling order.
 RESULT_ORDER = {
@@ -56,15 +58,21 @@ def register_detector(name: str, detector: Callable[[DataFrame], DataFrame]) ->
 
 def run_detectors(logins: DataFrame, names: Iterable[str] | None = None,
                   parameters: dict[str, dict] | None = None) -> dict[str, DataFrame]:
-    """Lazy result per detector; an error in one is logged and leaves it out."""
+    """Result per detector; an error in one is logged and leaves it out.
+
+    What several detectors need is made once for all (``shared_tables``); a single detector reads the logins itself.
+    """
     chosen = list(DETECTORS) if names is None else [n.strip() for n in names]
     unknown = [n for n in chosen if n not in DETECTORS]
     if unknown:
         raise ValueError(f"unknown detectors {unknown}; available: {list(DETECTORS)}")
+    given = parameters or {}
+    own = [n for n in chosen if BUILT_IN.get(n) is DETECTORS[n]]  # a detector registered under such a name may take no tables
+    shared = shared_tables(logins, own, given) if len(own) > 1 else {}
     results = {}
     for name in chosen:
         try:
-            results[name] = DETECTORS[name](logins, **(parameters or {}).get(name, {}))
+            results[name] = DETECTORS[name](logins, **given.get(name, {}), **shared.get(name, {}))
         except Exception:  # one detector must not stop the others
             log.exception("detector %s failed", name)
     return results

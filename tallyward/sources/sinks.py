@@ -86,8 +86,9 @@ def write_findings(name: str, df: DataFrame, folder: str, order: Sequence[str |
     """One CSV folder per detector, its part files in ``order``; nothing is kept for an empty result."""
     seen = Observation(f"findings-{name}")
     target = f"{folder.rstrip('/')}/{name}"
-    rows = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-    (rows.orderBy(*order) if order else rows).write.option("header", True).csv(target)
+    # counted behind the sort: its sampling may read the rows once more
+    rows = (df.orderBy(*order) if order else df).observe(seen, F.count(F.lit(1)).alias("rows"))
+    rows.write.option("header", True).csv(target)
     count = seen.get["rows"]
     if count == 0:
         spark = df.sparkSession

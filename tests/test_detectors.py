@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyward.operators import detectors as d, ordered
 from tallyward.operators import hunts as h
 from tallyward.operators.ordered import numbered_within, running_peak, running_totals, with_previous
+from tallyward.operators.timeline import scan, timeline
 from tallyward.plans.detect import run_detectors, write_all
 
 T0 = dt.datetime(2026, 4, 22, 9, 0)
@@ -146,6 +147,28 @@ def test_session_overlap(spark):
     assert found == {("b", 1)}
 
 
+def test_overlapping_sessions_against_every_pair(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(260):
+        user, start = rng.choice(["hot", "hot", "u", "v"]), rng.choice([0.0, 0.0, rng.uniform(0, 5000), -1e6])
+        length = rng.choice([0, 0, 1 / 60, 1, 1, 7, 64, 3000, 2e6])
+        rows += [(user, f"s{i}", at(start), f"ip{rng.randrange(4)}"), (user, f"s{i}", at(start + length), "later")]
+    rows += [("hot", "open", None, "x"), ("hot", None, at(0), "x"), (None, "n1", at(0), "a"), (None, "n2", at(0), "b")]
+    logins = spark.createDataFrame(rows, "userId string, sessionKey string, loginTime timestamp, sourceIp string")
+    got = h.overlapping_sessions(logins).collect()
+    spans = {}
+    for user, session, time, ip in rows:
+        if None not in (user, session, time, ip):
+            first, last = spans.get((user, session), ((time, ip), time))
+            spans[user, session] = (min(first, (time, ip)), max(last, time))
+    want = sorted((u, s, o) for (u, s), ((t, ip), _) in spans.items() for (u2, o), ((t2, ip2), e2) in spans.items()
+                  if u == u2 and ip != ip2 and t2 <= t <= e2)
+    assert sorted((r.userId, r.sessionKey, r.otherSession) for r in got) == want and len(want) > 1000
+    counts = {(r.userId, r.sessionKey): r.otherSessions for r in h.session_overlap(logins).collect() if r.userId}
+    assert counts == {(u, s): n for u, s, n in [(u, s, sum(w[:2] == (u, s) for w in want)) for u, s in spans] if n}
+
+
 def test_parameters_are_checked(table):
     with pytest.raises(ValueError):
         d.impossible_travel(table([row()]), max_hours=-1)
@@ -180,7 +203,7 @@ def key(r):
     return tuple((v is not None, v) for v in r)
 
 
-def test_lopsided_previous_row(spark):
+def test_lopsided_previous_row(spark, small_parts):
     rows = [(u, int(t.timestamp() * 1e6), i) for i, (u, _, t, *_rest) in enumerate(lopsided()) if t is not None]
     df = spark.createDataFrame(rows, "k string, at long, i int").repartition(7)
     got = {r.i: r.previous and r.previous.i for r in with_previous(df, ["k"], ["at", "i"], ["i"]).collect()}
@@ -191,7 +214,7 @@ def test_lopsided_previous_row(spark):
     assert got == want
 
 
-def test_lopsided_running_totals_and_peak(spark):
+def test_lopsided_running_totals_and_peak(spark, small_parts):
     rng = random.Random(3)
     steps = [("hot" if rng.random() < 0.7 else "b", rng.randrange(0, 10 ** 9), rng.choice([1, -1, 2])) for _ in range(2000)]
     probes = [(rng.choice(["hot", "b", "c"]), rng.randrange(0, 10 ** 9), i) for i in range(300)]
@@ -210,7 +233,67 @@ def test_lopsided_running_totals_and_peak(spark):
         assert peaks[k] == best
 
 
-def test_lopsided_numbering(spark):
+@pytest.fixture
+def small_parts(spark):
+    """Small tables keep the parts that large ones have."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_one_busy_second_is_split_evenly(spark, small_parts):
+    """One user has most rows, all in one second and thousands at one instant: parts and tasks stay even."""
+    rows = spark.range(200_000).select(
+        F.when(F.col("id") % 10 == 0, F.concat(F.lit("u"), F.col("id") % 700)).otherwise(F.lit("hot")).alias("k"),
+        F.when(F.col("id") % 3 == 0, F.lit(77)).otherwise(F.col("id") * 7919 % 1_000_000).cast("long").alias("at"),
+        F.col("id").alias("i"))
+    line = timeline(rows, ["k"], ["at"])
+    sizes = sorted(r["count"] for r in line.rows.groupBy("part").count().collect())
+    assert len(sizes) == line.parts > 2 and sizes[-1] < 2 * sizes[len(sizes) // 2]
+    tasks = [n for n in line.by_part().rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect() if n]
+    assert max(tasks) == sizes[-1]
+    found = scan(line, sums={"n": F.lit(1).cast("long")}, lasts={"before": F.struct("at", "i")})
+    assert found.groupBy("k").agg(F.max("n").alias("n"), F.countDistinct("n").alias("d")).filter("n <> d").count() == 0
+    wrong = found.filter((F.col("before").isNull() != (F.col("n") == 1)) | (F.struct("at", "i") <= F.col("before")))
+    assert found.filter("k = 'hot'").count() == 180_000 and wrong.count() == 0
+
+
+def test_parts_carry_over_whole_parts_of_one_key(spark, small_parts):
+    """A key over many parts, null keys, and a value that is missing in whole parts."""
+    rows = [("a", i, 1) for i in range(40)] + [("b", i, i % 2) for i in range(400)] + [(None, i, 3) for i in range(60)] + [("c", 0, 5)]
+    line = timeline(spark.createDataFrame(rows, "k string, at long, n long").repartition(5), ["k"], ["at"])
+    assert line.parts >= 6
+    early = F.when(F.col("at") < 3, F.col("at"))
+    got = {(r.k, r.at): (r.total, r.early) for r in scan(line, {"total": F.col("n")}, {"early": early}).collect()}
+    want = {}
+    for k in ("a", "b", "c", None):
+        total, last = 0, None
+        for _, t, n in sorted(r for r in rows if r[0] == k):
+            total += n
+            want[k, t] = (total, last)
+            last = t if t < 3 else last
+    assert got == want
+
+
+def test_equal_rows_stay_rows(spark, small_parts):
+    rows = [("u", 5)] * 4 + [("u", 9)] * 2 + [("v", 1)]
+    df = spark.createDataFrame(rows, "k string, at long")
+    got = sorted((r.k, r.at, r.previous.at if r.previous else -1) for r in with_previous(df, ["k"], ["at"], ["at"]).collect())
+    assert got == [("u", 5, -1), ("u", 5, 5), ("u", 5, 5), ("u", 5, 5), ("u", 9, 5), ("u", 9, 9), ("v", 1, -1)]
+    probes = spark.createDataFrame(rows, "k string, at long")
+    assert sorted((r.k, r.at, r.running_n) for r in running_totals(probes, df.withColumn("n", F.lit(1)), ["k"], ["n"]).collect()) == [
+        ("u", 5, 4)] * 4 + [("u", 9, 6)] * 2 + [("v", 1, 1)]
+
+
+def test_timelines_without_rows(spark):
+    none = spark.createDataFrame([], "k string, at long, n long")
+    assert with_previous(none, ["k"], ["at"], ["at"]).collect() == []
+    assert running_totals(none.drop("n"), none, ["k"], ["n"]).collect() == [] == running_peak(none, ["k"], "n", "p").collect()
+
+
+def test_lopsided_numbering(spark, small_parts):
     rows = [("hot" if i % 3 else f"g{i % 5}", (i * 7919) % 5003) for i in range(5000)]
     got = sorted((r.g, r.v, r.seq) for r in numbered_within(spark.createDataFrame(rows, "g string, v long").repartition(9), ["g"], ["v"]).collect())
     want, seen = [], {}
@@ -220,7 +303,7 @@ def test_lopsided_numbering(spark):
     assert got == want
 
 
-def test_lopsided_brute_force_against_counting(table):
+def test_lopsided_brute_force_against_counting(table, small_parts):
     rows = lopsided()
     window = 10 * 60
     got = {r.sourceIp: (r.peakFailuresInWindow, r.uniqueUsersTargeted, r.totalFailures)
@@ -238,7 +321,7 @@ def test_lopsided_brute_force_against_counting(table):
     assert got == want
 
 
-def test_partition_count_does_not_change_results(spark, table):
+def test_partition_count_does_not_change_results(spark, table, small_parts):
     df = table(lopsided(800))
     one = sorted(map(key, d.failed_then_success(df.coalesce(1), 2).collect()))
     many = sorted(map(key, d.failed_then_success(df.repartition(13), 2).collect()))
@@ -250,10 +333,66 @@ def test_every_copy_of_a_login_counts_at_no_pause(table):
     assert d.stale_reactivation(table(rows), 0).count() == 5
 
 
+def scans_and_shuffles(plan):
+    """Table scans and shuffles of a plan; a shuffle that is read again counts once."""
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    return text.count("FileScan"), sum(text.count(f"Exchange {kind}") for kind in (
+        "hashpartitioning", "rangepartitioning", "shufflepartitionid", "SinglePartition", "RoundRobin"))
+
+
+@pytest.fixture
+def whole_work(monkeypatch):
+    """Adds up scans and shuffles of a result's plan and of all tables that are written on the way."""
+    from tallyward import session
+    from tallyward.operators import detectors, hunts, timeline as lines
+    from tallyward.plans import shared
+
+    written, work = session.written, []
+
+    def counted(df, name="stage"):
+        work.append(scans_and_shuffles(df))
+        return written(df, name)
+
+    for module in (session, lines, detectors, hunts, shared):
+        monkeypatch.setattr(module, "written", counted)
+
+    def total(*results):
+        counts = [*work, *(scans_and_shuffles(r) for r in results)]
+        return sum(c[0] for c in counts), sum(c[1] for c in counts)
+
+    return total
+
+
 @pytest.mark.parametrize("name, most", [
-    ("i01_impossible_travel", 2), ("i02_brute_force", 3), ("i03_failed_then_success", 4), ("i15_failed_then_success_new_ip", 10)])
-def test_scans_of_the_logins(spark, sf_dir, name, most):
+    ("i01_impossible_travel", 3), ("i02_brute_force", 6), ("i03_failed_then_success", 3),
+    ("i15_failed_then_success_new_ip", 6), ("i20_login_after_failed_mfa", 3), ("i24_overlapping_sessions", 3),
+    ("i24_session_overlap", 9)])
+def test_scans_with_those_of_written_tables(spark, sf_dir, whole_work, name, most):
     import __spark_entry__ as entry_point
 
-    plan = entry_point.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan parquet") <= most
+    scans, _ = whole_work(entry_point.queries()[name](spark, sf_dir))
+    assert scans <= most
+
+
+def test_all_detectors_share_their_passes(spark, sf_dir, whole_work):
+    """Of the logins and of all tables written on the way; each detector on its own takes more."""
+    from tallyward.checks.tables import logins
+
+    table = logins(spark, sf_dir)
+    results = run_detectors(table)
+    scans, shuffles = whole_work(*results.values())
+    assert len(results) == 9 and scans <= 25 and shuffles <= 30
+    finish = [scans_and_shuffles(r) for r in results.values()]
+    assert sum(f[0] for f in finish) <= 14 and sum(f[1] for f in finish) <= 16
+
+
+def test_shared_results_are_those_of_single_detectors(table):
+    rows = lopsided(900) + [row("u1", at(days=-200), country="US"), row("u1", at(days=-1), country="SG", subtype="SOAP API", tls="TLSv1")]
+    logins = table(rows)
+    parameters = {"new-country": {"lookback_days": 30}, "status-spikes": {"zscore_threshold": 0.5}, "stale-reactivation": {"min_dormant_days": 5},
+                  "brute-force": {"min_failures": 3, "min_unique_users": 1}}
+    together = run_detectors(logins, parameters=parameters)
+    for name, result in together.items():
+        alone = run_detectors(logins, [name], parameters)[name]
+        assert result.columns == alone.columns and sorted(map(key, result.collect())) == sorted(map(key, alone.collect())), name
+    assert sum(r.count() > 0 for r in together.values()) >= 7
