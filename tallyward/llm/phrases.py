@@ -2,8 +2,8 @@
 
 Documents are dealt into ``SHARDS`` shards by a hash of their text. A phrase with ``least`` occurrences in a language has at
 least ``least / SHARDS`` of them in one of its shards, whatever their sizes, so each shard is mined completely at that local
-support. A shard is mined level by level: phrases of k words are counted where both their parts of k - 1 words are frequent
-in the shard. All shards are mined by the same job and a shard may span any number of tasks: their number, and with it the
+support. A shard is mined level by level: phrases are counted where their parts of the level before are all frequent in the
+shard. All shards are mined by the same job and a shard may span any number of tasks: their number, and with it the
 local support, stays as it is when the corpus grows. The union of what is frequent in some shard is then counted over all
 documents, exactly, by the words themselves.
 
@@ -18,7 +18,7 @@ columns are not read; an empty table, or one without frequent phrases, gives no
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,8 @@ from tallyward.llm.shingles import LOWER, mix
 LEAST = 100
 LONGEST = 5
 REPORTED = 2000
+#: Sizes that are mined in one pass over the texts; the last two together, as little is left of them.
+LEVELS = ((2,), (3,), (4, 5))
 #: Shards that a corpus of any size is dealt into.
 SHARDS = 4
 #: Bits of a filter; more of them let fewer needless candidates through, the result does not depend on them.
@@ -49,8 +51,8 @@ _BREAKS = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else LOWER[b]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _pieces(text: bytes) -> Iterator[tuple[list[bytes], bool]]:
-    """Words of a text with whether a piece ends after them; a piece of many bytes comes in several lists."""
+def _slices(text: bytes) -> Iterator[bytes]:
+    """A text with pieces divided by line feeds and words by blanks, in slices that end behind one of them."""
     text = text.translate(_BREAKS)
     at = 0
     while at < len(text):
@@ -61,53 +63,64 @@ def _pieces(text: bytes) -> Iterator[tuple[list[bytes], bool]]:
                 following = [x for x in (text.find(b"\n", at), text.find(b" ", at)) if x >= 0]
                 cut = min(following, default=end - 1)
             end = cut + 1
-        parts = text[at:end].split(b"\n")
-        for part in parts[:-1]:
-            yield part.split(), True
-        if parts[-1]:
-            yield parts[-1].split(), False
+        yield text[at:end]
         at = end
-    yield [], True
 
 
-class _Blocks:
-    """Words of many texts as numbers, by group; ``count`` is called with each group's numbers when a block is full."""
+class _Block:
+    """Words of many texts as numbers, by group. ``count`` is called with each group when the block is full.
 
-    def __init__(self, count: Callable[[tuple, np.ndarray, int, list[bytes]], None]) -> None:
-        self.count = count
+    A group's numbers are negative where a piece ends.
+    """
+
+    def __init__(self, count: Callable[[tuple, np.ndarray, int, Words], None]) -> None:
+        self.count, self.open, self.carried = count, None, 0
         self._clear()
 
     def _clear(self) -> None:
         self.numbers: defaultdict[bytes, int] = defaultdict()
         self.numbers.default_factory = self.numbers.__len__
+        self.numbers.update({b"": 0, b"\n": 1})  # what a split at blanks gives besides words
         self.groups: dict[tuple, list[np.ndarray]] = {}
-        self.words = 0
+        self.size = 0
 
     def add(self, group: tuple, text: bytes) -> None:
-        end = np.array([-1], np.int32)
-        for words, ends in _pieces(text):
-            own = self.groups.setdefault(group, [])
-            if words:
-                own.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
-                self.words += len(words)
-            if ends:
-                own.append(end)
-            if self.words >= BLOCK_WORDS:
-                self.flush(None if ends else group)
+        for part in _slices(text):
+            self._append(group, part.replace(b"\n", b" \n ").split(b" "))
+            if self.size >= BLOCK_WORDS:
+                self.flush(group)
+        self._append(group, [b"\n"])
+
+    def _append(self, group: tuple, words: list[bytes]) -> None:
+        found = np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words))
+        self.groups.setdefault(group, []).append(found[found > 0] - 2)
+        self.size += len(words)
 
     def flush(self, inside: tuple | None = None) -> None:
-        """Counts all groups; of the group whose piece goes on, the last words open the next block."""
-        words, tail = list(self.numbers), []
+        """Counts all groups; of the group whose text goes on, the last words of its piece open the next block."""
+        words, tail = Words(list(self.numbers)[2:]), []
         for group, parts in self.groups.items():
-            numbers = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            self.count(group, numbers, getattr(self, "carried", 0) if group == getattr(self, "open", None) else 0, words)
+            numbers = np.concatenate(parts)
+            self.count(group, numbers, self.carried if group == self.open else 0, words)
             if group == inside:
                 last = numbers[-(LONGEST - 1):]
-                tail = [words[i] for i in last[np.flatnonzero(last < 0)[-1] + 1 if (last < 0).any() else 0:]]
+                ends = np.flatnonzero(last < 0)
+                tail = [words.texts[i] for i in last[ends[-1] + 1 if len(ends) else 0:]]
         self._clear()
         self.open, self.carried = inside, len(tail)
         if tail:
-            self.groups[inside] = [np.fromiter(map(self.numbers.__getitem__, tail), np.int32, len(tail))]
+            self._append(inside, tail)
+
+
+class Words:
+    """The different words of a block, by number, with their hashes."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        self.texts = texts
+        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, texts), np.uint64, len(texts))
+
+    def hashes_of(self, numbers: np.ndarray) -> np.ndarray:
+        return self.hashes[numbers] if len(self.texts) else np.zeros(len(numbers), np.uint64)  # at an end: any hash
 
 
 def _run_lengths(numbers: np.ndarray) -> np.ndarray:
@@ -140,17 +153,12 @@ def _listed(keys: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (slots[(places >> np.uint64(6)).astype(np.int64)] >> (places & np.uint64(63))) & np.uint64(1) != 0
 
 
-def _hashes_of(numbers: np.ndarray, words: list[bytes]) -> np.ndarray:
-    own = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-    return np.where(numbers >= 0, own[numbers] if len(own) else np.uint64(0), np.uint64(0))
-
-
-def _task(texts: DataFrame, schema: str, counter: Callable[[list], Callable[[tuple, np.ndarray, int, list[bytes]], None]],
+def _task(texts: DataFrame, schema: str, counter: Callable[[list], Callable[[tuple, np.ndarray, int, Words], None]],
           fields: pa.Schema) -> DataFrame:
     """Runs a counter over the rows (lang, shard, text) of each task; it appends finished batches of columns to a list."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[list] = []
-        blocks = _Blocks(counter(done))
+        block = _Block(counter(done))
 
         def finished() -> Iterator[pa.RecordBatch]:
             for columns in done:
@@ -160,21 +168,22 @@ def _task(texts: DataFrame, schema: str, counter: Callable[[list], Callable[[tup
 
         for batch in batches:
             for lang, shard, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                blocks.add((lang, shard), text)
+                block.add((lang, shard), text)
                 yield from finished()
-        blocks.flush()
+        block.flush()
         yield from finished()
 
     return small_batches(texts).mapInArrow(run, schema)
 
 
 def _word_counter(done: list) -> Callable:
-    def count(group: tuple, numbers: np.ndarray, carried: int, words: list[bytes]) -> None:
-        counts = np.bincount(numbers[carried:][numbers[carried:] >= 0], minlength=len(words))
+    def count(group: tuple, numbers: np.ndarray, carried: int, words: Words) -> None:
+        fresh = numbers[carried:]
+        counts = np.bincount(fresh[fresh >= 0], minlength=len(words.texts))
         seen = np.flatnonzero(counts)
         if len(seen):
-            keys = _keys(_grams(_hashes_of(seen, words), 1), _seed(*group)).view(np.int64)
-            done.append([[group[0]] * len(seen), [words[i] for i in seen], keys, counts[seen]])
+            keys = _keys(_grams(words.hashes[seen], 1), _seed(*group)).view(np.int64)
+            done.append([[group[0]] * len(seen), [words.texts[i] for i in seen], keys, counts[seen]])
     return count
 
 
@@ -184,23 +193,26 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return _task(texts, "lang binary, word binary, key long, n long", _word_counter, fields)
 
 
-def gram_counts(texts: DataFrame, size: int, shorter: np.ndarray) -> DataFrame:
-    """Rows (key, n) of the phrases of ``size`` words whose two parts of one word less are in the filter ``shorter``."""
+def gram_counts(texts: DataFrame, sizes: Sequence[int], shorter: np.ndarray) -> DataFrame:
+    """Rows (size, key, n) of the phrases whose parts of ``min(sizes) - 1`` words are all in the filter ``shorter``."""
     filters = texts.sparkSession.sparkContext.broadcast(shorter)
 
     def counter(done: list) -> Callable:
-        def count(group: tuple, numbers: np.ndarray, carried: int, words: list[bytes]) -> None:
-            hashes, seed = _hashes_of(numbers, words), _seed(*group)
-            listed = _listed(_keys(_grams(hashes, size - 1), seed), filters.value)
-            n = max(0, len(numbers) - size + 1)
-            good = listed[:n] & listed[1:n + 1] & (_run_lengths(numbers)[:n] >= size)
-            good[:max(0, carried - size + 1)] = False  # counted in the block before
-            keys, counts = np.unique(_keys(_grams(hashes, size)[good], seed), return_counts=True)
-            if len(keys):
-                done.append([keys.view(np.int64), counts])
+        def count(group: tuple, numbers: np.ndarray, carried: int, words: Words) -> None:
+            hashes, seed = words.hashes_of(numbers), _seed(*group)
+            part = min(sizes) - 1
+            listed, runs = _listed(_keys(_grams(hashes, part), seed), filters.value), _run_lengths(numbers)
+            for size in sizes:
+                n = max(0, len(numbers) - size + 1)
+                good = np.logical_and.reduce([listed[i:n + i] for i in range(size - part + 1)]) & (runs[:n] >= size)
+                good[:max(0, carried - size + 1)] = False  # counted in the block before
+                keys, counts = np.unique(_keys(_grams(hashes, size)[good], seed), return_counts=True)
+                if len(keys):
+                    done.append([np.full(len(keys), size, np.int32), keys.view(np.int64), counts])
         return count
 
-    return _task(texts, "key long, n long", counter, pa.schema([("key", pa.int64()), ("n", pa.int64())]))
+    fields = pa.schema([("size", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
+    return _task(texts, "size int, key long, n long", counter, fields)
 
 
 def phrase_counts(texts: DataFrame, filters: list[np.ndarray], shards: int) -> DataFrame:
@@ -211,28 +223,32 @@ def phrase_counts(texts: DataFrame, filters: list[np.ndarray], shards: int) -> D
     shared = texts.sparkSession.sparkContext.broadcast(filters)
 
     def counter(done: list) -> Callable:
-        def count(group: tuple, numbers: np.ndarray, carried: int, words: list[bytes]) -> None:
-            hashes, runs = _hashes_of(numbers, words), _run_lengths(numbers)
+        def count(group: tuple, numbers: np.ndarray, carried: int, words: Words) -> None:
+            hashes, runs = words.hashes_of(numbers), _run_lengths(numbers)
             seeds = [_seed(group[0], shard) for shard in range(shards)]
+
+            def known(grams: np.ndarray, size: int) -> np.ndarray:
+                return np.logical_or.reduce([_listed(_keys(grams, seed), shared.value[size - 1]) for seed in seeds])
+
+            often = known(_grams(words.hashes, 1), 1)
+            listed = (numbers >= 0) & (often[numbers] if len(often) else False)
             for size in range(2, len(shared.value) + 1):
-                grams = _grams(hashes, size)
-                good = runs[:len(grams)] >= size
-                good[:max(0, carried - size + 1)] = False
-                places = np.flatnonzero(good)
-                distinct, first, which, counts = np.unique(grams[places], return_index=True, return_inverse=True, return_counts=True)
-                known = np.zeros(len(distinct), bool)
-                for seed in seeds:
-                    known |= _listed(_keys(distinct, seed), shared.value[size - 1])
+                n = max(0, len(numbers) - size + 1)
+                places = np.flatnonzero(listed[:n] & listed[1:n + 1] & (runs[:n] >= size))
+                distinct, first, which, counts = np.unique(_grams(hashes, size)[places], return_index=True, return_inverse=True, return_counts=True)
+                chosen = known(distinct, size)
+                listed = np.zeros(n, bool)
+                listed[places] = chosen[which]
                 heads = places[first]
+                old = places <= carried - size  # counted in the block before
                 wrong = np.zeros(len(places), bool)  # the same hash, other words
                 for i in range(size):
                     wrong |= numbers[places + i] != numbers[heads[which] + i]
-                found = Counter()
-                for place in places[wrong & known[which]]:
-                    found[b" ".join(words[j] for j in numbers[place:place + size])] += 1
-                counts = counts - np.bincount(which[wrong], minlength=len(distinct))
-                chosen = np.flatnonzero(known)
-                parts = [[words[j] for j in numbers[heads[chosen] + i]] for i in range(size)]
+                found = Counter(b" ".join(words.texts[j] for j in numbers[place:place + size])
+                                for place in places[wrong & ~old & chosen[which]])
+                counts = counts - np.bincount(which[wrong | old], minlength=len(distinct))
+                chosen = np.flatnonzero(chosen & (counts > 0))
+                parts = [[words.texts[j] for j in numbers[heads[chosen] + i]] for i in range(size)]
                 phrases = [*map(b" ".join, zip(*parts, strict=True)), *found]
                 if phrases:
                     done.append([[group[0]] * len(phrases), phrases, [*counts[chosen].tolist(), *found.values()]])
@@ -261,9 +277,11 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS)
     local = F.sum("n") * shards >= least
     words = saved(word_counts(texts).groupBy("lang", "word", "key").agg(F.sum("n").alias("n")), "phrase-words")
     filters = [bit_filter(words.groupBy("key").agg(local.alias("often")).where("often"))]
-    while len(filters) < LONGEST and filters[-1].any():
-        grams = gram_counts(texts, len(filters) + 1, filters[-1])
-        filters.append(bit_filter(grams.groupBy("key").agg(local.alias("often")).where("often")))
+    for sizes in LEVELS:
+        if filters[-1].any():
+            often = saved(gram_counts(texts, sizes, filters[-1]).groupBy("size", "key").agg(local.alias("often"))
+                          .where("often").select("size", "key"), "phrase-grams")
+            filters += [bit_filter(often.where(F.col("size") == size)) for size in sizes]
     phrases = phrase_counts(texts, filters, shards).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
     single = words.groupBy("lang", F.col("word").alias("phrase")).agg(F.sum("n").alias("f"))
     frequent = single.unionByName(phrases).where(F.col("f") >= least).select(

@@ -94,7 +94,7 @@ def test_blocks_lose_and_double_nothing(monkeypatch, block, slice_bytes):
     phrases.phrase_counts(Texts(), [full] * 5, 2)
     done, words = [], []
     for counter, out in ((found["counter"], done), (phrases._word_counter, words)):
-        blocks = phrases._Blocks(counter(out))
+        blocks = phrases._Block(counter(out))
         for _, text, lang, _ in rows:
             blocks.add(((lang or "und").encode(), 0), (text or "").encode())
         blocks.flush()
