@@ -11,6 +11,7 @@ from tallyward.functions.logins import mask_ip
 from tallyward.functions.times import parse_login_time
 from tallyward.operators.detectors import weak_tls_logins
 from tallyward.session import new_path
+from tallyward.sources import daily_cache
 from tallyward.sources import logins as src
 from tallyward.sources import sinks
 
@@ -156,6 +157,23 @@ over_logins("a06_cache_pruned_by_date", by_date_cache,
                WHERE CAST(loginTime AS DATE) = DATE '2024-01-15'""")
 
 
+def through_daily_cache(logins):
+    """Two exports, then a third one that adds to some of their days."""
+    spark = logins.sparkSession
+    folder, cache = new_path(spark, "exports"), new_path(spark, "daily-cache")
+    for number, part in enumerate(("event_id % 3 = 0", "event_id % 3 = 1", "event_id % 3 = 2 AND user_id_even")):
+        rows = as_query_result(logins.withColumn("user_id_even", F.col("userId").rlike("[02468]$")).filter(part))
+        rows.write.option("header", True).csv(f"{folder}/{number}")
+        daily_cache.refresh_daily_cache(spark, folder, cache)
+    return daily_cache.daily_logins(spark, folder, cache).groupBy("loginDate").agg(
+        F.count(F.lit(1)).alias("n"), F.max("loginTime").alias("latest"), F.countDistinct("sourceFile").cast("long").alias("files"))
+
+
+over_logins("a06_daily_cache", lambda l: through_daily_cache(l).drop("files"),
+            """SELECT CAST(loginTime AS DATE) AS loginDate, count(*) AS n, max(date_trunc('milliseconds', loginTime)) AS latest FROM logins
+               WHERE event_id % 3 < 2 OR regexp_matches(userId, '[02468]$') GROUP BY ALL""")
+
+
 def through_json(logins):
     spark = logins.sparkSession
     path = new_path(spark, "json")

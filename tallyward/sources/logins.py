@@ -68,8 +68,8 @@ def read_login_json(spark: SparkSession, path: str | list[str], columns: Sequenc
     return spark.read.option("multiLine", multi_line).schema(schema).json(path)
 
 
-def rename_known(df: DataFrame) -> DataFrame:
-    """Keep the known headers under canonical names; the first header wins."""
+def rename_known(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Keep the known headers under canonical names, the first header wins, and the columns of ``keep``."""
     chosen: dict[str, str] = {}
     for column in df.columns:
         canonical = HEADER_TO_CANONICAL.get(column)
@@ -77,13 +77,13 @@ def rename_known(df: DataFrame) -> DataFrame:
             chosen[canonical] = column
     if not chosen:
         raise ValueError(f"no known login columns among {df.columns}")
-    return df.select(*[F.col(f"`{raw}`").alias(name) for name, raw in chosen.items()])
+    return df.select(*[F.col(f"`{raw}`").alias(name) for name, raw in chosen.items()], *keep)
 
 
 def normalize_columns(df: DataFrame, source_tz: str | None = None,
-                      extra_formats: tuple[str, ...] = ()) -> DataFrame:
-    """Canonical columns with ``loginTime`` as a UTC timestamp."""
-    known = rename_known(df)
+                      extra_formats: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Canonical columns with ``loginTime`` as a UTC timestamp; columns of ``keep`` stay beside them."""
+    known = rename_known(df, keep)
     if "loginTime" not in known.columns:
         return known
     others = [c for c in known.columns if c != "loginTime"]

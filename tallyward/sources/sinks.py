@@ -25,11 +25,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def changed_at(spark: SparkSession, path: str) -> int:
-    """Latest change of a file, or of the files directly in a folder, in milliseconds."""
+    """Latest change of a file, or of the files below a folder at any depth, in milliseconds."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return max([fs.getFileStatus(hadoop_path).getModificationTime()]
-               + [f.getModificationTime() for f in fs.listStatus(hadoop_path)])
+    latest, files = fs.getFileStatus(hadoop_path).getModificationTime(), fs.listFiles(hadoop_path, True)
+    while files.hasNext():
+        latest = max(latest, files.next().getModificationTime())
+    return latest
 
 
 def is_complete(spark: SparkSession, path: str, source: str | None = None) -> bool:

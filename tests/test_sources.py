@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyward.functions.times import parse_login_time, parse_offset_time
+from tallyward.sources import daily_cache
 from tallyward.sources import logins as src
 from tallyward.sources import sinks
 from tallyward.plans.detect import result_order
@@ -124,3 +125,67 @@ def test_findings_are_written_in_order(spark, tmp_path):
     parts = sorted((tmp_path / "stale").glob("part-*.csv"))
     days = [float(line.split(",")[1]) for p in parts for line in p.read_text().splitlines()[1:]]
     assert days == sorted(days, reverse=True) and len(days) == 500
+
+
+def export_file(path, rows):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text("UserId,LoginTime,SourceIp\n" + "".join(f"{u},{t},1.1.1.1\n" for u, t in rows))
+
+
+def days_written(cache):
+    return {p.name: max(f.stat().st_mtime_ns for f in p.glob("*.parquet")) for p in cache.glob("loginDate=*")}
+
+
+def cached_rows(spark, cache):
+    return sorted((r.userId, str(r.loginTime), str(r.loginDate)) for r in spark.read.parquet(str(cache)).collect())
+
+
+def test_daily_cache_writes_touched_days_only(spark, tmp_path):
+    source, cache = tmp_path / "exports", tmp_path / "cache"
+    export_file(source / "a.csv", [("u1", "2024-01-01T00:00:00Z"), ("u2", "2024-01-02T10:00:00Z"), ("u3", "no time")])
+    export_file(source / "deep" / "er" / "b.csv", [("u4", "2024-01-02T11:00:00Z"), ("u5", "2024-01-03T00:00:00Z")])
+    first = daily_cache.refresh_daily_cache(spark, str(source), str(cache))
+    assert len(first.files) == 2 and set(first.days) == {"2024-01-01", "2024-01-02", "2024-01-03", "none"}
+    before, rows = days_written(cache), cached_rows(spark, cache)
+    assert len(rows) == 5 and daily_cache.refresh_daily_cache(spark, str(source), str(cache)) == daily_cache.Refresh((), (), ())
+
+    export_file(source / "c.csv", [("u6", "2024-01-02T12:00:00Z")])
+    second = daily_cache.refresh_daily_cache(spark, str(source), str(cache))
+    after = days_written(cache)
+    assert second.days == ("2024-01-02",) and [f.rsplit("/", 1)[1] for f in second.files] == ["c.csv"]
+    assert {d for d in after if after[d] != before[d]} == {"loginDate=2024-01-02"}
+    assert cached_rows(spark, cache) == sorted([*rows, ("u6", "2024-01-02 12:00:00", "2024-01-02")])
+
+
+def test_daily_cache_follows_changed_and_lost_files(spark, tmp_path):
+    import os
+
+    source, cache = tmp_path / "exports", tmp_path / "cache"
+    export_file(source / "a.csv", [("u1", "2024-01-01T00:00:00Z"), ("u2", "2024-01-02T10:00:00Z")])
+    export_file(source / "b.csv", [("u3", "2024-01-02T11:00:00Z"), ("u4", "2024-01-03T00:00:00Z")])
+    daily_cache.refresh_daily_cache(spark, str(source), str(cache))
+    export_file(source / "a.csv", [("u1", "2024-01-05T00:00:00Z")])
+    os.utime(source / "a.csv", (2e9, 2e9))
+    done = daily_cache.refresh_daily_cache(spark, str(source), str(cache))
+    assert done.removed == ("2024-01-01",) and set(done.days) == {"2024-01-02", "2024-01-05"}
+    assert [r[0] for r in cached_rows(spark, cache)] == ["u1", "u3", "u4"]
+    os.remove(source / "b.csv")
+    assert daily_cache.refresh_daily_cache(spark, str(source), str(cache)).removed == ("2024-01-02", "2024-01-03")
+    assert [r[0] for r in daily_cache.daily_logins(spark, str(source), str(cache), days=["2024-01-05"]).collect()] == ["u1"]
+
+
+def test_daily_cache_mends_a_refresh_that_broke_off(spark, tmp_path):
+    import shutil
+
+    source, cache = tmp_path / "exports", tmp_path / "cache"
+    export_file(source / "a.csv", [("u1", "2024-01-01T00:00:00Z"), ("u2", "2024-01-02T10:00:00Z")])
+    export_file(source / "b.csv", [("u3", "2024-01-02T11:00:00Z"), ("u4", "2024-01-03T00:00:00Z")])
+    daily_cache.refresh_daily_cache(spark, str(source), str(cache))
+    rows = cached_rows(spark, cache)
+    export_file(source / "c.csv", [("u5", "2024-01-02T12:00:00Z")])
+    shutil.rmtree(cache / "loginDate=2024-01-02")  # the old day is gone, the new one not there yet
+    (cache / "_touched").mkdir()
+    (cache / "_touched" / "part-0.json").write_text('{"day":"2024-01-02"}\n')
+    done = daily_cache.refresh_daily_cache(spark, str(source), str(cache))
+    assert len(done.files) == 3 and not (cache / "_touched").exists()
+    assert cached_rows(spark, cache) == sorted([*rows, ("u5", "2024-01-02 12:00:00", "2024-01-02")])
