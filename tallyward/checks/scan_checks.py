@@ -99,11 +99,11 @@ def shown(df):
                      "pattern", "evidence")
 
 
-def rule_check(name, rules, evidence="match", title=None, keep="true", ctes=None):
+def rule_check(name, rules, evidence="match", title=None, keep="true", ctes=None, **options):
     ranks = {r.rank for r in rules}
     title = title or "{} || ' in ' || path".format(case(rules, lambda r: quoted(r.title)))
     register(
-        name, lambda s, d: shown(sc.scan_files(files(s, d), ranks)),
+        name, lambda s, d: shown(sc.scan_files(files(s, d), ranks, **options)),
         f"""WITH {FILES_CTE}, {ctes or sql_matches(rules)}
             SELECT grp, path, CAST(rank AS INTEGER) AS rank, CAST(pos AS INTEGER) AS pos,
               {case(rules, lambda r: quoted(r.severity))} AS severity, {title} AS title, CAST(line AS INTEGER) AS line,
@@ -119,16 +119,17 @@ rule_check("n04_password_literals", (sc.PASSWORD_RULE,), "left(match, 80)",
 ENTROPY_SQL = """list_sum(list_transform(list_distinct(string_split({0}, '')), lambda c:
   -((length({0}) - length(replace({0}, c, ''))) / length({0})::DOUBLE) * log2((length({0}) - length(replace({0}, c, ''))) / length({0})::DOUBLE)))"""
 SECRET = "substr(match, 2, length(match) - 2)"
-rule_check("n03_entropy_literals", (sc.ENTROPY_RULE,), f"left({SECRET}, 40) || '...'", keep="true",
-           ctes=sql_matches((sc.ENTROPY_RULE,)).replace("hits AS (", "literals AS (", 1)
-           + f""", hits AS (SELECT * FROM literals WHERE {ENTROPY_SQL.format(SECRET)} >= 4.5
-                AND NOT regexp_full_match({SECRET}, '[0-9a-fA-F]{{32,64}}')
-                QUALIFY row_number() OVER (PARTITION BY grp, path ORDER BY pos) = 1)""")
+ENTROPY_CTES = (sql_matches((sc.ENTROPY_RULE,)).replace("hits AS (", "literals AS (", 1)
+                + f""", hits AS (SELECT * FROM literals WHERE {ENTROPY_SQL.format(SECRET)} >= 4.5
+                AND NOT regexp_full_match({SECRET}, '[0-9a-fA-F]{{32,64}}') """)
+rule_check("n03_entropy_literals", (sc.ENTROPY_RULE,), f"left({SECRET}, 40) || '...'",
+           ctes=ENTROPY_CTES + "QUALIFY row_number() OVER (PARTITION BY grp, path ORDER BY pos) = 1)", first_per_file=True)
+rule_check("n03_all_entropy_literals", (sc.ENTROPY_RULE,), f"left({SECRET}, 40) || '...'", ctes=ENTROPY_CTES + ")")
 rule_check("n05_endpoints", sc.ENDPOINT_RULES)
 rule_check("n06_send_phrases", sc.PHRASE_RULES)
 rule_check("n08_tls_verification", (sc.TLS_RULE,))
 register(
-    "n09_shell", lambda s, d: shown(sc.scan_files(files(s, d), sc.SHELL_RANKS)),
+    "n09_shell", lambda s, d: shown(sc.scan_files(files(s, d), sc.SHELL_RANKS, first_per_file=True)),
     f"""WITH {FILES_CTE}, shell AS (SELECT * FROM files WHERE path LIKE '%.sh' OR text LIKE '#!/bin/%')
         SELECT grp, path, 80 AS rank, 0 AS pos, 'CRITICAL' AS severity, 'shell eval on variable in ' || path AS title,
           CAST(list_position(list_transform(string_split(text, chr(10)), lambda x: regexp_matches(x, {quoted(fixed.SHELL_EVAL)})), true) AS INTEGER) AS line,
@@ -137,22 +138,47 @@ register(
         UNION ALL SELECT grp, path, 81, 0, 'MEDIUM', 'TLS verification disabled in ' || path, 1, 'Disabled TLS verification',
           'curl -k / wget --no-check-certificate' FROM shell
         WHERE regexp_matches(text, 'curl\\s+(-k|--insecure)\\b') OR regexp_matches(text, 'wget\\s+(--no-check-certificate)\\b')""")
-POPULAR = ", ".join(quoted(n) for n in fixed.POPULAR_PACKAGES)
+SHELL_SEARCHES = tuple(
+    sc.TextRule(rank, "UC", severity, label, regex, title) for rank, severity, label, regex, title in (
+        (80, "CRITICAL", "Shell eval injection", fixed.SHELL_EVAL, "shell eval on variable"),
+        (81, "MEDIUM", "Disabled TLS verification", fixed.SHELL_TLS_OFF, "TLS verification disabled")))
+EVERY_SHELL_HIT = f"""WITH {FILES_CTE.replace("files AS", "every_file AS")},
+        files AS (SELECT grp, path, text || chr(10) || 'eval $a; eval "$b"' || chr(10) || 'wget --no-check-certificate x; curl --insecure y' AS text
+          FROM every_file WHERE path LIKE '%.sh' OR text LIKE '#!/bin/%'), {sql_matches(SHELL_SEARCHES)}
+        SELECT grp, path, CAST(rank AS INTEGER) AS rank, CAST(pos AS INTEGER) AS pos,
+          {case(SHELL_SEARCHES, lambda r: quoted(r.severity))} AS severity,
+          {case(SHELL_SEARCHES, lambda r: quoted(r.title))} || ' in ' || path AS title, CAST(line AS INTEGER) AS line,
+          {case(SHELL_SEARCHES, lambda r: quoted(r.pattern))} AS pattern,
+          CASE rank WHEN 80 THEN 'eval $...' ELSE 'curl -k / wget --no-check-certificate' END AS evidence FROM hits"""
 register(
-    "n10_n11_requirements", lambda s, d: shown(sc.scan_files(files(s, d), {sc.REQUIREMENT_RANK})),
-    f"""WITH {FILES_CTE}, numbered AS (
+    "n09_all_shell_lines",
+    lambda s, d: shown(sc.scan_files(files(s, d).withColumn("text", F.concat(
+        "text", F.lit('\neval $a; eval "$b"\nwget --no-check-certificate x; curl --insecure y'))), sc.SHELL_RANKS)),
+    EVERY_SHELL_HIT)
+POPULAR = ", ".join(quoted(n) for n in fixed.POPULAR_PACKAGES)
+REQUIREMENT_CTES = f"""WITH {FILES_CTE}, numbered AS (
           SELECT grp, path, p AS line, trim(l[p]) AS t, lower(regexp_extract(trim(l[p]), '^[^<>=!~\\s]*')) AS pkg
           FROM (SELECT grp, path, l, unnest(generate_series(1, len(l))) AS p FROM (
             SELECT grp, path, string_split(text, chr(10)) AS l FROM files WHERE path LIKE '%/requirements.txt'))
           WHERE trim(l[p]) <> '' AND trim(l[p]) NOT LIKE '#%'),
         near AS (SELECT n.*, arg_min(name, (levenshtein(pkg, name), name)) AS name
           FROM numbered n, (SELECT unnest([{POPULAR}]) AS name)
-          WHERE levenshtein(pkg, name) BETWEEN 1 AND 2 GROUP BY ALL)
+          WHERE levenshtein(pkg, name) BETWEEN 1 AND 2 GROUP BY ALL)"""
+SQUATS = """SELECT grp, path, 90 AS rank, CAST(line * 2 + 1 AS INTEGER) AS pos, 'HIGH' AS severity,
+          'Possible typosquat: ' || pkg || ' (close to ' || name || ')' AS title,
+          CAST(line AS INTEGER) AS line, 'Typosquat candidate' AS pattern, left(t, 80) AS evidence FROM near"""
+register(
+    "n10_n11_requirements", lambda s, d: shown(sc.scan_files(files(s, d), {sc.REQUIREMENT_RANK})),
+    f"""{REQUIREMENT_CTES}
         SELECT grp, path, 90 AS rank, CAST(line * 2 AS INTEGER) AS pos, 'MEDIUM' AS severity, 'Unpinned dependency in ' || path AS title,
           CAST(line AS INTEGER) AS line, 'Unpinned dependency' AS pattern, left(t, 80) AS evidence
         FROM numbered WHERE NOT contains(t, '==') AND NOT regexp_matches(t, '@\\s*git\\+')
-        UNION ALL SELECT grp, path, 90, CAST(line * 2 + 1 AS INTEGER), 'HIGH',
-          'Possible typosquat: ' || pkg || ' (close to ' || name || ')', CAST(line AS INTEGER), 'Typosquat candidate', left(t, 80) FROM near""")
+        UNION ALL {SQUATS}""")
+register(
+    "c12_near_names_by_index",
+    lambda s, d: shown(sc.near_name_findings(files(s, d), s.createDataFrame([(n,) for n in fixed.POPULAR_PACKAGES], "name string"))),
+    f"{REQUIREMENT_CTES} {SQUATS}")
+
 register(
     "n12_install_hooks", lambda s, d: shown(sc.scan_files(files(s, d), sc.HOOK_RANKS)),
     f"""WITH {FILES_CTE}, hooks AS (SELECT *, json_extract_string(text, '$.scripts.postinstall') AS v FROM files
@@ -311,7 +337,19 @@ register("n16_n18_aggregate_report",
          lambda s, d: summed_up(files(s, d).select("grp").distinct(), secret_findings(s, d)),
          PREFIXED + """ SELECT (SELECT count(DISTINCT grp) FROM files) AS groups, CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict,
               CAST(0 AS BIGINT) AS safety_findings, count(*) AS security_findings FROM found WHERE severity IN ('CRITICAL', 'HIGH')""")
-register("n16_n18_report_of_all_rules", lambda s, d: summed_up(all_groups(s, d), all_findings(s, d)))
+SHELL_SQL = f"""WITH {FILES_CTE.replace("files AS", "every_file AS")},
+  files AS (SELECT * FROM every_file WHERE path LIKE '%.sh' OR text LIKE '#!/bin/%'), {sql_matches(SHELL_SEARCHES)}
+  SELECT {case(SHELL_SEARCHES, lambda r: quoted(r.severity))} AS severity FROM hits"""
+EVERY_SQL = [SQL[n] for n in ("n02_secrets", "n03_all_entropy_literals", "n04_password_literals", "n05_endpoints", "n06_send_phrases",
+                              "n07_python_calls", "n08_tls_verification", "n10_n11_requirements", "n12_install_hooks")] + [SHELL_SQL]
+register("n16_n18_report_of_all_rules", lambda s, d: summed_up(all_groups(s, d), all_findings(s, d)),
+         f"""WITH every AS ({" UNION ALL ".join(f"SELECT severity, false AS safety FROM ({sql})" for sql in EVERY_SQL)}
+               UNION ALL SELECT severity, true FROM (WITH {PRECHECK_SQL} SELECT * FROM pre)),
+             places AS (SELECT grp FROM (WITH {FILES_CTE} SELECT grp FROM files) UNION SELECT grp FROM (WITH {MODULES_CTE} SELECT grp FROM modules)
+               UNION SELECT grp FROM (WITH {MARKER_CTE} SELECT grp FROM marks))
+             SELECT (SELECT count(*) FROM places) AS groups,
+               CASE WHEN count(*) FILTER (severity IN ('CRITICAL', 'HIGH')) > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict,
+               count(*) FILTER (safety) AS safety_findings, count(*) FILTER (NOT safety) AS security_findings FROM every""")
 register("n17_d13_severity_table", lambda s, d: sc.severity_table(secret_findings(s, d)),
          PREFIXED + """ SELECT grp, 'Security' AS dimension, count(*) FILTER (severity = 'CRITICAL') AS "CRITICAL",
               count(*) FILTER (severity = 'HIGH') AS "HIGH", count(*) FILTER (severity = 'MEDIUM') AS "MEDIUM",

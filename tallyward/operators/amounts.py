@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.fixed import SUBSCRIPTION_FAMILIES, TRAINING_FAMILIES
+from tallyward.session import written
 
 OPEN, WON = "open", "closed won"
 
@@ -74,9 +75,15 @@ def related_renewals(opportunities: DataFrame, amounts: DataFrame) -> DataFrame:
 
 
 def revenue_classes(opportunities: DataFrame, amounts: DataFrame) -> DataFrame:
-    """New ARR, add-on, capped renewal, net annual orders and weighted ACV per opportunity."""
-    renewals = related_renewals(opportunities, amounts).select("opp_id", "related_renewal_amount")
-    rows = opportunities.join(amounts, "opp_id").join(renewals, "opp_id", "left")
+    """New ARR, add-on, capped renewal, net annual orders and weighted ACV per opportunity.
+
+    Amounts are added up once, and the opportunities read once.
+    """
+    own = written(amounts.select("opp_id", "acv", "acv_subs"), "amounts")  # joined twice
+    # rows without a related opportunity get a key of their own, so that they do not all meet in one task
+    key = F.coalesce(F.concat(F.lit("="), F.col("related_opportunity_id")), F.concat(F.lit("none "), F.col("opp_id")))
+    related = own.select(F.concat(F.lit("="), F.col("opp_id")).alias("related_key"), F.col("acv_subs").alias("related_renewal_amount"))
+    rows = opportunities.join(own, "opp_id").withColumn("related_key", key).join(related, "related_key", "left")
     subs, zero = F.col("acv_subs"), F.lit(0).cast("decimal(18,2)")
     new, renewal = F.col("is_new_business"), F.col("is_renewal")
     capped = F.least(subs, F.coalesce("related_renewal_amount", subs))

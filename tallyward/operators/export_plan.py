@@ -15,6 +15,8 @@ from tallyward.fixed import (
 from tallyward.functions.names import (
     bracket_id, filled, folder_name, instant_text, is_blank, normalized_id, path_key, segment_key, target_file_name,
 )
+from tallyward.operators.frames import repeat_rows
+from tallyward.operators.timeline import collapsed
 
 FILE = "FILE"
 ID_SCHEMA = "kind string, id string"
@@ -111,29 +113,35 @@ def filter_ids(inventory: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows whose ids are wanted. A kind without ids does not filter; ids may repeat.
 
     A file matches by download or naming id. An account's files match by parent id,
-    others by parent id and by account id. All lookups are equi-joins with distinct ids; which
-    kinds filter is a scalar subquery, and kinds that no file has play no part.
+    others by parent id and by account id. Which kinds filter is a scalar subquery; kinds that no file has play no part.
+    Each row names the (kind, id) keys that it needs, one equi-join finds the wanted ones, and they are put together again
+    per row; equal rows count as one until the end. A row without needs skips the join.
     """
-    wanted = ids.select("kind", "id").distinct()
+    wanted = ids.select(F.col("kind").alias("key_kind"), F.col("id").alias("key_id")).distinct()
     named = ids.agg(F.coalesce(F.collect_set(F.when(F.col("kind").isin(FILE, *PARENT_TYPES), F.col("kind"))), F.array()).alias("kinds")).scalar()
 
     def asked(kind: Column) -> Column:
         return F.coalesce(F.array_contains(named, kind), F.lit(False))
 
-    def flagged(rows: DataFrame, flag: str, kind: Column, id_: Column) -> DataFrame:
-        own = wanted.select(F.col("kind").alias(f"{flag}_kind"), F.col("id").alias(f"{flag}_id"), F.lit(True).alias(flag))
-        match = (F.col(f"{flag}_kind") == kind) & (F.col(f"{flag}_id") == id_)
-        return rows.join(own, match, "left").drop(f"{flag}_kind", f"{flag}_id")
-
-    rows = flagged(inventory, "by_download", F.lit(FILE), normalized_id(F.col("downloadId")))
-    rows = flagged(rows, "by_naming", F.lit(FILE), normalized_id(F.col("namingId")))
-    rows = flagged(rows, "by_parent", F.col("parentType"), normalized_id(F.col("parentId")))
-    rows = flagged(rows, "by_account", F.lit("ACCOUNT"), normalized_id(F.col("accountId")))
-    return rows.filter(
-        (~asked(F.lit(FILE)) | F.col("by_download") | F.col("by_naming"))
-        & (F.col("by_parent") | ~asked(F.col("parentType")))
-        & (F.col("by_account") | (F.col("parentType") == "ACCOUNT") | ~asked(F.lit("ACCOUNT")))
-    ).drop("by_download", "by_naming", "by_parent", "by_account")
+    def key(need: int, kind: Column, id_: str) -> Column:
+        return F.struct(F.lit(need).alias("need"), kind.alias("key_kind"), normalized_id(F.col(id_)).alias("key_id"))
+
+    file, parent = asked(F.lit(FILE)), asked(F.col("parentType"))
+    account = asked(F.lit("ACCOUNT")) & ~F.coalesce(F.col("parentType") == "ACCOUNT", F.lit(False))
+    rows = collapsed(inventory, "copies_").withColumns({"file_": file, "parent_": parent, "account_": account})
+    needs = F.when(F.col("file_"), 1).otherwise(0) + F.when(F.col("parent_"), 2).otherwise(0) + F.when(F.col("account_"), 4).otherwise(0)
+    keys = F.array_compact(F.array(
+        F.when(F.col("file_"), key(1, F.lit(FILE), "downloadId")), F.when(F.col("file_"), key(1, F.lit(FILE), "namingId")),
+        F.when(F.col("parent_"), key(2, F.col("parentType"), "parentId")),
+        F.when(F.col("account_"), key(4, F.lit("ACCOUNT"), "accountId"))))
+    own = [*inventory.columns, "copies_"]
+    rows = rows.select(*own, needs.alias("needs_"), keys.alias("keys_"))
+    met = (
+        rows.filter("needs_ > 0").select(*own, "needs_", F.explode("keys_").alias("key_")).select(*own, "needs_", "key_.*")
+        .join(wanted, ["key_kind", "key_id"])
+        .groupBy(*own, "needs_").agg(F.bit_or("need").alias("found_")).filter("found_ = needs_")
+    )
+    return repeat_rows(rows.filter("needs_ = 0").select(*own).unionByName(met.select(*own)), "copies_")
 
 
 def filter_types(inventory: DataFrame, types: DataFrame) -> DataFrame:

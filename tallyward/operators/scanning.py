@@ -19,6 +19,7 @@ from tallyward.functions.text import (
     EDGE_SPACE, LINE_BREAK, cut, file_name, has_suffix, literal, match_lines_sql, matches_sql, mentions, nearest_name_sql,
     path_parts, searched, shannon_entropy_sql, strip, strip_quotes,
 )
+from tallyward.operators.near_names import nearest_names
 from tallyward.operators.ordered import numbered_within
 from tallyward.session import written
 from tallyward.sources.files import visible, within_size
@@ -159,7 +160,7 @@ def _in_file(title: str) -> str:
     return f"concat({title}, ' in ', path)"
 
 
-def _rule_hits(rule: TextRule, known_registries: Sequence[str], first_per_file: bool = True) -> str:
+def _rule_hits(rule: TextRule, known_registries: Sequence[str], first_per_file: bool = False) -> str:
     """Hits of one text rule out of its matches, the column ``m<rank>``."""
     found = f"m{rule.rank}"
     placed = (f"transform(arrays_zip({found}, {match_lines_sql('text', rule.regex, found)}), "
@@ -188,38 +189,71 @@ def _rule_hits(rule: TextRule, known_registries: Sequence[str], first_per_file:
     return f"CASE WHEN size({found}) > 0 THEN transform({placed}, m -> {hit}) END"
 
 
-def _shell_hits() -> str:
-    pattern = literal(searched(fixed.SHELL_EVAL))
-    lines = f"transform(split(text, {literal(LINE_BREAK)}, -1), l -> rlike(l, {pattern}))"
-    eval_hit = _hit(SHELL_RANKS[0], "0", "UC", "CRITICAL", _in_file("'shell eval on variable'"),
-                    f"greatest(array_position({lines}, true), 1)", "Shell eval injection", "'eval $...'")
-    tls_hit = _hit(SHELL_RANKS[1], "0", "UC", "MEDIUM", _in_file("'TLS verification disabled'"), "1",
-                   "Disabled TLS verification", "'curl -k / wget --no-check-certificate'")
-    return (f"CASE WHEN in_shell THEN array_compact(array(CASE WHEN rlike(text, {pattern}) THEN {eval_hit} END, "
-            f"CASE WHEN rlike(text, {literal(searched(fixed.SHELL_TLS_OFF))}) THEN {tls_hit} END)) END")
+def _shell_hits(first_per_file: bool = False) -> str:
+    """Evals on a variable and places that turn certificate checks off, in file order.
 
-
-def _requirement_hits() -> str:
-    """Unpinned lines and near-miss package names, in line order."""
+    With ``first_per_file`` one finding each: on the first line with an eval, and on line 1 for the certificates.
+    """
+    def hits(number: int, regex: str, first_line: str, severity: str, title: str, label: str, evidence: str) -> str:
+        found = matches_sql("text", regex)
+        lines = f"array({first_line})" if first_per_file else (
+            f"flatten(transform(array({found}), found -> {match_lines_sql('text', regex, 'found')}))")
+        hit = _hit(SHELL_RANKS[number], "i", "UC", severity, _in_file(title), "l", label, evidence)
+        return (f"CASE WHEN rlike(text, {literal(searched(regex))}) THEN transform({lines}, (l, i) -> {hit}) "
+                f"ELSE CAST(array() AS {HIT_ARRAY}) END")
+
+    eval_lines = f"transform(split(text, {literal(LINE_BREAK)}, -1), l -> rlike(l, {literal(searched(fixed.SHELL_EVAL))}))"
+    evals = hits(0, fixed.SHELL_EVAL, f"greatest(array_position({eval_lines}, true), 1)", "CRITICAL", "'shell eval on variable'",
+                 "Shell eval injection", "'eval $...'")
+    tls = hits(1, fixed.SHELL_TLS_OFF, "1", "MEDIUM", "'TLS verification disabled'", "Disabled TLS verification",
+               "'curl -k / wget --no-check-certificate'")
+    return f"CASE WHEN in_shell THEN concat({evals}, {tls}) END"
+
+
+def _requirement_lines() -> str:
+    """Requirement lines that are used, trimmed, with their number and the lowered name at their start."""
     numbered = (f"transform(split(text, {literal(LINE_BREAK)}, -1), (l, i) -> named_struct('line', i + 1, "
                 f"'text', regexp_replace(l, {literal(EDGE_SPACE)}, '')))")
     used = f"filter({numbered}, u -> u.text != '' AND NOT startswith(u.text, '#'))"
     start = literal(r"(?U)^[^<>=!~\s]*")
-    named = (f"transform({used}, u -> named_struct('line', u.line, 'text', u.text, "
-             f"'name', lower(regexp_extract(u.text, {start}, 0))))")
-    near = (f"transform({named}, u -> named_struct('line', u.line, 'text', u.text, 'name', u.name, "
+    return (f"transform({used}, u -> named_struct('line', u.line, 'text', u.text, "
+            f"'name', lower(regexp_extract(u.text, {start}, 0))))")
+
+
+def _squat_hit(line: str, text: str, name: str, near: str) -> str:
+    return _hit(REQUIREMENT_RANK, f"{line} * 2 + 1", "SC", "HIGH",
+                f"concat('Possible typosquat: ', {name}, ' (close to ', {near}, ')')", line, "Typosquat candidate",
+                f"substring({text}, 1, 80)")
+
+
+def _requirement_hits() -> str:
+    """Unpinned lines and near-miss package names, in line order."""
+    near = (f"transform({_requirement_lines()}, u -> named_struct('line', u.line, 'text', u.text, 'name', u.name, "
             f"'near', {nearest_name_sql('u.name', fixed.POPULAR_PACKAGES)}))")
     git_url = literal(searched(r"@\s*git\+"))
     unpinned = _hit(REQUIREMENT_RANK, "u.line * 2", "SC", "MEDIUM", _in_file("'Unpinned dependency'"), "u.line",
                     "Unpinned dependency", "substring(u.text, 1, 80)")
-    squat = _hit(REQUIREMENT_RANK, "u.line * 2 + 1", "SC", "HIGH",
-                 "concat('Possible typosquat: ', u.name, ' (close to ', u.near, ')')", "u.line", "Typosquat candidate",
-                 "substring(u.text, 1, 80)")
+    squat = _squat_hit("u.line", "u.text", "u.name", "u.near")
     return (f"CASE WHEN in_requirements THEN array_compact(flatten(transform({near}, u -> array("
             f"CASE WHEN NOT contains(u.text, '==') AND NOT rlike(u.text, {git_url}) THEN {unpinned} END, "
             f"CASE WHEN u.near IS NOT NULL THEN {squat} END)))) END")
 
 
+def near_name_findings(files: DataFrame, names: DataFrame) -> DataFrame:
+    """Hits of required packages whose name is close to one of ``names``, a list of any length (column ``name``).
+
+    The built-in scan compares each line with its short list; here equal names are looked up once, through an index.
+    """
+    lines = (
+        visible(files).filter(_in_scope("requirements") & F.col("text").isNotNull())
+        .select("grp", "path", F.explode(F.expr(_requirement_lines())).alias("u"))
+        .select("grp", "path", "u.line", "u.text", "u.name")
+    )
+    near = nearest_names(lines.select(F.col("name").alias("word")), names)
+    found = lines.join(near, F.col("name") == F.col("word"))
+    return found.select("grp", "path", F.expr(_squat_hit("line", "text", "name", "near")).alias("hit")).select("grp", "path", "hit.*")
+
+
 def _hook_hits() -> str:
     def hook(rank: int, name: str) -> str:
         value = f"get_json_object(text, '$.scripts.{name}')"
@@ -261,17 +295,17 @@ HIT_SCHEMA = ("grp string, path string, rank int, pos int, prefix string, severi
 def scan_files(files: DataFrame, ranks: Collection[int] = CORE_RANKS, extra_rules: Sequence[TextRule] = (),
                known_registries: Sequence[str] = fixed.KNOWN_REGISTRIES,
                allowed_hosts: Sequence[str] = (), max_bytes: int | None = None,
-               first_per_file: bool = True) -> DataFrame:
+               first_per_file: bool = False) -> DataFrame:
     """Hits of the chosen rules (by rank), unnumbered; ``CATALOG_RANKS`` adds the catalog rules.
 
     Every text is scanned whole unless ``max_bytes`` is given (``oversized`` lists what that skips).
-    ``first_per_file`` reports only the first high-entropy literal of a file.
+    ``first_per_file`` reports only the first high-entropy literal, shell eval and shell certificate finding of a file.
     """
     rows = visible(files) if max_bytes is None else within_size(visible(files), max_bytes)
     rules = [r for r in (*TEXT_RULES, *CATALOG_RULES, REGISTRY_RULE) if r.rank in ranks] + list(extra_rules)
     parts = [_rule_hits(r, known_registries, first_per_file) for r in rules]
     scopes = {}
-    for scope, scope_ranks, hits in (("shell", SHELL_RANKS, _shell_hits), ("package", HOOK_RANKS, _hook_hits),
+    for scope, scope_ranks, hits in (("shell", SHELL_RANKS, lambda: _shell_hits(first_per_file)), ("package", HOOK_RANKS, _hook_hits),
                                      ("requirements", (REQUIREMENT_RANK,), _requirement_hits)):
         if set(scope_ranks) & set(ranks):
             scopes[f"in_{scope}"] = _in_scope(scope)

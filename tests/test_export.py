@@ -101,6 +101,41 @@ def test_retry_filters(spark, tables):
     assert [r.downloadId for r in rows.collect()] == ["00P1", "00P1"]
 
 
+@pytest.mark.parametrize("kinds", [(), ("FILE",), ("CONTRACT",), ("ACCOUNT",), ("FILE", "ACCOUNT", "OPPORTUNITY"), ("OTHER", "ACCOUNT", "CONTRACT")])
+def test_id_filter_against_each_row(spark, kinds):
+    import random
+
+    rng = random.Random(len(kinds))
+    some = lambda: rng.choice(["A", "b", " c ", "D", "E", None])
+    rows = [(some(), some(), rng.choice(["ACCOUNT", "CONTRACT", "OPPORTUNITY", None]), some(), some(), rng.randrange(3)) for _ in range(400)]
+    rows += rows[:60]
+    inventory = spark.createDataFrame(rows, "downloadId string, namingId string, parentType string, parentId string, accountId string, n int")
+    wanted = [(k, i) for k in kinds for i in ("A", "C", "C", "X")]
+    got = x.filter_ids(inventory, spark.createDataFrame(wanted, "kind string, id string"))
+    clean = lambda v: v.strip().upper() if v else v
+    asked = {k for k in kinds if k != "OTHER"}
+
+    def stays(r):
+        file = "FILE" not in asked or ("FILE", clean(r[0])) in wanted or ("FILE", clean(r[1])) in wanted
+        parent = r[2] not in asked or (r[2], clean(r[3])) in wanted
+        account = "ACCOUNT" not in asked or r[2] == "ACCOUNT" or ("ACCOUNT", clean(r[4])) in wanted
+        return file and parent and account
+
+    order = lambda r: repr(tuple(r))
+    assert sorted(map(tuple, got.collect()), key=order) == sorted(filter(stays, rows), key=order)
+
+
+def test_id_filter_reads_the_inventory_once(spark, tmp_path):
+    spark.range(50).selectExpr("CAST(id AS STRING) AS downloadId", "'x' AS namingId", "'ACCOUNT' AS parentType", "'p' AS parentId",
+                               "'a' AS accountId").write.parquet(str(tmp_path / "inv"))
+    ids = spark.createDataFrame([("FILE", "3")], "kind string, id string")
+    found = x.filter_ids(spark.read.parquet(str(tmp_path / "inv")), ids)
+    assert [r.downloadId for r in found.collect()] == ["3"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan[plan.index("== Final Plan"):plan.index("== Initial Plan")] if "== Final Plan" in plan else plan
+    assert final.count("FileScan") == 1 and final.count("Join") == 1
+
+
 def test_amounts(spark):
     products = spark.createDataFrame(
         [(1, "Subscription", "A", 10, 5, 12, 2), (1, "Training", "A", 4, 4, 4, 0), (1, None, "B", 3, 3, 3, 0),

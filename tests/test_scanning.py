@@ -1,8 +1,10 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyward.operators import scanning as sc
+from tallyward.operators.near_names import nearest_names
 from tallyward.sources.files import oversized
 
 HEX40 = hashlib.sha1(b"x").hexdigest()
@@ -34,7 +36,7 @@ def test_long_evidence_is_cut(spark):
 
 
 def test_entropy_rule(spark):
-    assert found(spark, {"a.txt": f'\nx = "{MIXED}"\ny = "{MIXED}1"'}) == [("a.txt", 2, "Generic high-entropy secret")]
+    assert found(spark, {"a.txt": f'\nx = "{MIXED}"\ny = "{MIXED}1"'}, first_per_file=True) == [("a.txt", 2, "Generic high-entropy secret")]
     assert found(spark, {"a.txt": f'"{HEX40}"', "docs/a.txt": f'"{MIXED}"', "references/b.md": f'"{MIXED}"'}) == []
     row, = hits(spark, {"a.txt": f"'{MIXED * 2}'"})
     assert row[5] == (MIXED * 2)[:40] + "..."
@@ -78,7 +80,7 @@ def test_outbound_hosts(spark):
 
 
 def test_shell(spark):
-    assert found(spark, {"a.sh": "echo\neval \"$x\"\nwget --no-check-certificate u\ncurl -k v"}) == [
+    assert found(spark, {"a.sh": "echo\neval \"$x\"\nwget --no-check-certificate u\ncurl -k v"}, first_per_file=True) == [
         ("a.sh", 1, "Disabled TLS verification"), ("a.sh", 2, "Shell eval injection")]
     assert found(spark, {"run": "#!/bin/sh\neval $x", "a.txt": "eval $x", "b.sh": "medieval $x"}) == [
         ("run", 2, "Shell eval injection")]
@@ -173,3 +175,60 @@ def test_long_texts_are_scanned_whole_and_bad_urls_do_no_harm(spark):
     assert any("long.txt" in t for t in titles)
     assert not any("long.txt" in r.title for r in sc.scan_files(files, max_bytes=1_000_000).collect())
     assert [r.path for r in oversized(files).collect()] == ["long.txt"]
+
+
+def test_every_hit_of_a_file(spark):
+    secrets = [f"Ab{i}" + "cdefghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ+/" for i in range(3)]
+    shell = 'eval "$a"; eval $b\necho\neval\n$c\ncurl -k x\ncurl \n--insecure y; wget --no-check-certificate z\n'
+    rows = [("g", "a.txt", "\n".join(f'k = "{s}"' for s in secrets)), ("g", "run.sh", shell)]
+    files = spark.createDataFrame(rows, "grp string, path string, text string")
+    ranks = {sc.ENTROPY_RULE.rank, *sc.SHELL_RANKS}
+    every = sorted((r.rank, r.line, r.pos) for r in sc.scan_files(files, ranks).collect())
+    assert every == [(20, 1, 0), (20, 2, 1), (20, 3, 2), (80, 1, 0), (80, 1, 1), (80, 3, 2), (81, 5, 0), (81, 6, 1), (81, 7, 2)]
+    first = sorted((r.rank, r.line) for r in sc.scan_files(files, ranks, first_per_file=True).collect())
+    assert first == [(20, 1), (80, 1), (81, 1)]
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("limit", [1, 2])
+def test_near_names_against_every_pair(spark, limit):
+    import random
+
+    rng = random.Random(limit)
+    names = ["", "a", "ab", "numpy", "😀x"] + ["".join(rng.choices("abcé", k=rng.randrange(1, 9))) for _ in range(150)]
+    words = names[:20] + ["numpyy", "nunpy", "x" * 40, "😀"] + ["".join(rng.choices("abcéd", k=rng.randrange(0, 11))) for _ in range(250)]
+    table = spark.createDataFrame([(w,) for w in [*words, None]], "word string")
+    known = spark.createDataFrame([(n,) for n in [*names, None]], "name string")
+    got = {r.word: r.near for r in nearest_names(table, known, limit).collect()}
+    want = {}
+    for w in set(words):
+        near = [(d, n) for n in set(names) if 1 <= (d := edits(w, n)) <= limit]
+        if near:
+            want[w] = min(near, key=lambda x: (x[0], x[1].encode()))[1]
+    assert got == want and len(want) > 50
+
+
+def test_many_names_are_not_compared_with_every_word(spark):
+    names = spark.range(100_000).select(F.concat(F.lit("pkg"), F.sha1(F.col("id").cast("string")).substr(1, 9)).alias("name"))
+    words = names.limit(300).select(F.concat(F.col("name").substr(1, 6), F.lit("x"), F.col("name").substr(7, 20)).alias("word"))
+    found = nearest_names(words, names)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert found.count() == 300
+
+
+def test_near_name_findings_are_those_of_the_scan(spark):
+    text = "numpyy==1\n# requets\nrequets>=2\nnumpy\n\nnumpyy\n  Djang0 == 3\n"
+    files = spark.createDataFrame([("g", "requirements.txt", text), ("g", "a.txt", text), ("h", "requirements.txt", None)],
+                                  "grp string, path string, text string")
+    names = spark.createDataFrame([(n,) for n in sc.fixed.POPULAR_PACKAGES], "name string")
+    scanned = [tuple(r) for r in sc.scan_files(files, {sc.REQUIREMENT_RANK}).collect() if r.pattern == "Typosquat candidate"]
+    assert sorted(map(tuple, sc.near_name_findings(files, names).collect())) == sorted(scanned) and len(scanned) >= 3
