@@ -2,7 +2,7 @@
 
 Documents are dealt into ``SHARDS`` shards by a hash of their text. A phrase with ``least`` occurrences in a language has at
 least ``least / SHARDS`` of them in one of its shards, whatever their sizes, so each shard is mined completely at that local
-support. A shard is mined level by level: phrases are counted where their parts of the level before are all frequent in the
+support. Shards are mined level by level: phrases are counted where their parts of the level before are all frequent in some
 shard. All shards are mined by the same job and a shard may span any number of tasks: their number, and with it the
 local support, stays as it is when the corpus grows. The union of what is frequent in some shard is then counted over all
 documents, exactly, by the words themselves.
@@ -41,7 +41,7 @@ SHARDS = 4
 #: Bits of a filter; more of them let fewer needless candidates through, the result does not depend on them.
 FILTER_BITS = 25
 #: Words that a task holds at a time.
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 1_000_000
 #: Bytes of a text that are split at a time.
 SLICE = 1 << 20
 #: Copies of the counts that the parts of phrases are joined to, so that no frequent part meets all its phrases in one task.
@@ -140,12 +140,8 @@ def _grams(hashes: np.ndarray, size: int) -> np.ndarray:
     return total
 
 
-def _seed(lang: bytes, shard: int) -> np.uint64:
-    return np.uint64(xxhash.xxh64_intdigest(lang, seed=shard))
-
-
-def _keys(grams: np.ndarray, seed: np.uint64) -> np.ndarray:
-    return mix(grams ^ seed)
+def _keys(grams: np.ndarray, lang: bytes) -> np.ndarray:
+    return mix(grams ^ np.uint64(xxhash.xxh64_intdigest(lang)))
 
 
 def _listed(keys: np.ndarray, slots: np.ndarray) -> np.ndarray:
@@ -182,41 +178,40 @@ def _word_counter(done: list) -> Callable:
         counts = np.bincount(fresh[fresh >= 0], minlength=len(words.texts))
         seen = np.flatnonzero(counts)
         if len(seen):
-            keys = _keys(_grams(words.hashes[seen], 1), _seed(*group)).view(np.int64)
-            done.append([[group[0]] * len(seen), [words.texts[i] for i in seen], keys, counts[seen]])
+            keys = _keys(_grams(words.hashes[seen], 1), group[0]).view(np.int64)
+            done.append([[group[0]] * len(seen), np.full(len(seen), group[1], np.int32), [words.texts[i] for i in seen], keys, counts[seen]])
     return count
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """Rows (lang, word, key, n); ``key`` is the word's hash in its shard."""
-    fields = pa.schema([("lang", pa.binary()), ("word", pa.binary()), ("key", pa.int64()), ("n", pa.int64())])
-    return _task(texts, "lang binary, word binary, key long, n long", _word_counter, fields)
+    """Rows (lang, shard, word, key, n); ``key`` is the word's hash in its language."""
+    fields = pa.schema([("lang", pa.binary()), ("shard", pa.int32()), ("word", pa.binary()), ("key", pa.int64()), ("n", pa.int64())])
+    return _task(texts, "lang binary, shard int, word binary, key long, n long", _word_counter, fields)
 
 
 def gram_counts(texts: DataFrame, sizes: Sequence[int], shorter: np.ndarray) -> DataFrame:
-    """Rows (size, key, n) of the phrases whose parts of ``min(sizes) - 1`` words are all in the filter ``shorter``."""
+    """Rows (shard, size, key, n) of the phrases whose parts of ``min(sizes) - 1`` words are all in the filter ``shorter``."""
     filters = texts.sparkSession.sparkContext.broadcast(shorter)
 
     def counter(done: list) -> Callable:
         def count(group: tuple, numbers: np.ndarray, carried: int, words: Words) -> None:
-            hashes, seed = words.hashes_of(numbers), _seed(*group)
-            part = min(sizes) - 1
-            listed, runs = _listed(_keys(_grams(hashes, part), seed), filters.value), _run_lengths(numbers)
+            hashes, (lang, shard), part = words.hashes_of(numbers), group, min(sizes) - 1
+            listed, runs = _listed(_keys(_grams(hashes, part), lang), filters.value), _run_lengths(numbers)
             for size in sizes:
                 n = max(0, len(numbers) - size + 1)
                 good = np.logical_and.reduce([listed[i:n + i] for i in range(size - part + 1)]) & (runs[:n] >= size)
                 good[:max(0, carried - size + 1)] = False  # counted in the block before
-                keys, counts = np.unique(_keys(_grams(hashes, size)[good], seed), return_counts=True)
+                keys, counts = np.unique(_keys(_grams(hashes, size)[good], lang), return_counts=True)
                 if len(keys):
-                    done.append([np.full(len(keys), size, np.int32), keys.view(np.int64), counts])
+                    done.append([np.full(len(keys), shard, np.int32), np.full(len(keys), size, np.int32), keys.view(np.int64), counts])
         return count
 
-    fields = pa.schema([("size", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
-    return _task(texts, "size int, key long, n long", counter, fields)
+    fields = pa.schema([("shard", pa.int32()), ("size", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
+    return _task(texts, "shard int, size int, key long, n long", counter, fields)
 
 
-def phrase_counts(texts: DataFrame, filters: list[np.ndarray], shards: int) -> DataFrame:
-    """Rows (lang, phrase, n) of the phrases of two words and more that are in a filter for one of the shards.
+def phrase_counts(texts: DataFrame, filters: list[np.ndarray]) -> DataFrame:
+    """Rows (lang, phrase, n) of the phrases of two words and more that are in the filter of their size.
 
     ``filters`` are those of 1, 2, ... words. The words themselves are counted; a hash only chooses the places.
     """
@@ -224,30 +219,27 @@ def phrase_counts(texts: DataFrame, filters: list[np.ndarray], shards: int) -> D
 
     def counter(done: list) -> Callable:
         def count(group: tuple, numbers: np.ndarray, carried: int, words: Words) -> None:
-            hashes, runs = words.hashes_of(numbers), _run_lengths(numbers)
-            seeds = [_seed(group[0], shard) for shard in range(shards)]
-
-            def known(grams: np.ndarray, size: int) -> np.ndarray:
-                return np.logical_or.reduce([_listed(_keys(grams, seed), shared.value[size - 1]) for seed in seeds])
-
-            often = known(_grams(words.hashes, 1), 1)
+            hashes, runs, lang = words.hashes_of(numbers), _run_lengths(numbers), group[0]
+            often = _listed(_keys(_grams(words.hashes, 1), lang), shared.value[0])
             listed = (numbers >= 0) & (often[numbers] if len(often) else False)
             for size in range(2, len(shared.value) + 1):
                 n = max(0, len(numbers) - size + 1)
                 places = np.flatnonzero(listed[:n] & listed[1:n + 1] & (runs[:n] >= size))
-                distinct, first, which, counts = np.unique(_grams(hashes, size)[places], return_index=True, return_inverse=True, return_counts=True)
-                chosen = known(distinct, size)
+                grams = _grams(hashes, size)[places]
+                known = _listed(_keys(grams, lang), shared.value[size - 1])
+                places, grams = places[known], grams[known]
                 listed = np.zeros(n, bool)
-                listed[places] = chosen[which]
+                listed[places] = True
+                distinct, first, which, counts = np.unique(grams, return_index=True, return_inverse=True, return_counts=True)
                 heads = places[first]
                 old = places <= carried - size  # counted in the block before
                 wrong = np.zeros(len(places), bool)  # the same hash, other words
                 for i in range(size):
                     wrong |= numbers[places + i] != numbers[heads[which] + i]
                 found = Counter(b" ".join(words.texts[j] for j in numbers[place:place + size])
-                                for place in places[wrong & ~old & chosen[which]])
+                                for place in places[wrong & ~old])
                 counts = counts - np.bincount(which[wrong | old], minlength=len(distinct))
-                chosen = np.flatnonzero(chosen & (counts > 0))
+                chosen = np.flatnonzero(counts > 0)
                 parts = [[words.texts[j] for j in numbers[heads[chosen] + i]] for i in range(size)]
                 phrases = [*map(b" ".join, zip(*parts, strict=True)), *found]
                 if phrases:
@@ -275,14 +267,15 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS)
         F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int").alias("shard"),
         F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     local = F.sum("n") * shards >= least
-    words = saved(word_counts(texts).groupBy("lang", "word", "key").agg(F.sum("n").alias("n")), "phrase-words")
-    filters = [bit_filter(words.groupBy("key").agg(local.alias("often")).where("often"))]
+    words = saved(word_counts(texts).groupBy("lang", "shard", "word", "key").agg(F.sum("n").alias("n")), "phrase-words")
+    filters = [bit_filter(words.groupBy("shard", "key").agg(local.alias("often")).where("often"))]
     for sizes in LEVELS:
         if filters[-1].any():
-            often = saved(gram_counts(texts, sizes, filters[-1]).groupBy("size", "key").agg(local.alias("often"))
+            often = saved(gram_counts(texts, sizes, filters[-1]).groupBy("shard", "size", "key").agg(local.alias("often"))
                           .where("often").select("size", "key"), "phrase-grams")
             filters += [bit_filter(often.where(F.col("size") == size)) for size in sizes]
-    phrases = phrase_counts(texts, filters, shards).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    whole = texts.withColumn("shard", F.lit(0))
+    phrases = phrase_counts(whole, filters).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
     single = words.groupBy("lang", F.col("word").alias("phrase")).agg(F.sum("n").alias("f"))
     frequent = single.unionByName(phrases).where(F.col("f") >= least).select(
         F.col("lang").cast("string").alias("lang"), F.col("phrase").cast("string").alias("phrase"), "f")

@@ -91,7 +91,7 @@ def test_blocks_lose_and_double_nothing(monkeypatch, block, slice_bytes):
 
     found = {}
     monkeypatch.setattr(phrases, "_task", lambda texts, schema, counter, fields: found.setdefault("counter", counter))
-    phrases.phrase_counts(Texts(), [full] * 5, 2)
+    phrases.phrase_counts(Texts(), [full] * 5)
     done, words = [], []
     for counter, out in ((found["counter"], done), (phrases._word_counter, words)):
         blocks = phrases._Block(counter(out))
@@ -102,7 +102,7 @@ def test_blocks_lose_and_double_nothing(monkeypatch, block, slice_bytes):
     for langs, grams, counts in done:
         for lang, gram, n in zip(langs, grams, counts, strict=True):
             got[lang.decode(), gram.decode()] += n
-    for langs, grams, _, counts in words:
+    for langs, _, grams, _, counts in words:
         for lang, gram, n in zip(langs, grams, counts, strict=True):
             got[lang.decode(), gram.decode()] += n
     expected = Counter()
