@@ -32,6 +32,9 @@ COVER = 0.7
 #: Diagonals at most this far apart belong to one span.
 NEAR_DIAGONALS = 3
 
+#: Template k-grams that are sent to every task, at most; more of them are joined by a shuffle.
+SENT_GRAMS = 20_000
+
 #: Label and wording of common license statements.
 TEMPLATES = (
     ("gpl", "This work is licensed under the GNU General Public License"),
@@ -132,6 +135,8 @@ def template_spans(scanned: DataFrame, templates: Sequence[tuple[str, str]] = TE
     sizes = Counter(number for number, *_ in rows)
     local = spark.createDataFrame([(*r, sizes[r[0]]) for r in rows], "template int, label string, place int, gram string, grams int")
     local = local.withColumn("hash", F.xxhash64("gram"))
+    if len(rows) <= SENT_GRAMS:
+        local = F.broadcast(local)
     gram = F.concat_ws(" ", *[F.get("words", F.col("at") + i) for i in range(k)])
     each = (scanned.where(F.size("words") >= k).select("doc_id", "h1", "h2", "words", F.explode(F.sequence(F.lit(0), F.size("words") - k)).alias("at"))
             .select("doc_id", "h1", "h2", "at", gram.alias("own")))
