@@ -3,11 +3,12 @@
 Rules are lists of (verdict, host, path): a rule fits its host and all subdomains if the path begins with the rule's; of
 those that fit the longest decides. Hosts whose ruled pages are allowed are seeds of trust, those whose pages are blocked
 are seeds of distrust, each with the share of such pages among all of the host. Personalised PageRank spreads trust along
-the links and distrust against them, from linked to linking host. A page that no rule decides is blocked if distrust makes
+the links and distrust against them, from linked to linking host, until next to nothing is left to move. A page that no rule decides is blocked if distrust makes
 up at least a set part of trust, distrust and the share of pages without a rule of its host, and allowed otherwise.
 
 Results for odd rows: a null url or one without ``://`` has empty host and path, no rule and the verdict allow; null or
-empty html has no links; repeated rows are judged alike and their links count once per host pair.
+empty html has no links; repeated rows are judged alike and their links count once per host pair; further columns are not
+read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,9 +28,11 @@ RULES: tuple[Rule, ...] = (
     ("allow", "com", "/fr/"), ("block", "com", "/de/"),
 )
 DAMPING = 0.85
-ROUNDS = 8
+#: Weight still on its way, as a share of that of all seeds, at which propagation ends.
+TOLERANCE = 1e-3
 DISTRUST_SHARE = 0.75
-LINK = r"""(?i)\bhref\s*=\s*["']?\s*([a-z][a-z0-9+.-]*://[^"'\s>]*)"""
+#: Link targets with a host, also those that leave the scheme to the page.
+LINK = r"""(?i)\bhref\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]*)"""
 
 
 def host_of(url: Column) -> Column:
@@ -54,27 +57,34 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 def host_links(pages: DataFrame) -> DataFrame:
     """Distinct rows (src, dst) of different hosts; relative links stay on their host and need no row."""
     found = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("link"))
-    return (found.select("src", host_of(F.col("link")).alias("dst"))
+    whole = F.when(F.startswith("link", F.lit("//")), F.concat(F.lit("x:"), F.col("link"))).otherwise(F.col("link"))
+    return (found.select("src", host_of(whole).alias("dst"))
             .where("src <> '' AND dst <> '' AND src <> dst").distinct())
 
 
-def spread(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def spread(seeds: DataFrame, links: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """Rows (kind, host, score) of personalised PageRank.
 
     ``seeds`` has (kind, host, seed), ``links`` has (kind, src, dst); the kinds are graphs beside each other. Score is
     the host's seed and the damped share of the scores that link to it; it is not normalised, so the kinds can be compared.
+    Each round moves only what arrived in the round before, and ends when less than ``tolerance`` of the seeds' weight is
+    on its way: each score is then exact but for that weight times damping / (1 - damping).
     """
     out = links.groupBy("kind", "src").agg(F.count("*").alias("degree"))
     links = saved(links.join(out, ["kind", "src"]), "links")
+    moving = seeds.select("kind", "host", F.col("seed").alias("score"))
     if links.isEmpty():
-        return seeds.select("kind", "host", F.col("seed").alias("score"))
-    start = seeds.select("kind", "host", F.col("seed").alias("score"))
-    score = start
-    for _ in range(rounds):
-        moved = (links.join(score.withColumnRenamed("host", "src"), ["kind", "src"])
+        return moving
+    moving = saved(moving, "scores")
+    parts, whole = [moving], moving.agg(F.sum("score")).first()[0] or 0.0
+    left = whole
+    while left > tolerance * whole:
+        moved = (links.join(moving.withColumnRenamed("host", "src"), ["kind", "src"])
                  .select("kind", F.col("dst").alias("host"), (damping * F.col("score") / F.col("degree")).alias("score")))
-        score = saved(moved.unionByName(start).groupBy("kind", "host").agg(F.sum("score").alias("score")), "scores")
-    return score
+        moving = saved(moved.groupBy("kind", "host").agg(F.sum("score").alias("score")), "scores")
+        left = moving.agg(F.sum("score")).first()[0] or 0.0
+        parts.append(moving)
+    return reduce(DataFrame.unionByName, parts).groupBy("kind", "host").agg(F.sum("score").alias("score"))
 
 
 def judge_pages(pages: DataFrame, rules: Sequence[Rule] = RULES, distrust_share: float = DISTRUST_SHARE) -> DataFrame:
