@@ -5,12 +5,13 @@ of q, so that every posting adds to the score and every other candidate gets at
 term is |q| times its largest component of that sign. Terms are sorted by bound; those whose bounds together stay below
 the current k-th score are non-essential: a candidate that stands in no essential list cannot enter the result. The
 essential postings are traversed, and their candidates are probed in the remaining terms while they stay competitive.
-Candidates lie in shards, queries in blocks; each (shard, block) is a task's bounded piece, and the best k of the
-shards are merged.
+Candidates lie in shards, of which each is shuffled once; blocks of queries travel to all of them, and the best k of the
+shards are merged. A shard is worked through in pieces: the k-th score so far is the floor of the next piece.
 
 Results for odd rows: vectors that are null or hold null or non-finite components take no part, nor do rows without
-id; components past the shorter of two vectors count as 0; of rows alike in id and vector one counts; a query has no
-candidate with its own id; ties go to the smaller id; a query without candidates gives no row.
+id; components past the shorter of two vectors count as 0; each of several equal rows is a candidate of its own (of which
+k at most can enter a result, so no more travel), while equal query rows are one query; a query has no candidate with its
+own id; ties go to the smaller id; a query without candidates gives no row; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,20 +23,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import small_batches
+from tallyward.llm.common import saved, small_batches
 
+#: Candidates of a shard and their components, at most on average.
 SHARD_ROWS = 8_192
+SHARD_NUMBERS = 1 << 21
 QUERY_ROWS = 256
+#: Candidates of a shard that are scored before the floor rises.
+PIECE = 2_048
 
 
 def integer_vectors(rows: DataFrame, id_column: str, vector_column: str, scale: int = 256) -> DataFrame:
-    """Distinct rows (id, vec array<long>) of floor(scale * x), usable vectors only."""
+    """Rows (id, vec array<long>) of floor(scale * x), usable vectors only."""
     x = F.col(vector_column)
     fine = ~F.exists(x, lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf")))
     return (rows.where(F.col(id_column).isNotNull() & x.isNotNull()).where(fine)
             .select(F.col(id_column).cast("long").alias("id"),
-                    F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long")).alias("vec"))
-            .distinct())
+                    F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long")).alias("vec")))
 
 
 def _packed(rows: DataFrame, number: Column, name: str) -> DataFrame:
@@ -48,31 +52,33 @@ def top_k(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
 
     ``rows`` has (id, vec); ``is_query`` marks the query set, which is searched against all rows.
     """
-    sizes = rows.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
-    shards, blocks = -(-sizes["n"] // SHARD_ROWS) or 1, -(-sizes["q"] // QUERY_ROWS) or 1
-    place = F.pmod(F.xxhash64("id", "vec"), F.lit(shards)).cast("int")
+    rows = saved(rows.groupBy("id", "vec").agg(F.least(F.count("*"), F.lit(k)).alias("copies")), "vectors")
+    sizes = rows.agg(F.sum("copies").alias("n"), F.sum(F.col("copies") * F.size("vec")).alias("numbers"), F.count(F.when(is_query, 1)).alias("q")).first()
+    shards = max(-(-(sizes["n"] or 0) // SHARD_ROWS), -(-(sizes["numbers"] or 0) // SHARD_NUMBERS), 1)
+    blocks = -(-sizes["q"] // QUERY_ROWS) or 1
+    each = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    place = F.pmod(F.xxhash64("id", "vec", "copy"), F.lit(shards)).cast("int")
     block = F.pmod(F.xxhash64("vec", "id"), F.lit(blocks)).cast("int")
-    candidates = (_packed(rows, place, "shard")
-                  .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
     queries = (_packed(rows.where(is_query), block, "block")
                .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
-    pairs = candidates.join(queries, ["shard", "block"]).select("shard_rows", "block_rows")
+    pairs = _packed(each, place, "shard").join(queries, "shard").select("shard", "shard_rows", "block_rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, shard = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, vectors = _matrix(batch.column(0).slice(i, 1))
-                query_ids, query_vectors = _matrix(batch.column(1).slice(i, 1))
-                wide = max(vectors.shape[1], query_vectors.shape[1])
-                shard = Shard(ids, _widened(vectors, wide))
-                out = [[], [], [], []]
-                for number, (query, vector) in enumerate(zip(query_ids, _widened(query_vectors, wide), strict=True)):
+                query_ids, query_vectors = _matrix(batch.column(2).slice(i, 1))
+                if batch.column(0)[i].as_py() != number:  # the blocks of a shard follow each other
+                    number = batch.column(0)[i].as_py()
+                    shard = Shard(*_matrix(batch.column(1).slice(i, 1)))
+                out = [[], [], []]
+                for query, vector in zip(query_ids, query_vectors, strict=True):
                     found, scores = shard.search(int(query), vector, k)
-                    for column, values in zip(out, ([query] * len(found), [number] * len(found), found, scores), strict=True):
+                    for column, values in zip(out, ([query] * len(found), found, scores), strict=True):
                         column.extend(values)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["query_id", "q", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["query_id", "vec_id", "score"])
 
-    found = small_batches(pairs).mapInArrow(run, "query_id long, q long, vec_id long, score long").drop("q")
+    found = small_batches(pairs).mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
@@ -88,10 +94,6 @@ def _matrix(cell: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ids, out
 
 
-def _widened(vectors: np.ndarray, wide: int) -> np.ndarray:
-    return np.pad(vectors, ((0, 0), (0, wide - vectors.shape[1])))
-
-
 class Shard:
     """Postings by dimension and sign, and the MaxScore search over them."""
 
@@ -104,6 +106,8 @@ class Shard:
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[list[int], list[int]]:
         """Ids and scores of the best ``k``, best first; ties to the smaller id."""
+        wide = len(self.columns)
+        query = np.pad(query[:wide], (0, max(0, wide - len(query))))
         bounds = np.where(query > 0, query * self.highest, query * self.lowest)
         terms = np.argsort(-bounds, kind="stable")
         terms = terms[query[terms] != 0]
@@ -112,27 +116,37 @@ class Shard:
         if not other.any():
             return [], []
         floor = self._first_floor(query, terms, other, k)
-        essential = int(np.searchsorted(-rest, -floor, side="right")) if floor is not None else len(terms)
-        if floor is None or floor <= 0:  # a candidate without any posting could still belong to the result
-            cand = np.flatnonzero(other)
-        else:
-            seen = np.zeros(len(self.ids), bool)
-            for t in terms[:essential]:
-                seen[self.postings[t][0 if query[t] > 0 else 1]] = True
-            cand = np.flatnonzero(seen & other)
-        score = np.zeros(len(cand), np.int64)
-        for place, t in enumerate(terms):
-            score += query[t] * self.columns[t][cand]
-            if floor is not None and place % 4 == 3:
-                keep = score + rest[place + 1] >= floor
-                if not keep.all():
-                    cand, score = cand[keep], score[keep]
-        if len(cand) > k:
-            least = np.partition(score, len(score) - k)[len(score) - k]
-            keep = score >= least
-            cand, score = cand[keep], score[keep]
-        best = np.lexsort((self.ids[cand], -score))[:k]
-        return self.ids[cand[best]].tolist(), score[best].tolist()
+        # place of the weightiest term that a candidate has a posting of; past all terms without any
+        first = np.full(len(self.ids), len(terms))
+        for place in range(self._essential(rest, floor) - 1, -1, -1):
+            t = terms[place]
+            first[self.postings[t][0 if query[t] > 0 else 1]] = place
+        cand = np.flatnonzero(other)
+        best_at, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for start in range(0, len(cand), PIECE):
+            piece = cand[start:start + PIECE]
+            if floor is not None and floor > 0:  # else a candidate without any posting could still belong to the result
+                piece = piece[first[piece] < self._essential(rest, floor)]
+            score = np.zeros(len(piece), np.int64)
+            for place, t in enumerate(terms):
+                score += query[t] * self.columns[t][piece]
+                if floor is not None and place % 4 == 3:
+                    keep = score + rest[place + 1] >= floor
+                    if not keep.all():
+                        piece, score = piece[keep], score[keep]
+            best_at, best = np.append(best_at, piece), np.append(best, score)
+            if len(best) > k:
+                order = np.lexsort((self.ids[best_at], -best))[:k]
+                best_at, best = best_at[order], best[order]
+            if len(best) == k:
+                floor = int(best.min()) if floor is None else max(floor, int(best.min()))
+        order = np.lexsort((self.ids[best_at], -best))
+        return self.ids[best_at[order]].tolist(), best[order].tolist()
+
+    @staticmethod
+    def _essential(rest: np.ndarray, floor: int | None) -> int:
+        """How many of the weightiest terms are essential: all others together stay below the floor."""
+        return len(rest) - 1 if floor is None else min(len(rest) - 1, int(np.searchsorted(-rest, -floor, side="right")))
 
     def _first_floor(self, query: np.ndarray, terms: np.ndarray, other: np.ndarray, k: int) -> int | None:
         """The k-th score among candidates with large components in the weightiest terms; None with fewer than k."""

@@ -103,7 +103,7 @@ WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(CAST(v
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
              AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
      s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.vec, c.vec) AS BIGINT) AS score
-           FROM x q JOIN x c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+           FROM (SELECT DISTINCT vec_id, vec FROM x) q JOIN x c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
 SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE place <= 5
 """,

@@ -173,21 +173,37 @@ def test_edit_distance_is_exact():
 
 def test_top_k_matches_brute_force(spark):
     random.seed(7)
-    rows = [(i, [random.choice([-1.5, -0.5, 0.0, 0.01, 0.7, 1.2]) for _ in range(8)]) for i in range(150)]
-    rows += [(200, None), (201, [1.0, None]), (202, [float("nan")] * 8), (203, [float("inf")] * 8), (None, [1.0] * 8), (3, rows[3][1])]
+    fine = [(i, [random.choice([-1.5, -0.5, 0.0, 0.01, 0.7, 1.2]) for _ in range(8)]) for i in range(150)]
+    fine += [fine[3]] * 9 + [fine[50]] * 2 + [(8, fine[9][1])]  # equal rows are candidates each, a repeated query is one
+    rows = fine + [(200, None), (201, [1.0, None]), (202, [float("nan")] * 8), (203, [float("inf")] * 8), (None, [1.0] * 8)]
     docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("clash"))
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in maxscore.top_embeddings(docs, 5).collect()}
-    vectors = {i: np.floor(np.array(v) * 256).astype(np.int64) for i, v in rows[:150]}
+    vectors = [(i, np.floor(np.array(v) * 256).astype(np.int64)) for i, v in fine]
     for q in range(0, 150, 50):
-        best = sorted((-int(vectors[q] @ v), i) for i, v in vectors.items() if i != q)[:5]
+        best = sorted((-int(vectors[q][1] @ v), i) for i, v in vectors if i != q)[:5]
         assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
     assert len(got) == 15
+    assert maxscore.top_embeddings(docs.limit(0)).collect() == []
 
 
-def test_maxscore_drops_candidates_but_no_result():
+def test_top_k_sql_has_repeated_rows_too(spark, tmp_path):
+    import duckdb
+
+    from tallyward.llm.queries import SQL
+    rows = [(50, [1.0, 0.5]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (2, [0.1, 0.1]), (50, [1.0, 0.5])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.execute(SQL["op2_topk"]).fetchall())
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in CALLS["op2_topk"](spark, str(tmp_path)).collect())
+    assert got == want and [r[:3] for r in got] == [(50, 1, 1), (50, 2, 1), (50, 3, 2)]
+
+
+def test_maxscore_drops_candidates_but_no_result(monkeypatch):
     random.seed(8)
     rng = np.random.default_rng(8)
     vectors = (rng.standard_normal((500, 16)) * rng.exponential(1, 16) * 100).astype(np.int64)
+    monkeypatch.setattr(maxscore, "PIECE", 64)
     shard = maxscore.Shard(np.arange(500), vectors)
     for q in range(0, 500, 25):
         ids, scores = shard.search(q, vectors[q], 3)
@@ -273,3 +289,35 @@ def test_pipeline_stages_decide_as_their_operators(spark, sf_dir):
 
 def test_every_operator_is_registered():
     assert {name.split("_")[0] for name in CALLS} == {f"op{n}" for n in range(1, 11)}
+
+
+def test_host_scores_match_a_power_iteration(spark):
+    random.seed(12)
+    hosts = [f"h{i}" for i in range(40)]
+    edges = sorted({(kind, a, b) for kind in ("trust", "distrust") for _ in range(90) for a, b in [random.sample(hosts, 2)]})
+    edges += [("trust", f"chain{i}", f"chain{i + 1}") for i in range(15)]
+    seeds = [("trust", "h1", 1.0), ("trust", "h2", 0.25), ("distrust", "h3", 0.5), ("trust", "chain0", 1.0)]
+    got = {(r.kind, r.host): r.score for r in hostgraph.spread(
+        spark.createDataFrame(seeds, "kind string, host string, seed double"), spark.createDataFrame(edges, "kind string, src string, dst string"),
+        tolerance=0.01).collect()}
+    start = {(k, h): s for k, h, s in seeds}
+    degree, score = Counter((k, a) for k, a, _ in edges), dict(start)
+    for _ in range(300):
+        fresh = Counter(start)
+        for k, a, b in edges:
+            fresh[k, b] += 0.85 * score.get((k, a), 0.0) / degree[k, a]
+        score = fresh
+    left = 0.01 * sum(start.values()) * 0.85 / 0.15
+    assert all(abs(got.get(x, 0.0) - score[x]) <= left for x in score) and ("trust", "chain15") in got
+
+
+def test_links_that_leave_the_scheme_to_the_page(spark):
+    pages = [(1, "https://a.org/x", "<a href='//Bad.com/p?q'>b</a> <a href=/own>o</a> <A HREF=\"http://c.net\">c</a> <a href='//a.org/self'>s</a>")]
+    links = hostgraph.host_links(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert sorted(map(tuple, links.collect())) == [("a.org", "bad.com"), ("a.org", "c.net")]
+    rules = (("block", "bad.com", "/"),)
+    both = pages + [(2, "https://bad.com/y", "")] * 2 + [(3, None, None), (4, "https://long.org/", "<p>" * 200_000 + "<a href='//bad.com'>")]
+    frame = spark.createDataFrame(both, "page_id long, url string, html string").withColumn("src", F.lit("clash")).withColumn("host", F.lit("clash"))
+    got = {r.page_id: (r.verdict, r.distrust > 0) for r in hostgraph.judge_pages(frame, rules).collect()}
+    assert got == {1: ("allow", True), 2: ("block", True), 3: ("allow", False), 4: ("allow", True)}
+    assert hostgraph.judge_pages(frame.limit(0), rules).collect() == []
