@@ -202,6 +202,76 @@ def test_article_of_every_given_page(spark, sf_dir):
     assert wrong.where("text NOT RLIKE '&'").where("html NOT RLIKE '&amp;'").count() == 0
 
 
+def plain_page(rng, named):
+    """A page and its article's blocks; without names its parts are nothing but div, ul and p."""
+    say = lambda n: " ".join(rng.choice(["river", "stone", "mount", "valley", "bridge", "winter"]) for _ in range(n))
+    links = lambda n: "".join(f"<li><a href='/{say(1)}'>{say(rng.randrange(1, 3))}</a></li>" for _ in range(n))
+    text = [say(3), *(say(rng.choice([1, 2, 3, 20, 30, 60])) + rng.choice([".", ".", ""]) for _ in range(rng.randrange(5, 15)))]
+    items = [] if named else [say(rng.choice([1, 2])) for _ in range(2)]  # a list inside the article, as no named page has it
+    article = f"<h2>{text[0]}</h2><p>{text[1]}</p>" + "".join(f"<li>{t}</li>" for t in items).join(["<ul>", "</ul>"] if items else ["", ""])
+    article += "".join(f"<p>{t}</p>" for t in text[2:])
+    text += items
+    inner = "<div class='x4'><div>" + article + "</div></div>"
+    body = (f"<div class='x1'><ul>{links(6)}</ul></div><div class='x2'><div>{say(4)}</div></div>{inner}"
+            f"<div class='x5'><div>{say(2)}</div><ul>{links(4)}</ul></div><div class='x6'><p>{say(3)}</p></div>")
+    if named:
+        for old, new in (("x1", "nav"), ("x2", "ad"), ("x4", "article"), ("x5", "sidebar"), ("x6", "footer")):
+            body = body.replace(f"class='{old}'", f"class='{new}'")
+    return f"<html><body>{body}</body></html>", text
+
+
+def test_pages_without_telling_names(spark):
+    """Names label part of the sample; pages without them are told by features, tags and neighbours."""
+    rng = random.Random(6)
+    pages = [(i, *plain_page(rng, i % 2 == 0)) for i in range(120)]
+    frame = spark.createDataFrame([(i, "u", h) for i, h, _ in pages], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    model = maincontent.train(frame)
+    assert max(model.names.values()) > 0 > min(model.names.values())
+    edgeless = maincontent.Model(model.prior, model.weights, model.names, {})
+    right = {"cut": 0, "alone": 0, "all": 0}
+    for _, page, text in pages[1::2]:
+        blocks = maincontent.blocks_of(page)
+        assert not any(b.markup for b in blocks)
+        for name, kind in (("cut", model), ("alone", edgeless)):
+            right[name] += sum(keep == (b.text in text) for b, keep in zip(blocks, maincontent.content_blocks(blocks, kind), strict=True))
+        right["all"] += len(blocks)
+    assert right["cut"] >= 0.95 * right["all"] > right["alone"]
+
+
+def test_given_pages_without_their_names(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    model = maincontent.train(pages)
+    unnamed = maincontent.Model(model.prior, model.weights, {}, model.edges)
+    right = total = 0
+    for row in pages.select("html").collect():
+        blocks = maincontent.blocks_of(row.html)
+        labels = maincontent.content_blocks(blocks, unnamed)
+        right += sum(keep == (b.markup > 0) for b, keep in zip(blocks, labels, strict=True))
+        total += len(blocks)
+    assert right >= 0.95 * total
+
+
+@pytest.mark.parametrize("page, wanted", [
+    ("<p data-x=\"" + "a" * 2100 + " > b\">Article.</p>", ["Article."]),
+    ("<div data-props='" + "{<p>x</p>}" * 500 + "'><p>One</p></div><p>Two</p>", ["One", "Two"]),
+    ("<p title=\"no end>One</p><p>Two</p>", ["One", "Two"]),
+    ("<p title='a>b' lang=\"it's\">One</p>", ["One"]),
+    ("a < b <c d='e' <p>f</p>", ["a < b <c d='e'", "f"]),
+    ("<!-- '<p>\" --><p>One</p><!x '>Two", ["One", "Two"]),
+])
+def test_quoted_values_of_any_length(page, wanted):
+    assert [b.text for b in maincontent.blocks_of(page)] == wanted
+
+
+def test_many_unclosed_quotes_take_linear_time():
+    import time
+
+    started = time.perf_counter()
+    maincontent.blocks_of("<a title=\"x' <p class='y " * 60_000)
+    maincontent.blocks_of("<a b='\"<c d=\"'<e f=" * 60_000)
+    assert time.perf_counter() - started < 20
+
+
 def test_minimum_cut_is_the_cheapest_labelling():
     random.seed(1)
     for _ in range(150):
