@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,34 +10,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyward.session import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local session without one gets its own.
-
-    A cluster session without the setting is an error: its machines share no temporary folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="tallyward-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` from a table written to the shared folder: computed once, lineage cut, size known.
 
     The tables of an application lie in one folder, which goes when the driver ends.
     """
     spark = df.sparkSession
-    root = f"{shared_folder(spark).rstrip('/')}/tallyward-{spark.sparkContext.applicationId}"
+    root = f"{shared_folder(spark)}/tallyward-{spark.sparkContext.applicationId}"
     if root not in _ROOTS:
         _ROOTS.add(root)
         atexit.register(_drop, spark, root)
@@ -63,7 +48,10 @@ BATCH_ROWS = 512
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after its session's Arrow batches are limited to ``BATCH_ROWS`` rows (a smaller setting stays)."""
+    """``df``, after its session's Arrow batches are limited to ``BATCH_ROWS`` rows (a smaller setting stays).
+
+    The setting is read when a plan runs, which is after this returns, so it stays for the session.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
         df.sparkSession.conf.set(name, BATCH_ROWS)

@@ -67,21 +67,26 @@ def set_parity(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """Rows (doc_id, n, h1, h2, bands, sketch, parity) of every text; h1 and h2 tell sets apart and are null for an empty set."""
+    """Rows (doc_id, digest, n, h1, h2, bands, sketch, parity) of every text.
+
+    ``digest`` is that of the text; h1 and h2 tell sets apart and are null for an empty set. A row without doc_id has no more.
+    """
 
     def make() -> Callable[..., tuple]:
-        def row(doc_id: int | None, text: str | None) -> tuple:
+        def row(doc_id: int | None, text: str | None, digest: int) -> tuple:
             found = shingle_set(text, size)
-            if not len(found) or doc_id is None:
-                return doc_id, len(found), None, None, None, None, None
-            least = min_hashes(found)
+            if not len(found):
+                return doc_id, digest, 0, None, None, None, None, None
             second = np.add.reduce(mix(found + np.uint64(7)))
-            return (doc_id, len(found), int(np.add.reduce(mix(found)).view(np.int64)), int(second.view(np.int64)),
-                    band_keys(least).tolist(), odd_sketch(least).tolist(), set_parity(found).tolist())
+            known = (doc_id, digest, len(found), int(np.add.reduce(mix(found)).view(np.int64)), int(second.view(np.int64)))
+            if doc_id is None:
+                return (*known, None, None, None)
+            least = min_hashes(found)
+            return (*known, band_keys(least).tolist(), odd_sketch(least).tolist(), set_parity(found).tolist())
         return row
 
-    return map_rows(docs.select("doc_id", "text"), make,
-                    "doc_id long, n long, h1 long, h2 long, bands array<long>, sketch array<long>, parity array<long>")
+    return map_rows(docs.select("doc_id", "text", F.xxhash64("text")), make,
+                    "doc_id long, digest long, n long, h1 long, h2 long, bands array<long>, sketch array<long>, parity array<long>")
 
 
 def _different(x: Column, y: Column) -> Column:
@@ -205,8 +210,15 @@ def _block_pairs(members: DataFrame, best: bool) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 2) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept) of every document; links are sets of ``size``-word shingles with
     100 * intersection at least 80 * union."""
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return (labelled_rows(docs, size).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+
+
+def labelled_rows(docs: DataFrame, size: int) -> DataFrame:
+    """Rows (doc_id, digest, n, h1, h2, component) of every document; ``component`` is null where no node has its set."""
     rows = saved(sketches(docs, size), "sketches")
-    nodes = saved(rows.where("h1 IS NOT NULL").groupBy("h1", "h2")
+    nodes = saved(rows.where("h1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("h1", "h2")
                   .agg(F.min(F.struct("doc_id", "n", "sketch", "parity", "bands")).alias("x"))
                   .select("h1", "h2", F.col("x.doc_id").alias("id"), "x.n", "x.sketch", "x.parity", "x.bands"), "nodes")
     buckets = nodes.select("id", F.explode("bands").alias("bucket"))
@@ -235,13 +247,31 @@ def near_duplicates(docs: DataFrame, size: int = 2) -> DataFrame:
         tested = tested.unionByName(pairs)
     labels = (nodes.select("h1", "h2", "id").join(groups, "id", "left")
               .select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.coalesce("component", "id").alias("component")))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return (rows.select("doc_id", "n", "h1", "h2").join(labels, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+    same = (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))
+    return rows.select("doc_id", "digest", "n", "h1", "h2").join(labels, same, "left").drop("k1", "k2")
 
 
 def one_of_each_group(docs: DataFrame, size: int = 5) -> DataFrame:
-    """The documents that stand for their group (smallest doc_id), with the columns of ``docs``."""
-    gone = saved(near_duplicates(docs, size).where("NOT kept").select("doc_id").distinct(), "copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group, the one with the smallest doc_id, with the columns of ``docs``.
+
+    Of rows alike in doc_id and text one stays. Rows without doc_id go if a document with one has the same set of shingles,
+    else one of those with the same set stays. Documents without words are in no group and all stay.
+    """
+    rows = saved(labelled_rows(docs, size).where("h1 IS NOT NULL").select(
+        "doc_id", "digest", F.col("component").isNull().alias("alone"), F.coalesce("component", "h1").alias("g1"),
+        F.when(F.col("component").isNull(), F.col("h2")).otherwise(0).alias("g2")), "group-rows")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
+    heads = rows.groupBy("alone", "g1", "g2").agg(F.min(first).alias("head"))
+    behind = rows.join(heads, ["alone", "g1", "g2"]).where(first != F.col("head"))
+    gone = saved(behind.select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct(), "copies")
+    again = saved(rows.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1")
+                  .select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")), "repeated")
+
+    def same(left: DataFrame, right: DataFrame) -> Column:
+        return left["doc_id"].eqNullSafe(right["gone_id"]) & (F.xxhash64(left["text"]) == right["gone_digest"])
+
+    left = docs.join(gone, same(docs, gone), "left_anti")
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    once = left.join(again, same(left, again), "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, same(left, again), "left_anti").unionByName(once).select(*docs.columns)

@@ -288,7 +288,7 @@ def test_pipeline_stages_decide_as_their_operators(spark, sf_dir):
 
 
 def test_every_operator_is_registered():
-    assert {name.split("_")[0] for name in CALLS} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in CALLS} == {f"op{n}" for n in range(1, 14)}
 
 
 def test_host_scores_match_a_power_iteration(spark):
@@ -321,3 +321,15 @@ def test_links_that_leave_the_scheme_to_the_page(spark):
     got = {r.page_id: (r.verdict, r.distrust > 0) for r in hostgraph.judge_pages(frame, rules).collect()}
     assert got == {1: ("allow", True), 2: ("block", True), 3: ("allow", False), 4: ("allow", True)}
     assert hostgraph.judge_pages(frame.limit(0), rules).collect() == []
+
+
+def test_one_row_of_each_group_stays(spark):
+    text, other = " ".join(WORDS[:30]), " ".join(WORDS[30:])
+    rows = [(1, text, "a"), (1, text, "a"), (None, text, "b"), (2, text, "c"), (3, text + " end", "d"), (None, other, "e"), (None, other, "f"),
+            (5, "", "g"), (5, "", "g"), (None, None, "h"), (7, "alone " + other[:40], "i"), (7, "alone " + other[:40], "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("digest", F.lit("clash")).withColumn("gone_id", F.lit("clash"))
+    kept = oddsketch.one_of_each_group(docs.repartition(3), 5)
+    assert kept.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got == {(1, text): 1, (None, other): 1, (5, ""): 2, (None, None): 1, (7, "alone " + other[:40]): 1}
+    assert oddsketch.one_of_each_group(docs.limit(0), 5).collect() == []
