@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyward.llm.bpe import token_digests
-from tallyward.llm.common import shared_folder, table
+from tallyward.llm.common import saved, table
 from tallyward.llm.decontaminate import without_leaks
 from tallyward.llm.oddsketch import one_of_each_group
 from tallyward.llm.privacy import sanitised
@@ -24,7 +23,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more, smallest doc_id."""
+    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more, smallest doc_id.
+
+    Repeated rows are one; see ``one_of_each_group`` for rows without doc_id.
+    """
     return one_of_each_group(docs, 5)
 
 
@@ -53,11 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each stage's rows are written to the shared folder and read again."""
-    folder = f"{shared_folder(spark).rstrip('/')}/corpus-pipeline-{uuid.uuid4().hex}"
+    """Applies the stages to documents; each stage's rows are written to the shared folder and read again.
+
+    The tables lie with the other intermediate ones of the application, which go when the driver ends.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
+        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
