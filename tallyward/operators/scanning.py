@@ -266,7 +266,7 @@ def _hook_hits() -> str:
 
 
 def _python_hits(files: DataFrame, ranks: Collection[int], allowed_hosts: Sequence[str]) -> DataFrame:
-    """Findings of Python syntax trees, made where the files are read (smaller scan splits spread the parsing)."""
+    """Findings of Python syntax trees, made where the files are read; small tables are spread over the cores first."""
     allowed = frozenset(allowed_hosts)
     calls, hosts = PYTHON_RANK in ranks, OUTBOUND_RANK in ranks
 
@@ -284,7 +284,20 @@ def _python_hits(files: DataFrame, ranks: Collection[int], allowed_hosts: Sequen
             yield pd.DataFrame(rows, columns=HIT_COLUMNS)
 
     python = files.filter(_in_scope("python") & F.col("text").isNotNull()).select("grp", "path", "text")
-    return python.mapInPandas(scan, HIT_SCHEMA)
+    return _spread(python).mapInPandas(scan, HIT_SCHEMA)
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """``rows`` in as many tasks as there are cores, if the optimizer takes them for so small that a scan makes fewer splits.
+
+    A larger table is left where it is read: its splits are as many as the cores or more.
+    """
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    # the least size of a split while cores are idle
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.openCostInBytes"))
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores, "grp", "path") if size < cores * split else rows
 
 
 HIT_COLUMNS = ["grp", "path", "rank", "pos", "prefix", "severity", "title", "line", "pattern", "evidence"]
