@@ -30,7 +30,7 @@ SHARD_ROWS = 8_192
 SHARD_NUMBERS = 1 << 21
 QUERY_ROWS = 256
 #: Candidates of a shard that are scored before the floor rises.
-PIECE = 2_048
+PIECE = 4_096
 
 
 def integer_vectors(rows: DataFrame, id_column: str, vector_column: str, scale: int = 256) -> DataFrame:
