@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from tallyward.fixed import WEAK_TLS
 from tallyward.functions.logins import is_failure, is_success, mentions_api, user_column
 from tallyward.operators.frames import check_number
+from tallyward.session import written
 
 SCALE_COLUMNS = ("userId", "username", "sourceIp", "countryIso", "loginType", "loginSubType", "application")
 SHARE_COLUMNS = ("status", "loginType", "loginSubType", "countryIso", "tlsProtocol", "platform", "browser",
@@ -88,8 +89,8 @@ def hints(logins: DataFrame) -> DataFrame:
 
 
 def profile(logins: DataFrame, top_n: int = 10) -> dict[str, DataFrame]:
-    """All profile tables. ``value_counts`` is cached for the tables that share it."""
-    counts = value_counts(logins).persist()
+    """All profile tables. ``value_counts`` is written once for the tables that share it."""
+    counts = written(value_counts(logins), "value-counts")
     user = user_column(logins) or "userId"
     return {
         "time_range": time_range(logins),
