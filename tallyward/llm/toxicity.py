@@ -33,7 +33,9 @@ MIN_SUPPORT = 4
 PREFIXES = range(3, 9)
 #: Shares of a feature's words count in per cent, up to this.
 MAX_SHARE = 5.0
+#: Weight of the mean squared score change under swaps, and swaps of a text.
 COUNTERFACTUAL_WEIGHT = 5.0
+PARTNERS = 4
 RIDGE = 2e-4
 STEPS = 400
 THRESHOLD = 0.7
@@ -101,18 +103,21 @@ class FeatureMemo(dict):
         return made
 
 
-def swapped(chunks: list[str]) -> list[str] | None:
-    """The text with each identity term replaced by the next of its list; None if it has none."""
-    out, any_term = [], False
-    for chunk in chunks:
-        words = WORD.findall(chunk)
-        terms = [w for w in words if w in SWAPS]
-        for term in terms:
-            group = SWAPS[term]
-            chunk = re.sub(rf"\b{term}\b", group[(group.index(term) + 1) % len(group)], chunk)
-            any_term = True
-        out.append(chunk)
-    return out if any_term else None
+def swapped(chunks: list[str], steps: int = 1) -> list[str] | None:
+    """The text with all its identity terms replaced at once, each by the one ``steps`` further in its list; None if that
+    changes nothing."""
+    def other(found: re.Match) -> str:
+        group = SWAPS.get(found[0])
+        return found[0] if group is None else group[(group.index(found[0]) + steps) % len(group)]
+
+    out = [WORD.sub(other, chunk) for chunk in chunks]
+    return None if out == chunks else out
+
+
+def counterfactuals(chunks: list[str]) -> list[list[str]]:
+    """The text with other groups in its mentions: ``PARTNERS`` of them, fewer where the lists are short."""
+    found = [x for steps in range(1, PARTNERS + 1) if (x := swapped(chunks, steps)) is not None]
+    return [x for i, x in enumerate(found) if x not in found[:i]]
 
 
 def held_out_column(doc_id: str = "doc_id"):
@@ -184,8 +189,7 @@ def _vectors(numbers: dict[str, int]) -> Callable[..., list[tuple]]:
 
     def rows(text: str | None, toxic: int) -> list[tuple]:
         chunks = words_of(text)
-        other = swapped(chunks)
-        vectors = [counts_of(x, memo) for x in ([chunks] if other is None else [chunks, other])]
+        vectors = [counts_of(x, memo) for x in (chunks, *counterfactuals(chunks))]
         return [(toxic, len(chunks), [list(v) for v in vectors], [list(v.values()) for v in vectors])]
 
     return rows
@@ -222,8 +226,7 @@ def _train(rows: list[tuple], features: int, counterfactual_weight: float) -> tu
     for _, words, at, n in rows:
         add(at[0], n[0], words)
     for i, (_, words, at, n) in enumerate(rows):
-        if len(at) > 1:
-            pairs.append((i, add(at[1], n[1], words)))
+        pairs += [(i, add(at[k], n[k], words)) for k in range(1, len(at))]
     row_at, col_at, values = np.array(row, np.int64), np.array(col, np.int64), np.array(value)
     labels = np.array([r[0] for r in rows], float)
     own, other = (np.array(x, np.int64) for x in (zip(*pairs, strict=True) if pairs else ((), ())))

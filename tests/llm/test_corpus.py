@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -244,6 +245,52 @@ def test_scores_follow_labels_and_ignore_mere_mentions(spark):
     assert gap(50.0) < 0.5 * gap(0.0)
 
 
+def test_terms_are_swapped_at_once():
+    assert toxicity.swapped(["women/men", "and", "Muslims"]) == ["men/girls", "and", "Muslims"]
+    assert toxicity.swapped(["the", "men"], 4) == ["the", "women"] and toxicity.swapped(["the"]) is None
+    assert len(toxicity.counterfactuals(["old", "women"])) == toxicity.PARTNERS
+    assert toxicity.counterfactuals(["gens"]) == [["femmes"], ["hommes"]] and toxicity.counterfactuals(["x"]) == []
+
+
+def test_the_penalty_halves_false_positives_on_neutral_mentions(spark):
+    """Hostile texts mostly name one group; held-out harmless texts that name it must not be taken for them."""
+    rng = random.Random(13)
+    insults = [f"insult{i}" for i in range(40)]
+    rows, labels, neutral = [], [], []
+    for i in range(3000):
+        hostile = rng.random() < 0.35
+        words = [f"w{rng.randrange(80)}" for _ in range(25)]
+        if hostile or rng.random() < 0.06:  # or quoted, not meant
+            words[rng.randrange(25)] = rng.choice(insults)
+        draw = rng.random()
+        if draw < (0.7 if hostile else 0.08):
+            words[rng.randrange(25)] = "muslims"
+            neutral += [] if hostile else [i]
+        elif not hostile and draw < 0.3:
+            words[rng.randrange(25)] = rng.choice(["christians", "jews", "hindus", "atheists"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(hostile)))
+    docs, marked = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1}
+
+    def false_positives(weight):
+        score = toxicity.scorer(toxicity.fit(docs, marked, weight))
+        hostile = sorted(score(rows[i][1]) for i in held if labels[i][1])
+        limit = hostile[int(len(hostile) * 0.05)]  # 95 of 100 hostile texts are found
+        return sum(score(rows[i][1]) >= limit for i in neutral if i in held)
+
+    assert false_positives(toxicity.COUNTERFACTUAL_WEIGHT) <= 0.5 * false_positives(0.0)
+
+
+def test_odd_rows_of_scores(spark):
+    rows, labels = toxic_rows()
+    text = "word " * 300_000
+    docs = spark.createDataFrame([*rows, rows[3], (5001, text), (None, rows[3][1])], "doc_id long, text string").withColumn("toxic", F.lit("clash")).withColumn("score", F.lit("clash"))
+    scored = toxicity.score_documents(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert Counter(r.doc_id for r in scored)[3] == 2 and len({r.score for r in scored if r.doc_id in (3, None)}) == 1
+    assert len(scored) == len(rows) + 3
+
+
 def test_scores_without_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
