@@ -113,12 +113,15 @@ def _key() -> tuple[Column, Column]:
     return F.xxhash64("whole").alias("h1"), F.xxhash64(F.reverse("whole"), F.length("whole")).alias("h2")
 
 
-def base_table(docs: DataFrame) -> DataFrame:
+def base_table(docs: DataFrame, with_row: bool = False) -> DataFrame:
     """Rows (doc_id, h1, h2, spans, near) of every document; ``near`` has the text around each span.
 
+    ``with_row`` adds the whole row as one column, so that no name of it can clash with those of the patterns.
+
     The text around a span is cut from two pieces of the text, so that a span far behind costs no more than one in front.
     """
-    found = find_base(docs.select("doc_id", "text")).withColumn("pieces", F.when(
+    rows = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if with_row else []
+    found = find_base(docs.select("doc_id", "text", *rows)).withColumn("pieces", F.when(
         F.size("spans") > 0, F.regexp_extract_all("whole", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))
 
     def part(start: Column, length: Column) -> Column:
@@ -130,7 +133,7 @@ def base_table(docs: DataFrame) -> DataFrame:
     near = F.transform("spans", lambda o: F.struct(
         start(o).alias("from"), part(start(o), F.least(o["s"], F.lit(NEAR_CHARS))).alias("left"),
         part(o["e"], F.lit(NEAR_CHARS)).alias("right")))
-    return found.select("doc_id", *_key(), "spans", near.alias("near"))
+    return found.select("doc_id", *_key(), "spans", near.alias("near"), *(["row"] if with_row else []))
 
 
 def disclosing_spans(docs: DataFrame, base: DataFrame, min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -229,15 +232,12 @@ def sanitised(docs: DataFrame) -> DataFrame:
     The base spans go by their places in the original text, overlapping ones as one; terms, and numbers that a neighbour
     hid, are looked for only in the stretches outside them. A text without such data stays as it is, null included.
     """
-    base = saved(base_table(docs), "pii-base")
+    base = saved(base_table(docs, with_row=True), "pii-base")  # with the rows: the patterns run once
     terms = (disclosing_spans(docs, base).groupBy("doc_id", "h1", "h2")
              .agg(F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.sort_array(F.collect_set("term")), "|"), F.lit(r")(?![\p{L}\p{N}])")).alias("terms"))
              .select(F.col("doc_id").alias("same_id"), F.col("h1").alias("same1"), F.col("h2").alias("same2"), "terms"))
-    # the row travels as one column, so that no name of it can clash with those of the patterns
-    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), F.col("text"))
-    df = _stretches(find_base(df))
-    h1, h2 = _key()
-    df = df.join(terms, F.col("same_id").eqNullSafe(F.col("doc_id")) & (F.col("same1") == h1) & (F.col("same2") == h2), "left")
+    df = _stretches(base.select("row", "doc_id", "h1", "h2", "spans", F.coalesce("row.text", F.lit("")).alias("whole")))
+    df = df.join(terms, F.col("same_id").eqNullSafe(F.col("doc_id")) & (F.col("same1") == F.col("h1")) & (F.col("same2") == F.col("h2")), "left")
     df = df.withColumn("outside", F.when(F.col("terms").isNull(), F.col("outside"))
                        .otherwise(F.transform("outside", lambda x: F.regexp_replace(x, F.col("terms"), F.lit("[TERM]")))))
     for kind, pattern in (("ip", PATTERNS["ip"]), *GROUPED.items(), *[(kind, PATTERNS[kind]) for kind in ("card", "phone")]):
