@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyward.llm.common import saved, small_batches
-from tallyward.llm.shingles import LOWER, mix
+from tallyward.llm.shingles import LOWER, mix, word_hashes, words_at
 
 #: Fixed values of the contract.
 LEAST = 100
@@ -42,6 +42,8 @@ SHARDS = 4
 FILTER_BITS = 25
 #: Words that a task holds at a time.
 BLOCK_WORDS = 1_000_000
+#: The same in bytes, where words are hashed only.
+BLOCK_BYTES = 8 << 20
 #: Bytes of a text that are split at a time.
 SLICE = 1 << 20
 #: Copies of the counts that the parts of phrases are joined to, so that no frequent part meets all its phrases in one task.
@@ -49,6 +51,8 @@ SALTS = 8
 
 _BREAKS = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else LOWER[b] for b in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: What stands between words after that.
+_GAPS = np.isin(np.arange(256), (10, 32))
 
 
 def _slices(text: bytes) -> Iterator[bytes]:
@@ -112,12 +116,46 @@ class _Block:
             self._append(inside, tail)
 
 
+class _Hashes:
+    """Words of many texts as hashes, by group; ``count`` is called with each group when the block is full.
+
+    It gets the hash of each word and the number of the piece that the word stands in.
+    """
+
+    def __init__(self, count: Callable[[tuple, np.ndarray, np.ndarray, int], None]) -> None:
+        self.count, self.open, self.carried = count, None, 0
+        self.groups: dict[tuple, list[bytes]] = {}
+        self.size = 0
+
+    def add(self, group: tuple, text: bytes) -> None:
+        for part in _slices(text):
+            self.groups.setdefault(group, []).append(part)
+            self.size += len(part)
+            if self.size >= BLOCK_BYTES:
+                self.flush(group)
+        self.groups.setdefault(group, []).append(b"\n")
+
+    def flush(self, inside: tuple | None = None) -> None:
+        """Counts all groups; of the group whose text goes on, the last words of its piece open the next block."""
+        tail: list[bytes] = []
+        for group, parts in self.groups.items():
+            text = b"".join(parts)
+            hashes, starts = words_at(text, _GAPS)
+            ends = np.flatnonzero(np.frombuffer(text, np.uint8) == 10)
+            self.count(group, hashes, np.searchsorted(ends, starts), self.carried if group == self.open else 0)
+            if group == inside and len(starts):
+                at = max(int(starts[-(LONGEST - 1):][0]), int(ends[-1]) if len(ends) else 0)
+                tail = text[at:].split()
+        self.open, self.carried = inside, len(tail)
+        self.groups, self.size = ({inside: [b" ".join(tail) + b" "]} if tail else {}), 0
+
+
 class Words:
     """The different words of a block, by number, with their hashes."""
 
     def __init__(self, texts: list[bytes]) -> None:
         self.texts = texts
-        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, texts), np.uint64, len(texts))
+        self.hashes = word_hashes(b"\n".join(texts), _GAPS)
 
     def hashes_of(self, numbers: np.ndarray) -> np.ndarray:
         return self.hashes[numbers] if len(self.texts) else np.zeros(len(numbers), np.uint64)  # at an end: any hash
@@ -149,12 +187,11 @@ def _listed(keys: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (slots[(places >> np.uint64(6)).astype(np.int64)] >> (places & np.uint64(63))) & np.uint64(1) != 0
 
 
-def _task(texts: DataFrame, schema: str, counter: Callable[[list], Callable[[tuple, np.ndarray, int, Words], None]],
-          fields: pa.Schema) -> DataFrame:
+def _task(texts: DataFrame, schema: str, counter: Callable[[list], Callable], fields: pa.Schema, block: type = _Block) -> DataFrame:
     """Runs a counter over the rows (lang, shard, text) of each task; it appends finished batches of columns to a list."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[list] = []
-        block = _Block(counter(done))
+        held = block(counter(done))
 
         def finished() -> Iterator[pa.RecordBatch]:
             for columns in done:
@@ -164,9 +201,9 @@ def _task(texts: DataFrame, schema: str, counter: Callable[[list], Callable[[tup
 
         for batch in batches:
             for lang, shard, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                block.add((lang, shard), text)
+                held.add((lang, shard), text)
                 yield from finished()
-        block.flush()
+        held.flush()
         yield from finished()
 
     return small_batches(texts).mapInArrow(run, schema)
@@ -194,12 +231,12 @@ def gram_counts(texts: DataFrame, sizes: Sequence[int], shorter: np.ndarray) ->
     filters = texts.sparkSession.sparkContext.broadcast(shorter)
 
     def counter(done: list) -> Callable:
-        def count(group: tuple, numbers: np.ndarray, carried: int, words: Words) -> None:
-            hashes, (lang, shard), part = words.hashes_of(numbers), group, min(sizes) - 1
-            listed, runs = _listed(_keys(_grams(hashes, part), lang), filters.value), _run_lengths(numbers)
+        def count(group: tuple, hashes: np.ndarray, pieces: np.ndarray, carried: int) -> None:
+            (lang, shard), part = group, min(sizes) - 1
+            listed = _listed(_keys(_grams(hashes, part), lang), filters.value)
             for size in sizes:
-                n = max(0, len(numbers) - size + 1)
-                good = np.logical_and.reduce([listed[i:n + i] for i in range(size - part + 1)]) & (runs[:n] >= size)
+                n = max(0, len(hashes) - size + 1)
+                good = np.logical_and.reduce([listed[i:n + i] for i in range(size - part + 1)]) & (pieces[:n] == pieces[size - 1:])
                 good[:max(0, carried - size + 1)] = False  # counted in the block before
                 keys, counts = np.unique(_keys(_grams(hashes, size)[good], lang), return_counts=True)
                 if len(keys):
@@ -207,7 +244,7 @@ def gram_counts(texts: DataFrame, sizes: Sequence[int], shorter: np.ndarray) ->
         return count
 
     fields = pa.schema([("shard", pa.int32()), ("size", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
-    return _task(texts, "shard int, size int, key long, n long", counter, fields)
+    return _task(texts, "shard int, size int, key long, n long", counter, fields, _Hashes)
 
 
 def phrase_counts(texts: DataFrame, filters: list[np.ndarray]) -> DataFrame:

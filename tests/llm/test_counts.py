@@ -90,7 +90,14 @@ def test_blocks_lose_and_double_nothing(monkeypatch, block, slice_bytes):
         sparkSession = type("S", (), {"sparkContext": Shared()})  # noqa: N815
 
     found = {}
-    monkeypatch.setattr(phrases, "_task", lambda texts, schema, counter, fields: found.setdefault("counter", counter))
+    monkeypatch.setattr(phrases, "BLOCK_BYTES", slice_bytes * 3)
+    monkeypatch.setattr(phrases, "_task", lambda texts, schema, counter, fields, block=None: found.update(counter=counter))
+    phrases.gram_counts(Texts(), (2, 3, 4, 5), full)
+    hashed = []
+    mined = phrases._Hashes(found["counter"](hashed))
+    for _, text, lang, _ in rows:
+        mined.add(((lang or "und").encode(), 0), (text or "").encode())
+    mined.flush()
     phrases.phrase_counts(Texts(), [full] * 5)
     done, words = [], []
     for counter, out in ((found["counter"], done), (phrases._word_counter, words)):
@@ -113,6 +120,17 @@ def test_blocks_lose_and_double_nothing(monkeypatch, block, slice_bytes):
                 for i in range(len(own) - size + 1):
                     expected["und" if not lang else lang, " ".join(own[i:i + size])] += 1
     assert got == expected
+    keys = Counter()
+    for lang, gram in expected:
+        if " " in gram:
+            words = phrases.Words([w.encode() for w in gram.split(" ")])
+            key = phrases._keys(phrases._grams(words.hashes, len(words.texts)), lang.encode())
+            keys[len(words.texts), int(key.view(np.int64)[0])] += expected[lang, gram]
+    mined_keys = Counter()
+    for _, sizes, found_keys, counts in hashed:
+        for size, key, n in zip(sizes, found_keys, counts, strict=True):
+            mined_keys[int(size), int(key)] += int(n)
+    assert mined_keys == keys
 
 
 # --- quality rules ---------------------------------------------------------------------------------------------------------
