@@ -22,7 +22,7 @@ from tallyward.functions.times import (
 )
 from tallyward.operators.frames import check_number, empty_frame
 from tallyward.operators.ordered import (
-    NO_TIME, SECOND, micros, micros_or_last, running_peaks, time_bucket, totals_of_events, with_previous,
+    NO_TIME, SECOND, micros, micros_or_last, time_bucket, totals_of_events, with_previous,
 )
 from tallyward.operators.timeline import scan, timeline
 from tallyward.session import written
@@ -162,19 +162,20 @@ def brute_force(logins: DataFrame, min_failures: int = 10, window_minutes: float
     failed = logins.filter(is_failure() & F.col(group_by).isNotNull()).select(
         group_by, F.col(member).alias("member"), micros_or_last(F.col("loginTime")).alias("at"))
     failed = written(failed.groupBy(group_by, "member", "at").agg(F.count(F.lit(1)).alias("n")), "failures")
-    failures = trailing_steps(failed, [group_by], window, ["n"]).withColumnRenamed("n", "failures")
+    # an entry is positive, an exit negative; the entries alone add up to the total
+    failures = trailing_steps(failed, [group_by], window, ["n"]).select(
+        group_by, "at", F.col("n").alias("failures"), F.greatest("n", F.lit(0)).alias("entered"))
     members = _member_steps(failed, group_by, "member", window).withColumnRenamed("n", "members")
-    peaks = running_peaks(failures.unionByName(members, allowMissingColumns=True), [group_by],
-                          {"failures": "peakFailuresInWindow", "members": "uniqueUsersTargeted"})
-    real = F.when(F.col("at") != NO_TIME, F.col("at"))
-    totals = failed.groupBy(group_by).agg(
-        F.sum("n").alias("totalFailures"),
-        F.timestamp_micros(F.min(real)).alias("firstSeen"),
-        F.timestamp_micros(F.max(real)).alias("lastSeen"))
+    steps = failures.unionByName(members, allowMissingColumns=True).groupBy(group_by, "at").agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("failures", "members", "entered")])
+    running = scan(timeline(steps, [group_by], ["at"]), sums={"open": F.col("failures"), "active": F.col("members")})
+    seen = F.when((F.col("entered") > 0) & (F.col("at") != NO_TIME), F.col("at"))
     return (
-        peaks.filter((F.col("peakFailuresInWindow") >= min_failures) & (F.col("uniqueUsersTargeted") >= min_unique_users))
-        .join(totals, group_by)
-        .select(group_by, "peakFailuresInWindow", "uniqueUsersTargeted", "totalFailures", "firstSeen", "lastSeen")
+        running.groupBy(group_by).agg(
+            F.max("open").alias("peakFailuresInWindow"), F.max("active").alias("uniqueUsersTargeted"),
+            F.sum("entered").alias("totalFailures"),
+            F.timestamp_micros(F.min(seen)).alias("firstSeen"), F.timestamp_micros(F.max(seen)).alias("lastSeen"))
+        .filter((F.col("peakFailuresInWindow") >= min_failures) & (F.col("uniqueUsersTargeted") >= min_unique_users))
     )
 
 
@@ -275,12 +276,14 @@ def human_api_logins(logins: DataFrame, patterns: Sequence[str] = INTEGRATION_WO
                      subtypes: Sequence[str] = API_SUBTYPES, counts: DataFrame | None = None) -> DataFrame:
     """API logins of users whose name does not look like an integration.
 
-    ``counts`` are rows (username, loginSubType, sourceIp, logins, firstSeen, lastSeen) where they are there already.
+    ``counts`` are rows (username, loginSubType, sourceIp, logins, firstSeen, lastSeen), one per address, where they are there
+    already.
     """
     if not has_columns(logins, "loginSubType", "username", "loginTime", "sourceIp"):
         return empty_frame(logins.sparkSession, (
             "username string, loginSubType string, logins long, firstSeen timestamp, "
             "lastSeen timestamp, uniqueIps long"))
+    addresses = F.countDistinct("sourceIp") if counts is None else F.count("sourceIp")
     if counts is None:
         counts = logins.withColumns({"logins": F.lit(1).cast("long"), "firstSeen": F.col("loginTime"), "lastSeen": F.col("loginTime")})
     return (
@@ -288,7 +291,7 @@ def human_api_logins(logins: DataFrame, patterns: Sequence[str] = INTEGRATION_WO
                       & F.col("username").isNotNull() & ~is_integration(F.col("username"), patterns))
         .groupBy("username", "loginSubType")
         .agg(F.sum("logins").alias("logins"), F.min("firstSeen").alias("firstSeen"),
-             F.max("lastSeen").alias("lastSeen"), F.countDistinct("sourceIp").alias("uniqueIps"))
+             F.max("lastSeen").alias("lastSeen"), addresses.alias("uniqueIps"))
     )
 
 
