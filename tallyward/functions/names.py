@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -29,6 +30,16 @@ def composed(name: Column) -> Column:
     return F.coalesce(_composed(first_match(name, r"(?s)^.*[^\x00-\x7F].*\z")), name)
 
 
+def as_it_is(name: Column) -> Column:
+    """For names that are known to be in NFC, as those in ASCII are: no Python worker is needed."""
+    return name
+
+
+def is_ascii(*values: Column) -> Column:
+    """All of the values are in ASCII or NULL."""
+    return F.concat_ws("", *values).rlike(r"^[\x00-\x7F]*\z")
+
+
 def is_blank(value: Column) -> Column:
     return F.coalesce(value.rlike(rf"^{WHITE}*\z"), F.lit(True))
 
@@ -56,9 +67,9 @@ def bracket_id(value: Column) -> Column:
     return normalized_id(bracket_text(value))
 
 
-def sanitized(value: Column) -> Column:
+def sanitized(value: Column, nfc: Callable[[Column], Column] = composed) -> Column:
     """NFC, forbidden characters to ``_``, single blanks, trimmed; empty for NULL."""
-    name = F.regexp_replace(composed(value), INVALID_NAME_CHARS, "_")
+    name = F.regexp_replace(nfc(value), INVALID_NAME_CHARS, "_")
     return F.coalesce(trimmed(F.regexp_replace(name, r"\s+", " ")), F.lit(""))
 
 
@@ -67,8 +78,8 @@ def sanitized_id(value: Column) -> Column:
     return F.coalesce(F.regexp_replace(clean, r"^\z", MISSING_ID), F.lit(MISSING_ID))
 
 
-def sanitized_extension(value: Column) -> Column:
-    bare = F.replace(sanitized(F.regexp_replace(filled(value), r"^\.", "")), F.lit(" "), F.lit(""))
+def sanitized_extension(value: Column, nfc: Callable[[Column], Column] = composed) -> Column:
+    bare = F.replace(sanitized(F.regexp_replace(filled(value), r"^\.", ""), nfc), F.lit(" "), F.lit(""))
     return F.regexp_replace(bare, r"(?s)^(?=.)", ".")
 
 
@@ -84,14 +95,14 @@ def _with_id(name: Column, id_: Column, extension: Column) -> Column:
     return F.get(F.transform(F.array(F.struct(name.alias("name"), tail.alias("tail"))), joined), F.lit(0))
 
 
-def folder_name(name: Column, id_: Column) -> Column:
+def folder_name(name: Column, id_: Column, nfc: Callable[[Column], Column] = composed) -> Column:
     """``Name [Id]`` of at most 255 characters, or ``[Id]``."""
-    return _with_id(sanitized(name), sanitized_id(id_), F.lit(""))
+    return _with_id(sanitized(name, nfc), sanitized_id(id_), F.lit(""))
 
 
-def target_file_name(base: Column, id_: Column, extension: Column) -> Column:
+def target_file_name(base: Column, id_: Column, extension: Column, nfc: Callable[[Column], Column] = composed) -> Column:
     """``Base [Id].ext`` of at most 255 characters, or ``[Id].ext``."""
-    return _with_id(sanitized(base), sanitized_id(id_), sanitized_extension(extension))
+    return _with_id(sanitized(base, nfc), sanitized_id(id_), sanitized_extension(extension, nfc))
 
 
 def base_and_extension(name: Column) -> tuple[Column, Column]:

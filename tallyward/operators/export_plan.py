@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +13,8 @@ from tallyward.fixed import (
     ATTACHMENT_ID_PREFIX, LARGE_FILE_BYTES, PARENT_FOLDERS, PARENT_TYPES, VERSION_ID_PREFIX,
 )
 from tallyward.functions.names import (
-    bracket_id, filled, folder_name, instant_text, is_blank, normalized_id, path_key, segment_key, target_file_name,
+    as_it_is, bracket_id, composed, filled, folder_name, instant_text, is_ascii, is_blank, normalized_id, path_key, segment_key,
+    target_file_name,
 )
 from tallyward.operators.frames import repeat_rows
 from tallyward.operators.timeline import collapsed
@@ -149,15 +150,23 @@ def filter_types(inventory: DataFrame, types: DataFrame) -> DataFrame:
 
 
 def with_targets(inventory: DataFrame) -> DataFrame:
-    """Add ``targetFileName`` and ``folderPath`` (account folder, kind folder, parent folder)."""
+    """Add ``targetFileName`` and ``folderPath`` (account folder, kind folder, parent folder).
+
+    Only rows with a name beyond ASCII go through a Python worker, for their Unicode form.
+    """
+    plain = is_ascii(*[F.col(c) for c in ("baseName", "extension", "accountName", "parentName")])
+    return _targets(inventory.filter(plain), as_it_is).unionByName(_targets(inventory.filter(~plain), composed))
+
+
+def _targets(inventory: DataFrame, nfc: Callable[[Column], Column]) -> DataFrame:
     kind = F.col("parentType")
     account = F.when((kind != "ACCOUNT") & ~is_blank(F.col("accountId")),
-                     folder_name(filled(F.col("accountName")), F.col("accountId")))
+                     folder_name(filled(F.col("accountName")), F.col("accountId"), nfc))
     middle = F.when(kind == "OPPORTUNITY", PARENT_FOLDERS["OPPORTUNITY"]).when(
         kind == "CONTRACT", PARENT_FOLDERS["CONTRACT"])
-    parent = folder_name(F.col("parentName"), F.col("parentId"))
+    parent = folder_name(F.col("parentName"), F.col("parentId"), nfc)
     return inventory.withColumns({
-        "targetFileName": target_file_name(F.col("baseName"), F.col("namingId"), F.col("extension")),
+        "targetFileName": target_file_name(F.col("baseName"), F.col("namingId"), F.col("extension"), nfc),
         "folderPath": F.concat_ws("/", account, middle, parent)})
 
 

@@ -91,6 +91,16 @@ def test_plan(spark, tables):
     assert {r.action: r.files for r in plan["counters"].collect()} == {"upload": 3, "skip": 2, "processed": 5}
 
 
+def test_targets_use_python_for_names_beyond_ascii_only(spark):
+    rows = [("a", "pdf", "Acme", "Opp"), ("e\u0301", "pdf", "Acme", "Opp"), ("b", None, None, "Caf\u0065\u0301"), (None, "", "A", "B"), ("c", "d\u0301", "A", "B")]
+    inventory = spark.createDataFrame([(*r, "1", "OPPORTUNITY", "2", "3") for r in rows], "baseName string, extension string, accountName string, "
+                                      "parentName string, namingId string, parentType string, accountId string, parentId string")
+    got = sorted((r.targetFileName, r.folderPath) for r in x.with_targets(inventory).collect())
+    assert got == sorted((r.targetFileName, r.folderPath) for r in x._targets(inventory, n.composed).collect())
+    assert ("\u00e9 [1].pdf", "Acme [2]/Opportunities/Opp [3]") in got and len(got) == 5
+    assert "Python" not in x._targets(inventory, n.as_it_is)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_retry_filters(spark, tables):
     report = spark.createDataFrame([
         ("OPPORTUNITY", " 00p1 ", "plan [00p1].pdf", "Acme [001a]/Opportunities/Opp [006A]", "", ""),
