@@ -13,14 +13,17 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import sys
 import unicodedata
 from array import array
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tallyward.llm.common import map_rows
 
@@ -32,6 +35,10 @@ MEMO_CHARS = 48
 #: Unicode white space, as the vocabulary's own ``\s`` has it; str.split() also takes U+001C to U+001F.
 WHITE = regex.compile(r"\p{White_Space}+")
 SEPARATORS = regex.compile(r"[\x1c-\x1f]")
+#: Latin letters, punctuation, currency signs, Japanese and Chinese characters and Hangul syllables: no combining marks.
+SETTLED = re.compile(r"[\x00-\u024F\u1E00-\u1EFF\u2000-\u206F\u20A0-\u20BF\u3000-\u3029\u3030-\u303F\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3]*")
+#: Chunks between white space whose numbers and decoded text are held at a time.
+PIECE_CHUNKS = 4_096
 
 
 def byte_symbols() -> list[str]:
@@ -68,15 +75,44 @@ class Vocabulary:
         self.rank = {pair: i for i, pair in enumerate(pairs)}
         self.lookahead = sufficient_lookahead(pairs, self.suffix)
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+        pattern = split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
+        self.words = regex.compile(pattern)
+        library = Tokenizer.from_str(text)
+        # letters and digits of the pattern module that the library of the file has no such kind for: its tables are older
+        every = "".join(map(chr, (*range(0xD800), *range(0xE000, sys.maxunicode + 1))))
+        fresh = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
+        found = library.pre_tokenizer.pre_tokenize_str("".join(f"a{c}{c} " for c in fresh))
+        parts = Counter(start // 4 for _, (start, _) in found)  # letters join the a, digits stand alone, others join each other
+        newer = "".join(c for i, c in enumerate(fresh) if parts[i] == 2)
+        self.newer = frozenset(newer)
+        for kind in (r"\p{L}", r"\p{N}") if newer else ():
+            pattern = pattern.replace(kind, f"[{kind}--[{regex.escape(newer)}]]")
+        self.words_with_newer = regex.compile("(?V1)" + pattern)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         longest_first = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("|".join(map(regex.escape, longest_first))) if longest_first else None
+        self.normalizer = library.normalizer
+        kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        if kinds not in ([], ["NFC", "Replace", "Lowercase"]):
+            raise ValueError(f"a file that normalises by {kinds} is not known")
         self.symbols = byte_symbols()
         self.bytes_of = {c: b for b, c in enumerate(self.symbols)}
         self.table = dict(enumerate(self.symbols))
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
 
+    def normal(self, text: str) -> str:
+        """The text as the file's own normaliser leaves it, but for white space.
+
+        Characters whose composition and lower case no version of Unicode has changed take the short way.
+        """
+        if self.normalizer is None:
+            return text
+        if text.isascii():
+            return text.lower()
+        if SETTLED.fullmatch(text):
+            return unicodedata.normalize("NFC", text).lower()
+        return self.normalizer.normalize_str(text)
+
     def symbols_of(self, word: str) -> str:
         return word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table)
 
@@ -220,28 +256,38 @@ class TextCodec:
 
     def encode(self, text: str | None) -> tuple[bytes, bytes]:
         """Packed numbers and decoded text in UTF-8; a missing text counts as empty."""
-        if not text:
-            return b"", b""
-        special = self.vocabulary.specials
-        if special is None or not any(s in text for s in self.vocabulary.special):
-            parts = self._plain(text)
-        else:
-            parts, at = [], 0
+        pieces = list(self.pieces(text))
+        return b"".join([p[0] for p in pieces]), b"".join([p[1] for p in pieces])
+
+    def pieces(self, text: str | None) -> Iterator[tuple[bytes, bytes]]:
+        """``encode`` bit by bit: numbers and decoded text of ``PIECE_CHUNKS`` chunks at a time."""
+        begun = False
+        for parts in self._parts(text or ""):
+            numbers = b"".join([p[0] for p in parts])
+            if numbers:
+                decoded = b" ".join([p[1] for p in parts if p[0]])
+                yield numbers, b" " + decoded if begun else decoded
+                begun = True
+
+    def _parts(self, text: str) -> Iterator[list[tuple[bytes, bytes]]]:
+        special, at = self.vocabulary.specials, 0
+        if special is not None and any(s in text for s in self.vocabulary.special):
             for found in special.finditer(text):
-                parts += self._plain(text[at:found.start()])
-                parts.append((self.vocabulary.special[found[0]].to_bytes(4, "little"), found[0].encode()))
+                yield from self._plain(text[at:found.start()])
+                yield [(self.vocabulary.special[found[0]].to_bytes(4, "little"), found[0].encode())]
                 at = found.end()
-            parts += self._plain(text[at:])
-        return b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts if p[0]])
+        yield from self._plain(text[at:] if at else text)
 
-    def _plain(self, text: str) -> list[tuple[bytes, bytes]]:
-        text = text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        text = text.lower()
+    def _plain(self, text: str) -> Iterator[list[tuple[bytes, bytes]]]:
+        text = self.vocabulary.normal(text)
         chunks = WHITE.split(text) if SEPARATORS.search(text) else text.split()
-        return list(map(self._chunk.__getitem__, chunks))
+        for start in range(0, len(chunks), PIECE_CHUNKS):
+            yield list(map(self._chunk.__getitem__, chunks[start:start + PIECE_CHUNKS]))
 
     def _encode_chunk(self, chunk: str) -> tuple[bytes, bytes]:
-        parts = [self._word[word] for word in self.vocabulary.words.findall(chunk)]
+        known = self.vocabulary
+        words = known.words if chunk.isascii() or known.newer.isdisjoint(chunk) else known.words_with_newer
+        parts = [self._word[word] for word in words.findall(chunk)]
         return b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts])
 
     def _encode_word(self, word: str) -> tuple[bytes, bytes]:
@@ -302,7 +348,11 @@ def _digests(vocabulary: str) -> Callable[..., tuple]:
     codec = _codec(vocabulary)
 
     def row(doc_id: int | None, text: str | None) -> tuple:
-        ids, decoded = codec.encode(text)
-        return doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        numbers, plain, size = hashlib.sha256(), hashlib.sha256(), 0
+        for ids, decoded in codec.pieces(text):
+            numbers.update(ids)
+            plain.update(decoded)
+            size += len(ids) // 4
+        return doc_id, size, numbers.hexdigest(), plain.hexdigest()
 
     return row

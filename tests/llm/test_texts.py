@@ -39,6 +39,29 @@ def test_token_numbers_match_the_library(spark, vocabulary):
             len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()), text
 
 
+def test_every_character_is_taken_as_by_the_library(vocabulary):
+    """Composition, case, and what counts as letter or digit, for characters of any age."""
+    library, codec = Tokenizer.from_file(PATH), bpe.TextCodec(vocabulary)
+    wrong = []
+    for start in range(1, 0x30000, 16):
+        text = " ".join(f"a{chr(c)}\u0301b {chr(c)}A" for c in range(start, start + 16) if not 0xD800 <= c < 0xE000)
+        ids = library.encode(text, add_special_tokens=False).ids
+        if codec.encode(text) != (b"".join(n.to_bytes(4, "little") for n in ids), library.decode(ids, skip_special_tokens=False).encode()):
+            wrong.append(hex(start))
+    assert wrong == []
+
+
+def test_pieces_are_the_whole(vocabulary, monkeypatch):
+    monkeypatch.setattr(bpe, "PIECE_CHUNKS", 3)
+    codec = bpe.TextCodec(vocabulary)
+    for text in (None, "", " ", "one", "a b c d e f g <|endoftext|> h  i\tj <|endoftext|>", "<|endoftext|>", "one\x1ctwo three four five"):
+        pieces = list(codec.pieces(text))
+        assert codec.encode(text) == (b"".join(p[0] for p in pieces), b"".join(p[1] for p in pieces))
+        assert all(p[0] for p in pieces) and len(pieces) >= (len(text.split()) // 4 if text else 0)
+        ids = Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids
+        assert codec.encode(text)[1].decode() == Tokenizer.from_file(PATH).decode(ids, skip_special_tokens=False)
+
+
 def test_streaming_emits_before_the_end_and_keeps_little(vocabulary):
     random.seed(5)
     word = "".join(random.choice(["th", "in", "er", "an", "x", "ing", "s"]) for _ in range(4000))
