@@ -27,6 +27,8 @@ from tallyward.llm.common import saved, small_batches
 MIN_DOCS = 3
 SCALE = 1_000_000_000
 TERMS_REPORTED = 200
+#: Groups of language and source whose sizes are sent to every task, at most.
+SENT_GROUPS = 100_000
 #: Entries that a task adds up before it sends them on.
 HELD = 200_000
 #: Bytes of a text that are split at a time.
@@ -130,16 +132,15 @@ def kept_counts(terms: DataFrame, least: int = MIN_DOCS) -> DataFrame:
             .where(F.col("seen") >= least).select("lang", "source", "term", "n", "total"))
 
 
-def group_sizes(copies: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (lang, source, size) of every group and (lang, terms, size) of every language; ``size`` is N + V, at least 1."""
+def group_sizes(copies: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows (lang, source, terms, size, lang_size) of every group; sizes are N + V of the group and of its language, at least 1."""
     groups = copies.select("lang", "source").distinct()
     own = kept.groupBy("lang", "source").agg(F.sum("n").alias("own"))
     by_term = kept.groupBy("lang", "term").agg(F.first("total").alias("total"))
     langs = by_term.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("total").alias("all"))
-    every = groups.join(own, ["lang", "source"], "left").join(langs, "lang", "left")
-    sized = every.select("lang", "source", F.coalesce("terms", F.lit(0)).alias("terms"),
-                         F.greatest(F.coalesce("own", F.lit(0)) + F.coalesce("terms", F.lit(0)), F.lit(1)).alias("size"))
-    return sized, langs.select("lang", (F.col("all") + F.col("terms")).alias("lang_size"))
+    every = groups.join(own, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0, ["own", "terms", "all"])
+    return every.select("lang", "source", "terms", *[F.greatest(F.col(n) + F.col("terms"), F.lit(1)).alias(size)
+                                                     for n, size in (("own", "size"), ("all", "lang_size"))])
 
 
 def pair_values(kept: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -168,9 +169,9 @@ def pair_values(kept: DataFrame, sizes: DataFrame) -> DataFrame:
     return every.groupBy(*keys).agg(F.sum("value").cast("long").alias("value"))
 
 
-def term_values(kept: DataFrame, sizes: DataFrame, langs: DataFrame) -> DataFrame:
+def term_values(kept: DataFrame, sizes: DataFrame) -> DataFrame:
     """Rows (lang, source, item, value) of the terms that a group has more of than its language."""
-    return (kept.join(sizes.select("lang", "source", "size"), ["lang", "source"]).join(langs, "lang")
+    return (kept.join(sizes, ["lang", "source"])
             .withColumns({"p": share("n", "size"), "q": share("total", "lang_size")}).where("p > q")
             .select("lang", "source", F.col("term").alias("item"), gap("p", "q").alias("value")))
 
@@ -179,10 +180,11 @@ def audit_sources(docs: DataFrame, reported: int = TERMS_REPORTED) -> DataFrame:
     """Rows (lang, source, part, item, value, rank)."""
     copies = saved(copies_by_source(docs), "text-copies")
     kept = saved(kept_counts(source_terms(docs, copies)), "kept-terms")
-    sizes, langs = group_sizes(copies, kept)
-    sizes = saved(sizes, "group-sizes")
+    sizes = saved(group_sizes(copies, kept), "group-sizes")
+    if sizes.count() <= SENT_GROUPS:  # else the join is by group, whose skew the optimizer splits
+        sizes = F.broadcast(sizes)
     order = W.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pair_values(kept, sizes).withColumn("rank", F.row_number().over(order))
-    terms = term_values(kept, sizes, langs).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= reported)
+    terms = term_values(kept, sizes).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= reported)
     shown = ["lang", "source", "part", "item", "value", "rank"]
     return pairs.withColumn("part", F.lit("pair")).select(*shown).unionByName(terms.withColumn("part", F.lit("term")).select(*shown))
