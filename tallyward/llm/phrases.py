@@ -46,6 +46,8 @@ BLOCK_WORDS = 1_000_000
 BLOCK_BYTES = 8 << 20
 #: Bytes of a text that are split at a time.
 SLICE = 1 << 20
+#: Languages whose word totals are sent to every task, at most.
+SENT_LANGS = 100_000
 #: Copies of the counts that the parts of phrases are joined to, so that no frequent part meets all its phrases in one task.
 SALTS = 8
 
@@ -352,7 +354,8 @@ def scored(candidates: DataFrame, frequent: DataFrame, totals: DataFrame) -> Dat
     for side, count in (("left", "l"), ("right", "r")):
         cuts = cuts.join(counts.select("lang", F.col("phrase").alias(side), F.col("f").alias(count), "salt"), ["lang", side, "salt"])
     whole = {c: F.col(c).cast("decimal(38,0)") for c in ("a", "l", "r", "total")}
-    cuts = cuts.join(totals, "lang").withColumns({
+    totals = saved(totals, "word-totals")
+    cuts = cuts.join(F.broadcast(totals) if totals.count() <= SENT_LANGS else totals, "lang").withColumns({
         "top": (whole["a"] * whole["total"]).cast("decimal(38,0)") * 1000, "bottom": whole["l"] * whole["r"]})
     cuts = cuts.withColumn("score", F.expr("top div bottom"))
     best = F.min(F.struct("score", "k", "l", "r")).alias("cut")
