@@ -236,6 +236,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     terms = (disclosing_spans(docs, base).groupBy("doc_id", "h1", "h2")
              .agg(F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.sort_array(F.collect_set("term")), "|"), F.lit(r")(?![\p{L}\p{N}])")).alias("terms"))
              .select(F.col("doc_id").alias("same_id"), F.col("h1").alias("same1"), F.col("h2").alias("same2"), "terms"))
+    terms = saved(terms, "pii-terms-by-text")  # of known size, so that the texts stay in place where it is small
     df = _stretches(base.select("row", "doc_id", "h1", "h2", "spans", F.coalesce("row.text", F.lit("")).alias("whole")))
     df = df.join(terms, F.col("same_id").eqNullSafe(F.col("doc_id")) & (F.col("same1") == F.col("h1")) & (F.col("same2") == F.col("h2")), "left")
     df = df.withColumn("outside", F.when(F.col("terms").isNull(), F.col("outside"))
