@@ -251,19 +251,27 @@ def labelled_rows(docs: DataFrame, size: int) -> DataFrame:
     return rows.select("doc_id", "digest", "n", "h1", "h2").join(labels, same, "left").drop("k1", "k2")
 
 
+def _not_first(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose digest is not the smallest of their key; keys with several texts hardly exist."""
+    first = texts.groupBy(*keys).agg(F.min("digest").alias("first"), F.count("*").alias("texts")).where("texts > 1")
+    return texts.join(first, keys).where("digest <> first")
+
+
 def one_of_each_group(docs: DataFrame, size: int = 5) -> DataFrame:
     """One document of each group, the one with the smallest doc_id, with the columns of ``docs``.
 
     Of rows alike in doc_id and text one stays. Rows without doc_id go if a document with one has the same set of shingles,
     else one of those with the same set stays. Documents without words are in no group and all stay.
     """
-    rows = saved(labelled_rows(docs, size).where("h1 IS NOT NULL").select(
-        "doc_id", "digest", F.col("component").isNull().alias("alone"), F.coalesce("component", "h1").alias("g1"),
-        F.when(F.col("component").isNull(), F.col("h2")).otherwise(0).alias("g2")), "group-rows")
-    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
-    heads = rows.groupBy("alone", "g1", "g2").agg(F.min(first).alias("head"))
-    behind = rows.join(heads, ["alone", "g1", "g2"]).where(first != F.col("head"))
-    gone = saved(behind.select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct(), "copies")
+    rows = saved(labelled_rows(docs, size).where("h1 IS NOT NULL"), "group-rows")
+    gone = ["doc_id", "digest"]
+    behind = rows.where("component IS NOT NULL AND NOT doc_id <=> component").select(*gone)
+    # what is left of a group has its smallest doc_id, what is in none has no doc_id: the first text of each stays
+    heads = rows.where("component = doc_id").select(*gone).distinct()
+    alone = rows.where("component IS NULL").select("h1", "h2", "digest").distinct()
+    others = [_not_first(heads, ["doc_id"]).select(*gone), _not_first(alone, ["h1", "h2"]).select(F.lit(None).cast("long").alias("doc_id"), "digest")]
+    gone = saved(behind.unionByName(others[0]).unionByName(others[1]).distinct()
+                 .select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")), "copies")
     again = saved(rows.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1")
                   .select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")), "repeated")
 
