@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -269,8 +270,11 @@ def one_of_each_group(docs: DataFrame, size: int = 5) -> DataFrame:
     # what is left of a group has its smallest doc_id, what is in none has no doc_id: the first text of each stays
     heads = rows.where("component = doc_id").select(*gone).distinct()
     alone = rows.where("component IS NULL").select("h1", "h2", "digest").distinct()
-    others = [_not_first(heads, ["doc_id"]).select(*gone), _not_first(alone, ["h1", "h2"]).select(F.lit(None).cast("long").alias("doc_id"), "digest")]
-    gone = saved(behind.unionByName(others[0]).unionByName(others[1]).distinct()
+    # an id that heads no group goes with all its rows; the few others, and rows without id, go by their text
+    ids = saved(behind.where("doc_id IS NOT NULL").select("doc_id").distinct().join(heads, "doc_id", "left_anti"), "copies")
+    others = [behind.join(heads.select("doc_id").distinct(), "doc_id", "left_semi"), behind.where("doc_id IS NULL"),
+              _not_first(heads, ["doc_id"]).select(*gone), _not_first(alone, ["h1", "h2"]).select(F.lit(None).cast("long").alias("doc_id"), "digest")]
+    gone = saved(reduce(DataFrame.unionByName, others).distinct()
                  .select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")), "copies")
     again = saved(rows.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1")
                   .select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")), "repeated")
@@ -278,7 +282,8 @@ def one_of_each_group(docs: DataFrame, size: int = 5) -> DataFrame:
     def same(left: DataFrame, right: DataFrame) -> Column:
         return left["doc_id"].eqNullSafe(right["gone_id"]) & (F.xxhash64(left["text"]) == right["gone_digest"])
 
-    left = docs.join(gone, same(docs, gone), "left_anti")
+    left = docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+    left = left.join(gone, same(left, gone), "left_anti")
     if again.isEmpty():
         return left.select(*docs.columns)
     once = left.join(again, same(left, again), "left_semi").dropDuplicates(["doc_id", "text"])
