@@ -160,8 +160,9 @@ def pair_values(kept: DataFrame, sizes: DataFrame) -> DataFrame:
     other = kept.select("lang", "term", F.col("source").alias("item"), F.col("n").alias("c"))
     both = (kept.select("lang", "term", "source", "n").join(other, ["lang", "term"]).where("source < item")
             .groupBy("lang", "source", "item", "n", "c").agg(F.count(F.lit(1)).alias("m")))
-    each_way = both.unionByName(both.select("lang", F.col("item").alias("source"), F.col("source").alias("item"),
-                                            F.col("c").alias("n"), F.col("n").alias("c"), "m"))
+    there = F.struct("source", "item", "n", "c")
+    back = F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("c").alias("n"), F.col("n").alias("c"))
+    each_way = both.select("lang", "m", F.explode(F.array(there, back)).alias("way")).select("lang", "m", "way.*")
     shared = (each_way.join(pairs, keys).withColumns({"p": share("n", "size_p"), "q": share("c", "size_q")})
               .select(*keys, ((gap("p", "q") - gap("p", "q0") - gap("p0", "q") + F.col("zero")).cast(wide) * F.col("m"))
                       .cast(wide).alias("value")))
