@@ -56,6 +56,17 @@ def tables(spark):
     }
 
 
+def test_parent_ids_are_cut_to_those_in_use_before_they_are_made_distinct(spark, tables):
+    unused = spark.range(2000).selectExpr("concat('006x', id) AS Id")
+    known = unused.unionByName(spark.createDataFrame([("006A",), ("006A",), (None,), ("006Z",)], "Id string"))
+    rows = inv.attachment_inventory(tables["attachments"], {"OPPORTUNITY": known, "ACCOUNT": known.filter("Id = '006A'")})
+    want = [(i, k) for i in ("00P1", "00P1", "00P2") for k in ("ACCOUNT", "OPPORTUNITY")] + [("00P5", "OPPORTUNITY")]
+    assert sorted(rows.select("downloadId", "parentType").collect()) == sorted(want)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    made_distinct = plan[plan.index("Aggregate [knownId"):]
+    assert "LeftSemi" in made_distinct
+
+
 def test_inventory_and_paths(tables):
     rows = x.with_targets(inv.file_inventory(**tables)).collect()
     paths = sorted((r.downloadId, r.folderPath, r.targetFileName) for r in rows)
