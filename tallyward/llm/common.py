@@ -68,7 +68,11 @@ def _single(one: Callable[..., tuple]) -> Callable[..., list[tuple]]:
 
 
 def flat_map_rows(df: DataFrame, make: Callable[[], Callable[..., list[tuple]]], schema: str, flush: int = 8192) -> DataFrame:
-    """Any number of rows for each row of ``df``, sent on in batches of about ``flush`` rows."""
+    """Any number of rows for each row of ``df``, sent on after each batch of ``df``, or once there are about ``flush`` rows.
+
+    So what a task holds is what came out of one batch, on both sides. What Arrow keeps for reuse goes when a task ends, as
+    its worker lives on beside other ones.
+    """
     fields = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +83,10 @@ def flat_map_rows(df: DataFrame, make: Callable[[], Callable[..., list[tuple]]],
                 if len(rows) >= flush:
                     yield _batch(rows, fields)
                     rows = []
-        yield _batch(rows, fields)
+            if rows:
+                yield _batch(rows, fields)
+                rows = []
+        pa.default_memory_pool().release_unused()
 
     return small_batches(df).mapInArrow(run, schema)
 

@@ -2,11 +2,13 @@
 
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyward.llm import bpe, decontaminate, licenses, maincontent, oddsketch, privacy, suffixes
+from tallyward.llm.common import BATCH_ROWS, flat_map_rows
 from tallyward.llm.queries import vocabulary_path
 
 TEXT = "Write to ann@corp.org or call +49 30 123456789 under the MIT License, said the keeper of the northern light house twice."
@@ -81,3 +83,23 @@ def test_pipeline_with_repeated_rows_and_rows_without_id(spark, tmp_path, sf_dir
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     got = Counter(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert got == {900_001: 1, None: 1, 900_003: 1, 900_004: 1}
+
+
+def test_rows_of_a_batch_are_sent_on_before_the_next_is_read(spark):
+    class Frame:
+        sparkSession = spark
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    def batches():
+        for k in range(4):
+            read.append(k)
+            yield pa.RecordBatch.from_pydict({"n": list(range(BATCH_ROWS))})
+        yield pa.RecordBatch.from_pydict({"n": pa.array([], pa.int64())})
+
+    for make, most in ((lambda: lambda n: [(n,)], BATCH_ROWS), (lambda: lambda n: [(n,)] * 20, 8192 + 20), (lambda: lambda n: [], 0)):
+        read = []
+        for k, batch in enumerate(flat_map_rows(Frame(), make, "n long")(batches())):
+            assert 0 < batch.num_rows <= most
+            assert most > BATCH_ROWS or read == list(range(k + 1))
