@@ -49,13 +49,13 @@ def _parent_columns(parent_id: Column, parent: Column) -> list[Column]:
 def _of_parents(rows: DataFrame, column: str, parents: dict[str, DataFrame]) -> DataFrame:
     """Rows whose parent is in one of the tables, with its type; all types in one join.
 
-    The tables are cut to the ids that rows have before these are made distinct, so a task holds ids that are in use, not
-    all of a table.
+    The tables are cut to the ids that rows have before these are made distinct. The ids in use are what that join builds
+    its hash tables of, whatever their size is thought to be: the tables pass by unsorted, and no task holds their ids.
     """
     ids = reduce(DataFrame.unionByName, [
         table.select(F.col("Id").alias("knownId"), F.lit(kind).alias("parentType")) for kind, table in parents.items()])
     used = rows.select(F.col(column).alias("usedId")).distinct()
-    known = ids.join(used, F.col("knownId") == F.col("usedId"), "left_semi").distinct()
+    known = ids.join(used.hint("shuffle_hash"), F.col("knownId") == F.col("usedId"), "left_semi").distinct()
     return rows.join(known, F.col(column) == F.col("knownId")).drop("knownId")
 
 

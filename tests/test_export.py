@@ -67,6 +67,21 @@ def test_parent_ids_are_cut_to_those_in_use_before_they_are_made_distinct(spark,
     assert "LeftSemi" in made_distinct
 
 
+def test_parent_ids_in_use_are_the_hash_table_and_the_tables_pass_unsorted(spark, tables):
+    known = spark.range(2000).selectExpr("concat('006x', id) AS Id").unionByName(
+        spark.createDataFrame([("006A",), ("006A",), (None,)], "Id string"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = inv.file_inventory(tables["attachments"], tables["links"], {"OPPORTUNITY": known})
+        plan = rows._jdf.queryExecution().sparkPlan().toString()
+        found = rows.select("downloadId", "parentId").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    semi = [line for line in plan.splitlines() if "LeftSemi" in line]
+    assert semi and all("ShuffledHashJoin" in line and "BuildRight" in line for line in semi)
+    assert sorted(found) == [("00P1", "006A"), ("00P1", "006A"), ("00P2", "006A"), ("068B", "006A")]
+
+
 def test_inventory_and_paths(tables):
     rows = x.with_targets(inv.file_inventory(**tables)).collect()
     paths = sorted((r.downloadId, r.folderPath, r.targetFileName) for r in rows)
