@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tallyward.checks import export_checks
 from tallyward.functions import names as n
 from tallyward.operators import amounts as a
 from tallyward.operators import export_plan as x
@@ -82,6 +83,16 @@ def test_parent_ids_in_use_are_the_hash_table_and_the_tables_pass_unsorted(spark
     assert sorted(found) == [("00P1", "006A"), ("00P1", "006A"), ("00P2", "006A"), ("068B", "006A")]
 
 
+def test_the_registered_plans_sort_no_parent_table_to_cut_it(spark, sf_dir):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = export_checks.full_inventory(spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    semi = [line for line in plan.splitlines() if "LeftSemi" in line]
+    assert semi and not [line for line in semi if "SortMergeJoin" in line]
+
+
 def test_inventory_and_paths(tables):
     rows = x.with_targets(inv.file_inventory(**tables)).collect()
     paths = sorted((r.downloadId, r.folderPath, r.targetFileName) for r in rows)
