@@ -5,8 +5,9 @@ of q, so that every posting adds to the score and every other candidate gets at
 term is |q| times its largest component of that sign. Terms are sorted by bound; those whose bounds together stay below
 the current k-th score are non-essential: a candidate that stands in no essential list cannot enter the result. The
 essential postings are traversed, and their candidates are probed in the remaining terms while they stay competitive.
-Candidates lie in shards, of which each is shuffled once; blocks of queries travel to all of them, and the best k of the
-shards are merged. A shard is worked through in pieces: the k-th score so far is the floor of the next piece.
+Candidates lie in shards, of which each is one task; one shuffle brings each candidate to its shard and all queries to
+every shard, without the driver, and the best k of the shards are merged. A shard is worked through in pieces: the k-th
+score so far is the floor of the next piece.
 
 Results for odd rows: vectors that are null or hold null or non-finite components take no part, nor do rows without
 id; components past the shorter of two vectors count as 0; each of several equal rows is a candidate of its own (of which
@@ -25,10 +26,12 @@ from pyspark.sql import functions as F
 
 from tallyward.llm.common import saved, small_batches
 
-#: Candidates of a shard and their components, at most on average.
-SHARD_ROWS = 8_192
+#: Components of the candidates of a shard, at most on average.
 SHARD_NUMBERS = 1 << 21
-QUERY_ROWS = 256
+#: Candidates of a shard on average, more where there would be over ``SHARDS`` shards and over one per core: each shard
+#: gets all queries.
+SHARD_ROWS = 8_192
+SHARDS = 64
 #: Candidates of a shard that are scored before the floor rises.
 PIECE = 4_096
 
@@ -42,58 +45,65 @@ def integer_vectors(rows: DataFrame, id_column: str, vector_column: str, scale:
                     F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long")).alias("vec")))
 
 
-def _packed(rows: DataFrame, number: Column, name: str) -> DataFrame:
-    """One row per piece: its number, the ids and the vectors one behind the other."""
-    return rows.groupBy(number.alias(name)).agg(F.collect_list(F.struct("id", "vec")).alias(f"{name}_rows"))
-
-
 def top_k(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the ``k`` best candidates of each query.
 
     ``rows`` has (id, vec); ``is_query`` marks the query set, which is searched against all rows.
     """
     rows = saved(rows.groupBy("id", "vec").agg(F.least(F.count("*"), F.lit(k)).alias("copies")), "vectors")
-    sizes = rows.agg(F.sum("copies").alias("n"), F.sum(F.col("copies") * F.size("vec")).alias("numbers"), F.count(F.when(is_query, 1)).alias("q")).first()
-    shards = max(-(-(sizes["n"] or 0) // SHARD_ROWS), -(-(sizes["numbers"] or 0) // SHARD_NUMBERS), 1)
-    blocks = -(-sizes["q"] // QUERY_ROWS) or 1
-    each = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    sizes = rows.agg(F.sum("copies").alias("n"), F.sum(F.col("copies") * F.size("vec")).alias("numbers")).first()
+    at_once = max(SHARDS, rows.sparkSession.sparkContext.defaultParallelism)
+    shards = max(min(-(-(sizes["n"] or 0) // SHARD_ROWS), at_once), -(-(sizes["numbers"] or 0) // SHARD_NUMBERS), 1)
     place = F.pmod(F.xxhash64("id", "vec", "copy"), F.lit(shards)).cast("int")
-    block = F.pmod(F.xxhash64("vec", "id"), F.lit(blocks)).cast("int")
-    queries = (_packed(rows.where(is_query), block, "block")
-               .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
-    pairs = _packed(each, place, "shard").join(queries, "shard").select("shard", "shard_rows", "block_rows")
+    candidates = (rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+                  .select(place.alias("shard"), F.lit(False).alias("asks"), "id", "vec"))
+    queries = (rows.where(is_query)
+               .select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "id", "vec"))
+    # not a join: its estimate leaves out that queries are repeated for each shard, so all of that could be broadcast
+    both = candidates.unionAll(queries).repartitionById(shards, "shard").sortWithinPartitions("asks").select("asks", "id", "vec")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, shard = None, None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                query_ids, query_vectors = _matrix(batch.column(2).slice(i, 1))
-                if batch.column(0)[i].as_py() != number:  # the blocks of a shard follow each other
-                    number = batch.column(0)[i].as_py()
-                    shard = Shard(*_matrix(batch.column(1).slice(i, 1)))
-                out = [[], [], []]
-                for query, vector in zip(query_ids, query_vectors, strict=True):
-                    found, scores = shard.search(int(query), vector, k)
-                    for column, values in zip(out, ([query] * len(found), found, scores), strict=True):
-                        column.extend(values)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["query_id", "vec_id", "score"])
-
-    found = small_batches(pairs).mapInArrow(run, "query_id long, vec_id long, score long")
+        parts, shard = [], None
+        for batch in batches:  # one shard's candidates, then the queries
+            many = batch.column(0).false_count
+            if many:
+                parts.append(_matrix(batch.slice(0, many)))
+            if many == batch.num_rows:
+                continue
+            if shard is None:
+                shard, parts = Shard(*_stacked(parts)), []
+            out = [[], [], []]
+            for query, vector in zip(*_matrix(batch.slice(many)), strict=True):
+                found, scores = shard.search(int(query), vector, k)
+                for column, values in zip(out, ([query] * len(found), found, scores), strict=True):
+                    column.extend(values)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["query_id", "vec_id", "score"])
+
+    found = small_batches(both).mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
 
 
-def _matrix(cell: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of a packed cell; shorter vectors end in zeros."""
-    rows = cell.flatten()
-    ids, lists = rows.field("id").to_numpy(), rows.field("vec")
+def _matrix(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of rows (.., id, vec); shorter vectors end in zeros."""
+    ids, lists = rows.column("id").to_numpy().copy(), rows.column("vec")  # a view would keep the batch
     flat, lengths = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
     out = np.zeros((len(ids), int(lengths.max(initial=0))), np.int64)
     out[np.repeat(np.arange(len(ids)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
     return ids, out
 
 
+def _stacked(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of all parts; shorter vectors end in zeros."""
+    out = np.zeros((sum(len(ids) for ids, _ in parts), max((v.shape[1] for _, v in parts), default=0)), np.int64)
+    start = 0
+    for ids, vectors in parts:
+        out[start:start + len(ids), :vectors.shape[1]] = vectors
+        start += len(ids)
+    return np.concatenate([np.zeros(0, np.int64), *(ids for ids, _ in parts)]), out
+
+
 class Shard:
     """Postings by dimension and sign, and the MaxScore search over them."""
 

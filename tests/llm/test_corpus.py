@@ -200,6 +200,29 @@ def test_top_k_sql_has_repeated_rows_too(spark, tmp_path):
     assert got == want and [r[:3] for r in got] == [(50, 1, 1), (50, 2, 1), (50, 3, 2)]
 
 
+def test_top_k_sends_no_queries_by_way_of_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(maxscore, "SHARD_ROWS", 16)
+    rng = np.random.default_rng(80)
+    rows = [(i, [float(x) for x in rng.integers(-9, 10, 3 + i % 6)]) for i in range(700)]
+    found = maxscore.top_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5, 20)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in found.collect()}
+    assert len(got) == 35 * 5
+    for q in range(0, 700, 20):
+        best = sorted((-sum(int(65536 * x * y) for x, y in zip(rows[q][1], v, strict=False)), i) for i, v in rows if i != q)[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_top_k_finds_the_same_with_more_shards_than_rows_and_with_one(spark, monkeypatch):
+    rows = [(i, [float(i % 7), -1.0 * (i % 3)][:i % 4]) for i in range(60)] + [(10, [2.0, 1.0])] * 3
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for numbers in (1, 1 << 21):
+        monkeypatch.setattr(maxscore, "SHARD_NUMBERS", numbers)
+        found[numbers] = sorted(map(tuple, maxscore.top_embeddings(vectors, 5, 10).collect()))
+    assert found[1] == found[1 << 21] and len(found[1]) == 6 * 5
+
+
 def test_maxscore_drops_candidates_but_no_result(monkeypatch):
     random.seed(8)
     rng = np.random.default_rng(8)
